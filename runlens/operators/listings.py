@@ -99,7 +99,7 @@ def stability_runs(
         .withColumn("_prev", F.lag("_state").over(in_bucket))
         .withColumn("_rn", F.row_number().over(in_bucket))
         .withColumn("_break", F.col("_prev").isNotNull() & ~_continues(F.col("_prev"), F.col("_state")))
-        .withColumn("_last_break", F.max(F.when("_break", F.col("_rn"))).over(
+        .withColumn("_last_break", F.max(F.when(F.col("_break"), F.col("_rn"))).over(
             in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     )
     by_bucket = Window.partitionBy(session).orderBy("_b")
