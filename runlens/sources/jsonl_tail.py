@@ -28,11 +28,11 @@ class ByteRange(InputPartition):
     owns_first_line: bool  # False: the line that spans `start` belongs to the range before
 
 
-def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
 
 
-def _uri(location: str, path: str) -> str:
+def as_uri(location: str, path: str) -> str:
     scheme = location.split("://", 1)[0] + "://" if "://" in location else ""
     if scheme in ("", "file://"):
         return path
@@ -42,13 +42,13 @@ def _uri(location: str, path: str) -> str:
 
 def list_sizes(location: str, suffix: str) -> dict[str, int]:
     """Size of every file with the suffix at or below a location."""
-    system, root = _filesystem(location)
+    system, root = filesystem(location)
     info = system.get_file_info(root)
     if info.type == fs.FileType.File:
-        return {_uri(location, root): info.size}
+        return {as_uri(location, root): info.size}
     found = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
     return {
-        _uri(location, f.path): f.size
+        as_uri(location, f.path): f.size
         for f in found if f.type == fs.FileType.File and f.path.endswith(suffix)
     }
 
@@ -62,7 +62,7 @@ def split_ranges(path: str, start: int, end: int, split_bytes: int) -> list[Byte
 
 def _lines(part: ByteRange, whole_lines_only: bool) -> Iterator[tuple[int, bytes]]:
     """(byte offset, line) of the lines that start in the range."""
-    system, path = _filesystem(part.path)
+    system, path = filesystem(part.path)
     with system.open_input_file(path) as stream:
         at = part.start
         if part.owns_first_line:
@@ -190,7 +190,7 @@ class _StreamReader(DataSourceStreamReader):
 
 def _end_of_last_line(path: str, size: int) -> int:
     """Offset just after the last line break, found by reading backwards."""
-    system, name = _filesystem(path)
+    system, name = filesystem(path)
     with system.open_input_file(name) as stream:
         end = size
         while end > 0:

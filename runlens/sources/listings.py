@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import fixed_values as fv
 from runlens.functions.text import strip_ws
+from runlens.sources.file_listing import FileListingSource
 
 
 def parse_listing(lines: DataFrame, line: str = "line", separator: str = "|") -> DataFrame:
@@ -81,16 +82,8 @@ def split_sections(
 
 def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """(path, size, mtime) of the files in a directory; contents are never read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(root)
-        .select(
-            F.regexp_replace("path", "^file:/*", "/").alias("path"),
-            F.col("length").alias("size"),
-            F.unix_timestamp("modificationTime").alias("mtime"),
-        )
-    )
+    spark.dataSource.register(FileListingSource)
+    return spark.read.format("file_listing").option("recursive", str(recursive).lower()).load(root)
 
 
 def list_users(names: DataFrame, name: str = "name") -> DataFrame:
