@@ -11,6 +11,13 @@ TASK_ADAPTER = "weekly-report"
 BATCH_PREFIX = "weekly-batches"
 HANDOFF_VERSION = 1
 
+# --- Fixed values: whitespace (every Unicode space and separator) -----------------------------
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # --- Fixed values: event vocabulary ---------------------------------------------------------
 MAIN_ROLE = "main"
 MODEL_OUTPUT = "model_output"
@@ -100,6 +107,19 @@ FORMAT_RULES = (
     ("txt", r"(?:\.txt\b|\btxt\b|纯文本文件)"),
     ("pptx", r"(?:\.pptx\b|\bpptx\b|PowerPoint\s*(?:演示文稿|文件))"),
 )
+# Lower-case substrings of which every match of the rule above contains at least one; \u017f is
+# the long s, which matches an s when case is ignored.
+FORMAT_HINTS = {
+    "docx": ("docx", "word"),
+    "html": ("htm", "网页"),
+    "pdf": ("pdf",),
+    "xlsx": ("xl", "excel"),
+    "csv": ("csv", "c\u017fv"),
+    "md": ("md", "markdown"),
+    "txt": ("txt", "纯文本文件"),
+    "pptx": ("pptx", "power"),
+}
+EXTENSION_HINTS = ("doc", "htm", "pdf", "xl", "csv", "c\u017fv", "md", "markdown", "json", "j\u017fon", "txt", "ppt")
 EXPLICIT_EXTENSION = r"\.(docx?|html?|pdf|xlsx?|csv|md|markdown|jsonl?|txt|pptx?)\b"
 FORMAT_ALIASES = (("htm", "html"), ("markdown", "md"))
 DEFAULT_FORMATS = ("docx", "html")

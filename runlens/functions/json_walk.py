@@ -46,13 +46,15 @@ def _nodes(document) -> Iterator[tuple[str, object]]:
             stack.extend(("", v) for v in reversed(inner))
 
 
-def _strings(raw: str | None) -> list[str] | None:
+def _strings(raw: str | None, member: str | None = None) -> list[str] | None:
     if raw is None:
         return None
     try:
         document = json.loads(raw)
     except (ValueError, RecursionError):
         document = raw  # plain text is one string
+    if member and isinstance(document, dict):
+        document = document.get(member, document)
     return [v for _, v in _nodes(document) if isinstance(v, str)]
 
 
@@ -71,8 +73,8 @@ def _output_values(raw: str | None, allow_plain_path: bool) -> list[str] | None:
 
 
 @F.pandas_udf(_STRINGS)
-def _json_strings(raw: pd.Series) -> pd.Series:
-    return raw.map(_strings)
+def _json_strings(raw: pd.Series, member: pd.Series) -> pd.Series:
+    return pd.Series([_strings(r, m) for r, m in zip(raw, member)])
 
 
 @F.pandas_udf(_STRINGS)
@@ -80,9 +82,12 @@ def _json_output_values(raw: pd.Series, plain: pd.Series) -> pd.Series:
     return pd.Series([_output_values(r, bool(p)) for r, p in zip(raw, plain)])
 
 
-def json_strings(raw: Column) -> Column:
-    """All strings in a JSON document, in document order, descending into JSON kept in strings."""
-    return _json_strings(raw)
+def json_strings(raw: Column, member: Column | None = None) -> Column:
+    """All strings in a JSON document, in document order, descending into JSON kept in strings.
+
+    With a member name, only that top-level member is walked, where the document has it.
+    """
+    return _json_strings(raw, F.lit(None).cast("string") if member is None else member)
 
 
 def json_output_values(raw: Column, allow_plain_path: Column | bool = False) -> Column:

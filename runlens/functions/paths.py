@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from runlens.functions import fixed_values as fv
-from runlens.functions.text import path_suffix, strip_ws
+from runlens.functions.text import let, path_suffix, strip_ws
 
 # What may follow a path in free text: the end, whitespace, a quote, a bracket or punctuation.
 _AFTER_PATH = r"(?=$|[\s\"'<>`\]),，。；;:：])"
@@ -43,40 +42,41 @@ def has_logged_extension(path: Column) -> Column:
 
 
 def _unquote(c: Column) -> Column:
-    return F.regexp_replace(strip_ws(c), "^[`\"']+|[`\"']+$", "")
-
-
-def _rstrip_chars(c: Column, chars: str) -> Column:
-    return F.regexp_replace(c, "[" + re.escape(chars) + "]+$", "")
+    return F.btrim(strip_ws(c), F.lit("`\"'"))
 
 
 def clean_absolute(path: Column) -> Column:
     """Path as a user wrote it, without quotes, file scheme and trailing punctuation."""
-    bare = F.regexp_replace(_unquote(path), "^file://", "")
-    return _rstrip_chars(bare, fv.ABSOLUTE_TRAILING)
+    return F.rtrim(F.regexp_replace(_unquote(path), "^file://", ""), F.lit(fv.ABSOLUTE_TRAILING))
 
 
 def clean_relative(path: Column) -> Column:
     """As `clean_absolute` for relative paths: forward slashes, and its own punctuation set."""
-    return _rstrip_chars(strip_ws(F.replace(_unquote(path), F.lit("\\"), F.lit("/"))), fv.RELATIVE_TRAILING)
+    slashes = F.replace(_unquote(path), F.lit("\\"), F.lit("/"))
+    return F.rtrim(strip_ws(slashes), F.lit(fv.RELATIVE_TRAILING))
 
 
 def workspace_path(
     logged_path: Column, session_id: Column, workspace_root: str = fv.WORKSPACE_ROOT
 ) -> Column:
     """Location of a tool-relative path inside its session workspace; null when it is refused."""
-    path = clean_relative(logged_path)
-    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
-    relative = F.array_join(parts, "/")
-    usable = (
-        (F.coalesce(session_id, F.lit("")) != "")
-        & ~F.startswith(_unquote(logged_path), F.lit("file://"))
-        & ~path.rlike(r"^/|^[A-Za-z]:|://")
-        & (F.size(parts) > 0)
-        & ~F.exists(parts, lambda p: p == "..")
-        & (has_logged_extension(relative) | is_worklog_path(relative))
-    )
-    return F.when(usable, F.concat(F.lit(workspace_root.rstrip("/") + "/"), session_id, F.lit("/"), relative))
+    prefix = F.concat(F.lit(workspace_root.rstrip("/") + "/"), session_id, F.lit("/"))
+
+    def locate(path: Column, parts: Column) -> Column:
+        relative = F.array_join(parts, "/")
+        usable = (
+            (F.coalesce(session_id, F.lit("")) != "")
+            & ~F.startswith(_unquote(logged_path), F.lit("file://"))
+            & ~path.rlike(r"^/|^[A-Za-z]:|://")
+            & (F.size(parts) > 0)
+            & ~F.array_contains(parts, "..")
+            & (has_logged_extension(relative) | is_worklog_path(relative))
+        )
+        return F.when(usable, F.concat(prefix, relative))
+
+    return let(clean_relative(logged_path), lambda path: let(
+        F.filter(F.split(path, "/"), lambda p: (p != "") & (p != ".")), lambda parts: locate(path, parts)
+    ))
 
 
 def safe_relative(path: Column, root_path: Column, root_label: Column) -> Column:
@@ -84,7 +84,7 @@ def safe_relative(path: Column, root_path: Column, root_label: Column) -> Column
     below = F.when(
         F.startswith(path, F.concat(root_path, F.lit("/"))),
         F.substring(path, F.length(root_path) + 2, F.length(path)),
-    ).otherwise(F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1))
+    ).otherwise(F.substring_index(F.rtrim(path, F.lit("/")), "/", -1))
     parts = F.filter(F.split(below, "/"), lambda p: ~p.isin("", ".", ".."))
     label = F.filter(F.array(F.coalesce(root_label, F.lit(""))), lambda p: p != "")
     return F.array_join(F.concat(label, parts), "/")
@@ -120,9 +120,7 @@ def shell_output_starts(command: Column) -> Column:
     marker = "(?iU)" + fv.SHELL_OUTPUT_MARKER
     between = F.transform(F.split(command, marker, -1), F.length)
     markers = F.transform(F.regexp_extract_all(command, F.lit(marker), F.lit(0)), F.length)
-    steps = F.zip_with(
-        F.slice(between, F.lit(1), F.size(markers)), markers, lambda b, m: b + m
-    )
+    steps = let(markers, lambda m: F.zip_with(F.slice(between, F.lit(1), F.size(m)), m, lambda b, k: b + k))
     # running sum kept as an array: the last element is the position reached so far
     return F.aggregate(
         steps,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -14,13 +14,21 @@ from runlens.functions import fixed_values as fv
 _RULE_FLAGS = "(?isU)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once, however often the body mentions it.
+
+    Spark may otherwise repeat a long expression at each mention, regexes and JSON parsing included.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_ws(c: Column) -> Column:
-    """Trim all Unicode whitespace on both sides (Spark's `trim` removes spaces only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Trim all Unicode whitespace on both sides (a plain `trim` removes spaces only)."""
+    return F.btrim(c, F.lit(fv.WHITESPACE))
 
 
 def rstrip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+$", "")
+    return F.rtrim(c, F.lit(fv.WHITESPACE))
 
 
 def is_blank(c: Column) -> Column:
@@ -57,33 +65,35 @@ class ReplyRules:
 def reply_verdict(reply: Column, rules: ReplyRules = ReplyRules()) -> Column:
     """Verdict of a final reply. Failure wins, a courtesy question after completion is complete,
     an open question or a mere announcement needs confirmation, everything else is complete."""
-    text = strip_ws(F.coalesce(reply, F.lit("")))
-    return (
-        F.when(text == "", "missing-content")
+    return let(
+        strip_ws(F.coalesce(reply, F.lit(""))),
+        lambda text: F.when(text == "", "missing-content")
         .when(any_rule(text, rules.failure), "partial-or-failed")
         .when(any_rule(text, rules.completion) & any_rule(text, rules.courtesy), "complete")
         .when(any_rule(text, [*rules.confirmation, *rules.future_only]), "needs-confirmation")
-        .otherwise("complete")
+        .otherwise("complete"),
     )
 
 
 def rules_hit(text: Column, rules: ReplyRules = ReplyRules()) -> Column:
     """Array of the rules found in a text, each as struct(rule_group, rule_no)."""
-    body = strip_ws(F.coalesce(text, F.lit("")))
-    hits = [
-        F.when(
-            body.rlike(_RULE_FLAGS + pattern),
-            F.struct(F.lit(group).alias("rule_group"), F.lit(i).alias("rule_no")),
-        )
-        for group, patterns in rules.groups().items()
-        for i, pattern in enumerate(patterns, 1)
-    ]
-    return F.filter(F.array(*hits), lambda h: h.isNotNull())
+
+    def hits(body: Column) -> Column:
+        return F.array(*[
+            F.when(
+                body.rlike(_RULE_FLAGS + pattern),
+                F.struct(F.lit(group).alias("rule_group"), F.lit(i).alias("rule_no")),
+            )
+            for group, patterns in rules.groups().items()
+            for i, pattern in enumerate(patterns, 1)
+        ])
+
+    return F.filter(let(strip_ws(F.coalesce(text, F.lit(""))), hits), lambda h: h.isNotNull())
 
 
 def normalize_format(extension: Column) -> Column:
     """Lower-case, drop the leading dots, fold the two aliases; other names stay."""
-    name = F.regexp_replace(F.lower(extension), r"^\.+", "")
+    name = F.ltrim(F.lower(extension), F.lit("."))
     folded = name
     for alias, target in fv.FORMAT_ALIASES:
         folded = F.when(name == alias, target).otherwise(folded)
@@ -92,7 +102,7 @@ def normalize_format(extension: Column) -> Column:
 
 def path_suffix(path: Column) -> Column:
     """Extension with its dot, '' for none; a leading-dot name or a trailing dot has none."""
-    name = F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
+    name = F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
     return F.regexp_extract(name, r"(?s)^.+(\.[^.]+)$", 1)
 
 
@@ -103,16 +113,34 @@ def requested_formats(
     default: Sequence[str] = fv.DEFAULT_FORMATS,
 ) -> Column:
     """Sorted distinct formats a task text asks for; the default pair when it names none."""
-    body = F.coalesce(text, F.lit(""))
-    named = F.filter(
-        F.array(*[F.when(body.rlike("(?iU)" + pattern), name) for name, pattern in rules]),
-        lambda x: x.isNotNull(),
-    )
-    spelled = F.transform(
-        F.regexp_extract_all(body, F.lit("(?iU)" + explicit), F.lit(1)), normalize_format
+
+    def hinted(lowered: Column, hints: Sequence[str] | None) -> Column:
+        if hints is None:
+            return F.lit(True)
+        found = F.lit(False)
+        for hint in hints:
+            found = found | F.contains(lowered, F.lit(hint))
+        return found
+
+    def found_in(body: Column, lowered: Column) -> Column:
+        # a substring test on the lower-cased text spares most texts the regex
+        named = F.array(*[
+            F.when(hinted(lowered, fv.FORMAT_HINTS.get(name) if known else None) & body.rlike("(?iU)" + pattern), name)
+            for name, pattern in rules
+        ])
+        spelled = F.when(
+            hinted(lowered, fv.EXTENSION_HINTS if known else None),
+            F.transform(F.regexp_extract_all(body, F.lit("(?iU)" + explicit), F.lit(1)), normalize_format),
+        ).otherwise(F.array().cast("array<string>"))
+        both = F.filter(F.concat(named, spelled), lambda x: x.isNotNull())
+        return F.array_sort(F.array_distinct(both))
+
+    known = rules is fv.FORMAT_RULES and explicit is fv.EXPLICIT_EXTENSION
+    otherwise = F.array(*[F.lit(x) for x in sorted(default)])
+    found = let(
+        F.coalesce(text, F.lit("")), lambda body: let(F.lower(body), lambda lowered: found_in(body, lowered))
     )
-    found = F.array_sort(F.array_distinct(F.concat(named, spelled)))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(*[F.lit(x) for x in sorted(default)]))
+    return let(found, lambda formats: F.when(F.size(formats) > 0, formats).otherwise(otherwise))
 
 
 def target_items(value: Column) -> Column:

@@ -23,6 +23,16 @@ def order_key(cols: Cols) -> Column:
     return F.col(parts[0]) if len(parts) == 1 else F.struct(*parts)
 
 
+def exploded(df: DataFrame, columns: Sequence[str | Column], array: Column, name: str, pos: str | None = None) -> DataFrame:
+    """One row per non-null array element, with its 0-based position if `pos` is given.
+
+    The outer form keeps Spark from adding a "not empty" filter below the generator, which would
+    compute the array twice.
+    """
+    generated = F.posexplode_outer(array).alias(pos, name) if pos else F.explode_outer(array).alias(name)
+    return df.select(*columns, generated).where(F.col(name).isNotNull())
+
+
 def first_per_key(df: DataFrame, keys: Cols, order: Column | str, columns: Cols | None = None) -> DataFrame:
     """First row per key by an order, as a mergeable aggregate rather than a window."""
     keys = names(keys)

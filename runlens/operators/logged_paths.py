@@ -15,7 +15,7 @@ from runlens.functions.paths import (
     workspace_path,
 )
 from runlens.functions.text import strip_ws
-from runlens.operators.common import Cols, names, order_key
+from runlens.operators.common import Cols, exploded, names, order_key
 
 
 def _is_write_tool() -> Column:
@@ -39,22 +39,24 @@ def candidate_strings(events: DataFrame, trace: str = "trace", order: Cols = "by
     keys = [trace, *names(order), "session_id"]
 
     # each document is walked by one UDF call at most: the branches are disjoint filters
-    walked = events.where((kind == fv.MODEL_OUTPUT) | ((kind == fv.TOOL_CALL) & write)).select(
-        *keys,
-        (kind == fv.TOOL_CALL).alias("relative"),
-        F.when(kind == fv.TOOL_CALL, F.col("args")).otherwise(F.coalesce("assistant", "payload")).alias("doc"),
-    ).select(*keys, "relative", F.posexplode(json_strings(F.col("doc"))).alias("value_pos", "value"))
-
-    command = F.get_json_object("args", "$.command")
-    shell = events.where((kind == fv.TOOL_CALL) & ~write & tool.isin(*fv.SHELL_TOOLS)).select(
-        *keys, F.lit(True).alias("relative"),
-        F.posexplode(shell_output_fragments(command)).alias("value_pos", "value"),
+    call = kind == fv.TOOL_CALL
+    walked = exploded(
+        events.where((kind == fv.MODEL_OUTPUT) | (call & write)),
+        [*keys, call.alias("relative")],
+        json_strings(F.when(call, F.col("args")).otherwise(F.col("payload")), F.when(~call, F.lit("assistant"))),
+        "value", "value_pos",
     )
-    results = events.where(kind == fv.TOOL_RESULT).select(
-        *keys, F.lit(True).alias("relative"), F.col("payload").alias("doc"), write.alias("plain")
-    ).select(
-        *keys, "relative",
-        F.posexplode(json_output_values(F.col("doc"), F.col("plain"))).alias("value_pos", "value"),
+    shell = exploded(
+        events.where(call & ~write & tool.isin(*fv.SHELL_TOOLS)),
+        [*keys, F.lit(True).alias("relative")],
+        shell_output_fragments(F.get_json_object("args", "$.command")),
+        "value", "value_pos",
+    )
+    results = exploded(
+        events.where(kind == fv.TOOL_RESULT),
+        [*keys, F.lit(True).alias("relative")],
+        json_output_values(F.col("payload"), write),
+        "value", "value_pos",
     )
     return walked.unionByName(shell).unionByName(results)
 
@@ -77,8 +79,8 @@ def logged_output_paths(
         .otherwise(F.array().cast("array<struct<kind:int,pos:int,logged_path:string>>")),
     )
     session = strip_ws(F.coalesce("session_id", F.lit("")))
-    mentions = candidate_strings(events, trace, order).select(
-        trace, *names(order), "value_pos", session.alias("_session"), F.explode(found).alias("_m")
+    mentions = exploded(
+        candidate_strings(events, trace, order), [trace, *names(order), "value_pos", session.alias("_session")], found, "_m"
     ).select(trace, *names(order), "value_pos", "_session", "_m.*")
 
     path = clean_absolute(F.col("logged_path"))

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.paths import is_excluded_path, is_worklog_path
-from runlens.operators.common import first_per_key
+from runlens.functions.text import let
+from runlens.operators.common import exploded, first_per_key
 from runlens.session import bounded_broadcast
 
 
@@ -22,8 +23,9 @@ def _depth(path: Column) -> Column:
 def _ancestor(path: Column, depth: Column | int) -> Column:
     """First `depth` segments of a path; null when the path is shorter than that."""
     d = F.lit(depth) if isinstance(depth, int) else depth
-    parts = F.split(path, "/")
-    return F.when(F.size(parts) >= d, F.array_join(F.slice(parts, F.lit(1), d), "/"))
+    return let(F.split(path, "/"), lambda parts: F.when(
+        F.size(parts) >= d, F.array_join(F.slice(parts, F.lit(1), d), "/")
+    ))
 
 
 def _depths(roots: DataFrame, root: str) -> list[int]:
@@ -62,7 +64,7 @@ def longest_root(
 def _longest_root_shuffled(paths, roots, depths, path, root, label) -> DataFrame:
     """The same for root tables too large to broadcast: distinct paths meet roots in one shuffle."""
     distinct = paths.select(path).distinct()
-    ancestors = distinct.select(path, F.explode(_ancestors(F.col(path), depths)).alias(root))
+    ancestors = exploded(distinct, [path], _ancestors(F.col(path), depths), root)
     best = ancestors.join(roots, root).groupBy(path).agg(
         F.max_by(F.struct(root, label), F.length(root)).alias("_best")
     )
@@ -70,8 +72,7 @@ def _longest_root_shuffled(paths, roots, depths, path, root, label) -> DataFrame
 
 
 def _ancestors(path: Column, depths: list[int]) -> Column:
-    every = F.transform(F.array(*[F.lit(d) for d in depths]), lambda d: _ancestor(path, d))
-    return F.filter(every, lambda a: a.isNotNull())
+    return F.transform(F.array(*[F.lit(d) for d in depths]), lambda d: _ancestor(path, d))
 
 
 def files_below(listing: DataFrame, dirs: DataFrame, path: str = "path", directory: str = "dir") -> DataFrame:
@@ -81,7 +82,7 @@ def files_below(listing: DataFrame, dirs: DataFrame, path: str = "path", directo
     if not depths:
         return listing.where(F.lit(False)).withColumn(directory, F.lit(""))
     side, _ = bounded_broadcast(dirs)
-    spread = listing.withColumn(directory, F.explode(_ancestors(F.col(path), depths)))
+    spread = exploded(listing, listing.columns, _ancestors(F.col(path), depths), directory)
     return spread.where(F.col(directory) != F.col(path)).join(side, directory)
 
 

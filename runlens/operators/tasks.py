@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from runlens.functions import fixed_values as fv
 from runlens.functions.ids import id_problem, natural_key, safe_id
 from runlens.functions.text import is_blank, run_mmdd, strip_ws, target_items
-from runlens.operators.common import Cols, first_per_key, names
+from runlens.operators.common import Cols, exploded, first_per_key, names
 
 
 def normalize_targets(values: DataFrame, list_id: Cols, pos: str = "pos", value: str = "value") -> DataFrame:
     """Distinct codes of each list with the place where each first occurs, as (pos, item_pos)."""
-    items = values.select(*names(list_id), pos, F.posexplode(target_items(F.col(value))).alias("item_pos", "code"))
+    items = exploded(values, [*names(list_id), pos], target_items(F.col(value)), "code", "item_pos")
     first = F.min(F.struct(pos, "item_pos")).alias("_f")
     return items.groupBy(*names(list_id), "code").agg(first).select(
         *names(list_id), "code", f"_f.{pos}", "_f.item_pos"
@@ -40,7 +40,7 @@ def registry_report(tasks: DataFrame, adapter: str = fv.TASK_ADAPTER) -> DataFra
         F.when(unsafe.isNotNull(), F.concat(F.lit("id-"), unsafe)),
         rule(blank_task, "blank-task"),
     )
-    single = tasks.select("path", F.explode(F.filter(violations, lambda v: v.isNotNull())).alias("violation"))
+    single = exploded(tasks, ["path"], violations, "violation")
     duplicates = duplicate_ids(tasks).select("path", F.lit("duplicate-id").alias("violation"))
     return single.unionByName(duplicates)
 

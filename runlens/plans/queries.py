@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import ids, json_walk, paths, text
 from runlens.functions.text import ReplyRules
+from runlens.operators.common import exploded
 from runlens.operators import listings, logged_paths, prefixes, runs, tasks, traces
 from runlens.plans import views as v
 from runlens.sources import listings as listing_source
@@ -304,12 +305,12 @@ def path_flags(spark, sf):
 def root_paths(spark, sf):
     """Absolute paths that sentences about pages mention."""
     found = paths.absolute_paths_in(_sentence(), ["/out/desk", "/out/desk/sub"])
-    return v.page_paths(spark, sf).select("page_id", F.explode(found).alias("found"))
+    return exploded(v.page_paths(spark, sf), ["page_id"], found, "found")
 
 
 @query
 def relative_paths(spark, sf):
-    return v.page_paths(spark, sf).select("page_id", F.posexplode(paths.relative_paths_in(_sentence())).alias("pos", "found"))
+    return exploded(v.page_paths(spark, sf), ["page_id"], paths.relative_paths_in(_sentence()), "found", "pos")
 
 
 def _sentence() -> Column:
@@ -439,7 +440,7 @@ def reply_verdict_default(spark, sf):
 
 @query
 def rule_hits(spark, sf):
-    hits = v.table(spark, sf, "documents").select("lang", F.explode(text.rules_hit(F.col("text"), WORD_RULES)).alias("h"))
+    hits = exploded(v.table(spark, sf, "documents"), ["lang"], text.rules_hit(F.col("text"), WORD_RULES), "h")
     return hits.groupBy("lang", "h.rule_group", F.col("h.rule_no").cast("bigint").alias("rule_no")).agg(
         F.count(F.lit(1)).alias("n_docs"))
 
@@ -490,8 +491,8 @@ def _command() -> Column:
 
 @query
 def shell_fragments(spark, sf):
-    found = F.posexplode(paths.shell_output_fragments(_command())).alias("pos", "fragment")
-    return v.table(spark, sf, "events").select("event_id", found).select(
+    found = paths.shell_output_fragments(_command())
+    return exploded(v.table(spark, sf, "events"), ["event_id"], found, "fragment", "pos").select(
         "event_id", F.col("pos").cast("bigint").alias("pos"), "fragment")
 
 
@@ -547,7 +548,7 @@ def missing_formats(spark, sf):
 
 @query
 def missing_format_rows(spark, sf):
-    required = _requested(spark, sf).select("case_id", F.explode("required").alias("format"))
+    required = exploded(_requested(spark, sf), ["case_id"], F.col("required"), "format")
     pulled = v.artifacts(spark, sf).where(F.col("status") == "pulled")
     present = pulled.select("case_id", text.normalize_format(text.path_suffix(F.col("path"))).alias("format"))
     return runs.missing_format_rows(required, present).groupBy("format").agg(F.count(F.lit(1)).alias("n_cases"))

@@ -12,14 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions import fixed_values as fv
-from runlens.functions.text import strip_ws
+from runlens.functions.text import let, strip_ws
 from runlens.sources.jsonl_tail import JsonlTailSource
 
 _ENVELOPE = (
     "array<struct<event STRING, agent_role STRING, session_id VARIANT, timestamp STRING, payload STRING>>"
 )
-_PAYLOAD = "assistant STRING, tool_name STRING, args STRING"
-_ASSISTANT = "stop_reason STRING, content STRING"
+_PAYLOAD = "assistant STRUCT<stop_reason STRING, content STRING>, tool_name STRING, args STRING"
 _STRICT = {"allowSingleQuotes": "false"}
 
 
@@ -61,40 +60,44 @@ def envelope(line: Column) -> Column:
     Wrapped in brackets, trailing garbage and several objects on one line fail to parse as a
     one-element array, which the plain parser would accept.
     """
-    text = strip_ws(line)
-    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), _ENVELOPE, _STRICT)
-    single = (F.size(wrapped) == 1) & F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
-    return F.when(single, F.get(wrapped, F.lit(0)))
+    def parse(text: Column) -> Column:
+        wrapped = F.when(
+            F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")),
+            F.from_json(F.concat(F.lit("["), text, F.lit("]")), _ENVELOPE, _STRICT),
+        )
+        return let(wrapped, lambda w: F.when(F.size(w) == 1, F.get(w, F.lit(0))))
+
+    return let(strip_ws(line), parse)
 
 
 def parse_events(lines: DataFrame, line: str = "line", keep_malformed: bool = False) -> DataFrame:
-    """Event columns for every line; malformed lines are dropped, or kept with `malformed`."""
+    """Event columns for every line; malformed lines are dropped, or kept with `malformed`.
+
+    Lines are parsed inside a generator, so filters on the result stay above the parsing and do
+    not repeat it.
+    """
     keys = [c for c in lines.columns if c != line]
-    parsed = lines.select(*keys, envelope(F.col(line)).alias("_e"))
-    if not keep_malformed:
-        parsed = parsed.where(F.col("_e").isNotNull())
-    parsed = parsed.select(
-        *keys,
-        F.col("_e").isNull().alias("malformed"),
-        "_e.event",
-        "_e.agent_role",
-        F.expr("try_variant_get(_e.session_id, '$', 'string')").alias("session_id"),
-        F.coalesce(F.expr("schema_of_variant(_e.session_id) = 'STRING'"), F.lit(False)).alias("session_is_text"),
-        "_e.timestamp",
-        "_e.payload",
-        _object(F.col("_e.payload"), _PAYLOAD).alias("_p"),
-    )
-    parsed = parsed.withColumn("_a", _object(F.col("_p.assistant"), _ASSISTANT)).select(
-        *keys,
-        *(["malformed"] if keep_malformed else []),
-        "event", "agent_role", "session_id", "session_is_text", "timestamp", "payload",
-        F.col("_a.stop_reason").alias("stop_reason"),
-        F.col("_a.content").alias("content"),
-        F.col("_p.assistant").alias("assistant"),
-        F.col("_p.tool_name").alias("tool_name"),
-        F.col("_p.args").alias("args"),
-    )
-    return parsed
+
+    def fields(e: Column) -> Column:
+        payload = e["payload"]
+        detail = F.from_json(F.when(F.startswith(payload, F.lit("{")), payload), _PAYLOAD, _STRICT)
+        return let(detail, lambda d: F.struct(
+            e.isNull().alias("malformed"),
+            e["event"].alias("event"),
+            e["agent_role"].alias("agent_role"),
+            F.try_variant_get(e["session_id"], "$", "string").alias("session_id"),
+            F.coalesce(F.schema_of_variant(e["session_id"]) == "STRING", F.lit(False)).alias("session_is_text"),
+            e["timestamp"].alias("timestamp"),
+            payload.alias("payload"),
+            d["assistant"]["stop_reason"].alias("stop_reason"),
+            d["assistant"]["content"].alias("content"),
+            d["tool_name"].alias("tool_name"),
+            d["args"].alias("args"),
+        ))
+
+    parsed = lines.select(*keys, F.explode_outer(F.array(let(envelope(F.col(line)), fields))).alias("_e"))
+    events = parsed.select(*keys, "_e.*")
+    return events if keep_malformed else events.where(~F.col("malformed")).drop("malformed")
 
 
 def terminal_candidates(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -115,7 +118,3 @@ def reply_text(content: Column) -> Column:
         F.transform(texts, lambda i: F.coalesce(F.try_variant_get(i, "$.text", "string"), F.lit(""))), ""
     )
     return F.when(F.size(texts) > 0, joined)
-
-
-def _object(raw: Column, schema: str) -> Column:
-    return F.from_json(F.when(F.startswith(raw, F.lit("{")), raw), schema, _STRICT)
