@@ -33,6 +33,22 @@ def exploded(df: DataFrame, columns: Sequence[str | Column], array: Column, name
     return df.select(*columns, generated).where(F.col(name).isNotNull())
 
 
+def join_spread(
+    big: DataFrame, small: DataFrame, keys: Cols, by: Cols | None = None, how: str = "inner", salts: int = 16
+) -> DataFrame:
+    """Join with a side that has one row per key, when a key of the big side may be huge.
+
+    The small side is repeated once per salt and each big row picks a salt by a hash of its own
+    columns, so a hot key is shared by `salts` tasks. The result is that of the plain join, and it is
+    not partitioned by the key alone, so an aggregate that follows combines before it shuffles.
+    """
+    keys = names(keys)
+    own = names(by) if by else [c for c in big.columns if c not in keys] or keys
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def first_per_key(df: DataFrame, keys: Cols, order: Column | str, columns: Cols | None = None) -> DataFrame:
     """First row per key by an order, as a mergeable aggregate rather than a window."""
     keys = names(keys)
@@ -51,11 +67,14 @@ def collect_parts(
     parts as it needs, so that no task ever holds all of a hot key. Nothing is dropped.
     """
     keys = names(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
-        *keys, F.greatest(F.lit(1), F.ceil(F.col("_n") / part_size)).cast("int").alias("n_parts")
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_size).select(
+        *keys, F.ceil(F.col("_n") / part_size).cast("int").alias("_parts")
     )
-    spread = df.join(sizes, keys).withColumn(
-        "part", F.pmod(F.xxhash64(*[c for c in df.columns]), F.col("n_parts")).cast("int")
+    # large keys are few: a key is one only if it has more than `part_size` records
+    spread = (
+        join_spread(df, large, keys, how="left")
+        .withColumn("n_parts", F.coalesce("_parts", F.lit(1)))
+        .withColumn("part", F.pmod(F.xxhash64(*df.columns), F.col("n_parts")).cast("int"))
     )
     arrays = [
         F.array_sort(F.collect_list(F.when(condition, record))).alias(name)

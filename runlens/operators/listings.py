@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import fixed_values as fv
 from runlens.functions.text import normalize_format, path_suffix
-from runlens.operators.common import Cols, names
+from runlens.operators.common import Cols, join_spread, names
 
 
 def snapshot_diff(current: DataFrame, before: DataFrame, path: str = "path") -> DataFrame:
@@ -91,7 +91,10 @@ def stability_runs(
     bucket totals (one row per bucket) carry a run across bucket borders, so even a session with a
     third of all polls is spread over many tasks.
     """
-    rows = polls.withColumn("_b", F.floor(F.col(poll) / bucket_polls).cast("bigint"))
+    # the same filter for both uses of `rows` below lets Spark shuffle them once
+    rows = polls.withColumn("_b", F.floor(F.col(poll) / bucket_polls).cast("bigint")).where(
+        F.col(session).isNotNull() & F.col("_b").isNotNull()
+    )
     in_bucket = Window.partitionBy(session, "_b").orderBy(poll)
     state = F.struct(F.col(signature).alias("s"), F.coalesce(F.col(present), F.lit(False)).alias("p"))
     rows = (
@@ -184,8 +187,8 @@ def session_artifacts(
     reports = (
         tagged.where(F.col("source") == "report")
         .withColumn(session, F.get(F.split(below, "/"), F.lit(0)))
-        .join(wanted, [owner, session], "left_semi")
     )
+    reports = join_spread(reports, wanted, [owner, session], by=path, how="left_semi")
     shared = tagged.where(F.col("source") != "report").withColumn(session, F.lit(None).cast("string"))
     rows = reports.unionByName(shared)
 

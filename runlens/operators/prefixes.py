@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.paths import is_excluded_path, is_worklog_path
 from runlens.functions.text import let
-from runlens.operators.common import exploded, first_per_key
+from runlens.operators.common import exploded, first_per_key, join_spread
 from runlens.session import bounded_broadcast
 
 
@@ -65,10 +65,10 @@ def _longest_root_shuffled(paths, roots, depths, path, root, label) -> DataFrame
     """The same for root tables too large to broadcast: distinct paths meet roots in one shuffle."""
     distinct = paths.select(path).distinct()
     ancestors = exploded(distinct, [path], _ancestors(F.col(path), depths), root)
-    best = ancestors.join(roots, root).groupBy(path).agg(
+    best = join_spread(ancestors, roots, root, by=path).groupBy(path).agg(
         F.max_by(F.struct(root, label), F.length(root)).alias("_best")
     )
-    return paths.join(best, path).select(*paths.columns, f"_best.{root}", f"_best.{label}")
+    return join_spread(paths, best, path).select(*paths.columns, f"_best.{root}", f"_best.{label}")
 
 
 def _ancestors(path: Column, depths: list[int]) -> Column:
@@ -81,9 +81,10 @@ def files_below(listing: DataFrame, dirs: DataFrame, path: str = "path", directo
     depths = _depths(dirs, directory)
     if not depths:
         return listing.where(F.lit(False)).withColumn(directory, F.lit(""))
-    side, _ = bounded_broadcast(dirs)
+    side, small = bounded_broadcast(dirs)
     spread = exploded(listing, listing.columns, _ancestors(F.col(path), depths), directory)
-    return spread.where(F.col(directory) != F.col(path)).join(side, directory)
+    spread = spread.where(F.col(directory) != F.col(path))
+    return spread.join(side, directory) if small else join_spread(spread, dirs, directory, by=path)
 
 
 def resolve_paths(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runlens.functions import fixed_values as fv
 from runlens.functions.paths import safe_relative
 from runlens.functions.text import normalize_format, path_suffix, requested_formats
-from runlens.operators.common import Cols, collect_parts, names, order_key
+from runlens.operators.common import Cols, collect_parts, join_spread, names, order_key
 
 
 # --- deliverables -------------------------------------------------------------------------------
@@ -155,7 +155,7 @@ def attempts(ledger: DataFrame, case: str = "case_id", order: Cols = "attempt")
 def current_attempts(ledger: DataFrame, case: str = "case_id", attempt: str = "attempt") -> DataFrame:
     """Ledger rows of the latest attempt of each case; earlier attempts are history."""
     latest = ledger.groupBy(case).agg(F.max(attempt).alias(attempt))
-    return ledger.join(latest, [case, attempt], "left_semi")
+    return join_spread(ledger, latest, [case, attempt], how="left_semi")
 
 
 def task_status(tasks: DataFrame, ledger: DataFrame, case: str = "case_id", attempt: str = "attempt") -> DataFrame:
@@ -187,7 +187,7 @@ def stop_on_error(
     position = order_key(order)
     place = order_key(group_order) if group_order else F.col(group)
     first = results.where(F.col(failed)).groupBy(group).agg(F.min(position).alias("_first_failed"))
-    reached = results.join(first, group, "left").withColumn(
+    reached = join_spread(results, first, group, by=order, how="left").withColumn(
         "_in_group", F.col("_first_failed").isNull() | (position <= F.col("_first_failed"))
     )
     # one value for the whole batch: the earliest group that has a failure

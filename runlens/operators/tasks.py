@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runlens.functions import fixed_values as fv
 from runlens.functions.ids import id_problem, natural_key, safe_id
 from runlens.functions.text import is_blank, run_mmdd, strip_ws, target_items
-from runlens.operators.common import Cols, exploded, first_per_key, names
+from runlens.operators.common import Cols, exploded, first_per_key, join_spread, names
 
 
 def normalize_targets(values: DataFrame, list_id: Cols, pos: str = "pos", value: str = "value") -> DataFrame:
@@ -49,7 +49,7 @@ def duplicate_ids(tasks: DataFrame, task_id: str = "absolute_id") -> DataFrame:
     """Rows that share their id, compared without case, with another row."""
     keyed = tasks.withColumn("_k", F.lower(safe_id(F.col(task_id))))
     repeated = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_k")
-    return keyed.join(repeated, "_k", "left_semi").drop("_k")
+    return join_spread(keyed, repeated, "_k", how="left_semi").drop("_k")
 
 
 def valid_tasks(tasks: DataFrame, adapter: str = fv.TASK_ADAPTER) -> DataFrame:
@@ -73,7 +73,7 @@ def tasks_by_person(tasks: DataFrame, task_id: str = "task_id", person: str = "p
         F.min_by(task_id, "sort_key").alias("first_task_id"),
         F.count(F.lit(1)).alias("n_tasks"),
     )
-    return keyed.join(people, person).orderBy("person_key", person, "sort_key")
+    return join_spread(keyed, people, person, by=task_id).orderBy("person_key", person, "sort_key")
 
 
 def targets_dim(spark: SparkSession) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import fixed_values as fv
 from runlens.functions.text import strip_ws
-from runlens.operators.common import Cols, names, order_key
+from runlens.operators.common import Cols, join_spread, names, order_key
 from runlens.sources.traces import reply_text
 
 
@@ -59,6 +59,10 @@ def main_session(
     events: DataFrame, trace: str = "trace", order: Cols = "byte_offset", is_text: str | None = None
 ) -> DataFrame:
     """First non-blank session id of the main agent, else the first of any agent."""
+    return events.groupBy(trace).agg(_main_session(order, is_text).alias("session_id"))
+
+
+def _main_session(order: Cols, is_text: str | None) -> Column:
     session = strip_ws(F.col("session_id"))
     usable = F.coalesce(session != "", F.lit(False))
     if is_text:
@@ -67,7 +71,25 @@ def main_session(
         F.when(F.coalesce(F.col("agent_role") == fv.MAIN_ROLE, F.lit(False)), 0).otherwise(1).alias("r"),
         order_key(order).alias("o"),
     )
-    return events.groupBy(trace).agg(F.min_by(session, F.when(usable, rank)).alias("session_id"))
+    return F.min_by(session, F.when(usable, rank))
+
+
+def trace_summary(
+    events: DataFrame, timeout_seconds: int = fv.TASK_TIMEOUT_SECONDS, trace: str = "trace",
+    order: Cols = "byte_offset", ts: str = "ts",
+) -> DataFrame:
+    """Outcome with timeout, latest terminal reason and main session in one pass and one shuffle."""
+    terminal = F.when(is_terminal(), order_key(order))
+    answers = events.groupBy(trace).agg(
+        *_timeout_aggregates(terminal, ts),
+        F.max_by(_reason_code(), terminal).alias("_latest"),
+        _main_session(order, None).alias("session_id"),
+    )
+    outcome, ended = _timeout_answer(timeout_seconds)
+    return answers.select(
+        trace, "started", ended.alias("ended"), outcome.alias("outcome"),
+        _reason_name(F.col("_latest")).alias("latest_reason"), "session_id",
+    )
 
 
 def last_n_per_trace(
@@ -131,7 +153,7 @@ def since_baseline(
 ) -> DataFrame:
     """Events at or after the baseline offset of their trace; traces not in the baseline are new."""
     return (
-        events.join(baseline.select(trace, base), trace, "left")
+        join_spread(events, baseline.select(trace, base), trace, by=offset, how="left")
         .where(F.col(offset) >= F.coalesce(F.col(base), F.lit(0)))
         .drop(base)
     )
@@ -146,16 +168,22 @@ def outcome_with_timeout(
     The clock starts at the trace's first event. `ts` may have or lack a time zone.
     """
     terminal = F.when(is_terminal(), order_key(order))
-    limit = F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS")
-    answers = events.groupBy(trace).agg(
+    outcome, ended = _timeout_answer(timeout_seconds)
+    return events.groupBy(trace).agg(*_timeout_aggregates(terminal, ts)).select(
+        trace, "started", outcome.alias("outcome"), ended.alias("ended")
+    )
+
+
+def _timeout_aggregates(terminal: Column, ts: str) -> list[Column]:
+    return [
         F.min(ts).alias("started"),
         F.min_by(_reason_code(), terminal).alias("_code"),
         F.min_by(F.col(ts), terminal).alias("_at"),
-    )
+    ]
+
+
+def _timeout_answer(timeout_seconds: int) -> tuple[Column, Column]:
+    limit = F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS")
     in_time = F.coalesce(F.col("_at") < F.col("started") + limit, F.lit(False))
-    return answers.select(
-        trace,
-        "started",
-        F.when(in_time, _reason_name(F.col("_code"))).otherwise("timeout").alias("outcome"),
-        F.when(in_time, F.col("_at")).otherwise(F.col("started") + limit).alias("ended"),
-    )
+    outcome = F.when(in_time, _reason_name(F.col("_code"))).otherwise("timeout")
+    return outcome, F.when(in_time, F.col("_at")).otherwise(F.col("started") + limit)

@@ -132,6 +132,14 @@ oracle("trace_outcome_timeout", """SELECT trace, CASE WHEN ended_at < started +
     SELECT trace, min(ts) AS started, arg_min(reason, n) FILTER (role = 'main' AND reason <> 'tool_use') AS reason,
     arg_min(ts, n) FILTER (role = 'main' AND reason <> 'tool_use') AS ended_at FROM tr GROUP BY trace)""", "tr")
 
+oracle("trace_summary", """SELECT trace, CASE WHEN ended_at < started + INTERVAL 1 DAY THEN first_reason ELSE 'timeout' END AS outcome,
+    latest_reason, session_id FROM (
+    SELECT trace, min(ts) AS started, arg_min(reason, n) FILTER (role = 'main' AND reason <> 'tool_use') AS first_reason,
+    arg_max(reason, n) FILTER (role = 'main' AND reason <> 'tool_use') AS latest_reason,
+    arg_min(ts, n) FILTER (role = 'main' AND reason <> 'tool_use') AS ended_at,
+    coalesce(arg_min(session, n) FILTER (role = 'main' AND session IS NOT NULL), arg_min(session, n) FILTER (session IS NOT NULL)) AS session_id
+    FROM tr GROUP BY trace)""", "tr")
+
 # --- listings -------------------------------------------------------------------------------------
 
 oracle("listing_parse", "SELECT '/logs/u' || user_id || '/a|b' || event_id || ext AS path, size, mtime FROM lst", "lst")

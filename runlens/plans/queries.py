@@ -107,6 +107,12 @@ def trace_outcome_timeout(spark, sf):
     return answers.select("trace", "outcome", us("started"), us("ended"))
 
 
+@query
+def trace_summary(spark, sf):
+    return traces.trace_summary(v.trace_events(spark, sf), timeout_seconds=86400).select(
+        "trace", "outcome", "latest_reason", "session_id")
+
+
 # --- listings -------------------------------------------------------------------------------------
 
 @query
@@ -589,11 +595,11 @@ def run_results(spark, sf) -> DataFrame:
     """All traces to result records: a case per customer, its trace the events of user `case`, its
     reply the conversation of that number, its files the line items of that order."""
     events = v.trace_events(spark, sf)
-    ends = traces.outcome_with_timeout(events, timeout_seconds=86400).select(F.col("trace").alias("case_id"), "outcome")
-    sessions = traces.main_session(events).select(F.col("trace").alias("case_id"), "session_id")
+    ends = traces.trace_summary(events, timeout_seconds=86400).select(
+        F.col("trace").alias("case_id"), "outcome", "session_id")
     replies = traces.last_reply(trace_source.parse_events(v.reply_lines(spark, sf))).select(
         F.col("trace").alias("case_id"), "reply")
-    answers = ends.join(sessions, "case_id").join(replies, "case_id", "left")
+    answers = ends.join(replies, "case_id", "left")
     work = v.tasks(spark, sf).select(F.col("task_no").alias("case_id"), "person", "task")
     return runs.run_results(work, answers, v.artifacts(spark, sf), text.reply_verdict(F.col("reply"), WORD_RULES))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions import fixed_values as fv
-from runlens.functions.text import strip_ws
+from runlens.functions.text import let, strip_ws
+from runlens.operators.common import exploded, join_spread
 from runlens.sources.file_listing import FileListingSource
 
 
@@ -17,16 +18,18 @@ def parse_listing(lines: DataFrame, line: str = "line", separator: str = "|") ->
     """
     keys = [c for c in lines.columns if c != line]
     fields = F.split(strip_ws(F.col(line)), r"\|" if separator == "|" else separator, 3)
-    return (
-        lines.select(*keys, fields.alias("_f"))
-        .where(F.size("_f") == 3)
-        .select(*keys, F.get("_f", F.lit(2)).alias("path"), _whole_number(1).alias("size"), _whole_number(0).alias("mtime"))
-        .where(F.col("size").isNotNull() & F.col("mtime").isNotNull())
-    )
+
+    def record(f: Column) -> Column:
+        parsed = F.struct(
+            F.get(f, F.lit(2)).alias("path"), _whole_number(f, 1).alias("size"), _whole_number(f, 0).alias("mtime")
+        )
+        return F.when(F.size(f) == 3, let(parsed, lambda r: F.when(r["size"].isNotNull() & r["mtime"].isNotNull(), r)))
+
+    return exploded(lines, keys, F.array(let(fields, record)), "_r").select(*keys, "_r.*")
 
 
-def _whole_number(i: int):
-    text = strip_ws(F.get("_f", F.lit(i)))
+def _whole_number(fields: Column, i: int) -> Column:
+    text = strip_ws(F.get(fields, F.lit(i)))
     return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
 
 
@@ -40,7 +43,8 @@ def parse_log_listing(
     text = strip_ws(F.col(line))
     ends = lines.where(text == fv.END_MARKER).groupBy(block).agg(F.min(line_no).alias("_end"))
     rows = parse_listing(
-        lines.join(ends, block).where(F.col(line_no) < F.col("_end")).drop("_end", line_no), line, " "
+        join_spread(lines, ends, block, by=line_no).where(F.col(line_no) < F.col("_end")).drop("_end", line_no),
+        line, " ",
     )
     name = F.element_at(F.split("path", "/"), -1)
     return rows.withColumn("name", name).where(F.endswith("name", F.lit(fv.TRACE_SUFFIX)))
@@ -71,7 +75,7 @@ def split_sections(
         .when((no > F.col("_s")) & (F.col("_e").isNull() | (no < F.col("_e"))), "summary")
     )
     sectioned = (
-        lines.join(marks.where("_ok"), payload)
+        join_spread(lines, marks.where("_ok"), payload, by=line_no)
         .withColumn("section", section)
         .where(F.col("section").isNotNull())
         .drop("_w", "_s", "_e", "_ok")

@@ -44,6 +44,9 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         if rows.empty:
             continue
+        # an event without a time of its own counts at the latest time known beside it
+        at = rows["ts"].fillna(rows.groupby("trace")["ts"].transform("max")).fillna(rows["ts"].max())
+        rows = rows.assign(ts=at.fillna(pd.Timestamp.now()))
         times = rows.groupby("trace", sort=False)["ts"]
         started, latest = times.min(), times.max()
         ends = rows[rows["reason"].notna()].sort_values("byte_offset", kind="stable")
@@ -114,7 +117,7 @@ def detect_terminal(
 
     The watermark only moves the event-time timers that report timeouts.
     """
-    slim = events.where(F.col("ts").isNotNull()).select(
+    slim = events.select(
         "trace", "byte_offset", "ts", F.when(is_terminal(), F.col("stop_reason")).alias("reason")
     )
     combined = slim.mapInPandas(
