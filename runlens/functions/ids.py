@@ -27,7 +27,8 @@ def id_problem(raw: Column, json_type: Column | None = None) -> Column:
     text = safe_id(raw)
     checks = F.when(raw.isNull(), "wrong-type")
     if json_type is not None:
-        checks = checks.when(~json_type.isin("STRING", "BIGINT"), "wrong-type")
+        # integers beyond 64 bits are decimals without a fraction
+        checks = checks.when(~json_type.rlike(r"^(STRING|BIGINT|DECIMAL\(\d+,0\))$"), "wrong-type")
     return (
         checks.when(text == "", "blank")
         .when(F.contains(text, F.lit("..")), "parent-reference")

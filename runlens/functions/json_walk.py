@@ -46,15 +46,16 @@ def _nodes(document) -> Iterator[tuple[str, object]]:
             stack.extend(("", v) for v in reversed(inner))
 
 
-def _strings(raw: str | None, member: str | None = None) -> list[str] | None:
+def _strings(raw: str | None, member: str | None = None, or_whole: bool = False) -> list[str] | None:
     if raw is None:
         return None
     try:
         document = json.loads(raw)
     except (ValueError, RecursionError):
         document = raw  # plain text is one string
-    if member and isinstance(document, dict):
-        document = document.get(member, document)
+    if member:
+        rest = document if or_whole else None
+        document = document.get(member, rest) if isinstance(document, dict) else rest
     return [v for _, v in _nodes(document) if isinstance(v, str)]
 
 
@@ -73,8 +74,8 @@ def _output_values(raw: str | None, allow_plain_path: bool) -> list[str] | None:
 
 
 @F.pandas_udf(_STRINGS)
-def _json_strings(raw: pd.Series, member: pd.Series) -> pd.Series:
-    return pd.Series([_strings(r, m) for r, m in zip(raw, member)])
+def _json_strings(raw: pd.Series, member: pd.Series, or_whole: pd.Series) -> pd.Series:
+    return pd.Series([_strings(r, m, bool(w)) for r, m, w in zip(raw, member, or_whole)])
 
 
 @F.pandas_udf(_STRINGS)
@@ -82,12 +83,14 @@ def _json_output_values(raw: pd.Series, plain: pd.Series) -> pd.Series:
     return pd.Series([_output_values(r, bool(p)) for r, p in zip(raw, plain)])
 
 
-def json_strings(raw: Column, member: Column | None = None) -> Column:
+def json_strings(raw: Column, member: Column | None = None, or_whole: Column | None = None) -> Column:
     """All strings in a JSON document, in document order, descending into JSON kept in strings.
 
-    With a member name, only that top-level member is walked, where the document has it.
+    With a member name only that top-level member is walked; where it is missing, nothing, or the
+    whole document if `or_whole` says so.
     """
-    return _json_strings(raw, F.lit(None).cast("string") if member is None else member)
+    member = F.lit(None).cast("string") if member is None else member
+    return _json_strings(raw, member, F.lit(False) if or_whole is None else or_whole)
 
 
 def json_output_values(raw: Column, allow_plain_path: Column | bool = False) -> Column:

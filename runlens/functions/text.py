@@ -171,6 +171,12 @@ def prompt_text(content: Column) -> Column:
     return F.regexp_replace(content.cast("string"), "^\ufeff", "")
 
 
+def iso_timestamp(text: Column) -> Column:
+    """Instant of an ISO-8601 date or date-time, `Z` allowed; null for anything else."""
+    dated = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text)
+    return dated.try_cast("timestamp")
+
+
 def run_mmdd(run_date: Column) -> Column:
     """MMDD of a YYYYMMDD run date; null when it is not a date."""
     digits = F.when(run_date.rlike(r"^[0-9]{8}$"), run_date)

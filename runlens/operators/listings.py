@@ -72,11 +72,44 @@ def listing_signature(listing: DataFrame, keys: Cols, fields: Cols = ("path", "s
     Sums of two 60-bit halves of each row's MD5 do not depend on row order, so the aggregate needs
     no sorting and no collected list; the row count is part of the fingerprint.
     """
+    return listing.groupBy(*names(keys)).agg(*signature_aggregates(fields))
+
+
+def signature_aggregates(fields: Cols) -> list[Column]:
     row = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in names(fields)]).cast("binary"))
     half = lambda at: F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(20,0)")
-    return listing.groupBy(*names(keys)).agg(
-        F.count(F.lit(1)).alias("n_files"),
-        F.concat_ws("-", F.sum(half(1)).cast("string"), F.sum(half(16)).cast("string")).alias("signature"),
+    sums = F.concat_ws("-", F.sum(half(1)).cast("string"), F.sum(half(16)).cast("string"))
+    return [F.count(F.lit(1)).alias("n_files"), sums.alias("signature")]
+
+
+def poll_states(
+    polls: DataFrame, files: DataFrame, required: DataFrame | None = None, require_worklog: bool = False,
+    session: str = "session_id", poll: str = "poll_no",
+) -> DataFrame:
+    """Per poll: fingerprint of all listed files, and whether the required ones are there.
+
+    `files` has session, poll, source, path, size, mtime; `required` a format array per session.
+    Without required formats any report will do. Polls that listed nothing are kept.
+    """
+    keys = [session, poll]
+    is_report = F.col("source") == "report"
+    seen = files.groupBy(*keys).agg(
+        *signature_aggregates(("source", "path", "size", "mtime")),
+        F.collect_set(F.when(is_report, normalize_format(path_suffix(F.col("path"))))).alias("_formats"),
+        F.coalesce(F.bool_or(F.col("source") == "worklog"), F.lit(False)).alias("_worklog"),
+    )
+    state = polls.select(*keys).distinct().join(seen, keys, "left")
+    if required is None:
+        state = state.withColumn("_required", F.array().cast("array<string>"))
+    else:
+        state = join_spread(state, required.select(session, F.col("required").alias("_required")), session, by=poll, how="left")
+    formats = F.coalesce("_formats", F.array().cast("array<string>"))
+    wanted = F.coalesce("_required", F.array().cast("array<string>"))
+    enough = F.when(F.size(wanted) > 0, F.size(F.array_except(wanted, formats)) == 0).otherwise(F.size(formats) > 0)
+    worklog = F.coalesce("_worklog", F.lit(False)) if require_worklog else F.lit(True)
+    return state.select(
+        *keys, F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("signature", F.lit("")).alias("signature"),
+        (enough & worklog).alias("present"),
     )
 
 

@@ -43,7 +43,7 @@ def candidate_strings(events: DataFrame, trace: str = "trace", order: Cols = "by
     walked = exploded(
         events.where((kind == fv.MODEL_OUTPUT) | (call & write)),
         [*keys, call.alias("relative")],
-        json_strings(F.when(call, F.col("args")).otherwise(F.col("payload")), F.when(~call, F.lit("assistant"))),
+        json_strings(F.col("payload"), F.when(call, "args").otherwise("assistant"), ~call),
         "value", "value_pos",
     )
     shell = exploded(

@@ -247,7 +247,7 @@ def meta_merge(
 
 
 def manifest(artifacts: DataFrame, case: str = "case_id", part_size: int = 1000) -> DataFrame:
-    """Artifact manifest documents: outputs, worklogs and summaries of each case as sorted arrays.
+    """Artifact records of each case as sorted arrays: outputs, worklogs and summaries.
 
     A case with more than `part_size` records is written as several parts (`part`, `n_parts`).
     """
@@ -259,9 +259,53 @@ def manifest(artifacts: DataFrame, case: str = "case_id", part_size: int = 1000)
     return collect_parts(artifacts, case, arrays, part_size)
 
 
+def manifest_documents(
+    cases: DataFrame, artifacts: DataFrame, workspace_root: str = fv.WORKSPACE_ROOT, part_size: int = 1000
+) -> DataFrame:
+    """Manifest documents with their header; `cases`: case_id, task_id, session_id, pulled_at.
+
+    A case without artifacts has a document with empty arrays.
+    """
+    root = workspace_root.rstrip("/") + "/"
+    records = manifest(artifacts, "case_id", part_size)
+    empty = lambda c: F.coalesce(c, F.array()).alias(c)
+    return cases.join(records, "case_id", "left").select(
+        "task_id", "case_id", "pulled_at", "session_id",
+        F.struct(
+            F.concat(F.lit(root), "session_id").alias("session_root"),
+            F.lit(root + fv.WORKLOG_RELATIVE_ROOT).alias("worklog_root"),
+            F.lit(root + fv.SUMMARY_RELATIVE_ROOT).alias("summary_root"),
+        ).alias("workspace"),
+        F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("n_parts", F.lit(1)).alias("n_parts"),
+        empty("outputs"), empty("worklogs"), empty("summaries"),
+    )
+
+
+def folder_manifest(
+    pulled: DataFrame, roots: dict[str, str], case: str = "case_id", part_size: int = 1000
+) -> DataFrame:
+    """Manifest of files pulled from fixed root folders: one list, each file under its folder's name.
+
+    `roots`: folder name -> remote path, a configuration value. Files elsewhere are left out.
+    """
+    folder = F.lit(None).cast("string")
+    for name, root in roots.items():
+        folder = F.when(F.regexp_replace("remote_path", "/[^/]*$", "") == root.rstrip("/"), name).otherwise(folder)
+    placed = pulled.withColumn("_folder", folder).where(F.col("_folder").isNotNull()).withColumn(
+        "local_path", F.when(F.col("status") == "pulled", F.concat(
+            F.lit("outputs/"), "_folder", F.lit("/"), F.substring_index("remote_path", "/", -1)))
+    ).drop("_folder")
+    record = F.struct(*[c for c in placed.columns if c != case])
+    documents = collect_parts(placed, case, {"files": (record, F.lit(True))}, part_size)
+    return documents.withColumn("remote_roots", F.array(*[F.lit(r) for r in roots.values()]))
+
+
+HANDOFF_ROOTS = ("metadata", "deliverables", "logs", "taskArtifacts")
+
+
 def handoff(
-    batches: DataFrame, entries: DataFrame, run: str = "run_id", part_size: int = 1000,
-    adapter: str = fv.TASK_ADAPTER,
+    batches: DataFrame, entries: DataFrame, run: str = "run_id", roots: dict[str, str] | None = None,
+    part_size: int = 1000, adapter: str = fv.TASK_ADAPTER,
 ) -> DataFrame:
     """Batch hand-off documents: header fields and the task entries, in parts for huge batches.
 
@@ -282,15 +326,18 @@ def handoff(
     )
     parts = collect_parts(entries, run, {"tasks": (entry, F.lit(True))}, part_size)
     header = batch_ready(batches, entries, run)
+    places = [F.lit((roots or {}).get(r)).cast("string").alias(r) for r in HANDOFF_ROOTS]
     return header.join(parts, run, "left").select(
         F.lit(fv.HANDOFF_VERSION).alias("version"),
         F.lit(adapter).alias("adapter"),
         F.col(run).alias("runId"),
         F.col("runner_finished").alias("runnerFinished"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("writtenAt"),
+        F.struct(*places).alias("roots"),
         F.coalesce("part", F.lit(0)).alias("part"),
         F.coalesce("n_parts", F.lit(1)).alias("nParts"),
         F.coalesce(F.transform("tasks", lambda t: t["taskId"]), F.array().cast("array<string>")).alias("taskIds"),
-        "tasks",
+        F.coalesce("tasks", F.array()).alias("tasks"),
     )
 
 

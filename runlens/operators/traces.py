@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions import fixed_values as fv
-from runlens.functions.text import strip_ws
+from runlens.functions.text import iso_timestamp, strip_ws
 from runlens.operators.common import Cols, join_spread, names, order_key
 from runlens.sources.traces import reply_text
 
@@ -139,7 +139,7 @@ def created_time(
 ) -> DataFrame:
     """Timestamp of the first line, which counts even when malformed, else the file's mtime."""
     first = lines.groupBy(trace).agg(F.min_by(timestamp, order_key(order)).alias("_ts"))
-    created = F.col("_ts").try_cast("timestamp")
+    created = iso_timestamp(F.col("_ts"))
     if mtimes is None:
         return first.select(trace, created.alias("created"))
     return first.join(mtimes.select(trace, "mtime"), trace, "left").select(

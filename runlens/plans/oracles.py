@@ -170,6 +170,14 @@ oracle("listing_signature", """SELECT user_id, count(*) AS n_files,
     sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR || '-' || sum(('0x' || substr(h, 16, 15))::BIGINT)::VARCHAR AS signature FROM (
     SELECT user_id, md5('/f' || event_id || '|' || (event_id % 97) || '|' || CAST(floor(epoch(ts)) AS BIGINT)) AS h FROM events)
     GROUP BY user_id""")
+oracle("poll_states", """, p AS (SELECT o_custkey AS session_id, year(o_orderdate) * 12 + month(o_orderdate) AS poll_no, o_orderkey FROM orders),
+    f AS (SELECT session_id, poll_no, source, format, md5(source || '|' || stem || ext || '|' || size || '|0') AS h FROM art JOIN p ON o_orderkey = case_id),
+    g AS (SELECT session_id, poll_no, count(*) AS n_files,
+      sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR || '-' || sum(('0x' || substr(h, 16, 15))::BIGINT)::VARCHAR AS signature,
+      bool_or(source = 'worklog') AS w, bool_or(source = 'report') AS r, bool_or(source = 'report' AND format = 'docx') AND bool_or(source = 'report' AND format = 'html') AS pair
+      FROM f GROUP BY 1, 2)
+    SELECT DISTINCT session_id, poll_no, coalesce(n_files, 0) AS n_files, coalesce(signature, '') AS signature,
+      coalesce(w AND CASE WHEN session_id % 3 = 0 THEN pair ELSE r END, false) AS present FROM p LEFT JOIN g USING (session_id, poll_no)""", "art")
 oracle("stability_runs", "SELECT user_id AS session_id, d AS poll_no, sig AS signature, present, run FROM run JOIN pol USING (user_id, d)", "run")
 oracle("stability_first", """SELECT user_id AS session_id, coalesce(min(d) FILTER (run >= 2), max(d)) AS poll_no,
     count(*) FILTER (run >= 2) > 0 AS stable FROM run GROUP BY user_id""", "run")
@@ -404,6 +412,9 @@ oracle("meta_merge", "SELECT user_id AS case_id, " + ", ".join(
 oracle("manifest", """SELECT case_id, 0 AS part, """ + ", ".join(
     f"coalesce(string_agg(stem || ext, ',' ORDER BY stem || ext) FILTER (source = '{s}'), '') AS {c}"
     for c, s in (("outputs", "report"), ("worklogs", "worklog"), ("summaries", "summary"))) + " FROM art GROUP BY case_id", "art")
+oracle("folder_manifest", """SELECT case_id, string_agg(f, ',' ORDER BY f) AS files FROM (SELECT case_id,
+      '/docs/' || source || stem || ext || CASE WHEN pulled THEN '>outputs/' || CASE source WHEN 'report' THEN 'Desk/' ELSE 'Papers/' END || substr(stem, 4) || ext ELSE '' END AS f
+      FROM art WHERE source <> 'worklog') GROUP BY case_id""", "art")
 oracle("manifest_parts", "SELECT source AS case_id, count(*) AS n_records, count(*) > 500 AS is_split FROM art GROUP BY source", "art")
 oracle("handoff", """SELECT bat.run_id, bat.run_id % 9 <> 0 AND coalesce(bool_and(ready), true) AS runner_finished,
     coalesce(string_agg(case_id::VARCHAR, ',' ORDER BY case_id::VARCHAR), '') AS task_ids,

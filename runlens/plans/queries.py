@@ -198,6 +198,21 @@ def listing_signature(spark, sf):
     return listings.listing_signature(files, "user_id")
 
 
+@query
+def poll_states(spark, sf):
+    """A poll per customer and month of orders; the files of a poll are the orders' line items."""
+    month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("bigint")
+    order = v.table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("session_id"), month.alias("poll_no"), F.col("o_orderkey").alias("case_id"))
+    files = v.artifacts(spark, sf).join(order, "case_id").select(
+        "session_id", "poll_no", "source", "path", "size", F.lit(0).alias("mtime"))
+    required = v.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("session_id"),
+        F.when(v.mod("c_custkey", 3, 0), F.array(F.lit("docx"), F.lit("html"))).alias("required"))
+    states = listings.poll_states(order, files, required, require_worklog=True)
+    return states.select("session_id", "poll_no", "n_files", "signature", "present")
+
+
 @query
 def stability_runs(spark, sf):
     return listings.stability_runs(v.polls(spark, sf), bucket_polls=8)
@@ -684,6 +699,15 @@ def manifest(spark, sf):
     return docs.select("case_id", F.col("part").cast("bigint").alias("part"), names("outputs"), names("worklogs"), names("summaries"))
 
 
+@query
+def folder_manifest(spark, sf):
+    files = v.artifacts(spark, sf).select(
+        "case_id", F.concat(F.lit("/docs/"), F.col("source"), F.col("path")).alias("remote_path"), "status")
+    docs = runs.folder_manifest(files, {"Desk": "/docs/report/w", "Papers": "/docs/summary/w/"})
+    local = F.transform("files", lambda f: F.concat_ws(">", f["remote_path"], f["local_path"]))
+    return docs.select("case_id", joined(F.array_sort(local)).alias("files"))
+
+
 @query
 def manifest_parts(spark, sf):
     """Documents of large groups, cut into parts: nothing is lost or doubled."""
@@ -700,6 +724,6 @@ def handoff(spark, sf):
     return docs.select(
         F.col("runId").alias("run_id"), F.col("runnerFinished").alias("runner_finished"),
         joined(F.array_sort("taskIds")).alias("task_ids"),
-        joined(F.array_sort(F.transform(F.coalesce("tasks", F.array()), lambda t: F.concat_ws(
+        joined(F.array_sort(F.transform("tasks", lambda t: F.concat_ws(
             "|", t["taskId"], t["executionOutcome"], F.coalesce(t["trace"], F.lit("-")), F.coalesce(t["marker"], F.lit("-")),
             t["judgeInputs"]["runnerTaskDir"])))).alias("entries"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from runlens.functions import fixed_values as fv
+from runlens.functions.text import iso_timestamp
 from runlens.operators.traces import is_terminal
 from runlens.sources.jsonl_tail import JsonlTailSource
 from runlens.sources.traces import parse_events
@@ -33,7 +34,7 @@ def tail_traces(spark: SparkSession, path: str, start_offsets: str = "{}") -> Da
 def tail_events(spark: SparkSession, path: str, start_offsets: str = "{}") -> DataFrame:
     """The same, parsed, with `ts` from the event's timestamp."""
     events = parse_events(tail_traces(spark, path, start_offsets))
-    return events.withColumn("ts", F.col("timestamp").try_cast("timestamp"))
+    return events.withColumn("ts", iso_timestamp(F.col("timestamp")))
 
 
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -115,6 +115,19 @@ def test_stability_property(spark, seed, bucket):
     assert got == want
 
 
+def test_poll_states(spark):
+    files = [("s", 1, "report", "/a.docx", 1, 1), ("s", 1, "worklog", "/w.md", 1, 1), ("s", 2, "report", "/a.docx", 1, 1),
+             ("s", 2, "report", "/a.htm", 1, 1), ("s", 3, "report", "/a.htm", 1, 1), ("s", 3, "report", "/a.docx", 1, 1), ("t", 1, "summary", "/s.md", 1, 1)]
+    df = spark.createDataFrame(files, "session_id string, poll_no long, source string, path string, size long, mtime long")
+    polls = spark.createDataFrame([("s", 1), ("s", 2), ("s", 3), ("t", 1), ("t", 2)], "session_id string, poll_no long")
+    required = spark.createDataFrame([("s", ["docx", "html"])], "session_id string, required array<string>")
+    got = {(r.session_id, r.poll_no): r for r in ops.poll_states(polls, df, required).collect()}
+    assert {k: r.present for k, r in got.items()} == {("s", 1): False, ("s", 2): True, ("s", 3): True, ("t", 1): False, ("t", 2): False}
+    assert got["s", 2].signature == got["s", 3].signature != got["s", 1].signature and got["t", 2].n_files == 0
+    some = {(r.session_id, r.poll_no) for r in ops.poll_states(polls, df, None, require_worklog=True).where("present").collect()}
+    assert some == {("s", 1)}
+
+
 def test_session_artifacts(spark):
     w = "/workspace"
     paths = [f"{w}/s1/a.docx", f"{w}/s1/b.htm", f"{w}/s1/deep/c.md", f"{w}/s2/a.md", f"{w}/s9/a.md",

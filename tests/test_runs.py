@@ -99,6 +99,18 @@ def test_manifest_parts(spark):
     assert small.outputs == [] and [w.path for w in small.worklogs] == ["/w.md"] and small.n_parts == 1
 
 
+def test_manifest_documents(spark, tmp_path):
+    cases = spark.createDataFrame([("a", "T1", "s1", "2026-07-15"), ("b", "T2", "s2", "2026-07-15")],
+                                  "case_id string, task_id string, session_id string, pulled_at string")
+    files = spark.createDataFrame([("a", "report", "/r.md", "pulled")], "case_id string, source string, remote_path string, status string")
+    write_documents(ops.manifest_documents(cases, files), str(tmp_path / "m"))
+    docs = {d["case_id"]: d for f in (tmp_path / "m").glob("*.json") for d in map(json.loads, f.read_text().splitlines())}
+    assert docs["a"]["outputs"] == [{"remote_path": "/r.md", "status": "pulled"}] and docs["a"]["worklogs"] == []
+    assert docs["b"]["outputs"] == [] and docs["b"]["workspace"] == {
+        "session_root": "/workspace/s2", "worklog_root": "/workspace/memory/weekly-work-report/worklog",
+        "summary_root": "/workspace/memory/weekly-work-report/summary"}
+
+
 def test_meta_merge(spark):
     rows = [("a", 1, "session_id", "x"), ("a", 3, "session_id", None), ("a", 2, "dialog_verdict", "v"), ("b", 1, "pulled_at", "t")]
     df = spark.createDataFrame(rows, "case_id string, seq int, field string, value string")
