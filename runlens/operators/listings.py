@@ -124,15 +124,15 @@ def stability_runs(
     bucket totals (one row per bucket) carry a run across bucket borders, so even a session with a
     third of all polls is spread over many tasks.
     """
-    # the same filter for both uses of `rows` below lets Spark shuffle them once
-    rows = polls.withColumn("_b", F.floor(F.col(poll) / bucket_polls).cast("bigint")).where(
-        F.col(session).isNotNull() & F.col("_b").isNotNull()
-    )
-    in_bucket = Window.partitionBy(session, "_b").orderBy(poll)
     state = F.struct(F.col(signature).alias("s"), F.coalesce(F.col(present), F.lit(False)).alias("p"))
+    rest = [c for c in polls.columns if c not in (session, poll, signature, present)]
+    # both uses of `rows` below need the same columns and filter, so Spark shuffles them once
+    rows = polls.select(
+        session, poll, *rest, F.floor(F.col(poll) / bucket_polls).cast("bigint").alias("_b"), state.alias("_state")
+    ).where(F.col(session).isNotNull() & F.col("_b").isNotNull())
+    in_bucket = Window.partitionBy(session, "_b").orderBy(poll)
     rows = (
-        rows.withColumn("_state", state)
-        .withColumn("_prev", F.lag("_state").over(in_bucket))
+        rows.withColumn("_prev", F.lag("_state").over(in_bucket))
         .withColumn("_rn", F.row_number().over(in_bucket))
         .withColumn("_break", F.col("_prev").isNotNull() & ~_continues(F.col("_prev"), F.col("_state")))
         .withColumn("_last_break", F.max(F.when(F.col("_break"), F.col("_rn"))).over(
@@ -160,11 +160,13 @@ def stability_runs(
         .select(session, "_b", "_carry")
     )
     run = (
-        F.when(~F.coalesce(F.col(present), F.lit(False)), F.lit(0))
+        F.when(~F.col("_state.p"), F.lit(0))
         .when(F.col("_last_break").isNotNull(), F.col("_rn") - F.col("_last_break") + 1)
         .otherwise(F.col("_rn") + F.col("_carry"))
     )
-    return rows.join(buckets, [session, "_b"]).select(*polls.columns, run.cast("bigint").alias("run"))
+    joined = rows.join(buckets, [session, "_b"])
+    shown = {signature: F.col("_state.s").alias(signature), present: F.col("_state.p").alias(present)}
+    return joined.select(*[shown.get(c, F.col(c)) for c in polls.columns], run.cast("bigint").alias("run"))
 
 
 def _continues(before: Column, now: Column) -> Column:

@@ -21,10 +21,10 @@ _VIEWS = {
     "snap": """SELECT user_id, '/logs/u' || user_id || '.jsonl' AS path, 'u' || user_id || '.jsonl' AS name,
         count(*) AS size, max(CAST(floor(epoch(ts)) AS BIGINT)) AS mtime, min(CAST(floor(epoch(ts)) AS BIGINT)) AS created
         FROM events GROUP BY user_id""",
-    "base": """SELECT user_id, '/logs/u' || user_id || '.jsonl' AS path,
+    "base": """SELECT user_id, '/logs/u' || user_id || '.jsonl' || CASE WHEN user_id % 8 = 0 THEN '.old' ELSE '' END AS path,
         count(*) + CASE WHEN user_id % 3 = 0 THEN 1000000 ELSE 0 END AS size,
         max(CAST(floor(epoch(ts)) AS BIGINT)) + CASE WHEN user_id % 5 = 0 THEN 100000000 ELSE 0 END AS mtime
-        FROM events WHERE ts < TIMESTAMP '2024-01-15' AND user_id % 8 <> 0 GROUP BY user_id""",
+        FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY user_id""",
     "chg": """SELECT s.*, CASE WHEN b.path IS NULL THEN 'new' WHEN s.size > b.size THEN 'grew'
         WHEN s.mtime > b.mtime THEN 'touched' ELSE 'same' END AS change_kind
         FROM snap s LEFT JOIN base b USING (path)""",
@@ -59,7 +59,7 @@ _VIEWS = {
         CASE WHEN o_orderstatus = 'F' THEN CASE o_orderpriority[1] WHEN '1' THEN 'timeout' WHEN '2' THEN 'agent-error'
           WHEN '3' THEN 'missing-deliverables' WHEN '4' THEN 'execution-error' ELSE 'data-preparation' END END AS kind
         FROM orders""",
-    "old": "SELECT * FROM led WHERE started < TIMESTAMP '1996-01-01'",
+    "old": "SELECT * REPLACE (case_id + CASE WHEN case_id % 13 = 0 THEN 1000000000 ELSE 0 END AS case_id) FROM led",
     "sta": """SELECT c_custkey AS case_id, n_name AS person, CASE
         WHEN bool_or(marker = 'interrupted') THEN 'interrupted' WHEN bool_or(marker = 'failed') THEN 'failed'
         WHEN bool_or(marker = 'complete') THEN 'complete' ELSE 'not-run' END AS outcome
@@ -123,7 +123,8 @@ oracle("trace_stop_count_last_n", """SELECT trace, count(*) FILTER (rn <= 20 AND
     FROM (SELECT *, row_number() OVER (PARTITION BY trace, kind <> 'view' ORDER BY n DESC) AS rn FROM tr) GROUP BY trace""", "tr")
 oracle("trace_created", """SELECT trace, CASE WHEN arg_min(bad, n) THEN max(CAST(floor(epoch(ts)) AS BIGINT)) * 1000000
     ELSE arg_min(epoch_us(ts), n) END AS created_us FROM tr GROUP BY trace""", "tr")
-oracle("trace_since_baseline", """, b AS (SELECT trace, max(n) + 1 AS base FROM tr WHERE ts < TIMESTAMP '2024-01-20' AND trace % 10 <> 0 GROUP BY trace)
+oracle("trace_since_baseline", """, b AS (SELECT trace + CASE WHEN trace % 10 = 0 THEN 1000000000 ELSE 0 END AS trace, max(n) + 1 AS base
+      FROM tr WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1)
     SELECT trace, count(*) AS n_events, arg_max(reason, n) FILTER (role = 'main' AND reason <> 'tool_use') AS stop_reason
     FROM tr LEFT JOIN b USING (trace) WHERE n >= coalesce(base, 0) GROUP BY trace""", "tr")
 oracle("trace_outcome_timeout", """SELECT trace, CASE WHEN ended_at < started + INTERVAL 1 DAY THEN reason ELSE 'timeout' END AS outcome,
@@ -182,20 +183,20 @@ oracle("stability_runs", "SELECT user_id AS session_id, d AS poll_no, sig AS sig
 oracle("stability_first", """SELECT user_id AS session_id, coalesce(min(d) FILTER (run >= 2), max(d)) AS poll_no,
     count(*) FILTER (run >= 2) > 0 AS stable FROM run GROUP BY user_id""", "run")
 oracle("session_artifacts", """, p AS (SELECT host[2:] AS device, 's' || (page_id % 60) AS session_id, page_id FROM pgh),
-    w AS (SELECT DISTINCT device, session_id FROM p WHERE page_id % 5 <> 0),
+    w AS (SELECT DISTINCT device, CASE WHEN page_id % 5 = 0 THEN 'none' || page_id ELSE session_id END AS session_id FROM p),
     r AS (SELECT device, session_id, count(*) AS n, string_agg(DISTINCT f, ',' ORDER BY f) AS formats FROM (
         SELECT *, CASE page_id % 3 WHEN 0 THEN 'docx' WHEN 1 THEN 'html' ELSE 'md' END AS f FROM p) GROUP BY 1, 2),
     s AS (SELECT device, count(*) AS n FROM p GROUP BY 1)
-    SELECT device, session_id, r.n AS n_reports, formats AS report_formats, s.n AS n_worklogs, s.n AS n_summaries
-    FROM w JOIN r USING (device, session_id) JOIN s USING (device)""", "pgh")
+    SELECT device, session_id, coalesce(r.n, 0) AS n_reports, coalesce(formats, '') AS report_formats, s.n AS n_worklogs, s.n AS n_summaries
+    FROM w LEFT JOIN r USING (device, session_id) JOIN s USING (device)""", "pgh")
 oracle("session_artifact_rows", """SELECT source, count(*) AS n_files, count(DISTINCT case_id) AS n_cases FROM art GROUP BY source""", "art")
 
 # --- paths ----------------------------------------------------------------------------------------
 
 oracle("longest_root", """SELECT page_id, path, arg_max(root, length(root)) AS root_path, 'L:' || arg_max(root, length(root)) AS root_label
     FROM pg JOIN roots ON path = root OR starts_with(path, root || '/') GROUP BY page_id, path""", "roots")
-_RESOLVE = """, l AS (SELECT CASE WHEN page_id % 4 = 1 THEN host || '/worklog/' || page_id || '.md' ELSE rtrim(path, '/') || '/f' END AS path, page_id AS size
-      FROM pgh WHERE page_id % 3 <> 0),
+_RESOLVE = """, l AS (SELECT CASE WHEN page_id % 3 = 0 THEN '/moved' || path WHEN page_id % 4 = 1 THEN host || '/worklog/' || page_id || '.md'
+      ELSE rtrim(path, '/') || '/f' END AS path, page_id AS size FROM pgh),
     w AS (SELECT DISTINCT CASE WHEN page_id % 5 = 0 THEN host || '/worklog' WHEN page_id % 7 = 0 THEN host || '/文件输出/x'
       ELSE rtrim(path, '/') || '/f' END AS remote_path FROM pgh),
     m AS (SELECT remote_path, path, size FROM w JOIN l ON path = remote_path
@@ -256,7 +257,7 @@ oracle("registry_order", """SELECT k AS task_no, person, CASE WHEN regexp_matche
     CASE WHEN regexp_matches(trim(id), '^[0-9]+$') THEN length(trim(id)) ELSE 0 END AS digits, lower(trim(id)) AS key_text FROM tsk""", "tsk")
 oracle("tasks_by_person", """SELECT person, id AS task_id, arg_min(id, (num IS NULL, num, lower(id))) OVER (PARTITION BY person) AS first_task_id,
     count(*) OVER (PARTITION BY person) AS n_tasks FROM (SELECT person, id,
-    CASE WHEN regexp_matches(id, '^[0-9]+$') THEN CAST(id AS BIGINT) END AS num FROM tsk WHERE NOT regexp_matches(id, '^(T|t| )'))""", "tsk")
+    CASE WHEN regexp_matches(id, '^[0-9]+$') THEN CAST(id AS BIGINT) END AS num FROM tsk)""", "tsk")
 oracle("target_resolution", """, t AS (SELECT 'n' || n_nationkey || 'w' || w AS target, n_name AS person, w AS week,
       CASE w WHEN 1 THEN '第一周' ELSE '第二周' END AS label FROM nation, (VALUES (1), (2)) AS x(w)),
     h AS (SELECT target, count(*) AS n, min(trim(id)) AS task_id FROM t JOIN tsk USING (person)
@@ -268,7 +269,8 @@ oracle("task_targets", """SELECT k AS task_no, target, CASE WHEN target IS NULL
     FROM (SELECT k, c_nationkey, CASE WHEN explicit <> '' THEN explicit WHEN c_nationkey % 6 = 0 THEN NULL WHEN week = '2' THEN 'n' || c_nationkey || 'w2'
       WHEN week = '9' THEN NULL WHEN text_week > 0 THEN 'n' || c_nationkey || 'w' || text_week END AS target FROM tsk)""", "tsk")
 oracle("select_tasks", """WITH w AS (SELECT DISTINCT o_custkey + CASE WHEN o_orderkey % 100 = 0 THEN 10000000 ELSE 0 END AS task_id FROM orders WHERE o_totalprice > 300000)
-    SELECT c_custkey AS task_id, 'selected' AS status FROM customer WHERE c_nationkey % 2 = 0 AND c_custkey IN (SELECT task_id FROM w)
+    SELECT c_custkey AS task_id, 'selected' AS status FROM customer JOIN nation ON n_nationkey = c_nationkey
+      WHERE n_regionkey < 2 AND c_custkey IN (SELECT task_id FROM w)
     UNION ALL SELECT task_id, 'unknown' FROM w WHERE task_id NOT IN (SELECT c_custkey FROM customer)""")
 oracle("pending_tasks", """SELECT c_custkey AS case_id, n_name AS person FROM customer JOIN nation ON c_nationkey = n_nationkey
     WHERE c_custkey NOT IN (SELECT case_id FROM old WHERE marker = 'complete')""", "old")

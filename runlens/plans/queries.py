@@ -92,8 +92,9 @@ def trace_created(spark, sf):
 @query
 def trace_since_baseline(spark, sf):
     events = v.trace_events(spark, sf)
-    base = events.where((F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")) & ~v.mod("trace", 10, 0)).groupBy(
-        "trace").agg((F.max("byte_offset") + 1).alias("base_size"))
+    known = F.col("trace") + F.when(v.mod("trace", 10, 0), 1_000_000_000).otherwise(0)
+    base = events.where(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")).groupBy(known.alias("trace")).agg(
+        (F.max("byte_offset") + 1).alias("base_size"))
     later = traces.since_baseline(events, base)
     ends = traces.latest_terminal(later)
     counts = later.groupBy("trace").agg(F.count(F.lit(1)).alias("n_events"))
@@ -238,7 +239,8 @@ def session_artifacts(spark, sf):
         F.concat(F.lit("/elsewhere/"), session, F.lit("/x.md")),
     ))
     files = p.select(host.alias("device"), kinds.alias("path"), F.lit(1).alias("size"))
-    sessions = p.where(~v.mod("page_id", 5, 0)).select(host.alias("device"), session.alias("session_id"))
+    asked = F.when(v.mod("page_id", 5, 0), F.concat(F.lit("none"), page)).otherwise(session)
+    sessions = p.select(host.alias("device"), asked.alias("session_id"))
     _, counts = listings.session_artifacts(files, sessions, "device")
     return counts.withColumn("report_formats", joined("report_formats"))
 
@@ -261,7 +263,7 @@ def longest_root(spark, sf):
 
 @query
 def resolve_paths(spark, sf):
-    """Status of the paths that pages claim, against a listing of the other pages' files."""
+    """Status of the paths that pages claim, against a listing in which a third of them moved."""
     _, status = _resolved(spark, sf)
     return status
 
@@ -276,8 +278,9 @@ def _resolved(spark, sf):
     p = v.page_paths(spark, sf)
     n = F.col("page_id")
     host = F.concat(F.lit("/"), F.split("path", "/")[1])
-    listing = p.where(~v.mod("page_id", 3, 0)).select(
-        F.when(v.mod("page_id", 4, 1), F.concat(host, F.lit("/worklog/"), v.text_of("page_id"), F.lit(".md")))
+    listing = p.select(
+        F.when(v.mod("page_id", 3, 0), F.concat(F.lit("/moved"), F.col("path")))
+        .when(v.mod("page_id", 4, 1), F.concat(host, F.lit("/worklog/"), v.text_of("page_id"), F.lit(".md")))
         .otherwise(F.concat(F.regexp_replace("path", "/$", ""), F.lit("/f"))).alias("path"),
         n.alias("size"), n.alias("mtime"))
     claimed = F.when(v.mod("page_id", 5, 0), F.concat(host, F.lit("/worklog/"))).when(
@@ -376,8 +379,7 @@ def registry_order(spark, sf):
 
 @query
 def tasks_by_person(spark, sf):
-    t = v.tasks(spark, sf).where(~F.col("absolute_id").rlike("^(T|t| )")).select(
-        F.col("absolute_id").alias("task_id"), "person")
+    t = v.tasks(spark, sf).select(F.col("absolute_id").alias("task_id"), "person")
     return tasks.tasks_by_person(t).select("person", "task_id", "first_task_id", "n_tasks")
 
 
@@ -389,8 +391,8 @@ def target_resolution(spark, sf):
 
 @query
 def task_targets(spark, sf):
-    prefixes_dim = v.table(spark, sf, "nation").where(~v.mod("n_nationkey", 6, 0)).select(
-        F.col("n_name").alias("person"), F.concat(F.lit("n"), v.text_of("n_nationkey"), F.lit("w")).alias("prefix"))
+    known = F.when(v.mod("n_nationkey", 6, 0), "NOBODY").otherwise(F.col("n_name"))
+    prefixes_dim = v.table(spark, sf, "nation").select(known.alias("person"), F.concat(F.lit("n"), v.text_of("n_nationkey"), F.lit("w")).alias("prefix"))
     return tasks.assign_targets(v.tasks(spark, sf), prefixes_dim).select("task_no", "target", "target_problem")
 
 
@@ -399,7 +401,7 @@ def select_tasks(spark, sf):
     t = v.simple_tasks(spark, sf).select(F.col("case_id").alias("task_id"), "person")
     wanted = v.table(spark, sf, "orders").where(F.col("o_totalprice") > 300000).select(
         (F.col("o_custkey") + F.when(v.mod("o_orderkey", 100, 0), 10_000_000).otherwise(0)).alias("task_id"))
-    people = v.table(spark, sf, "nation").where(v.mod("n_nationkey", 2, 0)).select(F.col("n_name").alias("person"))
+    people = v.table(spark, sf, "nation").where(F.col("n_regionkey") < 2).select(F.col("n_name").alias("person"))
     kept, unknown = tasks.select_tasks(t, wanted, people)
     return kept.select("task_id", F.lit("selected").alias("status")).unionByName(
         unknown.select("task_id", F.lit("unknown").alias("status")))
@@ -408,7 +410,7 @@ def select_tasks(spark, sf):
 @query
 def pending_tasks(spark, sf):
     t = v.simple_tasks(spark, sf)
-    return tasks.pending_tasks(t, v.ledger(spark, sf, "1996-01-01"), task_id="case_id")
+    return tasks.pending_tasks(t, v.ledger(spark, sf, moved=True), task_id="case_id")
 
 
 @query
@@ -642,12 +644,12 @@ def stop_on_error(spark, sf):
 
 @query
 def task_status(spark, sf):
-    led = v.ledger(spark, sf, "1996-01-01").withColumn("attempt", F.date_trunc("year", F.col("at").cast("timestamp")))
+    led = v.ledger(spark, sf, moved=True).withColumn("attempt", F.date_trunc("year", F.col("at").cast("timestamp")))
     return runs.task_status(v.simple_tasks(spark, sf), led).select("case_id", "person", "execution_outcome")
 
 
 def _entries(spark, sf) -> DataFrame:
-    led = v.ledger(spark, sf, "1996-01-01").withColumn("attempt", F.date_trunc("year", F.col("at").cast("timestamp")))
+    led = v.ledger(spark, sf, moved=True).withColumn("attempt", F.date_trunc("year", F.col("at").cast("timestamp")))
     n = F.col("case_id")
     at = lambda tail: F.concat(F.lit("/run/"), v.text_of("case_id"), F.lit(tail))
     return runs.task_status(v.simple_tasks(spark, sf), led).select(

@@ -99,17 +99,18 @@ def listing_lines(spark: SparkSession, sf: str, separator: str) -> DataFrame:
 
 
 def log_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """A listing block per user, closed by the end marker on 29 January except for every 7th user."""
+    """A listing block per user, closed on 29 January; every 7th user's end marker is damaged."""
     lines = listing_lines(spark, sf, " ").select(F.col("user_id").alias("block"), epoch().alias("line_no"), "line")
-    ends = table(spark, sf, "events").select(F.col("user_id").alias("block")).distinct().where(~mod("block", 7, 0))
-    return lines.unionByName(ends.select("block", F.lit(JAN_29).alias("line_no"), F.lit("__END__").alias("line")))
+    ends = table(spark, sf, "events").select(F.col("user_id").alias("block")).distinct()
+    marker = F.when(mod("block", 7, 0), "__EN").otherwise("__END__")
+    return lines.unionByName(ends.select("block", F.lit(JAN_29).alias("line_no"), marker.alias("line")))
 
 
 JAN_11, JAN_21, JAN_29 = 1704931200, 1705795200, 1706486400
 
 
 def section_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """A sectioned listing per user; every 6th user lacks the summary marker."""
+    """A sectioned listing per user; every 6th user's summary marker is damaged."""
     lines = listing_lines(spark, sf, "|").select(F.col("user_id").alias("payload_id"), epoch().alias("line_no"), "line")
     users = table(spark, sf, "events").select(F.col("user_id").alias("payload_id")).distinct()
     marks = users.select("payload_id", F.explode(F.array(
@@ -117,7 +118,8 @@ def section_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit(JAN_21).alias("line_no"), F.lit("__SUMMARY__").alias("line")),
         F.struct(F.lit(JAN_29).alias("line_no"), F.lit("__END__").alias("line")),
     )).alias("m")).select("payload_id", "m.*")
-    return lines.unionByName(marks.where(~(mod("payload_id", 6, 0) & (F.col("line") == "__SUMMARY__"))))
+    damaged = mod("payload_id", 6, 0) & (F.col("line") == "__SUMMARY__")
+    return lines.unionByName(marks.withColumn("line", F.when(damaged, "__SUM").otherwise(F.col("line"))))
 
 
 def snapshot(spark: SparkSession, sf: str, until: str | None = None) -> DataFrame:
@@ -133,10 +135,10 @@ def snapshot(spark: SparkSession, sf: str, until: str | None = None) -> DataFram
 
 
 def baseline(spark: SparkSession, sf: str) -> DataFrame:
-    """Snapshot of mid January with gaps, and with files that later shrank or were only touched."""
-    s = snapshot(spark, sf, "2024-01-15").where(~mod("user_id", 8, 0))
+    """Snapshot of mid January: some files later vanished, some shrank, some were only touched."""
+    s = snapshot(spark, sf, "2024-01-15")
     return s.select(
-        "path",
+        F.when(mod("user_id", 8, 0), F.concat("path", F.lit(".old"))).otherwise(F.col("path")).alias("path"),
         (F.col("size") + F.when(mod("user_id", 3, 0), 1_000_000).otherwise(0)).alias("size"),
         (F.col("mtime") + F.when(mod("user_id", 5, 0), 100_000_000).otherwise(0)).alias("mtime"),
     )
@@ -238,15 +240,17 @@ def target_codes(spark: SparkSession, sf: str) -> DataFrame:
 FAILURES = ["timeout", "agent-error", "missing-deliverables", "execution-error", "data-preparation"]
 
 
-def ledger(spark: SparkSession, sf: str, before: str | None = None) -> DataFrame:
-    """orders as run markers: a case per customer, attempts in order of date and key."""
+def ledger(spark: SparkSession, sf: str, moved: bool = False) -> DataFrame:
+    """orders as run markers: a case per customer, attempts in order of date and key.
+
+    With `moved`, the runs of every 13th customer belong to a case outside the registry.
+    """
     o = table(spark, sf, "orders")
-    if before:
-        o = o.where(F.col("o_orderdate") < F.lit(before).cast("timestamp_ntz"))
     status = F.col("o_orderstatus")
     kind = pick(F.substring("o_orderpriority", 1, 1).cast("int") - 1, FAILURES)
+    away = F.when(F.lit(moved) & mod("o_custkey", 13, 0), 1_000_000_000).otherwise(0)
     return o.select(
-        F.col("o_custkey").alias("case_id"),
+        (F.col("o_custkey") + away).alias("case_id"),
         F.col("o_orderdate").alias("at"),
         F.col("o_orderkey").alias("run_key"),
         F.when(status == "F", "failed").when(status == "P", "interrupted").otherwise("complete").alias("marker"),

@@ -29,6 +29,14 @@ def build_session(app_name: str = "runlens", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def checkpoint_location(spark: SparkSession, name: str) -> str:
+    """Place for a stream's checkpoint below the shared folder that the session names."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root.rstrip('/')}/{name}"
+
+
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> tuple[DataFrame, bool]:
     """Mark `df` for broadcast when it provably holds at most `limit` rows.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions import fixed_values as fv
-from runlens.functions.text import let, strip_ws
+from runlens.functions.text import iso_timestamp, let, strip_ws
 from runlens.sources.jsonl_tail import JsonlTailSource
 
 _ENVELOPE = (
@@ -100,6 +100,25 @@ def parse_events(lines: DataFrame, line: str = "line", keep_malformed: bool = Fa
     return events if keep_malformed else events.where(~F.col("malformed")).drop("malformed")
 
 
+def write_events(events: DataFrame, path: str, ts: str = "timestamp", buckets: int = 32) -> None:
+    """Parsed events as Parquet, by day; later reads prune days and skip row groups by offset.
+
+    Rows of a trace stay together in stretches of a gibibyte, so that files are few and well sorted
+    while a trace of any size is still written by many tasks.
+    """
+    day = F.coalesce(F.date_format(iso_timestamp(F.col(ts)), "yyyy-MM-dd"), F.lit("unknown"))
+    stretch = F.floor(F.col("byte_offset") / (1 << 30))
+    dated = events.withColumn("event_date", day).withColumn(
+        "_bucket", F.pmod(F.xxhash64("trace", stretch), F.lit(buckets))
+    )
+    (
+        dated.repartition("event_date", "_bucket")
+        .sortWithinPartitions("event_date", "trace", "byte_offset")
+        .drop("_bucket")
+        .write.mode("append").partitionBy("event_date").parquet(path)
+    )
+
+
 def terminal_candidates(lines: DataFrame, line: str = "line") -> DataFrame:
     """Cheap superset of the lines that may be terminal events, to run before any JSON parsing.
 

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from runlens.functions import fixed_values as fv
 from runlens.functions.text import ReplyRules, reply_verdict, requested_formats
 from runlens.operators.listings import snapshot_diff
+from runlens.session import checkpoint_location
 from runlens.sources.sinks import write_ledger_batch
 from runlens.sources.traces import reply_text
 
@@ -34,11 +35,11 @@ def with_formats(tasks: DataFrame, task: Column | None = None) -> DataFrame:
     return tasks.withColumn("required_formats", requested_formats(F.col("task") if task is None else task))
 
 
-def start_ledger(runs: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+def start_ledger(runs: DataFrame, path: str, checkpoint: str | None = None, **trigger) -> StreamingQuery:
     """Append a stream of finished runs to the ledger, exactly once per micro-batch."""
     return (
         runs.writeStream.foreachBatch(lambda df, batch_id: write_ledger_batch(df, batch_id, path))
-        .option("checkpointLocation", checkpoint)
+        .option("checkpointLocation", checkpoint or checkpoint_location(runs.sparkSession, "ledger"))
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -29,8 +29,8 @@ def test_scan_reads_only_needed_columns(spark):
 
 
 def test_date_filter_is_pushed_down(spark):
-    text = plan(entry.queries()["pending_tasks"](spark, SF))
-    assert re.search(r"PushedFilters: \[[^\]]*LessThan\(o_orderdate", text)
+    text = plan(entry.queries()["snapshot_diff"](spark, SF))
+    assert re.search(r"PushedFilters: \[[^\]]*LessThan\(ts", text)
 
 
 def test_last_n_is_limited_before_the_shuffle(spark):

@@ -8,7 +8,7 @@ from runlens.functions.text import reply_verdict
 from runlens.operators import traces as ops
 from runlens.sources.jsonl_tail import _lines, list_sizes, split_ranges
 from runlens.sources.traces import (
-    envelope, parse_events, read_trace_lines, read_trace_text, terminal_candidates,
+    envelope, parse_events, read_trace_lines, read_trace_text, terminal_candidates, write_events,
 )
 
 GOLDEN = [
@@ -153,3 +153,14 @@ def test_text_source_order(spark, tmp_path):
         assert json.loads(first)["n"] == 0
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_write_events(spark, tmp_path):
+    rows = [("a", i, json.dumps({"timestamp": f"2026-07-0{1 + i % 2}T00:00:00Z", "session_id": "s"})) for i in range(6)]
+    events = parse_events(spark.createDataFrame(rows + [("b", 0, "{}")], "trace string, byte_offset long, line string"))
+    write_events(events, str(tmp_path / "e"))
+    back = spark.read.parquet(str(tmp_path / "e"))
+    assert back.count() == 7
+    assert {str(r.event_date) for r in back.select("event_date").distinct().collect()} == {"2026-07-01", "2026-07-02", "unknown"}
+    plan = back.where("event_date = '2026-07-01' and byte_offset >= 3")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(byte_offset,3)" in plan and "PartitionFilters: [isnotnull(event_date" in plan
