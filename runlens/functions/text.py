@@ -93,17 +93,32 @@ def rules_hit(text: Column, rules: ReplyRules = ReplyRules()) -> Column:
 
 def normalize_format(extension: Column) -> Column:
     """Lower-case, drop the leading dots, fold the two aliases; other names stay."""
-    name = F.ltrim(F.lower(extension), F.lit("."))
+    return let(F.ltrim(F.lower(extension), F.lit(".")), _fold_alias)
+
+
+def _fold_alias(name: Column) -> Column:
     folded = name
     for alias, target in fv.FORMAT_ALIASES:
         folded = F.when(name == alias, target).otherwise(folded)
     return folded
 
 
-def path_suffix(path: Column) -> Column:
-    """Extension with its dot, '' for none; a leading-dot name or a trailing dot has none."""
+def _extension(path: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(extension)` for a path with one, else ''; a leading-dot name or a trailing dot has none."""
     name = F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
-    return F.regexp_extract(name, r"(?s)^.+(\.[^.]+)$", 1)
+    return let(name, lambda n: let(F.substring_index(n, ".", -1), lambda ext: F.when(
+        (ext != "") & (F.length(n) > F.length(ext) + 1), use(ext)
+    ).otherwise("")))
+
+
+def path_suffix(path: Column) -> Column:
+    """Extension with its dot, '' for none."""
+    return _extension(path, lambda ext: F.concat(F.lit("."), ext))
+
+
+def path_format(path: Column) -> Column:
+    """Normalised format of a path's extension, '' for none."""
+    return _extension(path, lambda ext: let(F.lower(ext), _fold_alias))
 
 
 def requested_formats(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions import fixed_values as fv
-from runlens.functions.text import normalize_format, path_suffix
+from runlens.functions.text import path_format
 from runlens.operators.common import Cols, join_spread, names
 
 
@@ -69,17 +69,21 @@ def watched_log(
 def listing_signature(listing: DataFrame, keys: Cols, fields: Cols = ("path", "size", "mtime")) -> DataFrame:
     """Fingerprint of a set of files per key, equal exactly when the files are (up to hashing).
 
-    Sums of two 60-bit halves of each row's MD5 do not depend on row order, so the aggregate needs
-    no sorting and no collected list; the row count is part of the fingerprint.
+    Sums of two 64-bit row hashes do not depend on row order, so the aggregate needs no sorting and
+    no collected list; the row count is part of the fingerprint.
     """
     return listing.groupBy(*names(keys)).agg(*signature_aggregates(fields))
 
 
 def signature_aggregates(fields: Cols) -> list[Column]:
-    row = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in names(fields)]).cast("binary"))
-    half = lambda at: F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(20,0)")
-    sums = F.concat_ws("-", F.sum(half(1)).cast("string"), F.sum(half(16)).cast("string"))
-    return [F.count(F.lit(1)).alias("n_files"), sums.alias("signature")]
+    """Count and fingerprint columns. 31-bit pieces keep the sums inside a long for 4 billion rows."""
+    columns = [F.col(c) for c in names(fields)]
+    pieces = [
+        F.sum(F.shiftrightunsigned(row, shift).bitwiseAND(F.lit(0x7FFFFFFF)))
+        for row in (F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)) for shift in (0, 33)
+    ]
+    signature = F.concat_ws("-", *[p.cast("string") for p in pieces])
+    return [F.count(F.lit(1)).alias("n_files"), signature.alias("signature")]
 
 
 def poll_states(
@@ -95,7 +99,7 @@ def poll_states(
     is_report = F.col("source") == "report"
     seen = files.groupBy(*keys).agg(
         *signature_aggregates(("source", "path", "size", "mtime")),
-        F.collect_set(F.when(is_report, normalize_format(path_suffix(F.col("path"))))).alias("_formats"),
+        F.collect_set(F.when(is_report, path_format(F.col("path")))).alias("_formats"),
         F.coalesce(F.bool_or(F.col("source") == "worklog"), F.lit(False)).alias("_worklog"),
     )
     state = polls.select(*keys).distinct().join(seen, keys, "left")
@@ -229,7 +233,7 @@ def session_artifacts(
 
     report_counts = reports.groupBy(owner, session).agg(
         F.count(F.lit(1)).alias("n_reports"),
-        F.array_sort(F.collect_set(normalize_format(path_suffix(F.col(path))))).alias("report_formats"),
+        F.array_sort(F.collect_set(path_format(F.col(path)))).alias("report_formats"),
     )
     shared_counts = shared.groupBy(owner).agg(
         F.count_if(F.col("source") == "worklog").alias("n_worklogs"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import fixed_values as fv
 from runlens.functions.paths import safe_relative
-from runlens.functions.text import normalize_format, path_suffix, requested_formats
+from runlens.functions.text import path_format, requested_formats
 from runlens.operators.common import Cols, collect_parts, join_spread, names, order_key
 
 
@@ -15,7 +15,7 @@ from runlens.operators.common import Cols, collect_parts, join_spread, names, or
 
 def present_formats(artifacts: DataFrame, case: str = "case_id", path: str = "path") -> DataFrame:
     """Sorted distinct normalised extensions of the files of each case."""
-    formats = F.collect_set(normalize_format(path_suffix(F.col(path))))
+    formats = F.collect_set(path_format(F.col(path)))
     return artifacts.groupBy(case).agg(F.array_sort(formats).alias("present_formats"))
 
 
@@ -91,7 +91,7 @@ def run_results(
     case before the join, so the joins see small, unique keys. `verdict` is a column over `reply`.
     """
     pulled_report = (F.col("source") == "report") & F.coalesce(F.col("status") == "pulled", F.lit(False))
-    formats = F.collect_set(F.when(pulled_report, normalize_format(path_suffix(F.col("path")))))
+    formats = F.collect_set(F.when(pulled_report, path_format(F.col("path"))))
     per_case = artifacts.groupBy(case).agg(
         F.array_sort(formats).alias("present_formats"),
         *[

@@ -167,18 +167,17 @@ oracle("snapshot_watched", """SELECT user_id % 40 AS device,
              arg_max(path, (mtime, size, path)) FILTER (change_kind <> 'same')) AS path,
     CASE WHEN bool_or(change_kind = 'new') THEN 'new' ELSE 'changed' END AS origin
     FROM chg WHERE change_kind <> 'same' GROUP BY 1""", "chg")
-oracle("listing_signature", """SELECT user_id, count(*) AS n_files,
-    sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR || '-' || sum(('0x' || substr(h, 16, 15))::BIGINT)::VARCHAR AS signature FROM (
-    SELECT user_id, md5('/f' || event_id || '|' || (event_id % 97) || '|' || CAST(floor(epoch(ts)) AS BIGINT)) AS h FROM events)
-    GROUP BY user_id""")
+oracle("listing_signature", """WITH g AS (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day,
+    count(DISTINCT (event_type, event_id % 2)) AS n_files, list_sort(list(DISTINCT event_type || (event_id % 2))) AS files FROM events GROUP BY 1, 2)
+    SELECT user_id, day, n_files, min(day) OVER (PARTITION BY user_id, files) AS same_as FROM g""")
 oracle("poll_states", """, p AS (SELECT o_custkey AS session_id, year(o_orderdate) * 12 + month(o_orderdate) AS poll_no, o_orderkey FROM orders),
-    f AS (SELECT session_id, poll_no, source, format, md5(source || '|' || stem || ext || '|' || size || '|0') AS h FROM art JOIN p ON o_orderkey = case_id),
+    f AS (SELECT session_id, poll_no, source, format FROM art JOIN p ON o_orderkey = case_id),
     g AS (SELECT session_id, poll_no, count(*) AS n_files,
-      sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR || '-' || sum(('0x' || substr(h, 16, 15))::BIGINT)::VARCHAR AS signature,
       bool_or(source = 'worklog') AS w, bool_or(source = 'report') AS r, bool_or(source = 'report' AND format = 'docx') AND bool_or(source = 'report' AND format = 'html') AS pair
       FROM f GROUP BY 1, 2)
-    SELECT DISTINCT session_id, poll_no, coalesce(n_files, 0) AS n_files, coalesce(signature, '') AS signature,
-      coalesce(w AND CASE WHEN session_id % 3 = 0 THEN pair ELSE r END, false) AS present FROM p LEFT JOIN g USING (session_id, poll_no)""", "art")
+    SELECT session_id, poll_no, coalesce(n_files, 0) AS n_files,
+      coalesce(w AND CASE WHEN session_id % 3 = 0 THEN pair ELSE r END, false) AS present
+      FROM (SELECT DISTINCT session_id, poll_no FROM p) LEFT JOIN g USING (session_id, poll_no)""", "art")
 oracle("stability_runs", "SELECT user_id AS session_id, d AS poll_no, sig AS signature, present, run FROM run JOIN pol USING (user_id, d)", "run")
 oracle("stability_first", """SELECT user_id AS session_id, coalesce(min(d) FILTER (run >= 2), max(d)) AS poll_no,
     count(*) FILTER (run >= 2) > 0 AS stable FROM run GROUP BY user_id""", "run")
