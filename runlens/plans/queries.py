@@ -158,7 +158,7 @@ def prompt_quality(spark, sf):
         .when(kind == 3, F.concat(raw, F.unhex(F.lit("C3"))))
         .otherwise(raw)
     )
-    docs = v.table(spark, sf, "documents").select("doc_id", content.alias("content"))
+    docs = v.heavy_table(spark, sf, "documents", "doc_id").select("doc_id", content.alias("content"))
     problem = text.prompt_problem(F.col("content"))
     return docs.select(
         "doc_id", problem.alias("problem"),
@@ -425,7 +425,7 @@ def pending_tasks(spark, sf):
 def prompt_build(spark, sf):
     suffix = v.pick(v.mod("doc_id", 4), ["", " Please.\n", ".", None])
     prompt = text.execution_prompt(F.concat(F.col("text"), F.lit("　\n ")), suffix)
-    return v.table(spark, sf, "documents").select(
+    return v.heavy_table(spark, sf, "documents", "doc_id").select(
         "doc_id", F.md5(prompt.cast("binary")).alias("prompt_md5"), F.length(prompt).cast("bigint").alias("n_chars"))
 
 
@@ -451,7 +451,7 @@ WORD_RULES = ReplyRules(
 
 @query
 def reply_verdict(spark, sf):
-    docs = v.table(spark, sf, "documents")
+    docs = v.heavy_table(spark, sf, "documents", "doc_id")
     body = F.when(v.mod("doc_id", 50, 0), F.lit(" 　\n")).otherwise(F.col("text"))
     return docs.select("doc_id", text.reply_verdict(body, WORD_RULES).alias("verdict"))
 
@@ -471,7 +471,7 @@ def reply_verdict_default(spark, sf):
 
 @query
 def rule_hits(spark, sf):
-    hits = exploded(v.table(spark, sf, "documents"), ["lang"], text.rules_hit(F.col("text"), WORD_RULES), "h")
+    hits = exploded(v.heavy_table(spark, sf, "documents", "doc_id"), ["lang"], text.rules_hit(F.col("text"), WORD_RULES), "h")
     return hits.groupBy("lang", "h.rule_group", F.col("h.rule_no").cast("bigint").alias("rule_no")).agg(
         F.count(F.lit(1)).alias("n_docs"))
 
@@ -479,7 +479,7 @@ def rule_hits(spark, sf):
 @query
 def required_formats(spark, sf):
     body = F.concat("text", F.lit(" "), v.pick(v.mod("doc_id", 9), v.FORMAT_TEXTS))
-    return v.table(spark, sf, "documents").select("doc_id", joined(text.requested_formats(body)).alias("formats"))
+    return v.heavy_table(spark, sf, "documents", "doc_id").select("doc_id", joined(text.requested_formats(body)).alias("formats"))
 
 
 # --- JSON and commands ----------------------------------------------------------------------------
