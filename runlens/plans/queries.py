@@ -342,7 +342,8 @@ def root_paths(spark, sf):
 
 @query
 def relative_paths(spark, sf):
-    return exploded(v.page_paths(spark, sf), ["page_id"], paths.relative_paths_in(_sentence()), "found", "pos")
+    found = exploded(v.page_paths(spark, sf), ["page_id"], paths.relative_paths_in(_sentence()), "found", "pos")
+    return found.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def _sentence() -> Column:
@@ -360,7 +361,7 @@ def _sentence() -> Column:
 @query
 def target_list(spark, sf):
     turns = v.table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("pos"), F.col("text").alias("value"))
-    return tasks.normalize_targets(turns, "conv_id")
+    return tasks.normalize_targets(turns, "conv_id").withColumn("item_pos", F.col("item_pos").cast("bigint"))
 
 
 @query
@@ -381,7 +382,7 @@ def registry_report(spark, sf):
 def registry_order(spark, sf):
     t = v.tasks(spark, sf).select(F.col("absolute_id").alias("task_id"), "person", "task_no")
     return tasks.registry_order(t).select(
-        "task_no", "person", F.col("sort_key.kind").cast("bigint").alias("kind"),
+        "task_no", "person", F.col("sort_key.kind").alias("kind"),
         F.col("sort_key.digits").cast("bigint").alias("digits"), F.col("sort_key.text").alias("key_text"))
 
 
@@ -472,7 +473,7 @@ def reply_verdict_default(spark, sf):
 @query
 def rule_hits(spark, sf):
     hits = exploded(v.heavy_table(spark, sf, "documents", "doc_id"), ["lang"], text.rules_hit(F.col("text"), WORD_RULES), "h")
-    return hits.groupBy("lang", "h.rule_group", F.col("h.rule_no").cast("bigint").alias("rule_no")).agg(
+    return hits.groupBy("lang", "h.rule_group", "h.rule_no").agg(
         F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -613,7 +614,7 @@ def run_result(spark, sf):
     return run_results(spark, sf).select(
         "case_id", "person", joined("required_formats").alias("required"), joined("present_formats").alias("present"),
         joined("missing_formats").alias("missing"), "outputs_pulled", "worklogs_pulled", "summaries_pulled",
-        "dialog_verdict", "session_id", F.size("warnings").cast("bigint").alias("n_warnings"), "outcome", "failure_kind")
+        "dialog_verdict", "session_id", F.size("warnings").alias("n_warnings"), "outcome", "failure_kind")
 
 
 def run_results(spark, sf) -> DataFrame:
@@ -706,7 +707,7 @@ def meta_merge(spark, sf):
 def manifest(spark, sf):
     docs = runs.manifest(v.artifacts(spark, sf), part_size=1000)
     names = lambda c: joined(F.transform(c, lambda r: r["path"])).alias(c)
-    return docs.select("case_id", F.col("part").cast("bigint").alias("part"), names("outputs"), names("worklogs"), names("summaries"))
+    return docs.select("case_id", "part", names("outputs"), names("worklogs"), names("summaries"))
 
 
 @query

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -29,15 +30,20 @@ class ByteRange(InputPartition):
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
+    """Filesystem and path inside it; a path without a scheme, or with file:, is local."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + unquote(path[5:]).lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def as_uri(location: str, path: str) -> str:
-    scheme = location.split("://", 1)[0] + "://" if "://" in location else ""
-    if scheme in ("", "file://"):
+    """Full name of a file found below a location; local files go by their plain path."""
+    if location.startswith("file:") or "://" not in location:
         return path
-    host = location.split("://", 1)[1].split("/", 1)[0] + "/" if scheme in ("hdfs://",) else ""
-    return scheme + host + path.lstrip("/")
+    scheme, rest = location.split("://", 1)
+    # an object store's paths start with the bucket, a cluster's paths lack the host
+    host = "" if scheme.startswith(("s3", "gs")) else rest.split("/", 1)[0] + "/"
+    return f"{scheme}://{host}{path.lstrip('/')}"
 
 
 def list_sizes(location: str, suffix: str) -> dict[str, int]:

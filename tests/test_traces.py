@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.text import reply_verdict
 from runlens.operators import traces as ops
-from runlens.sources.jsonl_tail import _lines, list_sizes, split_ranges
+from runlens.sources.jsonl_tail import _lines, as_uri, list_sizes, split_ranges
 from runlens.sources.traces import (
     envelope, parse_events, read_trace_lines, read_trace_text, terminal_candidates, write_events,
 )
@@ -164,3 +164,17 @@ def test_write_events(spark, tmp_path):
     assert {str(r.event_date) for r in back.select("event_date").distinct().collect()} == {"2026-07-01", "2026-07-02", "unknown"}
     plan = back.where("event_date = '2026-07-01' and byte_offset >= 3")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(byte_offset,3)" in plan and "PartitionFilters: [isnotnull(event_date" in plan
+
+
+def test_odd_file_names(spark, tmp_path):
+    folder = tmp_path / "周 报%20"
+    folder.mkdir()
+    (folder / "a b.jsonl").write_text("{}\n")
+    for location in (str(folder), folder.as_uri()):
+        assert [(r.trace, r.line) for r in read_trace_lines(spark, location).collect()] == [(str(folder / "a b.jsonl"), "{}")]
+
+
+def test_uri_of_found_files():
+    assert as_uri("/a", "/a/b") == "/a/b"
+    assert as_uri("hdfs://host:9000/a", "/a/b") == "hdfs://host:9000/a/b"
+    assert as_uri("s3://bucket/a", "bucket/a/b") == "s3://bucket/a/b"
