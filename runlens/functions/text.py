@@ -93,7 +93,7 @@ def rules_hit(text: Column, rules: ReplyRules = ReplyRules()) -> Column:
 
 def normalize_format(extension: Column) -> Column:
     """Lower-case, drop the leading dots, fold the two aliases; other names stay."""
-    return let(F.ltrim(F.lower(extension), F.lit(".")), _fold_alias)
+    return _fold_alias(F.ltrim(F.lower(extension), F.lit(".")))
 
 
 def _fold_alias(name: Column) -> Column:
@@ -105,10 +105,10 @@ def _fold_alias(name: Column) -> Column:
 
 def _extension(path: Column, use: Callable[[Column], Column]) -> Column:
     """`use(extension)` for a path with one, else ''; a leading-dot name or a trailing dot has none."""
+    # cheap functions only: generated code computes the repeated parts once, without a lambda
     name = F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
-    return let(name, lambda n: let(F.substring_index(n, ".", -1), lambda ext: F.when(
-        (ext != "") & (F.length(n) > F.length(ext) + 1), use(ext)
-    ).otherwise("")))
+    ext = F.substring_index(name, ".", -1)
+    return F.when((ext != "") & (F.length(name) > F.length(ext) + 1), use(ext)).otherwise("")
 
 
 def path_suffix(path: Column) -> Column:
@@ -118,7 +118,7 @@ def path_suffix(path: Column) -> Column:
 
 def path_format(path: Column) -> Column:
     """Normalised format of a path's extension, '' for none."""
-    return _extension(path, lambda ext: let(F.lower(ext), _fold_alias))
+    return _extension(path, lambda ext: _fold_alias(F.lower(ext)))
 
 
 def requested_formats(

@@ -288,12 +288,14 @@ def folder_manifest(
 
     `roots`: folder name -> remote path, a configuration value. Files elsewhere are left out.
     """
+    file_name = F.substring_index("remote_path", "/", -1)
+    parent = F.substring("remote_path", F.lit(1), F.length("remote_path") - F.length(file_name) - 1)
     folder = F.lit(None).cast("string")
     for name, root in roots.items():
-        folder = F.when(F.regexp_replace("remote_path", "/[^/]*$", "") == root.rstrip("/"), name).otherwise(folder)
+        folder = F.when(parent == root.rstrip("/"), name).otherwise(folder)
     placed = pulled.withColumn("_folder", folder).where(F.col("_folder").isNotNull()).withColumn(
         "local_path", F.when(F.col("status") == "pulled", F.concat(
-            F.lit("outputs/"), "_folder", F.lit("/"), F.substring_index("remote_path", "/", -1)))
+            F.lit("outputs/"), "_folder", F.lit("/"), file_name))
     ).drop("_folder")
     record = F.struct(*[c for c in placed.columns if c != case])
     documents = collect_parts(placed, case, {"files": (record, F.lit(True))}, part_size)
