@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from runlens.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,9 +13,9 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_pairwise_join_or_global_window(spark, name):
-    text = plan(entry.queries()[name](spark, SF))
+    text = plan(QUERIES[name](spark, SF))
     assert "NestedLoop" not in text and "Cartesian" not in text
     # a window always has a partition column; `Window [...], [a#1], [...]`
     for spec in re.findall(r"Window(?:GroupLimit)? \[.*", text):
@@ -23,16 +23,16 @@ def test_no_pairwise_join_or_global_window(spark, name):
 
 
 def test_scan_reads_only_needed_columns(spark):
-    text = plan(entry.queries()["trace_terminal"](spark, SF))
+    text = plan(QUERIES["trace_terminal"](spark, SF))
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string>" in text
     assert text.count("Exchange") == 1 and "HashAggregate" in text and "SortAggregate" not in text
 
 
 def test_date_filter_is_pushed_down(spark):
-    text = plan(entry.queries()["snapshot_diff"](spark, SF))
+    text = plan(QUERIES["snapshot_diff"](spark, SF))
     assert re.search(r"PushedFilters: \[[^\]]*LessThan\(ts", text)
 
 
 def test_last_n_is_limited_before_the_shuffle(spark):
-    text = plan(entry.queries()["trace_recent_terminal"](spark, SF))
+    text = plan(QUERIES["trace_recent_terminal"](spark, SF))
     assert "WindowGroupLimit" in text and "Partial" in text
