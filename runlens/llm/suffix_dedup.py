@@ -4,13 +4,14 @@ A byte goes when it lies in a `width`-byte string that also starts earlier. Equa
 smallest k-gram (by hash, leftmost), their anchor. So each text is cut into runs of windows with one anchor,
 every window in exactly one run, and only runs with equal anchors can repeat each other:
 
-1. anchors that occur once are dropped: nothing there repeats;
-2. equal runs are one run: all but its first place are repeats throughout, found by an aggregate and a join;
-3. different runs with one anchor meet in a task, which builds the suffix array of their bytes by two-stage
-   sorting: suffixes smaller than their successor are sorted directly, the others are induced by a scan of the
-   buckets. Neighbours with a common prefix of `width` bytes are repeats of their first place.
-
-An anchor with more runs than `block_runs` is not gathered; its windows are grouped by an aggregate instead.
+1. a task that scans texts keeps the first place of equal runs; the later ones are repeats throughout;
+2. what is left is dealt out and sorted by anchor and run, so that a stream over it finds the first place of each
+   run, further repeats, and the anchors with several different runs;
+3. the bytes of these runs meet in a task per anchor, which builds their suffix array by two-stage sorting:
+   suffixes smaller than their successor are sorted directly, the others are induced by a scan of the buckets.
+   Neighbours with a common prefix of `width` bytes are repeats of their first place.
+
+An anchor with more runs than `block_runs` is not gathered; its windows go through steps 1 and 2 one by one.
 """
 
 from __future__ import annotations
@@ -23,22 +24,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import durable, durable_table, pure, rows, schema_with
+from runlens.llm.common import durable_table, pure, rows, schema_with
 
 WIDTH, GRAM = 100, 32
 
 #: Windows of a text that are hashed at a time.
 CHUNK = 1 << 18
-_BASE, _MIX = 0x9E3779B97F4A7C15 | 1, np.uint64(0xD6E8FEB86659FD93)
+
+#: Bytes of text among which a scan compares runs before they are dealt out.
+SCAN_BYTES = 16 << 20
+_BASE, _OTHER_BASE, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, np.uint64(0xD6E8FEB86659FD93)
 _PLACE = np.uint64((1 << 20) - 1)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+_RANGE = "doc long, row long, start long, end long"
+_PLACE_ROW = "anchor long, run long, doc long, row long, place long"
+
+
+def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
-    inverse = pow(_BASE, -1, 1 << 64)
     out = []
-    for base in (_BASE, inverse):
-        p = np.full(n, base, np.uint64)
+    for factor in (base, pow(base, -1, 1 << 64)):
+        p = np.full(n, factor, np.uint64)
         p[0] = 1
         out.append(np.multiply.accumulate(p))
     return out[0], out[1]
@@ -170,29 +177,128 @@ def repeats(segments: list[tuple[int, int, int, bytes]], width: int = WIDTH) ->
     return out
 
 
-def _occurrences(own: DataFrame, width: int, gram: int) -> DataFrame:
+def _split(parts: list[tuple], width: int, later: bool) -> pa.RecordBatch:
+    """First places of equal runs within a block, or the merged ranges of all later places."""
+    anchor, run, doc, row, place = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((place, doc, anchor, run))
+    anchor, run, doc, row, place = (x[order] for x in (anchor, run, doc, row, place))
+    fresh = np.concatenate([[True], (run[1:] != run[:-1]) | (anchor[1:] != anchor[:-1])])
+    if not later:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x[fresh]) for x in (anchor, run, doc, row, place)], ["anchor", "run", "doc", "row", "place"])
+    lead = np.maximum.accumulate(np.where(fresh, np.arange(len(run)), 0))
+    again = (doc != doc[lead]) | (place != place[lead])
+    doc, row, start, count = doc[again], row[again], place[again] >> 8, place[again] & 255
+    order = np.lexsort((start, row, doc))
+    doc, row, start = doc[order], row[order], start[order]
+    end = start + count[order] + width - 1
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (start[1:] > end[:-1])])[:len(doc)]
+    last = np.concatenate([new[1:], [True]])[:len(doc)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x) for x in (doc[new], row[new], start[new], end[last])], ["doc", "row", "start", "end"])
+
+
+def _scan(own: DataFrame, width: int, gram: int, later: bool) -> DataFrame:
+    """First places of equal runs within a block of texts, or the merged ranges of all later places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = powers(CHUNK + width)
+        tables, parts, size = powers(CHUNK + width), [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                parts = []
-                for doc, row, text in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
-                    for anchor, whole, start, count in runs(text.encode("utf-8", "surrogatepass"), tables, width, gram):
-                        place = start << 8 | count
-                        parts.append((anchor, whole, np.full(len(start), doc), np.full(len(start), row), place))
-                if parts:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(x)) for x in zip(*parts)], ["anchor", "run", "doc", "row", "place"])
-
-    return own.mapInArrow(run, "anchor long, run long, doc long, row long, place long")
-
-
-_RANGE = "doc long, row long, start long, end long"
-
-
-def _segments(own: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """The bytes of the chosen runs, which are brought to their texts as one list per text."""
-    lists = chosen.groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "place")).alias("runs"))
+            for doc, row, text in rows(batch):
+                data = text.encode("utf-8", "surrogatepass")
+                for anchor, whole, start, count in runs(data, tables, width, gram):
+                    parts.append((anchor, whole, np.full(len(start), doc), np.full(len(start), row), start << 8 | count))
+                size += len(data)
+                if size >= SCAN_BYTES and parts:
+                    yield _split(parts, width, later)
+                    parts, size = [], 0
+        if parts:
+            yield _split(parts, width, later)
+
+    return own.mapInArrow(run, _RANGE if later else _PLACE_ROW)
+
+
+def _scan_windows(segments: DataFrame, width: int, later: bool) -> DataFrame:
+    """The same for the single windows of crowded segments, each a run of its own, named by two hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, parts, size = [powers(CHUNK + width, base) for base in (_BASE, _OTHER_BASE)], [], 0
+        for batch in batches:
+            for _, lot, doc, row, start, data in rows(batch):
+                if not lot:
+                    continue
+                b = np.frombuffer(data, np.uint8).astype(np.uint64)
+                n = len(b) - width + 1
+                names = []
+                for power, inverse in tables:
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(b * power[:len(b)], dtype=np.uint64)])
+                    names.append(_mixed((total[width:] - total[:-width]) * inverse[:n]).view(np.int64))
+                parts.append((*names, np.full(n, doc), np.full(n, row), (start + np.arange(n)) << 8 | 1))
+                size += n
+                if size >= SCAN_BYTES // 32:
+                    yield _split(parts, width, later)
+                    parts, size = [], 0
+        if parts:
+            yield _split(parts, width, later)
+
+    return segments.mapInArrow(run, _RANGE if later else _PLACE_ROW)
+
+
+def _grouped(places: DataFrame, width: int) -> DataFrame:
+    """From first places: ranges of places that are not the first of their run, and runs whose anchor has others.
+
+    A run to compare has its number among the runs of its anchor, from 0, in `number`; a range has null there.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None  # the first row of the current run, and the number of runs of its anchor so far
+        number, waiting = 0, None
+        for batch in batches:
+            anchor, whole, doc, row, place = (np.asarray(c) for c in batch.columns)
+            out: list[tuple] = []
+            n = len(anchor)
+            if not n:
+                continue
+            fresh = np.ones(n, bool)
+            fresh[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])
+            fresh[0] = first is None or (anchor[0], whole[0]) != first[:2]
+            heads = np.flatnonzero(fresh).tolist()
+            lead_doc, lead_place = np.empty(n, np.int64), np.empty(n, np.int64)
+            if not fresh[0]:
+                lead_doc[0], lead_place[0] = first[2], first[4]
+            lead_doc[fresh], lead_place[fresh] = doc[fresh], place[fresh]
+            at = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+            lead_doc, lead_place = lead_doc[at], lead_place[at]
+            for k in heads:
+                head = (int(anchor[k]), int(whole[k]), int(doc[k]), int(row[k]), int(place[k]))
+                if first is not None and head[0] == first[0]:
+                    if waiting is not None:
+                        out.append((waiting, 0))
+                        waiting = None
+                    number += 1
+                    out.append((head, number))
+                else:
+                    number, waiting = 0, head
+                first = head
+            copied = (doc != lead_doc) | (place != lead_place)
+            start, count = place[copied] >> 8, place[copied] & 255
+            n_out, n_copied = len(out), int(copied.sum())
+            listed = [np.array([h[k] for h, _ in out], np.int64) for k in (0, 2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([
+                pa.concat_arrays([pa.array(listed[0]), pa.nulls(n_copied, pa.int64())]),
+                pa.concat_arrays([pa.array([x for _, x in out], pa.int64()), pa.nulls(n_copied, pa.int64())]),
+                pa.array(np.concatenate([listed[1], doc[copied]])), pa.array(np.concatenate([listed[2], row[copied]])),
+                pa.array(np.concatenate([listed[3] >> 8, start])),
+                pa.array(np.concatenate([(listed[3] >> 8) + (listed[3] & 255), start + count]) + (width - 1)),
+            ], ["anchor", "number", "doc", "row", "start", "end"])
+
+    return places.repartition("anchor").sortWithinPartitions("anchor", "run", "doc", "place").mapInArrow(
+        run, "anchor long, number long, " + _RANGE)
+
+
+def _segments(own: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The bytes of the chosen runs, which are brought to their texts as one list per text, dealt by anchor.
+
+    `lot` is 0, or for a crowded anchor a number from 1 on that spreads its runs.
+    """
+    lists = chosen.groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "start", "end", "crowded")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,21 +306,20 @@ def _segments(own: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
                 out = []
                 for doc, row, text, own_runs in zip(*(c.to_pylist() for c in batch.slice(at, 32).columns)):
                     data = text.encode("utf-8", "surrogatepass")
-                    for r in own_runs:
-                        start, count = r["place"] >> 8, r["place"] & 255
-                        out.append((r["anchor"], doc, row, start, data[start:start + count + width - 1]))
+                    out += [(r["anchor"], 1 + doc % 256 if r["crowded"] else 0, doc, row, r["start"], data[r["start"]:r["end"]])
+                            for r in own_runs]
                 if out:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, t) for x, t in zip(zip(*out), [pa.int64()] * 4 + [pa.binary()])],
-                        ["anchor", "doc", "row", "start", "data"])
+                        [pa.array(x, t) for x, t in zip(zip(*out), [pa.int64()] * 5 + [pa.binary()])],
+                        ["anchor", "lot", "doc", "row", "start", "data"])
 
     return own.join(lists, ["doc", "row"]).select("doc", "row", "text", "runs").mapInArrow(
-        run, "anchor long, doc long, row long, start long, data binary")
+        run, "anchor long, lot long, doc long, row long, start long, data binary").repartition("anchor", "lot")
 
 
 def _sorted_repeats(segments: DataFrame, width: int, block_bytes: int = 1 << 20) -> DataFrame:
     def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found = repeats([x[1:] for x in held], width)
+        found = repeats([x[2:] for x in held], width)
         if found:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, pa.int64()) for x in zip(*found)], ["doc", "row", "start", "end"])
@@ -223,48 +328,35 @@ def _sorted_repeats(segments: DataFrame, width: int, block_bytes: int = 1 << 20)
         held, size = [], 0
         for batch in batches:
             for r in rows(batch):
+                if r[1]:
+                    continue
                 if size > block_bytes and r[0] != held[-1][0]:
                     yield from solve(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[4])
+                size += len(r[5])
         if held:
             yield from solve(held)
 
-    return segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _RANGE)
-
-
-def _grouped_repeats(segments: DataFrame, width: int) -> DataFrame:
-    """The same for anchors with any number of runs: windows as rows, grouped by two hashes of their bytes."""
-    at = F.explode(F.sequence(F.lit(0), F.length("data") - width)).alias("k")
-    windows = segments.select("doc", "row", "start", "data", at).select(
-        F.xxhash64(F.substring("data", F.col("k") + 1, F.lit(width))).alias("a"),
-        F.xxhash64(F.lit(1), F.substring("data", F.col("k") + 1, F.lit(width))).alias("b"),
-        "doc", "row", (F.col("start") + F.col("k")).alias("start"))
-    first = windows.groupBy("a", "b").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return windows.join(first.select("a", "b", "first"), ["a", "b"]).where(F.struct("doc", "start") > F.col("first")).select(
-        "doc", "row", "start", (F.col("start") + width).alias("end"))
+    return segments.sortWithinPartitions("anchor").mapInArrow(run, _RANGE)
 
 
 def repeated_ranges(own: DataFrame, width: int = WIDTH, gram: int = GRAM, block_runs: int = 20_000) -> DataFrame:
     """(doc, row, start, end): byte ranges of (doc, row, text) rows that repeat earlier ones; they may overlap."""
     long = own.where(F.octet_length("text") >= width)
-    found = _occurrences(long, width, gram)
-    often = durable_table(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    shared = durable_table(found.join(often, "anchor"))
-    first = durable_table(shared.groupBy("anchor", "run").agg(
-        F.min(F.struct("doc", "place", "row")).alias("first"), F.count(F.lit(1)).alias("n")))
-    copied = first.where("n > 1").select("anchor", "run", F.col("first.doc").alias("doc0"), F.col("first.place").alias("place0"))
-    copies = shared.join(copied, ["anchor", "run"]).where(
-        F.struct("doc", "place") > F.struct(F.col("doc0"), F.col("place0"))).select(
-        "doc", "row", F.shiftright("place", 8).alias("start"),
-        (F.shiftright("place", 8) + F.col("place").bitwiseAND(255) + (width - 1)).alias("end"))
-    several = durable(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_runs")).where("n_runs > 1"))
-    meeting = first.select("anchor", "first.doc", "first.place", "first.row").join(several, "anchor")
-    few, many = meeting.where(f"n_runs <= {block_runs}"), meeting.where(f"n_runs > {block_runs}")
-    ranges = copies.unionAll(_sorted_repeats(_segments(long, few, width), width))
-    if several.where(f"n_runs > {block_runs}").limit(1).count():
-        ranges = ranges.unionAll(_grouped_repeats(durable_table(_segments(long, many, width)), width))
+    grouped = durable_table(_grouped(_scan(long, width, gram, later=False), width))
+    ranges = _scan(long, width, gram, later=True).unionAll(grouped.where("number is null").select("doc", "row", "start", "end"))
+    runs_ = grouped.where("number is not null").drop("number")
+    crowded = grouped.where(F.col("number") == block_runs).select("anchor")
+    some = crowded.limit(1).count() > 0
+    mark = F.lit(True).alias("crowded")
+    marked = runs_.join(crowded.select("anchor", mark), "anchor", "left") if some else runs_.withColumn("crowded", F.lit(False))
+    # one exchange of the segments serves all that follows: rows of the other kind are passed over, not filtered
+    segments = _segments(own, marked)
+    ranges = ranges.unionAll(_sorted_repeats(segments, width))
+    if some:
+        single = _grouped(_scan_windows(segments, width, later=False), width).where("number is null")
+        ranges = ranges.unionAll(_scan_windows(segments, width, later=True)).unionAll(single.select("doc", "row", "start", "end"))
     return ranges
 
 
@@ -276,14 +368,21 @@ def dedup_passages(
 
     Every byte in a `width`-byte string that also starts earlier goes: in a document with a smaller id or at an
     earlier start of the same one. Null texts are empty and lose nothing, like texts shorter than `width`.
-    Ids are integers. Rows that share an id count as one document whose starts are compared; rows without an
+    Ids are integers below 2**63 - 1. Rows that share an id count as one document whose starts are compared; rows without an
     id count as one document after all others. Other columns are ignored. `with_text` adds the bytes kept.
     """
-    own = pure(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text")).select(
-        "id", F.coalesce(F.col("id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("row"), "text")
-    ranges = repeated_ranges(own.select("doc", "row", "text"), width, gram, block_runs)
+    named = pure(docs, id=id_col, text=text_col)
+    last = (1 << 63) - 1
+    shared = named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and id is not null").limit(1).count()
+    token = F.xxhash64("text").bitwiseOR(F.lit(1))  # tells rows of one id apart; 0 where ids do
+    row = token if shared else F.when(F.col("id").isNull(), token).otherwise(F.lit(0).cast("long"))
+    own = named.select("id", F.coalesce("text", F.lit("")).alias("text")).select(
+        F.coalesce(F.col("id").cast("long"), F.lit(last)).alias("doc"), row.alias("row"), "text")
+    ranges = repeated_ranges(own, width, gram, block_runs)
     lists = ranges.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    joined = own.join(lists, ["doc", "row"], "left").select("id", "text", "ranges")
+    back = F.when((F.col("doc") == last) & (F.col("row") != 0), F.lit(None)).otherwise(F.col("doc"))
+    joined = own.join(lists, ["doc", "row"], "left").select(
+        back.cast(named.schema["id"].dataType).alias("id"), "text", "ranges")
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
