@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import durable, pure, rows, schema_with
@@ -103,14 +103,13 @@ def pieces(
     return own.mapInArrow(run, schema_with(own, fields))
 
 
-def bands(capacity: int) -> list[tuple[int, int, int]]:
-    """(k, shortest - 1, longest) of the rounds: k pieces of a band always fit into an empty sequence."""
-    counts, k = [], 1
+def bands(capacity: int) -> list[tuple[int, int]]:
+    """(shortest - 1, longest) of the rounds, from long to short."""
+    tops, k = [], 1
     while k < capacity:
-        counts.append(k)
-        k = max(k + 1, k * 4 // 3)
-    tops = [capacity // k for k in counts] + [0]
-    return [(capacity // high, low, high) for high, low in zip(tops, tops[1:]) if high > low]
+        tops.append(capacity // k)
+        k = max(k + 1, k * 3 // 2)
+    return [(low, high) for high, low in zip(tops, [*tops[1:], 0]) if high > low]
 
 
 _SWEPT = "piece boolean, pid long, sequence long, size long, run int, place long"
@@ -143,7 +142,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matches(counts: dict[int, tuple[int, int]]) -> tuple[list[tuple], list[tuple]]:
-    """Rank ranges of pieces and gaps that partitions match between them, and those of pieces that open sequences.
+    """Rank ranges of pieces and gaps that partitions match between them, and those of pieces that find none.
 
     `counts`: (pieces, gaps) left over per partition; all gaps of a partition are smaller than those of
     earlier ones and at least as large as the pieces of later ones, so the latest free gap is the tightest.
@@ -169,8 +168,30 @@ def _matches(counts: dict[int, tuple[int, int]]) -> tuple[list[tuple], list[tupl
     return joined, opened
 
 
-def _round(spark: SparkSession, band: DataFrame, gaps: DataFrame, k: int, low: int, high: int, next_sequence: int) -> tuple[DataFrame, int]:
+def _openings(counts: dict[int, int], capacity: int, next_sequence: int) -> tuple[list[tuple], int]:
+    """How pieces in order of falling size fill new sequences, each with as many as its first one allows.
+
+    `counts`: pieces per size. Per size: rank of its first piece, how many complete the sequence before and that
+    sequence, the first sequence of the others, how many it takes.
+    """
+    out, rank, open_sequence, room = [], 0, -1, 0
+    for size in sorted(counts, reverse=True):
+        n, k = counts[size], capacity // size
+        joining = min(n, room)
+        others = n - joining
+        out.append((size, rank, joining, open_sequence, next_sequence, k))
+        room -= joining
+        if others:
+            used = -(-others // k)
+            open_sequence, room = next_sequence + used - 1, used * k - others
+            next_sequence += used
+        rank += n
+    return out, next_sequence
+
+
+def _round(band: DataFrame, gaps: DataFrame, low: int, high: int, capacity: int, next_sequence: int) -> tuple[DataFrame, int]:
     """(pid, sequence, size) of all pieces of the band, and the next free sequence number."""
+    spark = band.sparkSession
     slots = F.greatest(F.floor(F.col("gap") / high), F.lit(1))
     first = F.col("gap") - (slots - 1) * high
     spread = gaps.where(F.col("gap") > low).select("sequence", F.explode(
@@ -192,28 +213,35 @@ def _round(spark: SparkSession, band: DataFrame, gaps: DataFrame, k: int, low: i
         placed = placed.unionAll(target.join(free, ["run", "place"]).select("pid", "sequence", "size"))
     if opened:
         table = spark.createDataFrame(opened, "run int, low long, high long, shift long")
-        rank = F.col("place") + F.col("shift")
-        placed = placed.unionAll(waiting.join(F.broadcast(table), "run").where("place >= low and place < high").select(
-            "pid", (F.lit(next_sequence) + F.floor(rank / k)).cast("long").alias("sequence"), "size"))
-        n = sum(high_ - low_ for _, low_, high_, _ in opened)
-        next_sequence += -(-n // k)
-    return durable(placed), next_sequence
+        alone = waiting.join(F.broadcast(table), "run").where("place >= low and place < high").select(
+            "pid", "size", (F.col("place") + F.col("shift")).alias("rank"))
+        sizes = {r[0]: r[1] for r in alone.groupBy("size").agg(F.count(F.lit(1))).collect()}
+        plan, next_sequence = _openings(sizes, capacity, next_sequence)  # an entry per size
+        fill = spark.createDataFrame(plan, "size long, first long, joining long, before long, base long, k long")
+        at = F.col("rank") - F.col("first")
+        sequence = F.when(at < F.col("joining"), F.col("before")).otherwise(
+            F.col("base") + F.floor((at - F.col("joining")) / F.col("k")))
+        placed = placed.unionAll(alone.join(F.broadcast(fill), "size").select("pid", sequence.cast("long").alias("sequence"), "size"))
+    return durable(placed.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))), next_sequence
 
 
 def assign(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(pid, sequence, size): a sequence from 0 on for every (pid, length) row of length 1 to `capacity`."""
     spark = sizes.sparkSession
     limits = bands(capacity)
-    names = F.coalesce(*[F.when(F.col("length") > low, F.lit(b)) for b, (_, low, _) in enumerate(limits)])
+    names = F.coalesce(*[F.when(F.col("length") > low, F.lit(b)) for b, (low, _) in enumerate(limits)])
     counts = {r[0]: r[1] for r in sizes.groupBy(names.alias("b")).agg(F.count(F.lit(1))).collect()}
-    none = spark.createDataFrame([], "pid long, sequence long, size long")
-    every, next_sequence = none, 0
-    for b, (k, low, high) in enumerate(limits):
+    every = spark.createDataFrame([], "pid long, sequence long, size long")
+    gaps, next_sequence = spark.createDataFrame([], "sequence long, gap long"), 0
+    for b, (low, high) in enumerate(limits):
         if not counts.get(b):
             continue
-        gaps = every.groupBy("sequence").agg((F.lit(capacity).cast("long") - F.sum("size")).alias("gap")).where("gap > 0")
+        known = next_sequence
         band = sizes.where((F.col("length") > low) & (F.col("length") <= high))
-        placed, next_sequence = _round(spark, band, gaps, k, low, high, next_sequence)
+        placed, next_sequence = _round(band, gaps, low, high, capacity, known)
+        whole = F.when(F.col("sequence") >= known, F.lit(capacity)).otherwise(F.lit(0))
+        taken = placed.select("sequence", (-F.col("size")).alias("gap"))
+        gaps = durable(gaps.unionAll(taken).groupBy("sequence").agg((F.sum("gap") + F.first(whole)).cast("long").alias("gap")).where("gap > 0"))
         every = every.unionAll(placed)
     return every
 
