@@ -56,28 +56,3 @@ def first_per_key(df: DataFrame, keys: Cols, order: Column | str, columns: Cols
     row = F.min_by(F.struct(*rest), order)
     return df.groupBy(*keys).agg(row.alias("_row")).select(*keys, *[f"_row.{c}" for c in rest])
 
-
-def collect_parts(
-    df: DataFrame, keys: Cols, records: dict[str, tuple[Column, Column]], part_size: int = 1000
-) -> DataFrame:
-    """Nested arrays of records per key, in parts of bounded size.
-
-    `records` maps an output array to (record struct, condition). A key with at most `part_size`
-    records gives one row, that is, the whole document. A larger key is spread by hash over as many
-    parts as it needs, so that no task ever holds all of a hot key. Nothing is dropped.
-    """
-    keys = names(keys)
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_size).select(
-        *keys, F.ceil(F.col("_n") / part_size).cast("int").alias("_parts")
-    )
-    # large keys are few: a key is one only if it has more than `part_size` records
-    spread = (
-        join_spread(df, large, keys, how="left")
-        .withColumn("n_parts", F.coalesce("_parts", F.lit(1)))
-        .withColumn("part", F.pmod(F.xxhash64(*df.columns), F.col("n_parts")).cast("int"))
-    )
-    arrays = [
-        F.array_sort(F.collect_list(F.when(condition, record))).alias(name)
-        for name, (record, condition) in records.items()
-    ]
-    return spread.groupBy(*keys, "part", "n_parts").agg(*arrays)

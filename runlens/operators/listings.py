@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import fixed_values as fv
 from runlens.functions.text import path_format
-from runlens.operators.common import Cols, join_spread, names
+from runlens.operators.common import Cols, names
 
 
 def snapshot_diff(current: DataFrame, before: DataFrame, path: str = "path") -> DataFrame:
@@ -106,7 +106,7 @@ def poll_states(
     if required is None:
         state = state.withColumn("_required", F.array().cast("array<string>"))
     else:
-        state = join_spread(state, required.select(session, F.col("required").alias("_required")), session, by=poll, how="left")
+        state = state.join(required.select(session, F.col("required").alias("_required")), session, "left")
     formats = F.coalesce("_formats", F.array().cast("array<string>"))
     wanted = F.coalesce("_required", F.array().cast("array<string>"))
     enough = F.when(F.size(wanted) > 0, F.size(F.array_except(wanted, formats)) == 0).otherwise(F.size(formats) > 0)
@@ -215,7 +215,7 @@ def session_artifacts(
     the data and add nothing.
     """
     root = workspace_root.rstrip("/") + "/"
-    below = F.substring(F.col(path), len(root) + 1, 1 << 20)
+    below = F.substr(path, F.lit(len(root) + 1), F.length(path))
     inside = listing.where(F.startswith(path, F.lit(root)))
     shared_under = lambda rel: F.startswith(below, F.lit(rel + "/"))
     source = F.when(shared_under(fv.WORKLOG_RELATIVE_ROOT), "worklog").when(
@@ -227,7 +227,7 @@ def session_artifacts(
         tagged.where(F.col("source") == "report")
         .withColumn(session, F.get(F.split(below, "/"), F.lit(0)))
     )
-    reports = join_spread(reports, wanted, [owner, session], by=path, how="left_semi")
+    reports = reports.join(wanted, [owner, session], "left_semi")
     shared = tagged.where(F.col("source") != "report").withColumn(session, F.lit(None).cast("string"))
     rows = reports.unionByName(shared)
 

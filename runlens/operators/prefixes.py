@@ -1,8 +1,8 @@
 """Joins between paths and the directories above them.
 
-"Path starts with root" is not an equi join, and Spark would compare every pair. But a root of
-depth d can only be the first d segments of a path, so one equi join per root depth that occurs
-gives the same answer. Those depths are few: they are bounded by how deep a path can be.
+"Path starts with root" is not an equi join, and Spark would compare every pair. But the directories
+above a path are few, so each distinct path becomes a row per directory above it and one equi join finds
+the roots among them. Adaptive execution decides by size whether to broadcast.
 """
 
 from __future__ import annotations
@@ -12,89 +12,66 @@ from pyspark.sql import functions as F
 
 from runlens.functions.paths import is_excluded_path, is_worklog_path
 from runlens.functions.text import let
-from runlens.operators.common import exploded, first_per_key, join_spread
-from runlens.session import bounded_broadcast
+from runlens.operators.common import exploded, first_per_key
 
 
 def _depth(path: Column) -> Column:
     return F.size(F.split(path, "/"))
 
 
-def _ancestor(path: Column, depth: Column | int) -> Column:
-    """First `depth` segments of a path; null when the path is shorter than that."""
-    d = F.lit(depth) if isinstance(depth, int) else depth
-    return let(F.split(path, "/"), lambda parts: F.when(
-        F.size(parts) >= d, F.array_join(F.slice(parts, F.lit(1), d), "/")
-    ))
+def _with_ancestors(rows: DataFrame, columns: list[str], path: str, above: DataFrame, name: str) -> DataFrame:
+    """A row per directory at or above `path`, down to the depth of the deepest entry of `above`.
 
+    That depth is a scalar subquery: no job runs while the plan is built, and no path is cut into more
+    ancestors than can match.
+    """
+    deepest = above.agg(F.coalesce(F.max(_depth(F.col(name))), F.lit(0)).alias("d")).scalar()
+    cut = F.struct(F.split(path, "/").alias("parts"), F.col("_deepest").alias("deepest"))
+
+    def directories(c: Column) -> Column:
+        n = F.least(F.size(c["parts"]), c["deepest"])
+        levels = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(levels, lambda d: F.array_join(F.slice(c["parts"], F.lit(1), d), "/"))
 
-def _depths(roots: DataFrame, root: str) -> list[int]:
-    """Distinct root depths: a handful of integers, whatever the number of roots."""
-    return sorted(r[0] for r in roots.select(_depth(F.col(root))).distinct().collect())
+    return exploded(rows.withColumn("_deepest", deepest), columns, let(cut, directories), name)
 
 
 def longest_root(
-    paths: DataFrame, roots: DataFrame, path: str = "path", root: str = "root_path", label: str = "root_label"
+    paths: DataFrame, roots: DataFrame, path: str = "path", root: str = "root_path", label: str = "root_label",
+    keep_all: bool = False,
 ) -> DataFrame:
-    """Rows of `paths` that are at or below a root, with the longest such root and its label."""
+    """Rows of `paths` that are at or below a root, with the longest such root and its label.
+
+    `keep_all` keeps the other rows too, with nulls.
+    """
     roots = first_per_key(
         roots.select(F.regexp_replace(root, "/+$", "").alias(root), F.col(label)), root, label
     )
-    depths = _depths(roots, root)
-    _, small = bounded_broadcast(roots)
-    if not small:
-        return _longest_root_shuffled(paths, roots, depths, path, root, label)
-    found = paths
-    for d in depths:
-        side = roots.where(_depth(F.col(root)) == d).select(
-            F.col(root).alias(f"_r{d}"), F.col(label).alias(f"_l{d}")
-        )
-        found = found.join(F.broadcast(side), _ancestor(F.col(path), d) == F.col(f"_r{d}"), "left")
-    deepest = [F.struct(F.col(f"_r{d}").alias(root), F.col(f"_l{d}").alias(label)) for d in reversed(depths)]
-    best = F.coalesce(*[F.when(s[root].isNotNull(), s) for s in deepest]) if deepest else F.lit(None)
-    if not deepest:
-        return paths.where(F.lit(False)).withColumn(root, F.lit("")).withColumn(label, F.lit(""))
-    return (
-        found.withColumn("_best", best)
-        .where(F.col("_best").isNotNull())
-        .select(*paths.columns, f"_best.{root}", f"_best.{label}")
-    )
-
-
-def _longest_root_shuffled(paths, roots, depths, path, root, label) -> DataFrame:
-    """The same for root tables too large to broadcast: distinct paths meet roots in one shuffle."""
-    distinct = paths.select(path).distinct()
-    ancestors = exploded(distinct, [path], _ancestors(F.col(path), depths), root)
-    best = join_spread(ancestors, roots, root, by=path).groupBy(path).agg(
+    ancestors = _with_ancestors(paths.select(path).distinct(), [path], path, roots, root)
+    best = ancestors.join(roots, root).groupBy(path).agg(
         F.max_by(F.struct(root, label), F.length(root)).alias("_best")
     )
-    return join_spread(paths, best, path).select(*paths.columns, f"_best.{root}", f"_best.{label}")
-
-
-def _ancestors(path: Column, depths: list[int]) -> Column:
-    return F.transform(F.array(*[F.lit(d) for d in depths]), lambda d: _ancestor(path, d))
+    return paths.join(best, path, "left" if keep_all else "inner").select(
+        *paths.columns, f"_best.{root}", f"_best.{label}")
 
 
 def files_below(listing: DataFrame, dirs: DataFrame, path: str = "path", directory: str = "dir") -> DataFrame:
     """(dir, listing row) for every listed file at any depth below a directory."""
     dirs = dirs.select(directory).distinct()
-    depths = _depths(dirs, directory)
-    if not depths:
-        return listing.where(F.lit(False)).withColumn(directory, F.lit(""))
-    side, small = bounded_broadcast(dirs)
-    spread = exploded(listing, listing.columns, _ancestors(F.col(path), depths), directory)
-    spread = spread.where(F.col(directory) != F.col(path))
-    return spread.join(side, directory) if small else join_spread(spread, dirs, directory, by=path)
+    spread = _with_ancestors(listing, listing.columns, path, dirs, directory)
+    return spread.where(F.col(directory) != F.col(path)).join(dirs, directory)
 
 
 def resolve_paths(
-    detected: DataFrame, listing: DataFrame, path: str = "remote_path", file_path: str = "path"
+    detected: DataFrame, listing: DataFrame, path: str = "remote_path", file_path: str = "path",
+    roots: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(matches, status per detected path).
 
     A detected path matches the listed file of that name; a work-log path that is a directory
     matches all files below it. Excluded paths are not looked up. Matches are rows, not arrays, so
-    a directory with a third of all files stays spread out.
+    a directory with a third of all files stays spread out. With `roots` (root_path, root_label), each match
+    carries the longest root above its file.
     """
     wanted = detected.select(F.regexp_replace(path, "/+$", "").alias(path)).distinct()
     lookup = wanted.where(~is_excluded_path(F.col(path)))
@@ -103,6 +80,8 @@ def resolve_paths(
     dirs = lookup.where(is_worklog_path(F.col(path))).select(F.col(path).alias("dir"))
     below = files_below(files, dirs, file_path).select(F.col("dir").alias(path), file_path, "size", "mtime")
     matches = exact.unionByName(below)
+    if roots is not None:
+        matches = longest_root(matches, roots, file_path, keep_all=True)
     counts = matches.groupBy(path).agg(F.count(F.lit(1)).alias("n_files"))
     status = (
         F.when(is_excluded_path(F.col(path)), "ignored_internal_workspace")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import fixed_values as fv
-from runlens.functions.paths import safe_relative
+from runlens.functions.ids import natural_key
 from runlens.functions.text import path_format, requested_formats
-from runlens.operators.common import Cols, collect_parts, join_spread, names, order_key
+from runlens.operators.common import Cols, names, order_key
 
 
 # --- deliverables -------------------------------------------------------------------------------
@@ -155,7 +157,7 @@ def attempts(ledger: DataFrame, case: str = "case_id", order: Cols = "attempt")
 def current_attempts(ledger: DataFrame, case: str = "case_id", attempt: str = "attempt") -> DataFrame:
     """Ledger rows of the latest attempt of each case; earlier attempts are history."""
     latest = ledger.groupBy(case).agg(F.max(attempt).alias(attempt))
-    return join_spread(ledger, latest, [case, attempt], how="left_semi")
+    return ledger.join(latest, [case, attempt], "left_semi")
 
 
 def task_status(tasks: DataFrame, ledger: DataFrame, case: str = "case_id", attempt: str = "attempt") -> DataFrame:
@@ -176,24 +178,35 @@ def task_status(tasks: DataFrame, ledger: DataFrame, case: str = "case_id", atte
 
 def stop_on_error(
     results: DataFrame, group: str = "person", order: Cols = "task_no", failed: str = "failed",
-    group_order: Cols | None = None,
+    group_order: Cols | None = None, batch: Cols = (),
 ) -> DataFrame:
     """Adds `executed`: whether a batch that stops at its first failure would reach the row.
 
     Inside a group everything up to its first failed row runs; groups after the first group with a
-    failure do not run at all. The first failures are minimums, joined back, so neither a window
-    nor a global sort is needed. `group_order` must be constant inside a group.
+    failure do not run at all. `batch` names the columns of a batch; without any, all rows are one. Groups
+    stand in the order of `group_order`, which must be constant inside a group, by default in the natural
+    order of their first id (the last column of `order`). The first failures are minimums, joined back, so
+    neither a window nor a global sort is needed.
     """
-    position = order_key(order)
-    place = order_key(group_order) if group_order else F.col(group)
-    first = results.where(F.col(failed)).groupBy(group).agg(F.min(position).alias("_first_failed"))
-    reached = join_spread(results, first, group, by=order, how="left").withColumn(
-        "_in_group", F.col("_first_failed").isNull() | (position <= F.col("_first_failed"))
-    )
-    # one value for the whole batch: the earliest group that has a failure
-    stop_at = results.where(F.col(failed)).agg(F.min(place).alias("stop_at"))
-    in_batch = F.coalesce(place <= stop_at.scalar(), F.lit(True))
-    return reached.withColumn("executed", F.col("_in_group") & in_batch).drop("_first_failed", "_in_group")
+    position, keys = order_key(order), names(batch)
+    rows = results
+    if group_order is None:
+        first_id = results.groupBy(*keys, group).agg(
+            F.min(natural_key(F.col(names(order)[-1]).cast("string"))).alias("_id"))
+        rows = rows.join(first_id.withColumn("_place", F.struct("_id", group)).drop("_id"), [*keys, group])
+    else:
+        rows = rows.withColumn("_place", order_key(group_order))
+    first = rows.where(F.col(failed)).groupBy(*keys, group).agg(
+        F.min(position).alias("_first_failed"), F.min("_place").alias("_group_place"))
+    in_group = F.col("_first_failed").isNull() | (position <= F.col("_first_failed"))
+    reached = rows.join(first.drop("_group_place"), [*keys, group], "left")
+    if keys:
+        stop = first.groupBy(*keys).agg(F.min("_group_place").alias("_stop"))
+        reached, stop_at = reached.join(stop, keys, "left"), F.col("_stop")
+    else:
+        stop_at = first.agg(F.min("_group_place").alias("_stop")).scalar()
+    in_batch = F.coalesce(F.col("_place") <= stop_at, F.lit(True))
+    return reached.withColumn("executed", in_group & in_batch).select(*results.columns, "executed")
 
 
 # --- batches ----------------------------------------------------------------------------------------
@@ -226,65 +239,63 @@ def batch_rollup(runs: DataFrame, run: str = "run_id", person: str = "person") -
     ).withColumn("ok", F.col("n_failed") == 0)
 
 
-META_FIELDS = (
-    "remote_log", "remote_user_id", "remote_log_name", "pulled_at",
-    "session_id", "dialog_round", "dialog_verdict", "runner_warnings",
-)
+def meta_merge(updates: DataFrame, case: str = "case_id", order: Cols = "seq") -> DataFrame:
+    """Latest value of every field per case, as rows (case, field, value, order).
 
+    A row means that the field was set, even to null; a field never set has no row. The result has the
+    shape of its input, so it can be merged again with later updates, and free fields are kept.
+    """
+    latest = F.max_by(F.struct("value", *names(order)), order_key(order)).alias("_last")
+    return updates.groupBy(case, "field").agg(latest).select(
+        case, "field", "_last.value", *[f"_last.{c}" for c in names(order)])
 
-def meta_merge(
-    updates: DataFrame, case: str = "case_id", order: Cols = "seq", fields: tuple[str, ...] = META_FIELDS
-) -> DataFrame:
-    """Latest value of every field per case, from rows (case, order, field, value).
 
-    A row means that the field was set, even to null; fields never set stay null.
-    """
-    key = order_key(order)
-    latest = [
-        F.max_by(F.col("value"), F.when(F.col("field") == f, key)).alias(f) for f in fields
-    ]
-    return updates.groupBy(case).agg(*latest)
+def meta_wide(merged: DataFrame, fields: Sequence[str], case: str = "case_id") -> DataFrame:
+    """One row per case with a column per named field; null when it was never set or set to null."""
+    return merged.groupBy(case).agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields])
+
 
+SECTIONS = {"report": "outputs", "worklog": "worklogs", "summary": "summaries"}
 
-def manifest(artifacts: DataFrame, case: str = "case_id", part_size: int = 1000) -> DataFrame:
-    """Artifact records of each case as sorted arrays: outputs, worklogs and summaries.
 
-    A case with more than `part_size` records is written as several parts (`part`, `n_parts`).
+def manifest(artifacts: DataFrame, case: str = "case_id", path: str = "path") -> DataFrame:
+    """Records of the cases' manifests: a row per artifact with its section and its place in natural order.
+
+    The layout is the same for a case of any size: a document is its header (`manifest_headers`) and the rows
+    of its key by (section, sort_key). Records without a known source belong to no section and are left out.
     """
-    record = F.struct(*[c for c in artifacts.columns if c not in (case, "source")])
-    arrays = {
-        name: (record, F.col("source") == source)
-        for name, source in (("outputs", "report"), ("worklogs", "worklog"), ("summaries", "summary"))
-    }
-    return collect_parts(artifacts, case, arrays, part_size)
+    section = F.lit(None).cast("string")
+    for source, name in SECTIONS.items():
+        section = F.when(F.col("source") == source, name).otherwise(section)
+    rest = [c for c in artifacts.columns if c not in (case, "source")]
+    return artifacts.select(case, section.alias("section"), natural_key(F.col(path)).alias("sort_key"), *rest).where(
+        "section is not null")
 
 
-def manifest_documents(
-    cases: DataFrame, artifacts: DataFrame, workspace_root: str = fv.WORKSPACE_ROOT, part_size: int = 1000
+def manifest_headers(
+    cases: DataFrame, artifacts: DataFrame, workspace_root: str = fv.WORKSPACE_ROOT
 ) -> DataFrame:
-    """Manifest documents with their header; `cases`: case_id, task_id, session_id, pulled_at.
+    """Manifest headers with the number of records per section; a case without artifacts has zeros.
 
-    A case without artifacts has a document with empty arrays.
+    `cases`: case_id, task_id, session_id, pulled_at, and optionally selection_source.
     """
     root = workspace_root.rstrip("/") + "/"
-    records = manifest(artifacts, "case_id", part_size)
-    empty = lambda c: F.coalesce(c, F.array()).alias(c)
-    return cases.join(records, "case_id", "left").select(
-        "task_id", "case_id", "pulled_at", "session_id",
+    counts = artifacts.groupBy("case_id").agg(
+        *[F.count_if(F.col("source") == source).alias(f"n_{name}") for source, name in SECTIONS.items()])
+    selection = [c for c in ("selection_source",) if c in cases.columns]
+    return cases.join(counts, "case_id", "left").select(
+        "task_id", "case_id", "pulled_at", "session_id", *selection,
         F.struct(
             F.concat(F.lit(root), "session_id").alias("session_root"),
             F.lit(root + fv.WORKLOG_RELATIVE_ROOT).alias("worklog_root"),
             F.lit(root + fv.SUMMARY_RELATIVE_ROOT).alias("summary_root"),
         ).alias("workspace"),
-        F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("n_parts", F.lit(1)).alias("n_parts"),
-        empty("outputs"), empty("worklogs"), empty("summaries"),
+        *[F.coalesce(f"n_{name}", F.lit(0)).alias(f"n_{name}") for name in SECTIONS.values()],
     )
 
 
-def folder_manifest(
-    pulled: DataFrame, roots: dict[str, str], case: str = "case_id", part_size: int = 1000
-) -> DataFrame:
-    """Manifest of files pulled from fixed root folders: one list, each file under its folder's name.
+def folder_manifest(pulled: DataFrame, roots: dict[str, str], case: str = "case_id") -> DataFrame:
+    """Records of files pulled from fixed root folders, each under its folder's name, in natural order.
 
     `roots`: folder name -> remote path, a configuration value. Files elsewhere are left out.
     """
@@ -293,13 +304,10 @@ def folder_manifest(
     folder = F.lit(None).cast("string")
     for name, root in roots.items():
         folder = F.when(parent == root.rstrip("/"), name).otherwise(folder)
-    placed = pulled.withColumn("_folder", folder).where(F.col("_folder").isNotNull()).withColumn(
-        "local_path", F.when(F.col("status") == "pulled", F.concat(
-            F.lit("outputs/"), "_folder", F.lit("/"), file_name))
-    ).drop("_folder")
-    record = F.struct(*[c for c in placed.columns if c != case])
-    documents = collect_parts(placed, case, {"files": (record, F.lit(True))}, part_size)
-    return documents.withColumn("remote_roots", F.array(*[F.lit(r) for r in roots.values()]))
+    local = F.when(F.col("status") == "pulled", F.concat(F.lit("outputs/"), "folder", F.lit("/"), file_name))
+    rest = [c for c in pulled.columns if c != case]
+    return pulled.withColumn("folder", folder).where(F.col("folder").isNotNull()).select(
+        case, "folder", natural_key(F.col("remote_path")).alias("sort_key"), *rest, local.alias("local_path"))
 
 
 HANDOFF_ROOTS = ("metadata", "deliverables", "logs", "taskArtifacts")
@@ -307,14 +315,16 @@ HANDOFF_ROOTS = ("metadata", "deliverables", "logs", "taskArtifacts")
 
 def handoff(
     batches: DataFrame, entries: DataFrame, run: str = "run_id", roots: dict[str, str] | None = None,
-    part_size: int = 1000, adapter: str = fv.TASK_ADAPTER,
-) -> DataFrame:
-    """Batch hand-off documents: header fields and the task entries, in parts for huge batches.
+    adapter: str = fv.TASK_ADAPTER,
+) -> tuple[DataFrame, DataFrame]:
+    """Batch hand-offs: (a header per batch, a row per task entry with its place in natural order).
 
     `entries`: run, task_id, person, execution_outcome, metadata, trace, outputs, marker,
     run_dir and the `has_*` flags of `batch_ready`.
     """
-    entry = F.struct(
+    rows = entries.select(
+        F.col(run).alias("runId"),
+        natural_key(F.col("task_id")).alias("sort_key"),
         F.col("task_id").alias("taskId"),
         "person",
         F.col("execution_outcome").alias("executionOutcome"),
@@ -326,25 +336,14 @@ def handoff(
             "metadata", F.lit(None).cast("string").alias("data"), "outputs", F.col("run_dir").alias("runnerTaskDir")
         ).alias("judgeInputs"),
     )
-    parts = collect_parts(entries, run, {"tasks": (entry, F.lit(True))}, part_size)
-    header = batch_ready(batches, entries, run)
     places = [F.lit((roots or {}).get(r)).cast("string").alias(r) for r in HANDOFF_ROOTS]
-    return header.join(parts, run, "left").select(
+    headers = batch_ready(batches, entries, run).select(
         F.lit(fv.HANDOFF_VERSION).alias("version"),
         F.lit(adapter).alias("adapter"),
         F.col(run).alias("runId"),
         F.col("runner_finished").alias("runnerFinished"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("writtenAt"),
         F.struct(*places).alias("roots"),
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("n_parts", F.lit(1)).alias("nParts"),
-        F.coalesce(F.transform("tasks", lambda t: t["taskId"]), F.array().cast("array<string>")).alias("taskIds"),
-        F.coalesce("tasks", F.array()).alias("tasks"),
+        F.col("n_tasks").alias("nTasks"),
     )
-
-
-def local_path(case: Column) -> Column:
-    """Where a pulled artifact belongs: reports under `outputs`, the rest under its label."""
-    relative = safe_relative(F.col("path"), F.col("root_path"), F.col("root_label"))
-    base = F.when(F.col("source") == "report", F.concat(case, F.lit("/outputs"))).otherwise(case)
-    return F.concat_ws("/", base, relative)
+    return headers, rows

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runlens.functions import fixed_values as fv
 from runlens.functions.ids import id_problem, natural_key, safe_id
 from runlens.functions.text import is_blank, run_mmdd, strip_ws, target_items
-from runlens.operators.common import Cols, exploded, first_per_key, join_spread, names
+from runlens.operators.common import Cols, exploded, join_spread, names
 
 
 def normalize_targets(values: DataFrame, list_id: Cols, pos: str = "pos", value: str = "value") -> DataFrame:
@@ -83,12 +83,6 @@ def targets_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "target STRING, person STRING, week INT, week_label STRING")
 
 
-def _dim(df: DataFrame) -> DataFrame:
-    from runlens.session import bounded_broadcast
-
-    return bounded_broadcast(df)[0]
-
-
 def resolve_targets(targets: DataFrame, tasks: DataFrame) -> DataFrame:
     """Which task each target code means: `unique` with its id, `none` or `ambiguous`.
 
@@ -104,7 +98,7 @@ def resolve_targets(targets: DataFrame, tasks: DataFrame) -> DataFrame:
     )
     task_id = strip_ws(F.coalesce("absolute_id", F.lit("")))
     hits = (
-        tasks.join(_dim(targets), "person")
+        tasks.join(targets, "person")
         .where(matches & (task_id != ""))
         .groupBy("target")
         .agg(F.count(F.lit(1)).alias("n"), F.min(task_id).alias("task_id"))
@@ -117,9 +111,7 @@ def resolve_targets(targets: DataFrame, tasks: DataFrame) -> DataFrame:
     )
 
 
-def task_target(
-    prefixes: DataFrame | None = None, weeks: Sequence[tuple[int, str]] = fv.TASK_WEEK_LABELS
-) -> Column:
+def task_target(weeks: Sequence[tuple[int, str]] = fv.TASK_WEEK_LABELS) -> Column:
     """Target code of a task row, from `mock_target`, else its person's `prefix` and week."""
     explicit = F.lower(strip_ws(F.coalesce("mock_target", F.lit(""))))
     raw_week = F.col("mock_week")
@@ -142,7 +134,7 @@ def assign_targets(
     problem = F.when(target.isNotNull(), F.lit(None).cast("string")).when(
         F.col("prefix").isNull(), "unknown-person"
     ).otherwise("unknown-week")
-    return tasks.join(_dim(prefixes), "person", "left").select(
+    return tasks.join(prefixes, "person", "left").select(
         *tasks.columns, target.alias("target"), problem.alias("target_problem")
     )
 
@@ -170,29 +162,30 @@ def pending_tasks(tasks: DataFrame, ledger: DataFrame, rerun: bool = False, task
     return tasks.join(done, task_id, "left_anti")
 
 
-def next_batch_version(used: DataFrame, run_date: str = "run_date", version: str = "version") -> DataFrame:
-    """Smallest free version per MMDD; gaps are filled, years share numbers.
+def next_batch_version(
+    used: DataFrame, requested: DataFrame | None = None, run_date: str = "run_date", version: str = "version"
+) -> DataFrame:
+    """Smallest free version per requested MMDD; gaps are filled, years share numbers.
 
-    After `distinct` a day holds at most 9999 rows, so the window is small by construction.
-    `next_version` is null when a day is full.
+    `requested` has a `run_date` column; without it the used dates are answered. A date without any version
+    gets 1, dates that are not dates give no row. After `distinct` a day holds at most 9999 rows, so the window
+    is small by construction. `next_version` is null when a day is full.
     """
+    day = lambda df: df.select(run_mmdd(F.col(run_date)).alias("mmdd")).where("mmdd is not null").distinct()
     days = used.select(run_mmdd(F.col(run_date)).alias("mmdd"), F.col(version).cast("int").alias("v"))
     taken = days.where(F.col("mmdd").isNotNull() & F.col("v").between(1, fv.MAX_BATCH_VERSION)).distinct()
     ranked = taken.withColumn("rn", F.row_number().over(Window.partitionBy("mmdd").orderBy("v")))
     free = ranked.groupBy("mmdd").agg(
         (F.count_if(F.col("v") == F.col("rn")) + 1).alias("next_version"), F.count(F.lit(1)).alias("n_used")
     )
-    return free.select(
-        "mmdd", "n_used",
-        F.when(F.col("next_version") <= fv.MAX_BATCH_VERSION, F.col("next_version")).alias("next_version"),
+    asked = day(used if requested is None else requested).join(free, "mmdd", "left")
+    following = F.coalesce("next_version", F.lit(1))
+    return asked.select(
+        "mmdd", F.coalesce("n_used", F.lit(0)).alias("n_used"),
+        F.when(following <= fv.MAX_BATCH_VERSION, following).alias("next_version"),
     )
 
 
 def batch_name(mmdd: Column, version: Column, prefix: str = fv.BATCH_PREFIX) -> Column:
     return F.concat(F.lit(prefix + "-"), mmdd, F.lit("-v"), version.cast("string"))
 
-
-def first_wins(df: DataFrame, key: Cols, order: Cols) -> DataFrame:
-    """First row per key in the given order."""
-    parts = names(order)
-    return first_per_key(df, key, F.struct(*parts) if len(parts) > 1 else parts[0])

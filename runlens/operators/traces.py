@@ -39,6 +39,12 @@ def latest_terminal(events: DataFrame, trace: str = "trace", order: Cols = "byte
     )
 
 
+def for_all_traces(found: DataFrame, rows: DataFrame, trace: str = "trace") -> DataFrame:
+    """`found` (trace, stop_reason, has_stop) with the traces of `rows` that it lacks: no reason, no stop."""
+    return rows.select(trace).distinct().join(found, trace, "left").select(
+        trace, "stop_reason", F.coalesce("has_stop", F.lit(False)).alias("has_stop"))
+
+
 def last_reply(
     events: DataFrame, trace: str = "trace", order: Cols = "byte_offset", text: Column | None = None
 ) -> DataFrame:
@@ -128,9 +134,13 @@ def stop_count_last_n(
 def recent_terminal(
     events: DataFrame, n: int = fv.RECENT_MODEL_OUTPUTS, trace: str = "trace", order: Cols = "byte_offset"
 ) -> DataFrame:
-    """`latest_terminal` seen through the last `n` model outputs only, as a poll sees it."""
+    """`latest_terminal` seen through the last `n` model outputs only, as a poll sees it.
+
+    A trace without model outputs has no reason.
+    """
     outputs = events.where(F.col("event") == fv.MODEL_OUTPUT)
-    return latest_terminal(last_n_per_trace(outputs, n, trace, order), trace, order)
+    found = latest_terminal(last_n_per_trace(outputs, n, trace, order), trace, order)
+    return for_all_traces(found, events, trace)
 
 
 def created_time(

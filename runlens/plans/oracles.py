@@ -110,10 +110,11 @@ oracle("trace_terminal", """SELECT trace, arg_max(reason, n) FILTER (role = 'mai
     FROM tr GROUP BY trace""", "tr")
 oracle("trace_has_stop", """SELECT trace, coalesce(arg_max(reason, n) FILTER (role = 'main' AND reason <> 'tool_use') = 'stop', false) AS has_stop
     FROM tr GROUP BY trace""", "tr")
-oracle("trace_terminal_raw", """SELECT trace, arg_max(reason, n) FILTER (role = 'main' AND reason <> 'tool_use') AS stop_reason
-    FROM tr WHERE NOT bad AND role = 'main' GROUP BY trace""", "tr")
-oracle("trace_recent_terminal", """SELECT trace, arg_max(reason, n) FILTER (role = 'main' AND reason <> 'tool_use') AS stop_reason
-    FROM (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY n DESC) AS rn FROM tr WHERE kind <> 'view') WHERE rn <= 3
+oracle("trace_terminal_raw", """SELECT trace, arg_max(reason, n) FILTER (NOT bad AND role = 'main' AND reason <> 'tool_use') AS stop_reason
+    FROM tr GROUP BY trace""", "tr")
+oracle("trace_recent_terminal", """SELECT trace, arg_max(reason, n)
+        FILTER (kind <> 'view' AND rn <= 3 AND role = 'main' AND reason <> 'tool_use') AS stop_reason
+    FROM (SELECT *, row_number() OVER (PARTITION BY trace, kind = 'view' ORDER BY n DESC) AS rn FROM tr)
     GROUP BY trace""", "tr")
 oracle("trace_last_reply", """SELECT conv_id AS trace, arg_max(text || '!', turn) FILTER (role = 'assistant' AND turn % 5 <> 4) AS reply
     FROM conversations GROUP BY conv_id""")
@@ -276,8 +277,8 @@ oracle("pending_tasks", """SELECT c_custkey AS case_id, n_name AS person FROM cu
 oracle("prompt_build", r"""SELECT doc_id, md5(p) AS prompt_md5, length(p) AS n_chars FROM (
     SELECT doc_id, CASE WHEN s = '' OR ends_with(t, s) THEN t ELSE t || chr(10) || s END AS p FROM (
       SELECT doc_id, regexp_replace(text, '[\s\p{Z}]+$', '') AS t, CASE doc_id % 4 WHEN 1 THEN 'Please.' WHEN 2 THEN '.' ELSE '' END AS s FROM documents))""")
-oracle("batch_next_version", """WITH u AS (SELECT DISTINCT strftime(o_orderdate, '%m%d') AS mmdd, 1 + o_custkey % 60 AS v FROM orders),
-    d AS (SELECT mmdd, count(*) AS n_used FROM u GROUP BY mmdd),
+oracle("batch_next_version", """WITH u AS (SELECT DISTINCT strftime(o_orderdate, '%m%d') AS mmdd, 1 + o_custkey % 60 AS v FROM orders WHERE month(o_orderdate) <> 6),
+    d AS (SELECT mmdd, count(v) AS n_used FROM (SELECT DISTINCT strftime(o_orderdate, '%m%d') AS mmdd FROM orders) LEFT JOIN u USING (mmdd) GROUP BY mmdd),
     f AS (SELECT mmdd, min(i) AS next_version FROM d, range(1, 10000) AS r(i) WHERE i <= n_used + 1
       AND NOT EXISTS (SELECT 1 FROM u WHERE u.mmdd = d.mmdd AND u.v = i) GROUP BY mmdd)
     SELECT mmdd, n_used, next_version, 'weekly-batches-' || mmdd || '-v' || next_version AS name FROM d JOIN f USING (mmdd)""")
@@ -396,30 +397,37 @@ oracle("attempts", """, f AS (SELECT case_id, count(*) AS n, arg_min(marker, (st
       eligible AND n > 1 AND m2 = 'complete' AS retry_recovered, n > 2 OR (n > 1 AND NOT eligible) AS policy_violation FROM g""", "led")
 oracle("current_attempts", """SELECT case_id, count(*) AS n_rows, max(run_key) AS last_key FROM led l
     WHERE yr = (SELECT max(yr) FROM led x WHERE x.case_id = l.case_id) GROUP BY case_id""", "led")
-oracle("stop_on_error", """SELECT person, task_no, before = 0 AND person <= coalesce((SELECT min(o_custkey) FROM orders
-      WHERE o_orderstatus = 'F' AND o_custkey % 100 > 60), 9000000000) AS executed FROM (
-    SELECT o_custkey AS person, o_orderkey AS task_no, coalesce(sum(CASE WHEN o_orderstatus = 'F' AND o_custkey % 100 > 60 THEN 1 ELSE 0 END)
-      OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM orders)""")
+oracle("stop_on_error", """WITH o AS (SELECT o_custkey % 7 AS batch, o_custkey AS person, o_orderkey AS task_no, o_orderdate,
+      o_orderstatus = 'F' AND o_custkey % 100 > 60 AS failed FROM orders),
+    s AS (SELECT batch, min(person) AS stop FROM o WHERE failed GROUP BY batch)
+    SELECT batch, person, task_no, before = 0 AND person <= coalesce(stop, 9000000000) AS executed FROM (
+      SELECT *, coalesce(sum(CASE WHEN failed THEN 1 ELSE 0 END)
+      OVER (PARTITION BY person ORDER BY o_orderdate, task_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
+    LEFT JOIN s USING (batch)""")
 oracle("task_status", "SELECT case_id, person, outcome AS execution_outcome FROM sta", "sta")
 oracle("batch_ready", """SELECT bat.run_id, count(case_id) AS n_tasks, bat.run_id % 9 <> 0 AND coalesce(bool_and(ready), true) AS runner_finished
     FROM bat LEFT JOIN ent USING (run_id) GROUP BY bat.run_id""", "bat", "ent")
 oracle("batch_rollup", """SELECT yr AS run_id, n_name AS person, grouping(yr, n_name) AS level, count(*) FILTER (marker = 'complete') AS n_success,
     count(*) FILTER (marker <> 'complete') AS n_failed, count(*) FILTER (marker <> 'complete') = 0 AS ok
     FROM led JOIN customer ON c_custkey = case_id JOIN nation ON n_nationkey = c_nationkey GROUP BY ROLLUP (yr, n_name)""", "led")
-_META = [("remote_log", "view"), ("session_id", "click"), ("dialog_verdict", "signup"), ("dialog_round", "purchase"), ("runner_warnings", "error")]
-oracle("meta_merge", "SELECT user_id AS case_id, " + ", ".join(
-    f"CASE WHEN max(event_id) FILTER (event_type = '{kind}') % 4 <> 0 THEN 'v' || max(event_id) FILTER (event_type = '{kind}') END AS {field}"
-    for field, kind in _META) + ", NULL::VARCHAR AS pulled_at FROM events GROUP BY user_id")
-oracle("manifest", """SELECT case_id, 0 AS part, """ + ", ".join(
-    f"coalesce(string_agg(stem || ext, ',' ORDER BY stem || ext) FILTER (source = '{s}'), '') AS {c}"
-    for c, s in (("outputs", "report"), ("worklogs", "worklog"), ("summaries", "summary"))) + " FROM art GROUP BY case_id", "art")
-oracle("folder_manifest", """SELECT case_id, string_agg(f, ',' ORDER BY f) AS files FROM (SELECT case_id,
-      '/docs/' || source || stem || ext || CASE WHEN pulled THEN '>outputs/' || CASE source WHEN 'report' THEN 'Desk/' ELSE 'Papers/' END || substr(stem, 4) || ext ELSE '' END AS f
-      FROM art WHERE source <> 'worklog') GROUP BY case_id""", "art")
-oracle("manifest_parts", "SELECT source AS case_id, count(*) AS n_records, count(*) > 500 AS is_split FROM art GROUP BY source", "art")
-oracle("handoff", """SELECT bat.run_id, bat.run_id % 9 <> 0 AND coalesce(bool_and(ready), true) AS runner_finished,
-    coalesce(string_agg(case_id::VARCHAR, ',' ORDER BY case_id::VARCHAR), '') AS task_ids,
-    coalesce(string_agg(e, ',' ORDER BY e), '') AS entries FROM bat LEFT JOIN (
-      SELECT *, case_id || '|' || outcome || '|' || CASE WHEN has_trace THEN '/run/' || case_id || '/trace.jsonl' ELSE '-' END || '|' ||
-        CASE WHEN outcome <> 'not-run' THEN '/run/' || case_id || '/marker.json' ELSE '-' END || '|/run/' || case_id AS e FROM ent) x USING (run_id)
-    GROUP BY bat.run_id""", "bat", "ent")
+oracle("meta_merge", """SELECT user_id AS case_id, CASE event_type WHEN 'view' THEN 'remote_log' WHEN 'click' THEN 'session_id'
+      WHEN 'signup' THEN 'dialog_verdict' WHEN 'purchase' THEN 'dialog_round' ELSE 'free_note' END AS field,
+    CASE WHEN max(event_id) % 4 <> 0 THEN 'v' || max(event_id) END AS value, max(event_id) AS seq FROM events GROUP BY ALL""")
+_SECTION = "CASE source WHEN 'report' THEN 'outputs' WHEN 'worklog' THEN 'worklogs' ELSE 'summaries' END"
+oracle("manifest", f"""SELECT case_id, {_SECTION} AS section, lower(stem || ext) AS text, stem || ext AS path,
+    CASE WHEN pulled THEN 'pulled' ELSE 'failed' END AS status, size FROM art""", "art")
+oracle("manifest_headers", """SELECT o_orderkey AS case_id, o_custkey::VARCHAR AS task_id,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'log' ELSE 'listing' END AS selection_source, '/workspace/s' || o_orderkey AS session_root,
+    count(*) FILTER (source = 'report') AS n_outputs, count(*) FILTER (source = 'worklog') AS n_worklogs,
+    count(*) FILTER (source = 'summary') AS n_summaries FROM orders LEFT JOIN art ON case_id = o_orderkey GROUP BY o_orderkey, o_custkey""", "art")
+oracle("folder_manifest", """SELECT case_id, CASE source WHEN 'report' THEN 'Desk' ELSE 'Papers' END AS folder,
+    lower('/docs/' || source || stem || ext) AS text, '/docs/' || source || stem || ext AS remote_path,
+    CASE WHEN pulled THEN 'pulled' ELSE 'failed' END AS status,
+    CASE WHEN pulled THEN 'outputs/' || CASE source WHEN 'report' THEN 'Desk/' ELSE 'Papers/' END || substr(stem, 4) || ext END AS local_path
+    FROM art WHERE source <> 'worklog'""", "art")
+oracle("handoff", """, h AS (SELECT bat.run_id, bat.run_id % 9 <> 0 AND coalesce(bool_and(ready), true) AS runner_finished, count(case_id) AS n_tasks
+      FROM bat LEFT JOIN ent USING (run_id) GROUP BY bat.run_id)
+    SELECT run_id, runner_finished, n_tasks, CASE WHEN case_id IS NOT NULL THEN 0 END AS kind, length(case_id::VARCHAR) AS digits,
+    case_id::VARCHAR AS key_text, coalesce(case_id || '|' || outcome || '|' || CASE WHEN has_trace THEN '/run/' || case_id || '/trace.jsonl' ELSE '-' END || '|' ||
+      CASE WHEN outcome <> 'not-run' THEN '/run/' || case_id || '/marker.json' ELSE '-' END || '|/run/' || case_id, '-|-') AS entry
+    FROM h LEFT JOIN ent USING (run_id)""", "bat", "ent")

@@ -58,8 +58,9 @@ def trace_has_stop(spark, sf):
 @query
 def trace_terminal_raw(spark, sf):
     """The same from raw lines: prefilter, parse, aggregate."""
-    lines = trace_source.terminal_candidates(v.event_lines(spark, sf))
-    return traces.latest_terminal(trace_source.parse_events(lines)).select("trace", "stop_reason")
+    lines = v.event_lines(spark, sf)
+    found = traces.latest_terminal(trace_source.parse_events(trace_source.terminal_candidates(lines)))
+    return traces.for_all_traces(found, lines).select("trace", "stop_reason")
 
 
 @query
@@ -158,7 +159,7 @@ def prompt_quality(spark, sf):
         .when(kind == 3, F.concat(raw, F.unhex(F.lit("C3"))))
         .otherwise(raw)
     )
-    docs = v.heavy_table(spark, sf, "documents", "doc_id").select("doc_id", content.alias("content"))
+    docs = v.table(spark, sf, "documents").select("doc_id", content.alias("content"))
     problem = text.prompt_problem(F.col("content"))
     return docs.select(
         "doc_id", problem.alias("problem"),
@@ -426,16 +427,16 @@ def pending_tasks(spark, sf):
 def prompt_build(spark, sf):
     suffix = v.pick(v.mod("doc_id", 4), ["", " Please.\n", ".", None])
     prompt = text.execution_prompt(F.concat(F.col("text"), F.lit("　\n ")), suffix)
-    return v.heavy_table(spark, sf, "documents", "doc_id").select(
+    return v.table(spark, sf, "documents").select(
         "doc_id", F.md5(prompt.cast("binary")).alias("prompt_md5"), F.length(prompt).cast("bigint").alias("n_chars"))
 
 
 @query
 def batch_next_version(spark, sf):
-    used = v.table(spark, sf, "orders").select(
-        F.date_format("o_orderdate", "yyyyMMdd").alias("run_date"), (1 + F.col("o_custkey") % 60).alias("version"))
+    orders = v.table(spark, sf, "orders").select("o_custkey", "o_orderdate", F.date_format("o_orderdate", "yyyyMMdd").alias("run_date"))
+    used = orders.where(F.month("o_orderdate") != 6).select("run_date", (1 + F.col("o_custkey") % 60).alias("version"))
     bad = v.table(spark, sf, "orders").select(F.lit("20241399").alias("run_date"), F.lit(1).cast("bigint").alias("version"))
-    free = tasks.next_batch_version(used.unionByName(bad))
+    free = tasks.next_batch_version(used.unionByName(bad), orders)
     return free.select("mmdd", "n_used", "next_version", tasks.batch_name(F.col("mmdd"), F.col("next_version")).alias("name"))
 
 
@@ -452,7 +453,7 @@ WORD_RULES = ReplyRules(
 
 @query
 def reply_verdict(spark, sf):
-    docs = v.heavy_table(spark, sf, "documents", "doc_id")
+    docs = v.table(spark, sf, "documents")
     body = F.when(v.mod("doc_id", 50, 0), F.lit(" 　\n")).otherwise(F.col("text"))
     return docs.select("doc_id", text.reply_verdict(body, WORD_RULES).alias("verdict"))
 
@@ -472,7 +473,7 @@ def reply_verdict_default(spark, sf):
 
 @query
 def rule_hits(spark, sf):
-    hits = exploded(v.heavy_table(spark, sf, "documents", "doc_id"), ["lang"], text.rules_hit(F.col("text"), WORD_RULES), "h")
+    hits = exploded(v.table(spark, sf, "documents"), ["lang"], text.rules_hit(F.col("text"), WORD_RULES), "h")
     return hits.groupBy("lang", "h.rule_group", "h.rule_no").agg(
         F.count(F.lit(1)).alias("n_docs"))
 
@@ -480,7 +481,7 @@ def rule_hits(spark, sf):
 @query
 def required_formats(spark, sf):
     body = F.concat("text", F.lit(" "), v.pick(v.mod("doc_id", 9), v.FORMAT_TEXTS))
-    return v.heavy_table(spark, sf, "documents", "doc_id").select("doc_id", joined(text.requested_formats(body)).alias("formats"))
+    return v.table(spark, sf, "documents").select("doc_id", joined(text.requested_formats(body)).alias("formats"))
 
 
 # --- JSON and commands ----------------------------------------------------------------------------
@@ -647,8 +648,9 @@ def stop_on_error(spark, sf):
     o = v.table(spark, sf, "orders").select(
         F.col("o_custkey").alias("person"), F.col("o_orderdate"), F.col("o_orderkey").alias("task_no"),
         ((F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 100 > 60)).alias("failed"))
-    cut = runs.stop_on_error(o, order=("o_orderdate", "task_no"))
-    return cut.select("person", "task_no", "executed")
+    cut = runs.stop_on_error(
+        o.withColumn("batch", F.col("person") % 7), order=("o_orderdate", "task_no"), group_order="person", batch="batch")
+    return cut.select("batch", "person", "task_no", "executed")
 
 
 @query
@@ -695,46 +697,45 @@ def meta_merge(spark, sf):
     kind = F.col("event_type")
     field = (
         F.when(kind == "view", "remote_log").when(kind == "click", "session_id").when(kind == "signup", "dialog_verdict")
-        .when(kind == "purchase", "dialog_round").otherwise("runner_warnings"))
+        .when(kind == "purchase", "dialog_round").otherwise("free_note"))
     value = F.when(~v.mod("event_id", 4, 0), F.concat(F.lit("v"), v.text_of("event_id")))
     updates = v.table(spark, sf, "events").select(
         F.col("user_id").alias("case_id"), F.col("event_id").alias("seq"), field.alias("field"), value.alias("value"))
-    return runs.meta_merge(updates).select(
-        "case_id", "remote_log", "session_id", "dialog_verdict", "dialog_round", "runner_warnings", "pulled_at")
+    early = runs.meta_merge(updates.where(v.mod("event_id", 3, 0)))
+    return runs.meta_merge(early.unionByName(updates.where(~v.mod("event_id", 3, 0))))
 
 
 @query
 def manifest(spark, sf):
-    docs = runs.manifest(v.artifacts(spark, sf), part_size=1000)
-    names = lambda c: joined(F.transform(c, lambda r: r["path"])).alias(c)
-    return docs.select("case_id", "part", names("outputs"), names("worklogs"), names("summaries"))
+    return runs.manifest(v.artifacts(spark, sf)).select("case_id", "section", "sort_key.text", "path", "status", "size")
 
 
 @query
-def folder_manifest(spark, sf):
-    files = v.artifacts(spark, sf).select(
-        "case_id", F.concat(F.lit("/docs/"), F.col("source"), F.col("path")).alias("remote_path"), "status")
-    docs = runs.folder_manifest(files, {"Desk": "/docs/report/w", "Papers": "/docs/summary/w/"})
-    local = F.transform("files", lambda f: F.concat_ws(">", f["remote_path"], f["local_path"]))
-    return docs.select("case_id", joined(F.array_sort(local)).alias("files"))
+def manifest_headers(spark, sf):
+    files = v.artifacts(spark, sf)
+    cases = v.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("case_id"), v.text_of("o_custkey").alias("task_id"),
+        F.concat(F.lit("s"), v.text_of("o_orderkey")).alias("session_id"), F.col("o_orderdate").alias("pulled_at"),
+        F.when(v.mod("o_orderkey", 2, 0), "log").otherwise("listing").alias("selection_source"))
+    return runs.manifest_headers(cases, files).select(
+        "case_id", "task_id", "selection_source", "workspace.session_root", "n_outputs", "n_worklogs", "n_summaries")
 
 
 @query
-def manifest_parts(spark, sf):
-    """Documents of large groups, cut into parts: nothing is lost or doubled."""
-    files = v.artifacts(spark, sf).withColumn("case_id", F.col("source"))
-    docs = runs.manifest(files, part_size=500)
-    return docs.groupBy("case_id").agg(
-        F.sum(F.size("outputs") + F.size("worklogs") + F.size("summaries")).cast("bigint").alias("n_records"),
-        (F.count(F.lit(1)) > 1).alias("is_split"))
+def folder_manifest(spark, sf):
+    files = v.artifacts(spark, sf).select(
+        "case_id", F.concat(F.lit("/docs/"), F.col("source"), F.col("path")).alias("remote_path"), "status")
+    records = runs.folder_manifest(files, {"Desk": "/docs/report/w", "Papers": "/docs/summary/w/"})
+    return records.select("case_id", "folder", "sort_key.text", "remote_path", "status", "local_path")
 
 
 @query
 def handoff(spark, sf):
-    docs = runs.handoff(_batches(spark, sf), _entries(spark, sf))
-    return docs.select(
-        F.col("runId").alias("run_id"), F.col("runnerFinished").alias("runner_finished"),
-        joined(F.array_sort("taskIds")).alias("task_ids"),
-        joined(F.array_sort(F.transform("tasks", lambda t: F.concat_ws(
-            "|", t["taskId"], t["executionOutcome"], F.coalesce(t["trace"], F.lit("-")), F.coalesce(t["marker"], F.lit("-")),
-            t["judgeInputs"]["runnerTaskDir"])))).alias("entries"))
+    """Entries with their place in natural order, next to their batch's header."""
+    headers, rows = runs.handoff(_batches(spark, sf), _entries(spark, sf))
+    heads = headers.select("runId", F.col("runnerFinished").alias("runner_finished"), F.col("nTasks").alias("n_tasks"))
+    return heads.join(rows, "runId", "left").select(
+        F.col("runId").alias("run_id"), "runner_finished", "n_tasks", F.col("sort_key.kind").cast("bigint").alias("kind"),
+        F.col("sort_key.digits").cast("bigint").alias("digits"), F.col("sort_key.text").alias("key_text"),
+        F.concat_ws("|", "taskId", "executionOutcome", F.coalesce("trace", F.lit("-")), F.coalesce("marker", F.lit("-")),
+                    "judgeInputs.runnerTaskDir").alias("entry"))

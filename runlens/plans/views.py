@@ -13,17 +13,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def heavy_table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    """A table for CPU-heavy row work, spread over all cores when its files give fewer tasks.
-
-    A Parquet row group is one task however many cores wait. Tables with enough row groups, which
-    is any large one, are read as they are: no shuffle is added.
-    """
-    df = table(spark, sf, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def mod(c: str | Column, n: int, *equal: int) -> Column:
     value = (F.col(c) if isinstance(c, str) else c) % n
     return value.isin(*equal) if equal else value
@@ -40,10 +29,10 @@ def pick(key: Column, values: list[str | None], dtype: str = "string") -> Column
 
 # --- traces ---------------------------------------------------------------------------------------
 
-def trace_events(spark: SparkSession, sf: str, heavy: bool = False) -> DataFrame:
+def trace_events(spark: SparkSession, sf: str) -> DataFrame:
     """events as parsed trace rows: a trace per user, ordered by event number."""
     kind = F.col("event_type")
-    events = heavy_table(spark, sf, "events", "event_id") if heavy else table(spark, sf, "events")
+    events = table(spark, sf, "events")
     return events.select(
         F.col("user_id").alias("trace"),
         F.col("event_id").alias("byte_offset"),
@@ -57,7 +46,7 @@ def trace_events(spark: SparkSession, sf: str, heavy: bool = False) -> DataFrame
 
 def event_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The same as raw JSONL lines, some of them damaged."""
-    e = trace_events(spark, sf, heavy=True)
+    e = trace_events(spark, sf)
     stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
     line = F.to_json(F.struct(
         "event", "agent_role", "session_id", stamp.alias("timestamp"),
@@ -202,7 +191,7 @@ WEEK_TEXTS = ["第一周的周报", "第二周的周报", "月报", "firstweek r
 
 def tasks(spark: SparkSession, sf: str) -> DataFrame:
     """customer as task metadata, with every kind of registry violation."""
-    c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     key = F.col("c_custkey")
     plain = text_of(key)
     task_id = (
@@ -232,7 +221,7 @@ def tasks(spark: SparkSession, sf: str) -> DataFrame:
 
 def simple_tasks(spark: SparkSession, sf: str) -> DataFrame:
     """customer as (case_id, task_id, person) with plain ids."""
-    c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return c.select(F.col("c_custkey").alias("case_id"), F.col("n_name").alias("person"))
 
 

@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A dimension of at most this many rows may be broadcast. Rows of every dimension passed to
-# `bounded_broadcast` are a few hundred bytes, so the bound stays far below the 8 GB limit.
-BROADCAST_ROW_LIMIT = 100_000
+from pyspark.sql import SparkSession
 
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -36,12 +31,3 @@ def checkpoint_location(spark: SparkSession, name: str) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/{name}"
 
-
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> tuple[DataFrame, bool]:
-    """Mark `df` for broadcast when it provably holds at most `limit` rows.
-
-    The check reads at most `limit` + 1 rows. Beyond the bound the frame comes back unmarked, so
-    that Catalyst and AQE choose a shuffled join.
-    """
-    small = df.limit(limit + 1).count() <= limit
-    return (F.broadcast(df) if small else df), small

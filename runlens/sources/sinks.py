@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEDGER_COLUMNS = ("case_id", "attempt", "marker", "at", "error", "failure_kind", "result")
@@ -22,13 +24,25 @@ def ledger_rows(runs: DataFrame) -> DataFrame:
     )
 
 
-def append_ledger(runs: DataFrame, path: str) -> None:
-    ledger_rows(runs).write.mode("append").partitionBy("run_date").parquet(path)
+def append_ledger(runs: DataFrame, path: str, batch: str) -> None:
+    """Add the markers of one batch. Writing a batch again replaces it, so a retry does not duplicate."""
+    rows = ledger_rows(runs).withColumn("batch", F.lit(batch))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date", "batch").parquet(path)
 
 
 def write_ledger_batch(runs: DataFrame, batch_id: int, path: str) -> None:
-    """Ledger write of one micro-batch. A replayed batch overwrites itself instead of duplicating."""
-    ledger_rows(runs).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    """The same for a micro-batch of a stream, into the same layout."""
+    append_ledger(runs, path, f"stream-{batch_id}")
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """Markers of all batches, one row per (case, attempt, marker)."""
+    return spark.read.parquet(path).drop("batch").dropDuplicates(["case_id", "attempt", "marker"])
+
+
+def write_sorted(documents: DataFrame, keys: Sequence[str], path: str) -> None:
+    """Document rows as JSON lines in the order of `keys`, across and inside files."""
+    write_documents(documents.repartitionByRange(*keys).sortWithinPartitions(*keys), path)
 
 
 def write_documents(documents: DataFrame, path: str) -> None:

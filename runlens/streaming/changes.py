@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from runlens.functions import fixed_values as fv
-from runlens.functions.text import ReplyRules, reply_verdict, requested_formats
+from runlens.functions.text import ReplyRules, reply_verdict
 from runlens.operators.listings import snapshot_diff
 from runlens.session import checkpoint_location
 from runlens.sources.sinks import write_ledger_batch
@@ -31,10 +31,6 @@ def stream_replies(events: DataFrame, rules: ReplyRules = ReplyRules()) -> DataF
     ).withColumn("verdict", reply_verdict(F.col("reply"), rules))
 
 
-def with_formats(tasks: DataFrame, task: Column | None = None) -> DataFrame:
-    return tasks.withColumn("required_formats", requested_formats(F.col("task") if task is None else task))
-
-
 def start_ledger(runs: DataFrame, path: str, checkpoint: str | None = None, **trigger) -> StreamingQuery:
     """Append a stream of finished runs to the ledger, exactly once per micro-batch."""
     return (

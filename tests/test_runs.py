@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.text import reply_verdict
 from runlens.operators import runs as ops
-from runlens.sources.sinks import append_ledger, ledger_rows, write_documents, write_ledger_batch, write_texts
+from runlens.sources.sinks import append_ledger, ledger_rows, read_ledger, write_ledger_batch, write_sorted, write_texts
 
 
 def ledger(spark, rows):
@@ -49,6 +49,11 @@ def test_stop_on_error(spark):
     got = {(r.person, r.task_no) for r in ops.stop_on_error(df).where("executed").collect()}
     assert got == {("p1", 1), ("p1", 2), ("p2", 1), ("p2", 2)}
     assert ops.stop_on_error(df.withColumn("failed", F.lit(False))).where("executed").count() == len(rows)
+    two = df.withColumn("b", F.lit("x")).unionByName(df.withColumn("b", F.lit("y")).withColumn("failed", F.lit(False)))
+    by_batch = ops.stop_on_error(two, batch="b").where("executed").groupBy("b").count().collect()
+    assert {r.b: r["count"] for r in by_batch} == {"x": 4, "y": len(rows)}
+    late = spark.createDataFrame([("z", 2, True), ("a", 10, False)], "person string, task_no int, failed boolean")
+    assert [r.person for r in ops.stop_on_error(late).where("executed").collect()] == ["z"]  # 2 stands before 10
 
 
 def test_formats(spark):
@@ -74,48 +79,45 @@ def test_batch_and_handoff(spark, tmp_path):
     batches = spark.createDataFrame([("ok", True), ("open", True), ("lost", True), ("empty", True), ("cut", False)], "run_id string, finished boolean")
     ready = {r.run_id: (r.n_tasks, r.runner_finished) for r in ops.batch_ready(batches, entries).collect()}
     assert ready == {"ok": (2, True), "open": (1, False), "lost": (1, False), "empty": (0, True), "cut": (0, False)}
-    write_documents(ops.handoff(batches, entries), str(tmp_path / "h"))
-    docs = {}
-    for f in (tmp_path / "h").glob("*.json"):
-        for line in f.read_text().splitlines():
-            docs[json.loads(line)["runId"]] = json.loads(line)
-    ok = docs["ok"]
-    assert (ok["version"], ok["adapter"], ok["runnerFinished"], ok["taskIds"], ok["nParts"]) == (1, "weekly-report", True, ["1", "2"], 1)
-    assert ok["tasks"][0] == {
-        "taskId": "1", "person": "p", "executionOutcome": "complete", "metadata": "/m", "trace": "/t", "outputs": "/o", "marker": "/k",
-        "judgeInputs": {"metadata": "/m", "data": None, "outputs": "/o", "runnerTaskDir": "/d"}}
-    assert ok["tasks"][1]["trace"] is None
-    assert docs["empty"]["taskIds"] == [] and docs["empty"]["runnerFinished"] is True
-
-
-def test_manifest_parts(spark):
-    rows = [("big", "report", f"/{i}.md", "pulled") for i in range(250)] + [("small", "worklog", "/w.md", "failed")]
+    headers, rows = ops.handoff(batches, entries)
+    heads = {r.runId: r for r in headers.collect()}
+    assert (heads["ok"].version, heads["ok"].adapter, heads["ok"].runnerFinished, heads["ok"].nTasks) == (1, "weekly-report", True, 2)
+    assert heads["empty"].nTasks == 0 and heads["empty"].runnerFinished is True
+    many = spark.createDataFrame([entry("r", t, "complete") for t in ("10", "2", "x", "1")], ENTRY)
+    _, ordered = ops.handoff(batches, many)
+    write_sorted(ordered, ["runId", "sort_key"], str(tmp_path / "h"))
+    lines = [json.loads(x) for f in sorted((tmp_path / "h").glob("*.json")) for x in f.read_text().splitlines()]
+    assert [x["taskId"] for x in lines] == ["1", "2", "10", "x"]
+    first = rows.where("runId = 'ok' and taskId = '1'").first()
+    assert (first.person, first.executionOutcome, first.metadata, first.trace, first.outputs, first.marker) == (
+        "p", "complete", "/m", "/t", "/o", "/k")
+    assert first.judgeInputs.asDict() == {"metadata": "/m", "data": None, "outputs": "/o", "runnerTaskDir": "/d"}
+    assert rows.where("runId = 'ok' and taskId = '2'").first().trace is None
+
+
+def test_manifest(spark):
+    rows = [("big", "report", "/same.md", "pulled")] * 5000 + [("small", "worklog", "/w.md", "failed"), ("small", "odd", "/x", "failed")]
     df = spark.createDataFrame(rows, "case_id string, source string, path string, status string")
-    docs = ops.manifest(df, part_size=100).collect()
-    big = [d for d in docs if d.case_id == "big"]
-    assert len(big) == 3 and {d.n_parts for d in big} == {3}
-    assert sorted(r.path for d in big for r in d.outputs) == sorted(r[2] for r in rows[:250])
-    [small] = [d for d in docs if d.case_id == "small"]
-    assert small.outputs == [] and [w.path for w in small.worklogs] == ["/w.md"] and small.n_parts == 1
-
-
-def test_manifest_documents(spark, tmp_path):
-    cases = spark.createDataFrame([("a", "T1", "s1", "2026-07-15"), ("b", "T2", "s2", "2026-07-15")],
-                                  "case_id string, task_id string, session_id string, pulled_at string")
-    files = spark.createDataFrame([("a", "report", "/r.md", "pulled")], "case_id string, source string, remote_path string, status string")
-    write_documents(ops.manifest_documents(cases, files), str(tmp_path / "m"))
-    docs = {d["case_id"]: d for f in (tmp_path / "m").glob("*.json") for d in map(json.loads, f.read_text().splitlines())}
-    assert docs["a"]["outputs"] == [{"remote_path": "/r.md", "status": "pulled"}] and docs["a"]["worklogs"] == []
-    assert docs["b"]["outputs"] == [] and docs["b"]["workspace"] == {
+    records = ops.manifest(df)
+    assert records.where("case_id = 'big' and section = 'outputs'").count() == 5000
+    assert [(r.section, r.path) for r in records.where("case_id = 'small'").collect()] == [("worklogs", "/w.md")]
+    cases = spark.createDataFrame([("big", "T1", "s1", "d", "log"), ("none", "T2", "s2", "d", "log")],
+                                  "case_id string, task_id string, session_id string, pulled_at string, selection_source string")
+    heads = {r.case_id: r for r in ops.manifest_headers(cases, df).collect()}
+    assert (heads["big"].n_outputs, heads["big"].selection_source, heads["none"].n_outputs) == (5000, "log", 0)
+    assert heads["none"].workspace.asDict() == {
         "session_root": "/workspace/s2", "worklog_root": "/workspace/memory/weekly-work-report/worklog",
         "summary_root": "/workspace/memory/weekly-work-report/summary"}
 
 
 def test_meta_merge(spark):
-    rows = [("a", 1, "session_id", "x"), ("a", 3, "session_id", None), ("a", 2, "dialog_verdict", "v"), ("b", 1, "pulled_at", "t")]
+    rows = [("a", 1, "session_id", "x"), ("a", 3, "session_id", None), ("a", 2, "dialog_verdict", "v"), ("b", 1, "custom", "t")]
     df = spark.createDataFrame(rows, "case_id string, seq int, field string, value string")
-    got = {r.case_id: (r.session_id, r.dialog_verdict, r.pulled_at) for r in ops.meta_merge(df).collect()}
-    assert got == {"a": (None, "v", None), "b": (None, None, "t")}
+    merged = ops.meta_merge(df)
+    expected = {("a", "session_id", None, 3), ("a", "dialog_verdict", "v", 2), ("b", "custom", "t", 1)}
+    assert {tuple(r) for r in merged.collect()} == expected
+    assert {tuple(r) for r in ops.meta_merge(merged.unionByName(df)).collect()} == expected
+    assert {tuple(r) for r in ops.meta_wide(merged, ["session_id", "custom"]).collect()} == {("a", None, None), ("b", None, "t")}
 
 
 def test_rollup(spark):
@@ -143,22 +145,16 @@ def test_sinks(spark, tmp_path):
     runs = spark.createDataFrame([("a", 1, "complete", 3, None), ("b", 1, "failed", 0, "timeout")],
                                  "case_id string, attempt int, outcome string, outputs_pulled int, failure_kind string").withColumn(
         "at", F.lit("2026-07-15 10:00:00").cast("timestamp"))
-    append_ledger(runs, str(tmp_path / "l"))
-    append_ledger(runs.withColumn("attempt", F.lit(2)), str(tmp_path / "l"))
-    back = spark.read.parquet(str(tmp_path / "l"))
-    assert back.count() == 4 and {str(r.run_date) for r in back.collect()} == {"2026-07-15"}
+    path = str(tmp_path / "l")
+    for _ in range(2):  # a retry replaces its batch
+        append_ledger(runs, path, "one")
+    write_ledger_batch(runs.withColumn("attempt", F.lit(2)), 7, path)
+    back = read_ledger(spark, path)
+    assert spark.read.parquet(path).count() == back.count() == 4 and {str(r.run_date) for r in back.collect()} == {"2026-07-15"}
     assert json.loads(back.where("case_id='a'").first().result) == {"outputs_pulled": 3}
     assert back.where("case_id='b'").first().result is None
-    for _ in range(2):
-        write_ledger_batch(runs, 7, str(tmp_path / "b"))
-    assert spark.read.parquet(str(tmp_path / "b")).count() == 2
     texts = spark.createDataFrame([("a", "prompt", "hi", "2026-07-15")], "case_id string, tag string, text string, run_date string")
     write_texts(texts, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).first().text == "hi"
     assert "at" in ledger_rows(runs).columns
 
-
-def test_local_path(spark):
-    df = spark.createDataFrame([("c", "report", "/w/s/a.md", "/w/s", ""), ("c", "worklog", "/w/l/d/a.md", "/w/l", "worklog")],
-                               "case_id string, source string, path string, root_path string, root_label string")
-    assert [r[0] for r in df.select(ops.local_path(F.col("case_id"))).collect()] == ["c/outputs/a.md", "c/worklog/d/a.md"]

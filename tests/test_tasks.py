@@ -87,9 +87,14 @@ def test_next_version(spark):
     assert got == {"0715": 3, "0801": 1, "0901": None}
 
 
-def test_first_wins(spark):
+def test_next_version_of_unused_dates(spark):
+    used = spark.createDataFrame([("20260715", 1)], "run_date string, version long")
+    asked = spark.createDataFrame([("20260715",), ("20261231",), ("nonsense",)], "run_date string")
+    assert {tuple(r) for r in ops.next_batch_version(used, asked).collect()} == {("0715", 1, 2), ("1231", 0, 1)}
+
+
+def test_first_per_key(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")], "k string, n int, v string")
-    assert sorted(tuple(r) for r in ops.first_wins(df, "k", "n").collect()) == [("a", 1, "y"), ("b", 5, "z")]
     assert sorted(tuple(r) for r in first_per_key(df, "k", F.col("n"), "v").collect()) == [("a", "y"), ("b", "z")]
 
 
