@@ -24,13 +24,20 @@ KINDS = ("assign", "access", "hex", "random")
 #: Characters of tokens; a transition is a pair of their places.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
+#: Tables of log-likelihoods per transition: of random strings, and of ordinary ones.
+Model = tuple[list[list[float]], list[list[float]]]
+
 #: Labelled strings that every model starts from, next to those of the corpus: (text, is random).
 SEEDS = tuple((s, False) for s in (
     "get_user_name", "maximum_partition_bytes", "applicationController", "internationalization", "README_TEMPLATE",
     "connection-timeout-seconds", "HttpServletRequestWrapper", "characteristics", "test_resolves_relative_path",
     "responsibilities", "docker-compose-override", "Bundesverfassungsgericht", "anticonstitutionnellement",
+    "MAXIMUM_BUFFER_SIZE", "DEFAULT_CONNECTION_TIMEOUT", "ENVIRONMENT_VARIABLE_NAMES", "INTERNAL_SERVER_ERROR_500",
+    "backup_2019-12-05T18-30-00", "invoice-2021-06-30", "photo_2023-11-14_at_07-45", "release-notes-version-2-10-3",
+    "src/main/resources/index2", "docs/chapter12/figure3", "column_14_of_table_6", "page=12/section=4", "utf8_general_ci",
 )) + tuple((s, True) for s in (
     "q7Zk1Xv9Lw3Tb8Rn5Yd2", "9fK2mQ8xV4cJ7pT1sW6z", "Xr4Gt8Bn2Mk6Hv0Jq5Ls", "b3VtY2hQ7kX9wZ1rN5pD", "0aG7uE4yC8iO2lF6tS1j",
+    "pzmqxk84hvw2jtd7c0rb", "Wq3hV/nE9+tKzB5yXg7o", "ZKQ8XW2JVH5TRNB3GPM6", "uJ2xQeLf6ZwvHm0KyRc8", "dGx5WnBqV3JtY1zCk9Sa",
 ))
 
 
@@ -69,39 +76,64 @@ def labelled_tokens(scan: DataFrame) -> DataFrame:
     return secret.unionAll(plain)
 
 
-def fit(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
-    """Log-likelihood ratios per transition from (text, is_random) rows; nulls are left out.
+def _conditional(counts: dict[str, int], smoothing: float) -> dict[str, float]:
+    """Chance of a pair's second character after its first, from pair counts.
+
+    Rare first characters lean on the share of the second one among all pairs: a model without digits then finds
+    digits unlikely everywhere, also after a character that it has never seen. That share leans on an even one.
+    """
+    mass = smoothing * len(ALPHABET)
+    first = {a: sum(counts.get(a + b, 0) for b in ALPHABET) for a in ALPHABET}
+    second = {b: sum(counts.get(a + b, 0) for a in ALPHABET) for b in ALPHABET}
+    total = sum(second.values())
+    share = {b: (n + smoothing) / (total + mass) for b, n in second.items()}
+    return {a + b: (counts.get(a + b, 0) + mass * share[b]) / (first[a] + mass) for a in ALPHABET for b in ALPHABET}
+
+
+def fit(samples: DataFrame, smoothing: float = 0.5) -> Model:
+    """Log-likelihoods per transition, learned from (text, is_random) rows; nulls are left out.
 
-    All samples count. The result has one number per pair of characters, whatever the number of samples.
+    All samples count. Random strings and ordinary ones have two models each, of `SEEDS` and of the samples, as
+    either kind comes from several sources: a corpus whose known secrets are all hexadecimal does not make other
+    random strings unlikely, and one of lower-case words does not make constants look random. A model has one
+    number per pair of characters.
     """
     seeds = samples.sparkSession.createDataFrame(list(SEEDS), "text string, is_random boolean")
-    every = samples.select("text", "is_random").dropna().unionAll(seeds)
-    pairs = every.where(F.char_length("text") > 1).select("is_random", F.explode(F.transform(
+    every = samples.select("text", "is_random", F.lit(False).alias("is_seed")).dropna().unionAll(
+        seeds.withColumn("is_seed", F.lit(True)))
+    pairs = every.where(F.char_length("text") > 1).select("is_random", "is_seed", F.explode(F.transform(
         F.sequence(F.lit(1), F.char_length("text") - 1), lambda k: F.substr("text", k, F.lit(2)))).alias("pair"))
-    counts = {(r[0], r[1]): r[2] for r in pairs.where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).groupBy(
-        "is_random", "pair").agg(F.count(F.lit(1))).collect()}
-    size, table = len(ALPHABET), []
-    totals = {k: {a: sum(counts.get((k, a + b), 0) for b in ALPHABET) for a in ALPHABET} for k in (False, True)}
-    for a in ALPHABET:
-        for b in ALPHABET:
-            p, q = ((counts.get((k, a + b), 0) + smoothing) / (totals[k][a] + smoothing * size) for k in (True, False))
-            table.append(round(math.log(p / q), 6))
-    return table
-
-
-def ratio(token: Column, model: list[float]) -> Column:
-    """Mean log-likelihood ratio per transition of a token over the alphabet."""
+    counts: dict[tuple[bool, bool], dict[str, int]] = {}
+    for r in pairs.where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).groupBy("is_random", "is_seed", "pair").agg(
+            F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault((r.is_random, r.is_seed), {})[r.pair] = r.n
+
+    def models(is_random: bool) -> list[list[float]]:
+        chances = [_conditional(counts[is_random, s], smoothing) for s in (True, False) if (is_random, s) in counts]
+        return [[round(math.log(c[a + b]), 6) for a in ALPHABET for b in ALPHABET] for c in chances]
+
+    return models(True), models(False)
+
+
+def ratio(token: Column, model: Model) -> Column:
+    """Mean log-likelihood ratio per transition of a token over the alphabet; either kind by its best model."""
     places = [ALPHABET.find(chr(c)) + 1 for c in range(128)]
-    numbers = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
     lookup = F.split(F.lit(",".join(map(str, places))), ",").cast("array<int>")
     codes = F.transform(F.split(token, ""), lambda c: F.element_at(lookup, F.ascii(c) + 1) - 1)
-    return let(codes, lambda k: F.aggregate(
-        F.sequence(F.lit(0), F.size(k) - 2), F.lit(0.0),
-        lambda acc, i: acc + F.element_at(numbers, F.get(k, i) * len(ALPHABET) + F.get(k, i + 1) + 1),
-    ) / (F.size(k) - 1))
+
+    def mean(table: list[float], pairs: Column) -> Column:
+        numbers = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
+        return F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + F.element_at(numbers, i)) / F.size(pairs)
+
+    def best(tables: list[list[float]], pairs: Column) -> Column:
+        return F.array_max(F.array(*[mean(t, pairs) for t in tables]))
+
+    pairs = let(codes, lambda k: F.transform(
+        F.sequence(F.lit(0), F.size(k) - 2), lambda i: F.get(k, i) * len(ALPHABET) + F.get(k, i + 1) + 1))
+    return let(pairs, lambda p: best(model[0], p) - best(model[1], p))
 
 
-def random_tokens(tokens: Column, model: list[float], least: float = 1.0, min_length: int = 20) -> Column:
+def random_tokens(tokens: Column, model: Model, least: float = 0.1, min_length: int = 20) -> Column:
     """Tokens that look random: long, with letters and digits, and a high enough ratio."""
     def test(s: Column) -> Column:
         mixed = s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]")
@@ -110,16 +142,16 @@ def random_tokens(tokens: Column, model: list[float], least: float = 1.0, min_le
     return F.filter(tokens, test)
 
 
-def _all_spans(base: Column, tokens: Column, model: list[float], least: float) -> Column:
+def _all_spans(base: Column, tokens: Column, model: Model, least: float) -> Column:
     return ordered(F.concat(base, random_tokens(tokens, model, least)), KINDS, by_start=True)
 
 
-def secret_spans(text: Column, model: list[float], least: float = 1.0) -> Column:
+def secret_spans(text: Column, model: Model, least: float = 0.1) -> Column:
     """All secrets of a text under a fitted model, sorted by start, then kind; null and empty texts have none."""
     return let(_found(text), lambda f: _all_spans(f["base"], f["tokens"], model, least))
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 1.0,
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.1,
                 labelled: DataFrame | None = None) -> DataFrame:
     """(id, base, spans) per row: secrets by fixed pattern, and these with random-looking tokens added.
 

@@ -214,21 +214,33 @@ def test_span_operators_edges(docs, empty):
         assert got(digest(op(docs)))[0].spans == ""
 
 
-@pytest.mark.xfail(reason="known gap: characters that no ordinary sample starts with get a ratio of 0, so few random tokens are found")
 def test_random_tokens_and_redaction(spark):
     texts = ["see q7Zk1Xv9Lw3Tb8Rn5Yd2Hs now", "the get_user_name_of_application2 call", "password=abcdefgh12345 end"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rng = random.Random(4)  # the seeds alone leave the model too cautious, so it gets labelled samples
-    letters = secret_scan.ALPHABET[:62]
-    known = [("".join(rng.choice(letters) for _ in range(24)), True) for _ in range(300)]
-    known += [("_".join(rng.choices(["get", "user", "name", "application", "count", "of", "table2"], k=5)), False) for _ in range(300)]
-    labelled = spark.createDataFrame(known, "text string, is_random boolean")
-    found = got(secret_scan.secret_scan(df, labelled=labelled))
+    found = got(secret_scan.secret_scan(df))
     assert [s.kind for s in found[0].spans] == ["random"] and found[1].spans == [] and len(found[2].spans) == 1
     clean = secret_scan.secret_scan(df).join(df, "doc_id").select("doc_id", secret_scan.redacted(F.col("text"), F.col("spans")).alias("t"))
     assert {r.doc_id: r.t for r in clean.collect()} == {0: "see [SECRET] now", 1: texts[1], 2: "[SECRET] end"}
 
 
+@pytest.mark.parametrize("known", ["none", "hex"])
+def test_random_tokens_held_out(spark, known):
+    """Random strings and identifiers that no model saw, also where all labelled secrets are hexadecimal."""
+    rng = random.Random(11)
+    words = "river market window buffer stream history language quality section total count server partition table".split()
+    secret = ["".join(rng.choices(secret_scan.ALPHABET[:62], k=rng.randint(20, 40))) for _ in range(200)]
+    plain = ["_".join(rng.choices(words, k=4)) + str(rng.randint(0, 99)) for _ in range(100)]
+    plain += ["".join(w.title() for w in rng.choices(words, k=4)) + f"V{k % 9}" for k in range(100)]
+    plain += ["-".join(rng.choices(words, k=3)) + f"-20{k % 30:02d}-07" for k in range(100)]
+    rows = [(k, f"a {t} b") for k, t in enumerate(secret + plain)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = [("%032x" % rng.getrandbits(128), True) for _ in range(2000 if known == "hex" else 0)]
+    scan = secret_scan.secret_scan(df, labelled=spark.createDataFrame(labelled, "text string, is_random boolean"))
+    hit = {r.doc_id: any(s.kind == "random" for s in r.spans) for r in scan.collect()}
+    mixed = [k for k, t in enumerate(secret) if re.search("[0-9]", t)]
+    assert sum(hit[k] for k in mixed) > 0.93 * len(mixed) and not any(hit[k] for k in range(200, 500))
+
+
 def test_label_model():
     post = pii.estimate({(1, 1, 1, 1): 90, (1, 1, -1, 1): 60, (0, 0, -1, 0): 80, (0, 1, -1, 0): 20})
     assert post[(1, 1, 1, 1)] > 0.95 and post[(0, 0, -1, 0)] < 0.05
