@@ -83,6 +83,18 @@ def _json_output_values(raw: pd.Series, plain: pd.Series) -> pd.Series:
     return pd.Series([_output_values(r, bool(p)) for r, p in zip(raw, plain)])
 
 
+@F.pandas_udf(_STRINGS)
+def _json_mentions(raw: pd.Series, keyed: pd.Series, member: pd.Series, or_whole: pd.Series, plain: pd.Series) -> pd.Series:
+    return pd.Series([
+        _output_values(r, bool(p)) if k else _strings(r, m, bool(w))
+        for r, k, m, w, p in zip(raw, keyed, member, or_whole, plain)])
+
+
+def json_mentions(raw: Column, keyed: Column, member: Column, or_whole: Column, allow_plain_path: Column) -> Column:
+    """`json_output_values` of the rows where `keyed` holds, `json_strings` of the others, by one call."""
+    return _json_mentions(raw, keyed, member, or_whole, allow_plain_path)
+
+
 def json_strings(raw: Column, member: Column | None = None, or_whole: Column | None = None) -> Column:
     """All strings in a JSON document, in document order, descending into JSON kept in strings.
 

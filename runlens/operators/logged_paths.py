@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import fixed_values as fv
-from runlens.functions.json_walk import json_output_values, json_strings
+from runlens.functions.json_walk import json_mentions
 from runlens.functions.paths import (
     absolute_paths_in,
     clean_absolute,
@@ -38,27 +38,17 @@ def candidate_strings(events: DataFrame, trace: str = "trace", order: Cols = "by
     write = _is_write_tool()
     keys = [trace, *names(order), "session_id"]
 
-    # each document is walked by one UDF call at most: the branches are disjoint filters
-    call = kind == fv.TOOL_CALL
-    walked = exploded(
-        events.where((kind == fv.MODEL_OUTPUT) | (call & write)),
-        [*keys, call.alias("relative")],
-        json_strings(F.col("payload"), F.when(call, "args").otherwise("assistant"), ~call),
-        "value", "value_pos",
+    # one scan and one call into Python; shell calls pass it a null and stay native
+    reply, call, result = (kind == k for k in (fv.MODEL_OUTPUT, fv.TOOL_CALL, fv.TOOL_RESULT))
+    shell = call & ~write & tool.isin(*fv.SHELL_TOOLS)
+    walked = json_mentions(
+        F.when(~shell, F.col("payload")), result, F.when(call, "args").otherwise("assistant"), reply, write)
+    fragments = shell_output_fragments(F.get_json_object("args", "$.command"))
+    return exploded(
+        events.where(reply | (call & write) | shell | result),
+        [*keys, (~reply).alias("relative")],
+        F.when(shell, fragments).otherwise(walked), "value", "value_pos",
     )
-    shell = exploded(
-        events.where(call & ~write & tool.isin(*fv.SHELL_TOOLS)),
-        [*keys, F.lit(True).alias("relative")],
-        shell_output_fragments(F.get_json_object("args", "$.command")),
-        "value", "value_pos",
-    )
-    results = exploded(
-        events.where(kind == fv.TOOL_RESULT),
-        [*keys, F.lit(True).alias("relative")],
-        json_output_values(F.col("payload"), write),
-        "value", "value_pos",
-    )
-    return walked.unionByName(shell).unionByName(results)
 
 
 def logged_output_paths(

@@ -223,6 +223,11 @@ oracle("path_flags", f"""SELECT page_id, clean, page_id % 4 IN (2, 3) OR page_id
     page_id % 4 = 1 AS is_excluded FROM (SELECT page_id, CASE page_id % 10 WHEN 0 THEN './out/' WHEN 1 THEN 'out\\' WHEN 2 THEN '../' WHEN 3 THEN '/abs/'
       WHEN 4 THEN 'C:\\' WHEN 5 THEN 'http://h/' WHEN 6 THEN 'worklog/' WHEN 7 THEN '' WHEN 8 THEN 'a//./b/' ELSE 'x/../' END
       || page_id || {_ENDS} AS clean FROM pages)""")
+oracle("url_path_flags", r"""SELECT page_id, clean, regexp_matches(lower(clean), 'worklog|work_log|work-log|工作日志|工作记录') AS is_worklog,
+    regexp_matches(regexp_extract(clean, '[^/]*$'), '(?i)[^.]\.(md|markdown|html?|docx?|pdf|xlsx?|csv|jsonl?|txt|log)$') AS has_extension,
+    contains(clean, '工作快捷区') OR contains(clean, '文件输出') AS is_excluded
+    FROM (SELECT page_id, regexp_replace(url || CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '。' WHEN 2 THEN '/Work-Log/x.MD).'
+      WHEN 3 THEN '/工作快捷区/a.jsonl' ELSE '/b.HTML?!' END, '[.,;:!?，。；：！？)\]}》]+$', '') AS clean FROM pages)""")
 oracle("root_paths", """SELECT page_id, unnest(CASE page_id % 3
     WHEN 0 THEN ['/out/desk/sub/' || page_id, '/out/desk/sub/' || page_id]
     WHEN 1 THEN ['/out/desk/sub/n' || page_id || '.exe; res/' || page_id || '.csv', '/out/desk/' || page_id || '.md',

@@ -334,6 +334,16 @@ def path_flags(spark, sf):
     )
 
 
+@query
+def url_path_flags(spark, sf):
+    """The path rules on the addresses of real pages, as a text would quote them."""
+    ends = v.pick(v.mod("page_id", 5), ["", "。", "/Work-Log/x.MD).", "/工作快捷区/a.jsonl`", "/b.HTML?!"])
+    clean = paths.clean_absolute(F.concat(F.lit(" \"file://"), "url", ends, F.lit("' ")))
+    return v.table(spark, sf, "pages").select(
+        "page_id", clean.alias("clean"), paths.is_worklog_path(clean).alias("is_worklog"),
+        paths.has_logged_extension(clean).alias("has_extension"), paths.is_excluded_path(clean).alias("is_excluded"))
+
+
 @query
 def root_paths(spark, sf):
     """Absolute paths that sentences about pages mention."""

@@ -36,3 +36,8 @@ def test_date_filter_is_pushed_down(spark):
 def test_last_n_is_limited_before_the_shuffle(spark):
     text = plan(QUERIES["trace_recent_terminal"](spark, SF))
     assert "WindowGroupLimit" in text and "Partial" in text
+
+
+def test_path_candidates_read_their_input_once(spark):
+    text = plan(QUERIES["logged_paths_found"](spark, SF))
+    assert text.count("FileScan") == 1 and text.count("ArrowEvalPython") == 1 and "Union" not in text
