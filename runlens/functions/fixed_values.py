@@ -45,7 +45,13 @@ SUMMARY_RELATIVE_ROOT = "memory/weekly-work-report/summary"
 # --- Fixed values: path rules ---------------------------------------------------------------
 LOGGED_EXTENSIONS = "md|markdown|html?|docx?|pdf|xlsx?|csv|jsonl?|txt|log"
 WORKLOG_HINTS = ("worklog", "work_log", "work-log", "工作日志", "工作记录")
-WORKLOG_DIR_HINTS = "worklog|work_log|work-log"
+AFTER_PATH = r"""(?=$|[\s\"'<>`\]),，。；;:：])"""
+RELATIVE_PATH_PATTERNS = (
+    r"""[\"']([^\"']+\.(?:md|markdown|html?|docx?|pdf|xlsx?|csv|jsonl?|txt|log))[\"']""",
+    r"""(?<![\w./-])([^\s\"'<>`|;&]+\.(?:md|markdown|html?|docx?|pdf|xlsx?|csv|jsonl?|txt|log))(?=$|[\s\"'<>`\]),，。；;:])""",
+    r"""[\"']([^\"']*(?:worklog|work_log|work-log)[^\"']*)[\"']""",
+    r"""(?<![\w./-])([^\s\"'<>`|;&]*(?:worklog|work_log|work-log)[^\s\"'<>`|;&]*)""",
+)
 EXCLUDED_SEGMENTS = ("工作快捷区", "文件输出")
 ABSOLUTE_TRAILING = ".,;:!?，。；：！？)]}》"
 RELATIVE_TRAILING = ".,;:!?，。；：！？]})、"

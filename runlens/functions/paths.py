@@ -10,17 +10,6 @@ from pyspark.sql import functions as F
 from runlens.functions import fixed_values as fv
 from runlens.functions.text import let, path_suffix, strip_ws
 
-# What may follow a path in free text: the end, whitespace, a quote, a bracket or punctuation.
-_AFTER_PATH = r"(?=$|[\s\"'<>`\]),，。；;:：])"
-_AFTER_BARE = r"(?=$|[\s\"'<>`\]),，。；;:])"
-_BARE_CHARS = r"[^\s\"'<>`|;&]"
-_RELATIVE_PATTERNS = (
-    rf"[\"']([^\"']+\.(?:{fv.LOGGED_EXTENSIONS}))[\"']",
-    rf"(?<![\w./-])({_BARE_CHARS}+\.(?:{fv.LOGGED_EXTENSIONS})){_AFTER_BARE}",
-    rf"[\"']([^\"']*(?:{fv.WORKLOG_DIR_HINTS})[^\"']*)[\"']",
-    rf"(?<![\w./-])({_BARE_CHARS}*(?:{fv.WORKLOG_DIR_HINTS}){_BARE_CHARS}*)",
-)
-
 
 def _any_contains(c: Column, parts: Sequence[str]) -> Column:
     found = F.lit(False)
@@ -102,7 +91,7 @@ def absolute_paths_in(text: Column, roots: Sequence[str]) -> Column:
         whole = (stripped == root) | F.startswith(stripped, F.lit(root + "/"))
         found.append(F.when(whole, F.array(stripped)).otherwise(F.array().cast("array<string>")))
         pattern = (
-            f"(?iU){_quote(root)}[^\\r\\n\"'<>`]*?\\.(?:{fv.LOGGED_EXTENSIONS}){_AFTER_PATH}"
+            f"(?iU){_quote(root)}[^\\r\\n\"'<>`]*?\\.(?:{fv.LOGGED_EXTENSIONS}){fv.AFTER_PATH}"
         )
         found.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     return F.concat(*found) if found else F.array().cast("array<string>")
@@ -111,7 +100,7 @@ def absolute_paths_in(text: Column, roots: Sequence[str]) -> Column:
 def relative_paths_in(text: Column) -> Column:
     """Quoted files, bare files, quoted and bare work-log directories, in that order."""
     return F.concat(
-        *[F.regexp_extract_all(text, F.lit("(?iU)" + p), F.lit(1)) for p in _RELATIVE_PATTERNS]
+        *[F.regexp_extract_all(text, F.lit("(?iU)" + p), F.lit(1)) for p in fv.RELATIVE_PATH_PATTERNS]
     )
 
 
