@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runlens.functions import fixed_values as fv
 from runlens.functions.json_walk import _output_values, _strings
 from runlens.functions.paths import (
-    _AFTER_PATH, _RELATIVE_PATTERNS,     absolute_paths_in, clean_absolute, has_logged_extension, is_excluded_path, is_worklog_path,
+    absolute_paths_in, clean_absolute, has_logged_extension, is_excluded_path, is_worklog_path,
     relative_paths_in, safe_relative, shell_output_fragments, workspace_path,
 )
 from runlens.operators.logged_paths import logged_output_paths
@@ -73,7 +73,7 @@ TEXT = st.lists(st.sampled_from(PIECES), max_size=40).map("".join)
 @settings(max_examples=20, deadline=None)
 @given(st.lists(TEXT, min_size=1, max_size=25))
 def test_paths_in_text_property(spark, texts):
-    relative = [[m.group(1) for p in _RELATIVE_PATTERNS for m in re.finditer(p, t, re.I)] for t in texts]
+    relative = [[m.group(1) for p in fv.RELATIVE_PATH_PATTERNS for m in re.finditer(p, t, re.I)] for t in texts]
     assert apply(spark, texts, relative_paths_in) == relative
     absolute = []
     for t in texts:
@@ -81,7 +81,7 @@ def test_paths_in_text_property(spark, texts):
         for root in ("/r/b", "/r"):
             if t.strip() == root or t.strip().startswith(root + "/"):
                 found.append(t.strip())
-            pattern = re.escape(root) + rf"[^\r\n\"'<>`]*?\.(?:{fv.LOGGED_EXTENSIONS}){_AFTER_PATH}"
+            pattern = re.escape(root) + rf"[^\r\n\"'<>`]*?\.(?:{fv.LOGGED_EXTENSIONS}){fv.AFTER_PATH}"
             found += [m.group(0) for m in re.finditer(pattern, t, re.I)]
         absolute.append(found)
     assert apply(spark, texts, lambda c: absolute_paths_in(c, ["/r", "/r/b"])) == absolute
