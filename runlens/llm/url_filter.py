@@ -80,7 +80,7 @@ def url_filter(
     """(id, host, path, rule, score, verdict) per row: `allow` or `block`, by the longest rule or by the trees.
 
     `labels` (url, blocked) are the labelled URLs; null stands for the URLs of `pages` that a rule decides.
-    The trees are fitted to at most about `max_labelled` of them, chosen by hash. `score` is the chance of
+    The trees are fitted to about `max_labelled` of them, chosen by hash, at most twice as many. `score` is the chance of
     being blocked. With labels of one kind only, that kind is the verdict; without any, `allow`. A null URL, or
     one without `://`, has an empty host and path and is scored like others. Repeated rows are kept.
     """
@@ -97,15 +97,17 @@ def url_filter(
     if labels is None:
         known = own.where("rule is not null").withColumn("label", (ruled == "block").cast("double"))
     else:
-        known = parsed(labels.dropna(), "url", F.col("blocked").cast("double").alias("label"))
+        known = parsed(labels.dropna(), "url", F.col("blocked").cast("double").alias("label")).where("label in (0, 1)")
     counts = {r[0]: r[1] for r in known.groupBy("label").agg(F.count(F.lit(1))).collect()}
     if len(counts) < 2:
         scored = own.withColumn("score", F.lit(float(next(iter(counts), 0.0))))
     else:
         share = min(1.0, max_labelled / sum(counts.values()))
-        sample = durable(known.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(share * 1_000_000)))
-        if sample.select("label").distinct().count() < 2:
-            sample = durable(known)
+        chosen = F.pmod(F.xxhash64("url"), F.lit(1 << 40)) < int(share * (1 << 40))
+        sample = durable(known.where(chosen).limit(2 * max_labelled))
+        if sample.select("label").distinct().count() < 2:  # one kind is very rare: as many of each
+            both = [known.where(F.col("label") == kind).limit(max_labelled // 2) for kind in counts]
+            sample = durable(both[0].unionAll(both[1]))
         assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, featuresCol="features", labelCol="label").fit(
             assembler.transform(_with_rates(sample, sample)).select("features", "label"))
