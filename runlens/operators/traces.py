@@ -175,7 +175,8 @@ def outcome_with_timeout(
 ) -> DataFrame:
     """Outcome a watcher would report: the first terminal event within the timeout, else timeout.
 
-    The clock starts at the trace's first event. `ts` may have or lack a time zone.
+    The clock starts at the trace's earliest event; a terminal event without a time is in time and counts
+    as of the start. `ts` may have or lack a time zone.
     """
     terminal = F.when(is_terminal(), order_key(order))
     outcome, ended = _timeout_answer(timeout_seconds)
@@ -194,6 +195,7 @@ def _timeout_aggregates(terminal: Column, ts: str) -> list[Column]:
 
 def _timeout_answer(timeout_seconds: int) -> tuple[Column, Column]:
     limit = F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS")
-    in_time = F.coalesce(F.col("_at") < F.col("started") + limit, F.lit(False))
+    ended = F.col("_code").isNotNull()
+    in_time = ended & F.coalesce(F.col("_at") < F.col("started") + limit, F.lit(True))
     outcome = F.when(in_time, _reason_name(F.col("_code"))).otherwise("timeout")
-    return outcome, F.when(in_time, F.col("_at")).otherwise(F.col("started") + limit)
+    return outcome, F.when(in_time, F.coalesce("_at", "started")).otherwise(F.col("started") + limit)

@@ -100,22 +100,19 @@ def parse_events(lines: DataFrame, line: str = "line", keep_malformed: bool = Fa
     return events if keep_malformed else events.where(~F.col("malformed")).drop("malformed")
 
 
-def write_events(events: DataFrame, path: str, ts: str = "timestamp", buckets: int = 32) -> None:
+def write_events(events: DataFrame, path: str, ts: str = "timestamp", rows_per_file: int = 5_000_000) -> None:
     """Parsed events as Parquet, by day; later reads prune days and skip row groups by offset.
 
-    Rows of a trace stay together in stretches of a gibibyte, so that files are few and well sorted
-    while a trace of any size is still written by many tasks.
+    Rows of a trace stay together in stretches of a gibibyte, so that files are well sorted while a day or a
+    trace of any size is still written by as many tasks as there are shuffle partitions.
     """
     day = F.coalesce(F.date_format(iso_timestamp(F.col(ts)), "yyyy-MM-dd"), F.lit("unknown"))
     stretch = F.floor(F.col("byte_offset") / (1 << 30))
-    dated = events.withColumn("event_date", day).withColumn(
-        "_bucket", F.pmod(F.xxhash64("trace", stretch), F.lit(buckets))
-    )
     (
-        dated.repartition("event_date", "_bucket")
+        events.withColumn("event_date", day)
+        .repartition("event_date", "trace", stretch)
         .sortWithinPartitions("event_date", "trace", "byte_offset")
-        .drop("_bucket")
-        .write.mode("append").partitionBy("event_date").parquet(path)
+        .write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("event_date").parquet(path)
     )
 
 

@@ -98,6 +98,37 @@ def test_terminal_matches_batch(spark, tmp_path):
     assert set(want.values()) == {"stop", "error", "timeout"}
 
 
+def test_terminal_without_times(spark, tmp_path):
+    """Events without a time: one answer per trace, the same however the lines fall into batches."""
+    timeless = lambda reason: json.dumps({**json.loads(line(0, reason=reason)), "timestamp": None}) + "\n"
+    lines = {
+        "none": [timeless("x"), timeless("stop")], "after": [line(10), timeless("error")], "before": [timeless("x"), line(20, reason="stop")],
+        "earlier": [line(90, "sub"), line(0), line(95, reason="stop")], "late": [line(0), line(500, reason="stop"), timeless("stop")]}
+    found = []
+    for run, steps in enumerate([[slice(0, 3)], [slice(0, 1), slice(1, 2), slice(2, 3)]]):
+        folder = tmp_path / f"in{run}"
+        folder.mkdir()
+        tail = Tail(detect_terminal(tail_events(spark, str(folder)), timeout_seconds=100, lateness="1 hour"), f"timeless{run}", str(tmp_path / f"cp{run}"))
+        try:
+            for step in steps:
+                for name, own in lines.items():
+                    with (folder / f"{name}.jsonl").open("a") as f:
+                        f.writelines(own[step])
+                tail.step()
+        finally:
+            tail.stop()
+        rows = spark.table(f"timeless{run}").collect()
+        found.append({r.trace.rsplit("/", 1)[1][:-6]: r.outcome for r in rows})
+        assert len(rows) == len(found[-1])
+    want = {"none": "stop", "after": "error", "before": "stop", "earlier": "stop", "late": "timeout"}
+    assert found == [want, want]
+    rows = [(n, i, json.loads(t)) for n, own in lines.items() for i, t in enumerate(own)]
+    df = spark.createDataFrame(
+        [(n, i, e["agent_role"], e["payload"]["assistant"]["stop_reason"], e["timestamp"]) for n, i, e in rows],
+        "trace string, byte_offset long, agent_role string, stop_reason string, t string").withColumn("ts", F.col("t").cast("timestamp"))
+    assert {r.trace: r.outcome for r in batch.outcome_with_timeout(df, 100).collect()} == want
+
+
 def test_stability_matches_batch(spark, tmp_path):
     rng = random.Random(5)
     rows = [(f"s{i}", p, rng.choice("xxy"), rng.random() < 0.8) for i in range(8) for p in range(10)]
