@@ -91,7 +91,11 @@ def run_results(
     `tasks`: case, person, task. `trace_answers`: case, outcome (stop, error or timeout), reply,
     session_id. `artifacts`: case, source, path, status. Both sides are aggregated to one row per
     case before the join, so the joins see small, unique keys. `verdict` is a column over `reply`.
+    `tasks` may have the booleans `preparation_failed` (there was no run: no session, no verdict) and
+    `interrupted`; without them no run counts as either.
     """
+    flags = [F.coalesce(F.col(c), F.lit(False)) if c in tasks.columns else F.lit(False) for c in ("preparation_failed", "interrupted")]
+    prep_failed, interrupted = flags
     pulled_report = (F.col("source") == "report") & F.coalesce(F.col("status") == "pulled", F.lit(False))
     formats = F.collect_set(F.when(pulled_report, path_format(F.col("path"))))
     per_case = artifacts.groupBy(case).agg(
@@ -104,15 +108,16 @@ def run_results(
     none = F.array().cast("array<string>")
     joined = (
         tasks.withColumn("required_formats", requested_formats(F.col("task")))
+        .withColumns({"_prep_failed": prep_failed, "_interrupted": interrupted})
         .join(trace_answers.withColumnRenamed("outcome", "trace_outcome"), case, "left")
         .join(per_case, case, "left")
         .withColumn("present_formats", F.coalesce("present_formats", none))
         .withColumn("missing_formats", missing_formats(F.col("required_formats"), F.col("present_formats")))
     )
-    no_session = F.coalesce(F.col("session_id"), F.lit("")) == ""
-    ended = F.coalesce(F.col("trace_outcome"), F.lit("timeout"))
+    no_session = F.col("_prep_failed") | (F.coalesce(F.col("session_id"), F.lit("")) == "")
+    ended = F.when(F.col("_prep_failed"), "not-run").otherwise(F.coalesce(F.col("trace_outcome"), F.lit("timeout")))
     outcome, kind = run_outcome(
-        F.lit(False), F.lit(False), ended == "timeout", ended == "error", F.size("missing_formats") > 0, no_session
+        F.col("_prep_failed"), F.col("_interrupted"), ended == "timeout", ended == "error", F.size("missing_formats") > 0, no_session
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return joined.select(

@@ -386,14 +386,18 @@ oracle("run_result", f""", a AS (SELECT case_id, coalesce(string_agg(DISTINCT fo
       FROM tr GROUP BY trace)),
     r AS (SELECT conv_id AS case_id, arg_max(text || '!', turn) FILTER (role = 'assistant' AND turn % 5 <> 4) AS reply FROM conversations GROUP BY 1),
     j AS (SELECT tsk.k AS case_id, person, list_sort(CASE WHEN tsk.k % 67 = 0 THEN ['docx', 'html'] ELSE formats END) AS req, coalesce(present, '') AS present,
-      coalesce(o, 0) AS o, coalesce(w, 0) AS w, coalesce(s, 0) AS s, coalesce(ended, 'timeout') AS ended, session, reply
-      FROM tsk JOIN fmt ON fmt.k = tsk.k % 9 LEFT JOIN a ON a.case_id = tsk.k LEFT JOIN e ON e.case_id = tsk.k LEFT JOIN r ON r.case_id = tsk.k),
+      coalesce(o, 0) AS o, coalesce(w, 0) AS w, coalesce(s, 0) AS s, reply, coalesce(o_orderstatus = 'P', false) AS broken,
+      coalesce(o_orderstatus = 'F' AND o_orderpriority LIKE '1%', false) AS unprepared,
+      CASE WHEN unprepared THEN 'not-run' ELSE coalesce(ended, 'timeout') END AS ended, CASE WHEN NOT unprepared THEN session END AS session
+      FROM tsk JOIN fmt ON fmt.k = tsk.k % 9 LEFT JOIN a ON a.case_id = tsk.k LEFT JOIN e ON e.case_id = tsk.k LEFT JOIN r ON r.case_id = tsk.k
+      LEFT JOIN orders ON o_orderkey = tsk.k),
     q AS (SELECT *, list_filter(req, lambda x: NOT list_contains(string_split(present, ','), x)) AS miss FROM j)
     SELECT case_id, person, array_to_string(req, ',') AS required, present, array_to_string(miss, ',') AS missing, o AS outputs_pulled, w AS worklogs_pulled,
       s AS summaries_pulled, CASE WHEN ended <> 'stop' THEN 'not-started' WHEN reply IS NULL THEN 'missing-content' ELSE {_verdict('reply')} END AS dialog_verdict,
       session AS session_id, CASE WHEN session IS NULL AND ended = 'stop' THEN 1 ELSE 0 END AS n_warnings,
-      CASE WHEN ended <> 'stop' OR len(miss) > 0 OR session IS NULL THEN 'failed' ELSE 'complete' END AS outcome,
-      CASE WHEN ended = 'timeout' THEN 'timeout' WHEN ended = 'error' THEN 'agent-error' WHEN len(miss) > 0 THEN 'missing-deliverables'
+      CASE WHEN unprepared THEN 'failed' WHEN broken THEN 'interrupted'
+        WHEN ended <> 'stop' OR len(miss) > 0 OR session IS NULL THEN 'failed' ELSE 'complete' END AS outcome,
+      CASE WHEN unprepared THEN 'data-preparation' WHEN broken THEN NULL WHEN ended = 'timeout' THEN 'timeout' WHEN ended = 'error' THEN 'agent-error' WHEN len(miss) > 0 THEN 'missing-deliverables'
         WHEN session IS NULL THEN 'execution-error' END AS failure_kind FROM q""", "art", "fmt", "tr", "tsk")
 oracle("attempts", """, f AS (SELECT case_id, count(*) AS n, arg_min(marker, (started, run_key)) AS m1,
       first(kind ORDER BY started, run_key) AS k1, arg_max(marker, (started, run_key)) AS m2, last(kind ORDER BY started, run_key) AS k2 FROM led GROUP BY case_id),

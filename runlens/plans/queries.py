@@ -630,14 +630,18 @@ def run_result(spark, sf):
 
 def run_results(spark, sf) -> DataFrame:
     """All traces to result records: a case per customer, its trace the events of user `case`, its
-    reply the conversation of that number, its files the line items of that order."""
+    reply the conversation of that number, its files the line items of that order. That order's status
+    tells an interrupted run (P), and with its priority a failed preparation."""
     events = v.trace_events(spark, sf)
     ends = traces.trace_summary(events, timeout_seconds=86400).select(
         F.col("trace").alias("case_id"), "outcome", "session_id")
     replies = traces.last_reply(trace_source.parse_events(v.reply_lines(spark, sf))).select(
         F.col("trace").alias("case_id"), "reply")
     answers = ends.join(replies, "case_id", "left")
-    work = v.tasks(spark, sf).select(F.col("task_no").alias("case_id"), "person", "task")
+    states = v.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("case_id"), (F.col("o_orderstatus") == "P").alias("interrupted"),
+        ((F.col("o_orderstatus") == "F") & F.col("o_orderpriority").startswith("1")).alias("preparation_failed"))
+    work = v.tasks(spark, sf).select(F.col("task_no").alias("case_id"), "person", "task").join(states, "case_id", "left")
     return runs.run_results(work, answers, v.artifacts(spark, sf), text.reply_verdict(F.col("reply"), WORD_RULES))
 
 

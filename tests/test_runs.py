@@ -139,6 +139,11 @@ def test_run_results(spark):
     assert (b.failure_kind, b.missing_formats, b.dialog_verdict) == ("agent-error", ["pdf"], "not-started")
     assert (c.failure_kind, c.warnings, c.dialog_verdict) == ("missing-deliverables", ["missing-session-id"], "needs-confirmation")
     assert (d.failure_kind, d.session_id) == ("timeout", None)
+    flagged = tasks.withColumns({"interrupted": F.col("case_id").isin("a", "b"), "preparation_failed": F.col("case_id") == "b"})
+    got = {r.case_id: r for r in ops.run_results(flagged, answers, files, reply_verdict(F.col("reply"))).collect()}
+    assert [(got[k].outcome, got[k].failure_kind) for k in "abd"] == [
+        ("interrupted", None), ("failed", "data-preparation"), ("failed", "timeout")]
+    assert (got["a"].dialog_verdict, got["b"].dialog_verdict, got["b"].session_id) == ("complete", "not-started", None)
 
 
 def test_sinks(spark, tmp_path):
