@@ -39,6 +39,7 @@ _PLACE = np.uint64((1 << 20) - 1)
 
 _RANGE = "doc long, row long, start long, end long"
 _PLACE_ROW = "anchor long, run long, doc long, row long, place long"
+_EITHER, _EITHER_NAMES = _PLACE_ROW + ", end long", ["anchor", "run", "doc", "row", "place", "end"]
 
 
 def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
@@ -198,6 +199,23 @@ def _split(parts: list[tuple], width: int, later: bool) -> pa.RecordBatch:
         [pa.array(x) for x in (doc[new], row[new], start[new], end[last])], ["doc", "row", "start", "end"])
 
 
+def _both(parts: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
+    """First places, then later ranges of the same block, in one layout: `end` is null for a place."""
+    firsts, ranges = _split(parts, width, later=False), _split(parts, width, later=True)
+    yield pa.RecordBatch.from_arrays([*firsts.columns, pa.nulls(firsts.num_rows, pa.int64())], _EITHER_NAMES)
+    if ranges.num_rows:
+        unnamed = [pa.nulls(ranges.num_rows, pa.int64())] * 2
+        yield pa.RecordBatch.from_arrays([*unnamed, *ranges.columns], _EITHER_NAMES)
+
+
+def _places(both: DataFrame) -> DataFrame:
+    return both.where("end is null").drop("end")
+
+
+def _ranges(both: DataFrame) -> DataFrame:
+    return both.where("end is not null").select("doc", "row", F.col("place").alias("start"), "end")
+
+
 def _scan(own: DataFrame, width: int, gram: int, later: bool) -> DataFrame:
     """First places of equal runs within a block of texts, or the merged ranges of all later places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,14 +235,15 @@ def _scan(own: DataFrame, width: int, gram: int, later: bool) -> DataFrame:
     return own.mapInArrow(run, _RANGE if later else _PLACE_ROW)
 
 
-def _scan_windows(segments: DataFrame, width: int, later: bool) -> DataFrame:
-    """The same for the single windows of crowded segments, each a run of its own, named by two hashes."""
+def _scan_windows(segments: DataFrame, width: int) -> DataFrame:
+    """First places and later ranges, as of one cut into blocks, of the single windows of crowded segments.
+
+    Each window is a run of its own, named by two hashes. A range has nulls for the anchor and the run.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, parts, size = [powers(CHUNK + width, base) for base in (_BASE, _OTHER_BASE)], [], 0
         for batch in batches:
-            for _, lot, doc, row, start, data in rows(batch):
-                if not lot:
-                    continue
+            for _, _, doc, row, start, data in rows(batch):
                 b = np.frombuffer(data, np.uint8).astype(np.uint64)
                 n = len(b) - width + 1
                 names = []
@@ -234,12 +253,12 @@ def _scan_windows(segments: DataFrame, width: int, later: bool) -> DataFrame:
                 parts.append((*names, np.full(n, doc), np.full(n, row), (start + np.arange(n)) << 8 | 1))
                 size += n
                 if size >= SCAN_BYTES // 32:
-                    yield _split(parts, width, later)
+                    yield from _both(parts, width)
                     parts, size = [], 0
         if parts:
-            yield _split(parts, width, later)
+            yield from _both(parts, width)
 
-    return segments.mapInArrow(run, _RANGE if later else _PLACE_ROW)
+    return segments.mapInArrow(run, _EITHER)
 
 
 def _grouped(places: DataFrame, width: int) -> DataFrame:
@@ -294,7 +313,7 @@ def _grouped(places: DataFrame, width: int) -> DataFrame:
 
 
 def _segments(own: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The bytes of the chosen runs, which are brought to their texts as one list per text, dealt by anchor.
+    """The bytes of the chosen runs, which are brought to their texts as one list per text.
 
     `lot` is 0, or for a crowded anchor a number from 1 on that spreads its runs.
     """
@@ -314,7 +333,7 @@ def _segments(own: DataFrame, chosen: DataFrame) -> DataFrame:
                         ["anchor", "lot", "doc", "row", "start", "data"])
 
     return own.join(lists, ["doc", "row"]).select("doc", "row", "text", "runs").mapInArrow(
-        run, "anchor long, lot long, doc long, row long, start long, data binary").repartition("anchor", "lot")
+        run, "anchor long, lot long, doc long, row long, start long, data binary")
 
 
 def _sorted_repeats(segments: DataFrame, width: int, block_bytes: int = 1 << 20) -> DataFrame:
@@ -328,8 +347,6 @@ def _sorted_repeats(segments: DataFrame, width: int, block_bytes: int = 1 << 20)
         held, size = [], 0
         for batch in batches:
             for r in rows(batch):
-                if r[1]:
-                    continue
                 if size > block_bytes and r[0] != held[-1][0]:
                     yield from solve(held)
                     held, size = [], 0
@@ -338,7 +355,7 @@ def _sorted_repeats(segments: DataFrame, width: int, block_bytes: int = 1 << 20)
         if held:
             yield from solve(held)
 
-    return segments.sortWithinPartitions("anchor").mapInArrow(run, _RANGE)
+    return segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _RANGE)
 
 
 def repeated_ranges(own: DataFrame, width: int = WIDTH, gram: int = GRAM, block_runs: int = 20_000) -> DataFrame:
@@ -351,13 +368,14 @@ def repeated_ranges(own: DataFrame, width: int = WIDTH, gram: int = GRAM, block_
     some = crowded.limit(1).count() > 0
     mark = F.lit(True).alias("crowded")
     marked = runs_.join(crowded.select("anchor", mark), "anchor", "left") if some else runs_.withColumn("crowded", F.lit(False))
-    # one exchange of the segments serves all that follows: rows of the other kind are passed over, not filtered
     segments = _segments(own, marked)
-    ranges = ranges.unionAll(_sorted_repeats(segments, width))
-    if some:
-        single = _grouped(_scan_windows(segments, width, later=False), width).where("number is null")
-        ranges = ranges.unionAll(_scan_windows(segments, width, later=True)).unionAll(single.select("doc", "row", "start", "end"))
-    return ranges
+    if not some:
+        return ranges.unionAll(_sorted_repeats(segments, width))
+    segments = durable_table(segments)
+    # a copy is left out of the places because its block holds an earlier one, so the same cut must also mark it
+    windows = durable_table(_scan_windows(segments.where("lot > 0").repartition("anchor", "lot"), width))
+    single = _grouped(_places(windows), width).where("number is null").select("doc", "row", "start", "end")
+    return ranges.unionAll(_sorted_repeats(segments.where("lot = 0"), width)).unionAll(_ranges(windows)).unionAll(single)
 
 
 def dedup_passages(

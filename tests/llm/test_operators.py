@@ -301,6 +301,21 @@ def test_suffix_dedup(spark, block_runs):
         assert found[doc].kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
+def test_suffix_dedup_of_windows_cut_differently_each_time(spark, monkeypatch):
+    class Cut(int):
+        def __floordiv__(self, n):
+            return random.SystemRandom().choice([1, 1 << 30])
+
+    monkeypatch.setattr(suffix_dedup, "SCAN_BYTES", Cut(suffix_dedup.SCAN_BYTES))
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdé ") for _ in range(300))
+    rows = [(k, "".join(rng.choice("xyz ") for _ in range(rng.randrange(20, 90))) + passage + f" end {k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6, "doc_id")
+    found = got(suffix_dedup.dedup_passages(docs, block_runs=2, with_text=True))
+    for doc, (_, kept) in kept_by_brute_force([(k, t.encode()) for k, t in rows], 100).items():
+        assert bytes(found[doc].kept) == kept
+
+
 def test_suffix_dedup_edges(docs, empty):
     found = suffix_dedup.digest(suffix_dedup.dedup_passages(docs))
     rows = got(found)
