@@ -38,8 +38,7 @@ _PLACE = np.uint64((1 << 20) - 1)
 
 
 _RANGE = "doc long, row long, start long, end long"
-_PLACE_ROW = "anchor long, run long, doc long, row long, place long"
-_EITHER, _EITHER_NAMES = _PLACE_ROW + ", end long", ["anchor", "run", "doc", "row", "place", "end"]
+_SCANNED, _SCANNED_NAMES = "anchor long, run long, doc long, row long, place long, end long", ["anchor", "run", "doc", "row", "place", "end"]
 
 
 def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
@@ -178,46 +177,41 @@ def repeats(segments: list[tuple[int, int, int, bytes]], width: int = WIDTH) ->
     return out
 
 
-def _split(parts: list[tuple], width: int, later: bool) -> pa.RecordBatch:
-    """First places of equal runs within a block, or the merged ranges of all later places."""
+def _split(parts: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
+    """First places of equal runs within a block, and the merged ranges of all later places; `end` is null for a place."""
     anchor, run, doc, row, place = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((place, doc, anchor, run))
     anchor, run, doc, row, place = (x[order] for x in (anchor, run, doc, row, place))
     fresh = np.concatenate([[True], (run[1:] != run[:-1]) | (anchor[1:] != anchor[:-1])])
-    if not later:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x[fresh]) for x in (anchor, run, doc, row, place)], ["anchor", "run", "doc", "row", "place"])
+    yield pa.RecordBatch.from_arrays(
+        [*(pa.array(x[fresh]) for x in (anchor, run, doc, row, place)), pa.nulls(int(fresh.sum()), pa.int64())], _SCANNED_NAMES)
     lead = np.maximum.accumulate(np.where(fresh, np.arange(len(run)), 0))
     again = (doc != doc[lead]) | (place != place[lead])
+    if not again.any():
+        return
     doc, row, start, count = doc[again], row[again], place[again] >> 8, place[again] & 255
     order = np.lexsort((start, row, doc))
     doc, row, start = doc[order], row[order], start[order]
     end = start + count[order] + width - 1
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (start[1:] > end[:-1])])[:len(doc)]
-    last = np.concatenate([new[1:], [True]])[:len(doc)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(x) for x in (doc[new], row[new], start[new], end[last])], ["doc", "row", "start", "end"])
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (start[1:] > end[:-1])])
+    last = np.concatenate([new[1:], [True]])
+    ranges = [pa.array(x) for x in (doc[new], row[new], start[new], end[last])]
+    yield pa.RecordBatch.from_arrays([*[pa.nulls(int(new.sum()), pa.int64())] * 2, *ranges], _SCANNED_NAMES)
 
 
-def _both(parts: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
-    """First places, then later ranges of the same block, in one layout: `end` is null for a place."""
-    firsts, ranges = _split(parts, width, later=False), _split(parts, width, later=True)
-    yield pa.RecordBatch.from_arrays([*firsts.columns, pa.nulls(firsts.num_rows, pa.int64())], _EITHER_NAMES)
-    if ranges.num_rows:
-        unnamed = [pa.nulls(ranges.num_rows, pa.int64())] * 2
-        yield pa.RecordBatch.from_arrays([*unnamed, *ranges.columns], _EITHER_NAMES)
+def _places(scanned: DataFrame) -> DataFrame:
+    return scanned.where("end is null").drop("end")
 
 
-def _places(both: DataFrame) -> DataFrame:
-    return both.where("end is null").drop("end")
+def _ranges(scanned: DataFrame) -> DataFrame:
+    return scanned.where("end is not null").select("doc", "row", F.col("place").alias("start"), "end")
 
 
-def _ranges(both: DataFrame) -> DataFrame:
-    return both.where("end is not null").select("doc", "row", F.col("place").alias("start"), "end")
+def _scan(own: DataFrame, width: int, gram: int) -> DataFrame:
+    """First places of equal runs within a block of texts, and the merged ranges of all later places of the same block.
 
-
-def _scan(own: DataFrame, width: int, gram: int, later: bool) -> DataFrame:
-    """First places of equal runs within a block of texts, or the merged ranges of all later places."""
+    A range has nulls for the anchor and the run.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, parts, size = powers(CHUNK + width), [], 0
         for batch in batches:
@@ -227,12 +221,12 @@ def _scan(own: DataFrame, width: int, gram: int, later: bool) -> DataFrame:
                     parts.append((anchor, whole, np.full(len(start), doc), np.full(len(start), row), start << 8 | count))
                 size += len(data)
                 if size >= SCAN_BYTES and parts:
-                    yield _split(parts, width, later)
+                    yield from _split(parts, width)
                     parts, size = [], 0
         if parts:
-            yield _split(parts, width, later)
+            yield from _split(parts, width)
 
-    return own.mapInArrow(run, _RANGE if later else _PLACE_ROW)
+    return own.mapInArrow(run, _SCANNED)
 
 
 def _scan_windows(segments: DataFrame, width: int) -> DataFrame:
@@ -253,12 +247,12 @@ def _scan_windows(segments: DataFrame, width: int) -> DataFrame:
                 parts.append((*names, np.full(n, doc), np.full(n, row), (start + np.arange(n)) << 8 | 1))
                 size += n
                 if size >= SCAN_BYTES // 32:
-                    yield from _both(parts, width)
+                    yield from _split(parts, width)
                     parts, size = [], 0
         if parts:
-            yield from _both(parts, width)
+            yield from _split(parts, width)
 
-    return segments.mapInArrow(run, _EITHER)
+    return segments.mapInArrow(run, _SCANNED)
 
 
 def _grouped(places: DataFrame, width: int) -> DataFrame:
@@ -361,8 +355,10 @@ def _sorted_repeats(segments: DataFrame, width: int, block_bytes: int = 1 << 20)
 def repeated_ranges(own: DataFrame, width: int = WIDTH, gram: int = GRAM, block_runs: int = 20_000) -> DataFrame:
     """(doc, row, start, end): byte ranges of (doc, row, text) rows that repeat earlier ones; they may overlap."""
     long = own.where(F.octet_length("text") >= width)
-    grouped = durable_table(_grouped(_scan(long, width, gram, later=False), width))
-    ranges = _scan(long, width, gram, later=True).unionAll(grouped.where("number is null").select("doc", "row", "start", "end"))
+    # a copy is left out of the places because its block holds an earlier one, so the same cut must also mark it
+    scanned = durable_table(_scan(long, width, gram))
+    grouped = durable_table(_grouped(_places(scanned), width))
+    ranges = _ranges(scanned).unionAll(grouped.where("number is null").select("doc", "row", "start", "end"))
     runs_ = grouped.where("number is not null").drop("number")
     crowded = grouped.where(F.col("number") == block_runs).select("anchor")
     some = crowded.limit(1).count() > 0
@@ -372,7 +368,6 @@ def repeated_ranges(own: DataFrame, width: int = WIDTH, gram: int = GRAM, block_
     if not some:
         return ranges.unionAll(_sorted_repeats(segments, width))
     segments = durable_table(segments)
-    # a copy is left out of the places because its block holds an earlier one, so the same cut must also mark it
     windows = durable_table(_scan_windows(segments.where("lot > 0").repartition("anchor", "lot"), width))
     single = _grouped(_places(windows), width).where("number is null").select("doc", "row", "start", "end")
     return ranges.unionAll(_sorted_repeats(segments.where("lot = 0"), width)).unionAll(_ranges(windows)).unionAll(single)

@@ -316,6 +316,21 @@ def test_suffix_dedup_of_windows_cut_differently_each_time(spark, monkeypatch):
         assert bytes(found[doc].kept) == kept
 
 
+def test_suffix_dedup_of_texts_cut_differently_each_time(spark, monkeypatch):
+    class Cut(int):
+        def __le__(self, size):
+            return random.SystemRandom().random() < 0.3
+
+    monkeypatch.setattr(suffix_dedup, "SCAN_BYTES", Cut(suffix_dedup.SCAN_BYTES))
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdé ") for _ in range(900))
+    rows = [(k, f"start {k} {passage} end {k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    found = got(suffix_dedup.dedup_passages(docs, with_text=True))
+    for doc, (_, kept) in kept_by_brute_force([(k, t.encode()) for k, t in rows], 100).items():
+        assert bytes(found[doc].kept) == kept
+
+
 def test_suffix_dedup_edges(docs, empty):
     found = suffix_dedup.digest(suffix_dedup.dedup_passages(docs))
     rows = got(found)
