@@ -5,8 +5,8 @@ smallest k-gram (by hash, leftmost), their anchor. So each text is cut into runs
 every window in exactly one run, and only runs with equal anchors can repeat each other:
 
 1. a task that scans texts keeps the first place of equal runs; the later ones are repeats throughout;
-2. what is left is dealt out and sorted by anchor and run, so that a stream over it finds the first place of each
-   run, further repeats, and the anchors with several different runs;
+2. what is left is dealt out by anchor, or by anchor and run where an anchor is frequent, and sorted by both, so that
+   a stream over it finds the first place of each run, further repeats, and the anchors with several different runs;
 3. the bytes of these runs meet in a task per anchor, which builds their suffix array by two-stage sorting:
    suffixes smaller than their successor are sorted directly, the others are induced by a scan of the buckets.
    Neighbours with a common prefix of `width` bytes are repeats of their first place.
@@ -255,16 +255,25 @@ def _scan_windows(segments: DataFrame, width: int) -> DataFrame:
     return segments.mapInArrow(run, _SCANNED)
 
 
-def _grouped(places: DataFrame, width: int) -> DataFrame:
+def _grouped(places: DataFrame, width: int, hot: DataFrame | None = None) -> DataFrame:
     """From first places: ranges of places that are not the first of their run, and runs whose anchor has others.
 
     A run to compare has its number among the runs of its anchor, from 0, in `number`; a range has null there.
+    The runs of a `hot` anchor are dealt out one by one; each is given, without being counted, with the number -1.
     """
+    columns = ("anchor", "run", "doc", "row", "place")
+    if hot is None:
+        dealt = places.select(*columns, F.lit(False).alias("hot")).repartition("anchor")
+    else:
+        dealt = places.join(hot.select("anchor", F.lit(True).alias("hot")), "anchor", "left").select(
+            *columns, F.coalesce("hot", F.lit(False)).alias("hot"))
+        dealt = dealt.repartition("anchor", F.when(F.col("hot"), F.col("run")))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = None  # the first row of the current run, and the number of runs of its anchor so far
         number, waiting = 0, None
         for batch in batches:
-            anchor, whole, doc, row, place = (np.asarray(c) for c in batch.columns)
+            anchor, whole, doc, row, place, alone = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             out: list[tuple] = []
             n = len(anchor)
             if not n:
@@ -281,7 +290,10 @@ def _grouped(places: DataFrame, width: int) -> DataFrame:
             lead_doc, lead_place = lead_doc[at], lead_place[at]
             for k in heads:
                 head = (int(anchor[k]), int(whole[k]), int(doc[k]), int(row[k]), int(place[k]))
-                if first is not None and head[0] == first[0]:
+                if alone[k]:
+                    waiting = None
+                    out.append((head, -1))
+                elif first is not None and head[0] == first[0]:
                     if waiting is not None:
                         out.append((waiting, 0))
                         waiting = None
@@ -302,7 +314,7 @@ def _grouped(places: DataFrame, width: int) -> DataFrame:
                 pa.array(np.concatenate([(listed[3] >> 8) + (listed[3] & 255), start + count]) + (width - 1)),
             ], ["anchor", "number", "doc", "row", "start", "end"])
 
-    return places.repartition("anchor").sortWithinPartitions("anchor", "run", "doc", "place").mapInArrow(
+    return dealt.sortWithinPartitions("anchor", "run", "doc", "place").mapInArrow(
         run, "anchor long, number long, " + _RANGE)
 
 
@@ -357,11 +369,14 @@ def repeated_ranges(own: DataFrame, width: int = WIDTH, gram: int = GRAM, block_
     long = own.where(F.octet_length("text") >= width)
     # a copy is left out of the places because its block holds an earlier one, so the same cut must also mark it
     scanned = durable_table(_scan(long, width, gram))
-    grouped = durable_table(_grouped(_places(scanned), width))
+    # no anchor with fewer places can have more than `block_runs` runs; the runs of the others are dealt out
+    often = durable_table(_places(scanned).groupBy("anchor").count().where(F.col("count") > block_runs).select("anchor"))
+    hot = often if often.limit(1).count() else None
+    grouped = durable_table(_grouped(_places(scanned), width, hot))
     ranges = _ranges(scanned).unionAll(grouped.where("number is null").select("doc", "row", "start", "end"))
     runs_ = grouped.where("number is not null").drop("number")
-    crowded = grouped.where(F.col("number") == block_runs).select("anchor")
-    some = crowded.limit(1).count() > 0
+    crowded = grouped.where("number = -1").groupBy("anchor").count().where(F.col("count") > block_runs).select("anchor")
+    some = hot is not None and crowded.limit(1).count() > 0
     mark = F.lit(True).alias("crowded")
     marked = runs_.join(crowded.select("anchor", mark), "anchor", "left") if some else runs_.withColumn("crowded", F.lit(False))
     segments = _segments(own, marked)

@@ -331,6 +331,31 @@ def test_suffix_dedup_of_texts_cut_differently_each_time(spark, monkeypatch):
         assert bytes(found[doc].kept) == kept
 
 
+def test_suffix_dedup_deals_out_the_runs_of_a_frequent_anchor(spark, monkeypatch):
+    tables, durable_table = [], suffix_dedup.durable_table
+
+    def kept(df):
+        if "number" in df.columns:
+            tables.append(durable_table(df.withColumn("task", F.spark_partition_id())))
+            return tables[-1].drop("task")
+        return durable_table(df)
+
+    monkeypatch.setattr(suffix_dedup, "durable_table", kept)
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdé ") for _ in range(120))
+    rows = [(k, "".join(rng.choice("xyz ") for _ in range(60)) + passage + "".join(rng.choice("xyz ") for _ in range(60))) for k in range(200)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = got(suffix_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"), block_runs=20, with_text=True))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for doc, (_, kept_bytes) in kept_by_brute_force([(k, t.encode()) for k, t in rows], 100).items():
+        assert bytes(found[doc].kept) == kept_bytes
+    runs = tables[0].where("number is not null").groupBy("anchor").agg(F.count("*").alias("n"), F.count_distinct("task").alias("tasks"))
+    most = runs.orderBy(F.desc("n")).first()
+    assert most.n > 100 and most.tasks > 1
+
+
 def test_suffix_dedup_edges(docs, empty):
     found = suffix_dedup.digest(suffix_dedup.dedup_passages(docs))
     rows = got(found)
