@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import (
-    compression_quality, decontaminate, language_crf, packing, pii, quality_rules, secret_scan, simhash, suffix_dedup,
-    url_filter,
+    alignment, compression_quality, conversation_trie, decontaminate, language_crf, packing, pii, quality_rules, secret_scan, simhash,
+    suffix_dedup, token_files, url_filter,
 )
 from runlens.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +69,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_tokenizer_alignment(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_files.read_tokens(token_files.write_tokens(table(spark, sf_dir, "documents"), TOKENIZER))
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_dedup, op2_decontaminate, op3_quality_rules, op4_best_fit_packing, op5_secret_scan, op6_personal_data,
-    op7_language_id, op8_suffix_dedup, op9_url_filter, op10_quality_classifier,
+    op7_language_id, op8_suffix_dedup, op9_url_filter, op10_quality_classifier, op11_cross_tokenizer_alignment,
+    op12_conversation_trie, op13_token_files,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
