@@ -115,33 +115,43 @@ def bands(capacity: int) -> list[tuple[int, int]]:
     return [(low, high) for high, low in zip(tops, [*tops[1:], 0]) if high > low]
 
 
-_SWEPT = "piece boolean, pid long, sequence long, size long, run int, place long"
+_SWEPT = "piece boolean, pid long, sequence long, size long, run int, place long, copies long"
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Match the pieces of a sorted range with its gaps; what stays unmatched gets a place in this range's order."""
-    free: list[tuple[int, int]] = []
-    run, unplaced = TaskContext.get().partitionId(), 0
+    """Match the pieces of a sorted range with its gaps; what stays unmatched gets a place in this range's order.
+
+    A gap comes with a number of equal copies; those left over are one row, whose place is that of the first.
+    """
+    free: list[list[int]] = []
+    run, unplaced, place = TaskContext.get().partitionId(), 0, 0
     schema = pa.schema([("piece", pa.bool_()), ("pid", pa.int64()), ("sequence", pa.int64()), ("size", pa.int64()),
-                        ("run", pa.int32()), ("place", pa.int64())])
+                        ("run", pa.int32()), ("place", pa.int64()), ("copies", pa.int64())])
 
     def packed(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     for batch in batches:
         out = []
-        for is_piece, key, size in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for is_piece, key, size, copies in zip(*(batch.column(k).to_pylist() for k in range(4))):
             if not is_piece:
-                free.append((key, size))
+                free.append([key, size, copies])
             elif free:
-                out.append((True, key, free.pop()[0], size, run, None))
+                out.append((True, key, free[-1][0], size, run, None, None))
+                free[-1][2] -= 1
+                if not free[-1][2]:
+                    free.pop()
             else:
-                out.append((True, key, None, size, run, unplaced))
+                out.append((True, key, None, size, run, unplaced, None))
                 unplaced += 1
         if out:
             yield packed(out)
-    if free:
-        yield packed([(False, None, key, size, run, k) for k, (key, size) in enumerate(free)])
+    out = []
+    for key, size, copies in free:
+        out.append((False, None, key, size, run, place, copies))
+        place += copies
+    if out:
+        yield packed(out)
 
 
 def _matches(counts: dict[int, tuple[int, int]]) -> tuple[list[tuple], list[tuple]]:
@@ -196,15 +206,15 @@ def _round(band: DataFrame, gaps: DataFrame, low: int, high: int, capacity: int,
     """(pid, sequence, size) of all pieces of the band, and the next free sequence number."""
     spark = band.sparkSession
     slots = F.greatest(F.floor(F.col("gap") / high), F.lit(1))
-    first = F.col("gap") - (slots - 1) * high
-    spread = gaps.where(F.col("gap") > low).select("sequence", F.explode(
-        F.concat(F.array(first), F.array_repeat(F.lit(high).cast("long"), (slots - 1).cast("int")))).alias("size"))
-    both = band.select(F.lit(True).alias("piece"), F.col("pid").alias("key"), F.col("length").alias("size")).unionAll(
-        spread.select(F.lit(False).alias("piece"), F.col("sequence").alias("key"), "size"))
+    first = F.struct((F.col("gap") - (slots - 1) * high).cast("long").alias("size"), F.lit(1).cast("long").alias("copies"))
+    rest = F.struct(F.lit(high).cast("long").alias("size"), (slots - 1).cast("long").alias("copies"))
+    spread = gaps.where(F.col("gap") > low).select("sequence", F.inline(F.array(first, rest))).where("copies > 0")
+    both = band.select(F.lit(True).alias("piece"), F.col("pid").alias("key"), F.col("length").alias("size"), F.lit(1).cast("long").alias("copies")).unionAll(
+        spread.select(F.lit(False).alias("piece"), F.col("sequence").alias("key"), "size", "copies"))
     order = [F.desc("size"), F.asc("piece"), F.asc("key")]
     swept = durable(both.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep, _SWEPT))
     left = swept.where("place is not null").groupBy("run").agg(
-        F.count_if("piece").alias("pieces"), F.count_if(~F.col("piece")).alias("gaps")).collect()
+        F.count_if("piece").alias("pieces"), F.sum(F.when(F.col("piece"), 0).otherwise(F.col("copies"))).alias("gaps")).collect()
     joined, opened = _matches({r["run"]: (r["pieces"], r["gaps"]) for r in left})
     placed = swept.where("piece and sequence is not null").select("pid", "sequence", "size")
     waiting = swept.where("piece and sequence is null").select("pid", "size", "run", "place")
@@ -212,7 +222,13 @@ def _round(band: DataFrame, gaps: DataFrame, low: int, high: int, capacity: int,
         table = spark.createDataFrame(joined, "run int, low long, high long, other int, last long")
         target = waiting.join(F.broadcast(table), "run").where("place >= low and place < high").select(
             "pid", "size", F.col("other").alias("run"), (F.col("last") - (F.col("place") - F.col("low"))).alias("place"))
-        free = swept.where("not piece").select("sequence", "run", "place")
+        taken: dict[int, int] = {}
+        for _, start, stop, other, last in joined:  # of a partition's gaps the last ones are taken
+            taken[other] = min(taken.get(other, last), last - (stop - start) + 1)
+        lows = spark.createDataFrame([*taken.items()], "run int, lowest long")
+        end = F.col("place") + F.col("copies") - 1
+        free = swept.where("not piece").join(F.broadcast(lows), "run").where(end >= F.col("lowest")).select(
+            "sequence", "run", F.explode(F.sequence(F.greatest("place", "lowest"), end)).alias("place"))
         placed = placed.unionAll(target.join(free, ["run", "place"]).select("pid", "sequence", "size"))
     if opened:
         table = spark.createDataFrame(opened, "run int, low long, high long, shift long")
