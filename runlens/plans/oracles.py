@@ -197,14 +197,18 @@ oracle("longest_root", """SELECT page_id, path, arg_max(root, length(root)) AS r
     FROM pg JOIN roots ON path = root OR starts_with(path, root || '/') GROUP BY page_id, path""", "roots")
 _RESOLVE = """, l AS (SELECT CASE WHEN page_id % 3 = 0 THEN '/moved' || path WHEN page_id % 4 = 1 THEN host || '/worklog/' || page_id || '.md'
       ELSE rtrim(path, '/') || '/f' END AS path, page_id AS size FROM pgh),
-    w AS (SELECT DISTINCT CASE WHEN page_id % 5 = 0 THEN host || '/worklog' WHEN page_id % 7 = 0 THEN host || '/文件输出/x'
-      ELSE rtrim(path, '/') || '/f' END AS remote_path FROM pgh),
+    c AS (SELECT DISTINCT CASE WHEN page_id % 5 = 0 THEN host || '/worklog/' WHEN page_id % 7 = 0 THEN host || '/文件输出/x'
+      ELSE rtrim(path, '/') || '/f' END AS claim FROM pgh),
+    w AS (SELECT rtrim(claim, '/') AS remote_path, contains(claim, '文件输出') AS excluded, bool_or(length(claim) % 11 = 0) AS failed FROM c GROUP BY ALL),
+    b AS (SELECT remote_path, arg_max('L:' || root, length(root)) AS root_label
+      FROM w JOIN roots ON remote_path = root OR starts_with(remote_path, root || '/') GROUP BY remote_path),
     m AS (SELECT remote_path, path, size FROM w JOIN l ON path = remote_path
-      OR (contains(remote_path, 'worklog') AND starts_with(path, remote_path || '/')) WHERE NOT contains(remote_path, '文件输出')) """
-oracle("resolve_paths", _RESOLVE + """SELECT remote_path, CASE WHEN contains(remote_path, '文件输出') THEN 'ignored_internal_workspace'
-    WHEN count(path) > 0 THEN 'found' ELSE 'not_found' END AS status, count(path) AS n_files
-    FROM w LEFT JOIN m USING (remote_path) GROUP BY remote_path""", "pgh")
-oracle("resolve_path_matches", _RESOLVE + "SELECT remote_path, path, size FROM m", "pgh")
+      OR (contains(remote_path, 'worklog') AND starts_with(path, remote_path || '/')) WHERE NOT excluded AND NOT failed) """
+oracle("resolve_paths", _RESOLVE + """SELECT remote_path, CASE WHEN excluded THEN 'ignored_internal_workspace' WHEN failed THEN 'resolve_failed'
+    WHEN count(path) > 0 THEN 'found' ELSE 'not_found' END AS status, count(path) AS n_files,
+    CASE WHEN failed AND NOT excluded THEN 'timed out' END AS error
+    FROM w LEFT JOIN m USING (remote_path) GROUP BY remote_path, excluded, failed""", "roots")
+oracle("resolve_path_matches", _RESOLVE + "SELECT remote_path, path, size, root_label FROM m LEFT JOIN b USING (remote_path)", "roots")
 oracle("safe_relative", """, d AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN path || '/.././/x.md' ELSE path END AS p,
       CASE WHEN page_id % 6 = 0 THEN '/none' ELSE host END AS root,
       CASE page_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'worklog' ELSE 'summary' END AS label FROM pgh),

@@ -280,7 +280,7 @@ def resolve_paths(spark, sf):
 @query
 def resolve_path_matches(spark, sf):
     matches, _ = _resolved(spark, sf)
-    return matches.select("remote_path", "path", "size")
+    return matches.select("remote_path", "path", "size", "root_label")
 
 
 def _resolved(spark, sf):
@@ -295,7 +295,9 @@ def _resolved(spark, sf):
     claimed = F.when(v.mod("page_id", 5, 0), F.concat(host, F.lit("/worklog/"))).when(
         v.mod("page_id", 7, 0), F.concat(host, F.lit("/文件输出/x"))).otherwise(
         F.concat(F.regexp_replace("path", "/$", ""), F.lit("/f")))
-    return prefixes.resolve_paths(p.select(claimed.alias("remote_path")), listing)
+    claims = p.select(claimed.alias("remote_path"))
+    failed = claims.where(F.length("remote_path") % 11 == 0).select(F.col("remote_path").alias("path"), F.lit("timed out").alias("error"))
+    return prefixes.resolve_paths(claims, listing, roots=v.page_roots(spark, sf), failed=failed)
 
 
 @query

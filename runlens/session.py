@@ -1,8 +1,10 @@
-"""Session set-up used by tests, the bench and notebooks."""
+"""Session set-up used by tests, the bench and notebooks, and where lineage is cut."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -31,3 +33,22 @@ def checkpoint_location(spark: SparkSession, name: str) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/{name}"
 
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that cuts of lineage go to: the one that spark.checkpoint.dir names.
+
+    Where that is unset, a session on one machine gets a temporary folder; on a cluster it is an error.
+    """
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="runlens-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """`df` written to the checkpoint folder, partition by partition, so that lost executors cost no recomputation."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

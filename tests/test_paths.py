@@ -12,7 +12,7 @@ from runlens.functions.paths import (
     relative_paths_in, safe_relative, shell_output_fragments, workspace_path,
 )
 from runlens.operators.logged_paths import logged_output_paths
-from runlens.operators.prefixes import longest_root, resolve_paths
+from runlens.operators.prefixes import below, longest_root, resolve_paths
 from runlens.sources.traces import parse_events
 from tests.test_text import apply
 
@@ -161,12 +161,59 @@ def test_resolve_paths(spark):
     assert {(r.remote_path, r.path) for r in matches.collect()} == {
         ("/w/worklog/d", "/w/worklog/d/a.md"), ("/w/worklog/d", "/w/worklog/d/e/b.md"),
         ("/w/r.md", "/w/r.md"), ("/w/worklog/d/a.md", "/w/worklog/d/a.md")}
+    assert "Generate" not in matches._jdf.queryExecution().executedPlan().toString()
     assert {r.remote_path: (r.status, r.n_files) for r in status.collect()} == {
         "/w/worklog/d": ("found", 2), "/w/r.md": ("found", 1), "/w/none.md": ("not_found", 0),
         "/w/文件输出/q.md": ("ignored_internal_workspace", 0), "/w/worklog/d/a.md": ("found", 1),
         "/w": ("not_found", 0)}
 
 
+def test_failed_look_ups_and_roots(spark):
+    listing = spark.createDataFrame([("/w/worklog/d/a.md", 1, 1), ("/w/x.md", 1, 1)], "path string, size long, mtime long")
+    detected = spark.createDataFrame([("/w/worklog/d/",), ("/w/worklog/d/a.md",), ("/w/x.md",), ("/w/文件输出",)], "remote_path string")
+    failed = spark.createDataFrame([("/w/x.md", "timed out"), ("/w/文件输出", "gone"), ("/other", "no")], "path string, error string")
+    roots = spark.createDataFrame([("/w/", "top"), ("/w/worklog/d/a.md", "file")], "root_path string, root_label string")
+    matches, status = resolve_paths(detected, listing, roots=roots, failed=failed)
+    assert {(r.remote_path, r.path, r.root_label) for r in matches.collect()} == {
+        ("/w/worklog/d", "/w/worklog/d/a.md", "top"), ("/w/worklog/d/a.md", "/w/worklog/d/a.md", "file")}
+    assert {(r.remote_path, r.status, r.error) for r in status.collect()} == {
+        ("/w/worklog/d", "found", None), ("/w/worklog/d/a.md", "found", None), ("/w/x.md", "resolve_failed", "timed out"),
+        ("/w/文件输出", "ignored_internal_workspace", None)}
+
+
+odd_segment = st.sampled_from(["a", "b", "a-b", "a.b", "", "\x00", "\x01", "a\x00b", "a\x01"])
+odd_path = st.lists(odd_segment, min_size=1, max_size=5).map("/".join)
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(odd_path, max_size=25), st.lists(odd_path, max_size=10))
+def test_below_property(spark, paths, roots):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many ranges, so roots stay open over borders
+    table = sorted(set(roots))
+    rows = [(k, p) for k, p in enumerate(paths)] + [(-1, None)]
+    left = spark.createDataFrame(rows, "n long, path string")
+    right = spark.createDataFrame([(r,) for r in [*table, None]], "root string")
+    hits = {n: [r for r in table if p is not None and (p == r or p.startswith(r + "/"))] for n, p in rows}
+    got = below(left, right, "path", "root", every=True).select("n", "root").collect()
+    assert sorted(map(tuple, got)) == sorted((n, r) for n, h in hits.items() for r in h)
+    got = below(left, right, "path", "root", keep_all=True).select("n", "root").collect()
+    assert {r.n: r.root for r in got} == {n: max(h, key=len, default=None) for n, h in hits.items()} and len(got) == len(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_a_directory_with_a_third_of_all_files_is_spread(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit("/hot/one")).otherwise(
+        F.concat(F.lit("/d"), F.col("id").cast("string"))).alias("dir"), F.col("id"))
+    files = files.select("id", F.concat("dir", F.lit("/f")).alias("path"))
+    roots = spark.createDataFrame([("/hot",), ("/",), ("/d5",)], "root string")
+    found = below(files, roots, "path", "root", every=True).withColumn("part", F.spark_partition_id())
+    hot = found.where("root = '/hot'")
+    assert hot.count() == 3000 and hot.select("part").distinct().count() >= 3
+    assert found.where("root = '/d5'").count() == 1 and found.where("root = '/'").count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_logged_output_paths(spark):
     events = [
         {"event": "model_output", "session_id": "s1", "payload": {"assistant": {"content": [
