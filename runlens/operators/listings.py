@@ -126,7 +126,8 @@ def stability_runs(
     A poll without the required files has run 0; a changed listing starts again at 1. A session's
     polls are cut into buckets of consecutive poll numbers. Windows run inside a bucket, and the
     bucket totals (one row per bucket) carry a run across bucket borders, so even a session with a
-    third of all polls is spread over many tasks.
+    third of all polls is spread over many tasks. A poll without a session or number has no place in a
+    sequence: it keeps its row, with run 0, and breaks no run.
     """
     state = F.struct(F.col(signature).alias("s"), F.coalesce(F.col(present), F.lit(False)).alias("p"))
     rest = [c for c in polls.columns if c not in (session, poll, signature, present)]
@@ -170,7 +171,10 @@ def stability_runs(
     )
     joined = rows.join(buckets, [session, "_b"])
     shown = {signature: F.col("_state.s").alias(signature), present: F.col("_state.p").alias(present)}
-    return joined.select(*[shown.get(c, F.col(c)) for c in polls.columns], run.cast("bigint").alias("run"))
+    placed = joined.select(*[shown.get(c, F.col(c)) for c in polls.columns], run.cast("bigint").alias("run"))
+    loose = polls.where(F.col(session).isNull() | F.col(poll).isNull())
+    return placed.unionAll(loose.select(
+        *[F.coalesce(c, F.lit(False)).alias(c) if c == present else F.col(c) for c in polls.columns], F.lit(0).cast("bigint").alias("run")))
 
 
 def _continues(before: Column, now: Column) -> Column:
@@ -181,9 +185,12 @@ def _continues(before: Column, now: Column) -> Column:
 def first_stable_poll(
     runs: DataFrame, checks: int = fv.STABLE_CHECKS, session: str = "session_id", poll: str = "poll_no"
 ) -> DataFrame:
-    """Poll whose listing is taken: the first stable one, else the last one seen."""
+    """Poll whose listing is taken: the first stable one, else the last one seen.
+
+    Polls without a session are nobody's; a session whose polls have no number has a null poll.
+    """
     needed = max(1, checks)
-    return runs.groupBy(session).agg(
+    return runs.where(F.col(session).isNotNull()).groupBy(session).agg(
         F.min(F.when(F.col("run") >= needed, F.col(poll))).alias("_stable"), F.max(poll).alias("_last")
     ).select(
         session,

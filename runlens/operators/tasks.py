@@ -25,8 +25,13 @@ def normalize_targets(values: DataFrame, list_id: Cols, pos: str = "pos", value:
 def registry_report(tasks: DataFrame, adapter: str = fv.TASK_ADAPTER) -> DataFrame:
     """(path, violation): every rule a registry row breaks, not only the first.
 
-    A row whose id is used by another row, regardless of case, is a duplicate.
+    A row whose id is used by another row, regardless of case, is a duplicate. A row that could not be read (`problem`)
+    has that violation only.
     """
+    unread = None
+    if "problem" in tasks.columns:
+        unread = tasks.where(F.col("problem").isNotNull()).select("path", F.col("problem").alias("violation"))
+        tasks = tasks.where(F.col("problem").isNull())
     id_type = F.col("absolute_id_type") if "absolute_id_type" in tasks.columns else None
     unsafe = id_problem(F.col("absolute_id"), id_type)
     rule = lambda broken, label: F.when(F.coalesce(broken, F.lit(True)), F.lit(label))
@@ -42,7 +47,8 @@ def registry_report(tasks: DataFrame, adapter: str = fv.TASK_ADAPTER) -> DataFra
     )
     single = exploded(tasks, ["path"], violations, "violation")
     duplicates = duplicate_ids(tasks).select("path", F.lit("duplicate-id").alias("violation"))
-    return single.unionByName(duplicates)
+    found = single.unionByName(duplicates)
+    return found if unread is None else found.unionByName(unread)
 
 
 def duplicate_ids(tasks: DataFrame, task_id: str = "absolute_id") -> DataFrame:

@@ -179,9 +179,10 @@ oracle("poll_states", """, p AS (SELECT o_custkey AS session_id, year(o_orderdat
     SELECT session_id, poll_no, coalesce(n_files, 0) AS n_files,
       coalesce(w AND CASE WHEN session_id % 3 = 0 THEN pair ELSE r END, false) AS present
       FROM (SELECT DISTINCT session_id, poll_no FROM p) LEFT JOIN g USING (session_id, poll_no)""", "art")
-oracle("stability_runs", "SELECT user_id AS session_id, d AS poll_no, sig AS signature, present, run FROM run JOIN pol USING (user_id, d)", "run")
-oracle("stability_first", """SELECT user_id AS session_id, coalesce(min(d) FILTER (run >= 2), max(d)) AS poll_no,
-    count(*) FILTER (run >= 2) > 0 AS stable FROM run GROUP BY user_id""", "run")
+oracle("stability_runs", """SELECT user_id AS session_id, d AS poll_no, sig AS signature, present, run FROM run JOIN pol USING (user_id, d) WHERE user_id >= 10
+    UNION ALL SELECT CASE WHEN d % 2 = 0 THEN user_id END, CASE WHEN d % 2 <> 0 THEN d END, sig, present, 0 FROM pol""", "run")
+oracle("stability_first", """SELECT user_id AS session_id, CASE WHEN user_id >= 10 THEN coalesce(min(d) FILTER (run >= 2), max(d)) END AS poll_no,
+    user_id >= 10 AND count(*) FILTER (run >= 2) > 0 AS stable FROM run GROUP BY user_id HAVING user_id >= 10 OR count(*) FILTER (d % 2 = 0) > 0""", "run")
 oracle("session_artifacts", """, p AS (SELECT host[2:] AS device, 's' || (page_id % 60) AS session_id, page_id FROM pgh),
     w AS (SELECT DISTINCT device, CASE WHEN page_id % 5 = 0 THEN 'none' || page_id ELSE session_id END AS session_id FROM p),
     r AS (SELECT device, session_id, count(*) AS n, string_agg(DISTINCT f, ',' ORDER BY f) AS formats FROM (
@@ -253,8 +254,9 @@ oracle("target_list", r"""SELECT conv_id, code, (m).t AS pos, (m).i AS item_pos
 oracle("id_validation", """SELECT k AS task_no, CASE WHEN trim(id) = '' THEN 'blank' WHEN id LIKE '%.' THEN 'trailing-dot' WHEN contains(id, '/') THEN 'unsafe-character' END AS id_problem,
     CASE WHEN k % 5 = 2 THEN 'parent-reference' WHEN k % 5 IN (1, 4) THEN 'path-separator' WHEN trim(id) = '' THEN 'blank'
     WHEN contains(id, '/') THEN 'path-separator' END AS session_problem FROM tsk""", "tsk")
-oracle("registry_report", """, p AS (SELECT *, '/task/' || person || '/' || k AS path, count(*) OVER (PARTITION BY lower(trim(id))) AS n FROM tsk)
-    SELECT path, 'adapter' AS violation FROM p WHERE c_mktsegment = 'BUILDING'
+oracle("registry_report", """, p AS (SELECT *, '/task/' || person || '/' || k AS path, count(*) OVER (PARTITION BY lower(trim(id))) AS n FROM tsk WHERE k % 71 <> 0)
+    SELECT '/task/' || person || '/' || k AS path, 'invalid-json' AS violation FROM tsk WHERE k % 71 = 0
+    UNION ALL SELECT path, 'adapter' FROM p WHERE c_mktsegment = 'BUILDING'
     UNION ALL SELECT path, 'person-directory' FROM p WHERE k % 59 = 0
     UNION ALL SELECT path, 'id-directory' FROM p WHERE k % 61 = 0
     UNION ALL SELECT path, 'id-blank' FROM p WHERE trim(id) = ''

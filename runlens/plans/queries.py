@@ -225,12 +225,20 @@ def poll_states(spark, sf):
 
 @query
 def stability_runs(spark, sf):
-    return listings.stability_runs(v.polls(spark, sf), bucket_polls=8)
+    return listings.stability_runs(_polls_and_loose_ones(spark, sf), bucket_polls=8)
 
 
 @query
 def stability_first(spark, sf):
-    return listings.first_stable_poll(listings.stability_runs(v.polls(spark, sf), bucket_polls=8), checks=2)
+    return listings.first_stable_poll(listings.stability_runs(_polls_and_loose_ones(spark, sf), bucket_polls=8), checks=2)
+
+
+def _polls_and_loose_ones(spark, sf):
+    """All polls, each also without its session or without its number, whichever its day says; users 0 to 9 only so."""
+    polls = v.polls(spark, sf)
+    session = F.when(v.mod("poll_no", 2, 0), F.col("session_id"))
+    loose = polls.select(session.alias("session_id"), F.when(session.isNull(), F.col("poll_no")).alias("poll_no"), "signature", "present")
+    return polls.where("session_id >= 10").unionAll(loose)
 
 
 @query
@@ -388,7 +396,8 @@ def id_validation(spark, sf):
 
 @query
 def registry_report(spark, sf):
-    return tasks.registry_report(v.tasks(spark, sf))
+    unreadable = F.when(v.mod("task_no", 71, 0), "invalid-json")
+    return tasks.registry_report(v.tasks(spark, sf).withColumn("problem", unreadable))
 
 
 @query

@@ -146,3 +146,12 @@ def test_session_artifacts(spark):
 def test_diff_keeps_columns(spark, field):
     df = spark.createDataFrame([("a", 1, 1)], STAT)
     assert field in ops.snapshot_diff(df, df).columns
+
+
+def test_polls_without_a_place_keep_their_row(spark):
+    rows = [("s", 1, "x", True), ("s", 2, "x", True), (None, 1, "x", True), ("s", None, "y", None), ("s", 3, "x", True), ("t", None, "z", True)]
+    polls = spark.createDataFrame(rows, "session_id string, poll_no long, signature string, present boolean")
+    runs = ops.stability_runs(polls)
+    assert sorted((r.session_id or "", r.poll_no or 0, r.present, r.run) for r in runs.collect()) == [
+        ("", 1, True, 0), ("s", 0, False, 0), ("s", 1, True, 1), ("s", 2, True, 2), ("s", 3, True, 3), ("t", 0, True, 0)]
+    assert {(r.session_id, r.poll_no, r.stable) for r in ops.first_stable_poll(runs, 3).collect()} == {("s", 3, True), ("t", None, False)}

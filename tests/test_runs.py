@@ -156,6 +156,10 @@ def test_sinks(spark, tmp_path):
     write_ledger_batch(runs.withColumn("attempt", F.lit(2)), 7, path)
     back = read_ledger(spark, path)
     assert spark.read.parquet(path).count() == back.count() == 4 and {str(r.run_date) for r in back.collect()} == {"2026-07-15"}
+    later = runs.withColumn("outcome", F.lit("complete")).withColumn("outputs_pulled", F.lit(9)).withColumn("at", F.expr("at + interval 1 hour"))
+    append_ledger(later, path, "correction")
+    again = {(r.case_id, r.attempt): r for r in read_ledger(spark, path).where("marker = 'complete'").collect()}
+    assert json.loads(again["a", 1].result) == {"outputs_pulled": 9} and json.loads(again["a", 2].result) == {"outputs_pulled": 3}
     assert json.loads(back.where("case_id='a'").first().result) == {"outputs_pulled": 3}
     assert back.where("case_id='b'").first().result is None
     texts = spark.createDataFrame([("a", "prompt", "hi", "2026-07-15")], "case_id string, tag string, text string, run_date string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.operators import traces as batch
 from runlens.operators.listings import first_stable_poll, snapshot_diff, stability_runs
+from runlens.sources.sinks import read_ledger
 from runlens.sources.traces import parse_events
 from runlens.streaming.changes import start_ledger, stream_changes, stream_replies
 from runlens.streaming.stability import detect_stable
@@ -156,21 +157,39 @@ def test_changes_match_batch(spark, tmp_path):
 def test_replies_and_ledger(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    (folder / "a.jsonl").write_text(line(0) + line(1, reason="stop", text="周报已生成") + line(2, "sub", "stop", "x"), encoding="utf-8")
+    (folder / "a.jsonl").write_text(line(0) + line(1, reason="stop", text="周报已生成") + line(2, "sub", "stop", "x")
+                                    + line(3, reason="stop", text="再次完成，周报已生成"), encoding="utf-8")
     (folder / "b.jsonl").write_text(line(5, reason="stop", text="无法完成"), encoding="utf-8")
     replies = stream_replies(tail_events(spark, str(folder)))
     runs = replies.select(
         F.col("trace").alias("case_id"), F.lit(1).alias("attempt"), F.lit("complete").alias("marker"), F.col("ts").alias("at"),
-        "verdict", "reply")
+        F.col("byte_offset").alias("seq"), "verdict", "reply")
     query = start_ledger(runs, str(tmp_path / "ledger"), str(tmp_path / "cp"), processingTime="0 seconds")
     try:
         query.processAllAvailable()
         assert query.exception() is None
     finally:
         query.stop()
-    rows = spark.read.parquet(str(tmp_path / "ledger")).collect()
-    got = {r.case_id.rsplit("/", 1)[1]: json.loads(r.result)["verdict"] for r in rows}
-    assert got == {"a.jsonl": "complete", "b.jsonl": "partial-or-failed"}
+    ledger = read_ledger(spark, str(tmp_path / "ledger"))
+    got = sorted((r.case_id.rsplit("/", 1)[1], json.loads(r.result)["verdict"]) for r in ledger.collect())
+    assert got == [("a.jsonl", "complete"), ("a.jsonl", "complete"), ("b.jsonl", "partial-or-failed")]
+
+
+def test_a_replayed_batch_leaves_each_reply_once(spark, tmp_path):
+    """A stream that dies after its write and before its commit runs the batch again."""
+    schema = "case_id string, attempt int, marker string, at timestamp, seq long, reply string"
+    first = spark.createDataFrame([("a", 1, "complete", START, k, f"r{k}") for k in range(5)], schema)
+    first.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    run = lambda: start_ledger(stream(), str(tmp_path / "ledger"), str(tmp_path / "cp")).awaitTermination(60)
+    run()
+    for file in (tmp_path / "cp" / "commits").iterdir():
+        file.unlink()  # the commit was lost
+    run()
+    spark.createDataFrame([("a", 1, "complete", START, 5, "r5")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert spark.read.parquet(str(tmp_path / "ledger")).count() == 6
+    assert sorted(json.loads(r.result)["reply"] for r in read_ledger(spark, str(tmp_path / "ledger")).collect()) == [f"r{k}" for k in range(6)]
 
 
 @pytest.mark.parametrize("escaped", [False, True])

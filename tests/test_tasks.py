@@ -25,13 +25,17 @@ def test_registry(spark, tmp_path):
     write_task(tmp_path, "唐可", "n", task=5)
     (tmp_path / "唐可" / "deeper" / "q").mkdir(parents=True)
     (tmp_path / "唐可" / "deeper" / "q" / "metadata.json").write_text("{}")
+    for name, text in (("broken", "{\"adapter\": "), ("list", "[1]"), ("empty", " ")):
+        (tmp_path / "唐可" / name).mkdir()
+        (tmp_path / "唐可" / name / "metadata.json").write_text(text)
     registry = read_registry(spark, str(tmp_path))
-    assert registry.count() == 8
+    assert registry.count() == 11
     found = {}
     for r in ops.registry_report(registry).join(registry.select("path", "dir_id"), "path").collect():
         found.setdefault(r.dir_id, set()).add(r.violation)
     assert found == {"T1": {"duplicate-id"}, "t1": {"duplicate-id"}, "true": {"id-wrong-type"},
-                     "x": {"adapter", "person-directory", "blank-task"}, "a b": {"id-directory"}, "n": {"blank-task"}}
+                     "x": {"adapter", "person-directory", "blank-task"}, "a b": {"id-directory"}, "n": {"blank-task"},
+                     **{name: {"invalid-json"} for name in ("broken", "list", "empty")}}
     good = ops.valid_tasks(registry).withColumnRenamed("absolute_id", "task_id")
     assert [r.task_id for r in ops.registry_order(good).collect()] == ["9", "10"]
     assert {r.task_id: r.mock_week for r in good.collect()} == {"9": "2", "10": None}
