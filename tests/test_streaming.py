@@ -144,6 +144,31 @@ def test_stability_matches_batch(spark, tmp_path):
     assert got == want and got
 
 
+def test_stability_of_shuffled_polls(spark, tmp_path):
+    rng = random.Random(8)
+    at = lambda p: START + timedelta(minutes=p)
+    rows = [(f"s{i}", p, rng.choice("xxy"), rng.choice([True, True, True, False, None]), at(p)) for i in range(12) for p in range(30)]
+    schema = "session_id string, poll_no long, signature string, present boolean, at timestamp"
+    loose = [(None, 3, "x", True, at(3)), ("s1", None, "x", True, at(3)), ("s2", 99, "x", True, None)]
+    mixed = sorted(rows, key=lambda r: r[1] + rng.uniform(0, 12)) + loose  # up to twelve minutes late
+    steps = [mixed[k * 61:(k + 1) * 61] for k in range(6)]
+    steps += [[("tick", 0, "x", False, at(300))], [("tick", 1, "x", False, at(100_000))]]
+    (tmp_path / "in").mkdir()
+    polls = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    tail = Tail(detect_stable(polls, 3, "at", "1 hour", retention_seconds=86400), "shuffled", str(tmp_path / "cp"))
+    try:
+        for step in steps:
+            spark.createDataFrame(step, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            tail.step()
+        assert sum(p["numRowsTotal"] for p in tail.query.lastProgress["stateOperators"]) <= 8  # of the last tick alone
+    finally:
+        tail.stop()
+    got = [(r.session_id, r.poll_no) for r in spark.table("shuffled").collect()]
+    runs = stability_runs(spark.createDataFrame(rows, schema).drop("at"))
+    want = [(r.session_id, r.poll_no) for r in first_stable_poll(runs, 3).where("stable").collect()]
+    assert sorted(got) == sorted(want) and len(got) > 5
+
+
 def test_changes_match_batch(spark, tmp_path):
     schema = "path string, size long, mtime long"
     base = spark.createDataFrame([("a", 1, 1), ("b", 5, 5), ("c", 1, 1)], schema)
