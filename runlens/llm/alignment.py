@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from runlens.llm.common import durable_table, pure, rows, schema_with
 from runlens.llm.packing import Encoder
 
-#: A pair of ids as one number: the first id above so many bits, the second below.
-BITS = 20
+#: A pair of ids as one number: the first id above so many bits, the second below. Ids have fewer bits than the second number.
+BITS, IDS = 20, 17
 
 #: Pairs that are looked up by broadcast at most; a row is 17 bytes.
 COMMON = 200_000
@@ -41,7 +42,7 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.token_bytes = {i: self._bytes(i) for i in range(self.model.get_piece_size())}
+        self.token_bytes = [self._bytes(i) for i in range(self.model.get_piece_size())]
 
     def _bytes(self, i: int) -> bytes:
         piece = self.model.id_to_piece(i)
@@ -57,26 +58,38 @@ def tokens(text: str | None, first: Encoder, second: PieceEncoder) -> tuple[list
         return [], []
     a, b = first.ids(" " + text), second.ids(text)
     whole = b" " + text.encode()
-    if b"".join(map(first.token_bytes.get, a)) != whole or b"".join(map(second.token_bytes.get, b)) != whole:
+    if b"".join(map(first.token_bytes.__getitem__, a)) != whole or b"".join(map(second.token_bytes.__getitem__, b)) != whole:
         return [], []
     return a, b
 
 
-def cuts(a: list[int], b: list[int], a_bytes: dict[int, bytes], b_bytes: dict[int, bytes]) -> tuple[list[int], list[int]]:
+def cuts(a: list[int], b: list[int], a_lengths: list[int], b_lengths: list[int]) -> tuple[list[int], list[int]]:
     """Where the groups end, as token counts of either list."""
-    a_ends = dict(zip(accumulate(len(a_bytes[i]) for i in a), range(1, len(a) + 1)))
-    b_ends = dict(zip(accumulate(len(b_bytes[i]) for i in b), range(1, len(b) + 1)))
+    a_ends = dict(zip(accumulate(map(a_lengths.__getitem__, a)), range(1, len(a) + 1)))
+    b_ends = dict(zip(accumulate(map(b_lengths.__getitem__, b)), range(1, len(b) + 1)))
     common = sorted(a_ends.keys() & b_ends.keys())
-    return [a_ends[end] for end in common], [b_ends[end] for end in common]
+    return [*map(a_ends.__getitem__, common)], [*map(b_ends.__getitem__, common)]
+
+
+@cache
+def _names(n: int) -> list[str]:
+    return [*map(str, range(n))]
 
 
 def digest(a: list[int], b: list[int], a_cuts: list[int], b_cuts: list[int]) -> str:
     """SHA-256 of the groups as text, in order."""
     if not a:
         return ""
-    x, y = [*map(str, a)], [*map(str, b)]
-    groups = (",".join(x[i:j]) + "|" + ",".join(y[k:m])
-              for i, j, k, m in zip([0, *a_cuts], a_cuts, [0, *b_cuts], b_cuts))
+    name = _names(1 << IDS).__getitem__
+    x, y = [*map(name, a)], [*map(name, b)]
+    i = k = 0
+    groups = []
+    for j, m in zip(a_cuts, b_cuts):
+        if j - i == 1 == m - k:  # most groups
+            groups.append(f"{x[i]}|{y[k]}")
+        else:
+            groups.append(f"{','.join(x[i:j])}|{','.join(y[k:m])}")
+        i, k = j, m
     return hashlib.sha256(";".join(groups).encode()).hexdigest()
 
 
@@ -92,14 +105,19 @@ def links(a: list[int], b: list[int], a_cuts: list[int], b_cuts: list[int]) -> t
         y, of_y = np.unique(b[ends_b[g] - n[g]:ends_b[g]], return_counts=True)
         pairs.append(((x[:, None] << BITS) | y[None, :]).ravel())
         counts.append((of_x[:, None] * of_y[None, :]).ravel())
-    m, n, starts_a, starts_b = m[~large], n[~large], (ends_a - m)[~large], (ends_b - n)[~large]
+    starts_a, starts_b = ends_a - m, ends_b - n
+    if pairs:
+        m, n, starts_a, starts_b = m[~large], n[~large], starts_a[~large], starts_b[~large]
     size = m * n
     group = np.repeat(np.arange(len(m)), size)
     at = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)  # place within the group's links
-    pairs.append((a[starts_a[group] + at // n[group]] << BITS) | b[starts_b[group] + at % n[group]])
-    counts.append(np.ones(len(group), np.int64))
-    pair, place = np.unique(np.concatenate(pairs), return_inverse=True)
-    count = np.bincount(place, np.concatenate(counts), len(pair)).astype(np.int64)
+    row, column = np.divmod(at, n[group])
+    expanded = (a[starts_a[group] + row] << BITS) | b[starts_b[group] + column]
+    if not pairs:
+        pair, count = np.unique(expanded, return_counts=True)
+        return pair, count, len(expanded)
+    pair, place = np.unique(np.concatenate([*pairs, expanded]), return_inverse=True)
+    count = np.bincount(place, np.concatenate([*counts, np.ones(len(expanded), np.int64)]), len(pair)).astype(np.int64)
     return pair, count, int(count.sum())
 
 
@@ -113,12 +131,15 @@ def align(docs: DataFrame, first_path: str, second_path: str, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = Encoder(first_path, specials=False), PieceEncoder(second_path)
+        if max(len(first.token_bytes), len(second.token_bytes)) > 1 << IDS:
+            raise ValueError("vocabularies of more ids than IDS allows")
+        lengths, second_lengths = ([*map(len, x.token_bytes)] for x in (first, second))
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             out, pairs, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, text in rows(batch):
                 a, b = tokens(text, first, second)
-                a_cuts, b_cuts = cuts(a, b, first.token_bytes, second.token_bytes)
+                a_cuts, b_cuts = cuts(a, b, lengths, second_lengths)
                 pair, count, n = links(a, b, a_cuts, b_cuts)
                 out.append((row, len(a), len(b), len(a_cuts), n, digest(a, b, a_cuts, b_cuts)))
                 pairs.append(pair)

@@ -49,8 +49,9 @@ class Encoder:
         byte = _byte_of_character()
         ranks = {bytes(byte[c] for c in token): i for token, i in content["model"]["vocab"].items() if token not in special}
         self.path, self.plain, self.specials = path, None, specials
-        self.token_bytes = {i: token for token, i in ranks.items()}
         self.size = max([*ranks.values(), *special.values()]) + 1
+        token_of = {i: token for token, i in ranks.items()}
+        self.token_bytes = [token_of.get(i, b"") for i in range(self.size)]
         self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(self, text: str) -> list[int]:
