@@ -11,6 +11,7 @@ from runlens.functions import fixed_values as fv
 from runlens.functions.ids import natural_key
 from runlens.functions.text import path_format, requested_formats
 from runlens.operators.common import Cols, names, order_key
+from runlens.operators.ordinals import with_ordinal
 
 
 # --- deliverables -------------------------------------------------------------------------------
@@ -322,7 +323,7 @@ def handoff(
     batches: DataFrame, entries: DataFrame, run: str = "run_id", roots: dict[str, str] | None = None,
     adapter: str = fv.TASK_ADAPTER,
 ) -> tuple[DataFrame, DataFrame]:
-    """Batch hand-offs: (a header per batch, a row per task entry with its place in natural order).
+    """Batch hand-offs: (a header per batch, a row per task entry with its place in natural order as a number, `ordinal`).
 
     `entries`: run, task_id, person, execution_outcome, metadata, trace, outputs, marker,
     run_dir and the `has_*` flags of `batch_ready`.
@@ -341,6 +342,7 @@ def handoff(
             "metadata", F.lit(None).cast("string").alias("data"), "outputs", F.col("run_dir").alias("runnerTaskDir")
         ).alias("judgeInputs"),
     )
+    rows = with_ordinal(rows, ["sort_key", "person", "taskId"], ["runId"])
     places = [F.lit((roots or {}).get(r)).cast("string").alias(r) for r in HANDOFF_ROOTS]
     headers = batch_ready(batches, entries, run).select(
         F.lit(fv.HANDOFF_VERSION).alias("version"),

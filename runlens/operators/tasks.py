@@ -11,6 +11,7 @@ from runlens.functions import fixed_values as fv
 from runlens.functions.ids import id_problem, natural_key, safe_id
 from runlens.functions.text import is_blank, run_mmdd, strip_ws, target_items
 from runlens.operators.common import Cols, exploded, join_spread, names
+from runlens.operators.ordinals import with_ordinal
 
 
 def normalize_targets(values: DataFrame, list_id: Cols, pos: str = "pos", value: str = "value") -> DataFrame:
@@ -68,6 +69,13 @@ def registry_order(tasks: DataFrame, task_id: str = "task_id", person: str = "pe
     return tasks.withColumn("sort_key", key).orderBy("sort_key", person)
 
 
+def registry_ordinals(
+    tasks: DataFrame, task_id: str = "task_id", person: str = "person", ties: Sequence[str] = (), name: str = "ordinal",
+) -> DataFrame:
+    """The same order as a number from 0 on; of one id and person, rows stand in the order of `ties`."""
+    return with_ordinal(tasks.withColumn("sort_key", natural_key(F.col(task_id))), ["sort_key", person, *ties], name=name)
+
+
 def tasks_by_person(tasks: DataFrame, task_id: str = "task_id", person: str = "person") -> DataFrame:
     """Tasks grouped by person: people by their smallest id, tasks in natural order inside.
 

@@ -265,7 +265,8 @@ oracle("registry_report", """, p AS (SELECT *, '/task/' || person || '/' || k AS
     UNION ALL SELECT path, 'blank-task' FROM p WHERE k % 67 = 0
     UNION ALL SELECT path, 'duplicate-id' FROM p WHERE n > 1""", "tsk")
 oracle("registry_order", """SELECT k AS task_no, person, CASE WHEN regexp_matches(trim(id), '^[0-9]+$') THEN 0 ELSE 1 END AS kind,
-    CASE WHEN regexp_matches(trim(id), '^[0-9]+$') THEN length(trim(id)) ELSE 0 END AS digits, lower(trim(id)) AS key_text FROM tsk""", "tsk")
+    CASE WHEN regexp_matches(trim(id), '^[0-9]+$') THEN length(trim(id)) ELSE 0 END AS digits, lower(trim(id)) AS key_text,
+    row_number() OVER (ORDER BY kind, digits, key_text, person, task_no) - 1 AS ordinal FROM tsk""", "tsk")
 oracle("tasks_by_person", """SELECT person, id AS task_id, arg_min(id, (num IS NULL, num, lower(id))) OVER (PARTITION BY person) AS first_task_id,
     count(*) OVER (PARTITION BY person) AS n_tasks FROM (SELECT person, id,
     CASE WHEN regexp_matches(id, '^[0-9]+$') THEN CAST(id AS BIGINT) END AS num FROM tsk)""", "tsk")
@@ -442,7 +443,8 @@ oracle("folder_manifest", """SELECT case_id, CASE source WHEN 'report' THEN 'Des
     FROM art WHERE source <> 'worklog'""", "art")
 oracle("handoff", """, h AS (SELECT bat.run_id, bat.run_id % 9 <> 0 AND coalesce(bool_and(ready), true) AS runner_finished, count(case_id) AS n_tasks
       FROM bat LEFT JOIN ent USING (run_id) GROUP BY bat.run_id)
-    SELECT run_id, runner_finished, n_tasks, CASE WHEN case_id IS NOT NULL THEN 0 END AS kind, length(case_id::VARCHAR) AS digits,
+    SELECT run_id, CASE WHEN case_id IS NOT NULL THEN row_number() OVER (PARTITION BY run_id ORDER BY case_id) - 1 END AS ordinal,
+    runner_finished, n_tasks, CASE WHEN case_id IS NOT NULL THEN 0 END AS kind, length(case_id::VARCHAR) AS digits,
     case_id::VARCHAR AS key_text, coalesce(case_id || '|' || outcome || '|' || CASE WHEN has_trace THEN '/run/' || case_id || '/trace.jsonl' ELSE '-' END || '|' ||
       CASE WHEN outcome <> 'not-run' THEN '/run/' || case_id || '/marker.json' ELSE '-' END || '|/run/' || case_id, '-|-') AS entry
     FROM h LEFT JOIN ent USING (run_id)""", "bat", "ent")

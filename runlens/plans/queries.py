@@ -403,8 +403,8 @@ def registry_report(spark, sf):
 @query
 def registry_order(spark, sf):
     t = v.tasks(spark, sf).select(F.col("absolute_id").alias("task_id"), "person", "task_no")
-    return tasks.registry_order(t).select(
-        "task_no", "person", F.col("sort_key.kind").alias("kind"),
+    return tasks.registry_ordinals(t, ties=["task_no"]).select(
+        "ordinal", "task_no", "person", F.col("sort_key.kind").alias("kind"),
         F.col("sort_key.digits").cast("bigint").alias("digits"), F.col("sort_key.text").alias("key_text"))
 
 
@@ -760,7 +760,7 @@ def handoff(spark, sf):
     headers, rows = runs.handoff(_batches(spark, sf), _entries(spark, sf))
     heads = headers.select("runId", F.col("runnerFinished").alias("runner_finished"), F.col("nTasks").alias("n_tasks"))
     return heads.join(rows, "runId", "left").select(
-        F.col("runId").alias("run_id"), "runner_finished", "n_tasks", F.col("sort_key.kind").cast("bigint").alias("kind"),
+        F.col("runId").alias("run_id"), "ordinal", "runner_finished", "n_tasks", F.col("sort_key.kind").cast("bigint").alias("kind"),
         F.col("sort_key.digits").cast("bigint").alias("digits"), F.col("sort_key.text").alias("key_text"),
         F.concat_ws("|", "taskId", "executionOutcome", F.coalesce("trace", F.lit("-")), F.coalesce("marker", F.lit("-")),
                     "judgeInputs.runnerTaskDir").alias("entry"))
