@@ -426,9 +426,11 @@ oracle("batch_ready", """SELECT bat.run_id, count(case_id) AS n_tasks, bat.run_i
 oracle("batch_rollup", """SELECT yr AS run_id, n_name AS person, grouping(yr, n_name) AS level, count(*) FILTER (marker = 'complete') AS n_success,
     count(*) FILTER (marker <> 'complete') AS n_failed, count(*) FILTER (marker <> 'complete') = 0 AS ok
     FROM led JOIN customer ON c_custkey = case_id JOIN nation ON n_nationkey = c_nationkey GROUP BY ROLLUP (yr, n_name)""", "led")
-oracle("meta_merge", """SELECT user_id AS case_id, CASE event_type WHEN 'view' THEN 'remote_log' WHEN 'click' THEN 'session_id'
+_META = """SELECT user_id AS case_id, CASE event_type WHEN 'view' THEN 'remote_log' WHEN 'click' THEN 'session_id'
       WHEN 'signup' THEN 'dialog_verdict' WHEN 'purchase' THEN 'dialog_round' ELSE 'free_note' END AS field,
-    CASE WHEN max(event_id) % 4 <> 0 THEN 'v' || max(event_id) END AS value, max(event_id) AS seq FROM events GROUP BY ALL""")
+    CASE WHEN max(event_id) % 4 <> 0 THEN 'v' || max(event_id) END AS value, max(event_id) AS seq FROM events GROUP BY ALL"""
+oracle("meta_merge", _META)
+oracle("meta_kept", _META)
 _SECTION = "CASE source WHEN 'report' THEN 'outputs' WHEN 'worklog' THEN 'worklogs' ELSE 'summaries' END"
 oracle("manifest", f"""SELECT case_id, {_SECTION} AS section, lower(stem || ext) AS text, stem || ext AS path,
     CASE WHEN pulled THEN 'pulled' ELSE 'failed' END AS status, size FROM art""", "art")

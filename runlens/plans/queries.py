@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,9 @@ from runlens.functions.text import ReplyRules
 from runlens.operators.common import exploded
 from runlens.operators import listings, logged_paths, prefixes, runs, tasks, traces
 from runlens.plans import views as v
+from runlens.session import checkpoint_folder
 from runlens.sources import listings as listing_source
+from runlens.sources import meta_store
 from runlens.sources import traces as trace_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -718,16 +721,32 @@ def batch_rollup(spark, sf):
 
 @query
 def meta_merge(spark, sf):
+    updates = _field_updates(spark, sf)
+    early = runs.meta_merge(updates.where(v.mod("event_id", 3, 0)))
+    return runs.meta_merge(early.unionByName(updates.where(~v.mod("event_id", 3, 0))))
+
+
+def _field_updates(spark, sf):
     """Field updates from events: a case per user, fields by event type, some set to null."""
     kind = F.col("event_type")
     field = (
         F.when(kind == "view", "remote_log").when(kind == "click", "session_id").when(kind == "signup", "dialog_verdict")
         .when(kind == "purchase", "dialog_round").otherwise("free_note"))
     value = F.when(~v.mod("event_id", 4, 0), F.concat(F.lit("v"), v.text_of("event_id")))
-    updates = v.table(spark, sf, "events").select(
+    return v.table(spark, sf, "events").select(
         F.col("user_id").alias("case_id"), F.col("event_id").alias("seq"), field.alias("field"), value.alias("value"))
-    early = runs.meta_merge(updates.where(v.mod("event_id", 3, 0)))
-    return runs.meta_merge(early.unionByName(updates.where(~v.mod("event_id", 3, 0))))
+
+
+@query
+def meta_kept(spark, sf):
+    """The same updates as three writes to a kept state, two of them compacted before the third."""
+    path = f"{checkpoint_folder(spark)}/meta-{uuid.uuid4().hex}"
+    updates = _field_updates(spark, sf)
+    for part in (2, 0, 1):
+        meta_store.append_updates(updates.where(v.mod("event_id", 3, part)), path, {2: 1, 0: 2, 1: 3}[part])
+        if part == 0:
+            meta_store.compact(spark, path)
+    return meta_store.read_meta(spark, path).select(F.col("case_id").cast("bigint").alias("case_id"), "field", "value", "seq")
 
 
 @query

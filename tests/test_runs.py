@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.text import reply_verdict
 from runlens.operators import runs as ops
+from runlens.sources import meta_store
 from runlens.sources.sinks import append_ledger, ledger_rows, read_ledger, write_ledger_batch, write_sorted, write_texts
 
 
@@ -167,3 +168,31 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).first().text == "hi"
     assert "at" in ledger_rows(runs).columns
 
+
+
+def test_kept_metadata(spark, tmp_path):
+    path = str(tmp_path / "meta")
+    schema = "case_id string, field string, value string, seq long"
+    writes = [
+        [("a", "x", "1", 1), ("a", "y", "1", 5), ("b", "x", None, 2)],
+        [("a", "x", None, 2), ("a", "y", "older", 3), ("c", "x", "1", 1)],
+        [("a", "y", "same seq, later write", 5), ("b", "z", "2", 9)],
+    ]
+    frames = [spark.createDataFrame(w, schema) for w in writes]
+    state = lambda: {(r.case_id, r.field): (r.value, r.seq) for r in meta_store.read_meta(spark, path).collect()}
+    assert state() == {} and meta_store.compact(spark, path) is None
+    for number in (1, 2):
+        assert meta_store.append_updates(frames[number - 1], path, number)
+    two = state()
+    assert two == {("a", "x"): (None, 2), ("a", "y"): ("1", 5), ("b", "x"): (None, 2), ("c", "x"): ("1", 1)}
+    merged = ops.meta_merge(frames[0].unionByName(frames[1])).collect()
+    assert two == {(r.case_id, r.field): (r.value, r.seq) for r in merged}
+    meta_store.append_updates(frames[1], path, 2)  # a repeated write
+    assert state() == two and meta_store.compact(spark, path) == 2 and state() == two
+    assert not meta_store.append_updates(frames[2], path, 2) and state() == two
+    meta_store.append_updates(frames[2], path, 3)
+    (tmp_path / "meta" / "delta-0000000004").mkdir()  # a write that died
+    files = meta_store.read_meta(spark, path).inputFiles()
+    assert files and all("base-0000000002" in f or "delta-0000000003" in f for f in files)
+    three = two | {("a", "y"): ("same seq, later write", 5), ("b", "z"): ("2", 9)}
+    assert state() == three and meta_store.compact(spark, path) == 3 and state() == three and meta_store.compact(spark, path) == 3
