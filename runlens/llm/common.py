@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from runlens import session
 from runlens.functions.text import let
+from runlens.session import durable
 
 __all__ = ["checkpoint_folder", "durable", "durable_table", "let", "pure", "rows", "scan_prefix", "schema_with", "table"]
 
@@ -23,21 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df` written to the session's checkpoint folder, so that lost executors cost no recomputation.
-
-    The folder is the one in spark.checkpoint.dir. Only where that is unset (tests) a local one is made.
-    """
-    checkpoint_folder(df)
-    return df.checkpoint(eager=True)
-
-
 def checkpoint_folder(df: DataFrame) -> str:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="runlens-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    return session.checkpoint_folder(df.sparkSession)
 
 
 def durable_table(df: DataFrame) -> DataFrame:
