@@ -14,7 +14,10 @@ from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition,
+    LessThan, LessThanOrEqual,
+)
 
 _SCHEMA = pa.schema([("trace", pa.string()), ("byte_offset", pa.int64()), ("line", pa.string())])
 _BATCH_BYTES = 4 << 20
@@ -27,6 +30,7 @@ class ByteRange(InputPartition):
     start: int
     end: int
     owns_first_line: bool  # False: the line that spans `start` belongs to the range before
+    filtered: bool = False  # `start` is a filter on the offset: carriage returns end lines there too
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -89,6 +93,8 @@ def _lines(part: ByteRange, whole_lines_only: bool) -> Iterator[tuple[int, bytes
             for piece in pieces:
                 if skipping:
                     skipping = False
+                    if part.filtered:
+                        yield from _after_carriage_return(at, piece)
                 elif at >= part.end:
                     return
                 else:
@@ -98,6 +104,15 @@ def _lines(part: ByteRange, whole_lines_only: bool) -> Iterator[tuple[int, bytes
                 return
         if not skipping and at < part.end and not whole_lines_only:
             yield from _by_carriage_return(at, b"".join(unfinished))
+        elif skipping and part.filtered and not whole_lines_only:
+            yield from _after_carriage_return(at, b"".join(unfinished))
+
+
+def _after_carriage_return(at: int, piece: bytes) -> Iterator[tuple[int, bytes]]:
+    """Lines of the piece but the one it begins with, which starts earlier."""
+    skipped = piece.find(b"\r") + 1
+    if skipped:
+        yield from _by_carriage_return(at + skipped, piece[skipped:])
 
 
 def _by_carriage_return(at: int, piece: bytes) -> Iterator[tuple[int, bytes]]:
@@ -162,12 +177,40 @@ class _Options:
 
 
 class _BatchReader(DataSourceReader):
+    """Filters on the file and lower and upper bounds of the byte offset decide which ranges are read at all."""
+
     def __init__(self, options) -> None:
         self.opts = _Options(options)
+        self.files: set[str] | None = None
+        self.first, self.end = 0, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            column = f.attribute if hasattr(f, "attribute") else None
+            if column == ("trace",) and isinstance(f, (EqualTo, In)):
+                files = set(f.value if isinstance(f, In) else [f.value])
+                self.files = files if self.files is None else self.files & files
+            elif column == ("byte_offset",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.first = max(self.first, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    end = f.value + (not isinstance(f, LessThan))
+                    self.end = end if self.end is None else min(self.end, end)
+                yield f  # checked again by Spark: a line with carriage returns holds several offsets
+            else:
+                yield f
 
     def partitions(self) -> list[ByteRange]:
         sizes = list_sizes(self.opts.location, self.opts.suffix)
-        return self.opts.ranges(self.opts.start_offsets, sizes) or [ByteRange("", 0, 0, True)]
+        chosen = {p: n for p, n in sizes.items() if self.files is None or p in self.files}
+        parts = []
+        for part in self.opts.ranges(self.opts.start_offsets, chosen):
+            if (self.end is not None and part.start >= self.end) or part.end <= self.first:
+                continue
+            if part.start < self.first:
+                part = ByteRange(part.path, self.first, part.end, False, True)
+            parts.append(part)
+        return parts or [ByteRange("", 0, 0, True)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         return _batches(partition) if partition.path else iter(())

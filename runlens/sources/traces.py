@@ -28,8 +28,10 @@ def read_trace_lines(
     """Lines of trace files as (trace, byte_offset, line); `byte_offset` orders a file's lines.
 
     `baseline` maps a file to the byte from which it is read; files are cut into byte ranges, so
-    one huge trace is read by many tasks.
+    one huge trace is read by many tasks. Filters on `trace` and `byte_offset` reach the source, which leaves out
+    whole ranges of bytes.
     """
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the source has filters, so Spark wants it named
     spark.dataSource.register(JsonlTailSource)
     reader = spark.read.format("jsonl_tail")
     if baseline:

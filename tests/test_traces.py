@@ -3,10 +3,11 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual
 
 from runlens.functions.text import reply_verdict
 from runlens.operators import traces as ops
-from runlens.sources.jsonl_tail import _lines, as_uri, list_sizes, split_ranges
+from runlens.sources.jsonl_tail import JsonlTailSource, _lines, as_uri, list_sizes, split_ranges
 from runlens.sources.traces import (
     envelope, parse_events, read_trace_lines, read_trace_text, terminal_candidates, write_events,
 )
@@ -178,3 +179,30 @@ def test_uri_of_found_files():
     assert as_uri("/a", "/a/b") == "/a/b"
     assert as_uri("hdfs://host:9000/a", "/a/b") == "hdfs://host:9000/a/b"
     assert as_uri("s3://bucket/a", "bucket/a/b") == "s3://bucket/a/b"
+
+
+def test_filters_reach_the_source(spark, tmp_path):
+    rng = random.Random(2)
+    for name in "abc":
+        (tmp_path / f"{name}.jsonl").write_bytes("".join(
+            "x" * rng.randrange(0, 9) + rng.choice(["\n", "\n", "\r", "\r\n", "\n\n"]) for _ in range(300)).encode() + b"tail")
+    every = [(r.trace, r.byte_offset, r.line) for r in read_trace_lines(spark, str(tmp_path), split_bytes=64).collect()]
+    b = str(tmp_path / "b.jsonl")
+    size = (tmp_path / "b.jsonl").stat().st_size
+    offsets = sorted({o for t, o, _ in every if t == b})
+    for low in [0, 1, offsets[-1], offsets[-1] + 1, size + 5, *rng.sample(offsets, 8), *(o + 1 for o in rng.sample(offsets, 4))]:
+        lines = read_trace_lines(spark, str(tmp_path), split_bytes=rng.choice([50, 100_000]))
+        found = lines.where((F.col("trace") == b) & (F.col("byte_offset") >= low))
+        assert sorted(map(tuple, found.collect())) == sorted(x for x in every if x[0] == b and x[1] >= low)
+    low, high = offsets[50], offsets[120]
+    found = lines.where((F.col("byte_offset") > low) & (F.col("byte_offset") <= high) & F.col("trace").isin(b, "none", "other"))
+    assert sorted(map(tuple, found.collect())) == sorted(x for x in every if x[0] == b and low < x[1] <= high)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    kept = next(line for line in plan.split("\n") if "Filter" in line)
+    assert "byte_offset" in kept and "trace" not in kept  # the source answers for the file alone
+
+    reader = JsonlTailSource({"path": str(tmp_path), "splitBytes": "64"}).reader(None)
+    left = list(reader.pushFilters([EqualTo(("trace",), b), GreaterThanOrEqual(("byte_offset",), size - 100), EqualTo(("line",), "x")]))
+    parts = reader.partitions()
+    assert [f.attribute for f in left] == [("byte_offset",), ("line",)]
+    assert {p.path for p in parts} == {b} and sum(p.end - p.start for p in parts) == 100
