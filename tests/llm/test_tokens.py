@@ -184,3 +184,25 @@ def test_both_engines_give_the_same_ids():
     for specials in (True, False):
         encoder = Encoder(TOKENIZER, specials=specials)
         assert all(encoder.ids(t) == encoder.slow_ids(t) for t in texts)
+
+
+def test_packing_needs_no_more_sequences_than_sequential_best_fit(spark):
+    """Best-fit decreasing, one piece after the other, beside the rounds; many gaps of equal size."""
+    from runlens.llm import packing
+    rng = random.Random(12)
+    for sizes in ([rng.randrange(1, 1025) for _ in range(700)], [rng.choice([3, 341, 342, 512, 513, 700]) for _ in range(700)],
+                  [min(1024, int(rng.expovariate(1 / 90)) + 1) for _ in range(1500)]):
+        gaps = []
+        for size in sorted(sizes, reverse=True):
+            k = min((k for k, g in enumerate(gaps) if g >= size), key=gaps.__getitem__, default=None)
+            if k is None:
+                gaps.append(1024 - size)
+            else:
+                gaps[k] -= size
+        df = spark.createDataFrame(list(enumerate(sizes)), "pid long, length long")
+        placed = packing.assign(df).collect()
+        filled = Counter()
+        for r in placed:
+            filled[r.sequence] += r.size
+        assert sorted(r.pid for r in placed) == list(range(len(sizes))) and max(filled.values()) <= 1024
+        assert len(filled) <= 1.02 * len(gaps) + 1
