@@ -54,14 +54,13 @@ def watched_log(
     created: str = "created",
 ) -> DataFrame:
     """The main new log per key, or the most recently changed old log where nothing is new."""
-    fresh = new_main_log(current, before, keys, path, name, created).select(
-        *names(keys), F.col(path).alias("_new")
-    )
     changed = snapshot_diff(current, before, path).where(F.col("change_kind") != "same")
-    active = active_log(changed, keys, path).select(*names(keys), F.col(path).alias("_active"))
-    return active.join(fresh, names(keys), "left").select(
+    new = F.col("change_kind") == "new"
+    main = F.min(F.when(new, F.struct((-F.length(name)).alias("len"), created, path))).alias("_new")
+    active = F.max(F.struct("mtime", "size", path)).alias("_active")
+    return changed.groupBy(*names(keys)).agg(main, active).select(
         *names(keys),
-        F.coalesce("_new", "_active").alias(path),
+        F.coalesce(F.col(f"_new.{path}"), F.col(f"_active.{path}")).alias(path),
         F.when(F.col("_new").isNotNull(), "new").otherwise("changed").alias("origin"),
     )
 

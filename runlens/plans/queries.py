@@ -61,9 +61,8 @@ def trace_has_stop(spark, sf):
 @query
 def trace_terminal_raw(spark, sf):
     """The same from raw lines: prefilter, parse, aggregate."""
-    lines = v.event_lines(spark, sf)
-    found = traces.latest_terminal(trace_source.parse_events(trace_source.terminal_candidates(lines)))
-    return traces.for_all_traces(found, lines).select("trace", "stop_reason")
+    lines = trace_source.terminal_candidates(v.event_lines(spark, sf), keep_rows=True)
+    return traces.latest_terminal(trace_source.parse_events(lines, keep_malformed=True)).select("trace", "stop_reason")
 
 
 @query

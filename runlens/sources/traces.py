@@ -118,14 +118,16 @@ def write_events(events: DataFrame, path: str, ts: str = "timestamp", rows_per_f
     )
 
 
-def terminal_candidates(lines: DataFrame, line: str = "line") -> DataFrame:
+def terminal_candidates(lines: DataFrame, line: str = "line", keep_rows: bool = False) -> DataFrame:
     """Cheap superset of the lines that may be terminal events, to run before any JSON parsing.
 
-    JSON may escape any letter, so lines with a backslash-u always pass.
+    JSON may escape any letter, so lines with a backslash-u always pass. With `keep_rows` the other rows stay, with a
+    null for the line, so that one pass also knows every trace.
     """
     text = F.col(line)
     maybe = F.contains(text, F.lit("stop_reason")) & F.contains(text, F.lit(fv.MAIN_ROLE))
-    return lines.where(maybe | F.contains(text, F.lit("\\u")))
+    passes = maybe | F.contains(text, F.lit("\\u"))
+    return lines.withColumn(line, F.when(passes, text)) if keep_rows else lines.where(passes)
 
 
 def reply_text(content: Column) -> Column:
