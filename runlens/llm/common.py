@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,15 +53,18 @@ def pure(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
-def scan_prefix(values: Column, first: Column | int, block: int = 256) -> Column:
+def scan_prefix(
+    values: Column, first: Column | int, block: int = 256, add: Callable[[Column, Column], Column] = operator.add
+) -> Column:
     """Running totals of an array of integers before each element, starting with `first`.
 
-    Two levels keep the work near linear for arrays of up to some hundred thousand elements.
+    Two levels keep the work near linear for arrays of up to some hundred thousand elements. `add` may be any
+    associative function for which 0 changes nothing, such as the greater one of numbers from 0 on.
     """
     zero = F.lit(0).cast("long")
 
     def scan(array: Column, start: Column) -> Column:
-        step = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+        step = lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x)))
         return F.aggregate(array, F.array(start), step)
 
     def two_levels(v: Column) -> Column:
@@ -68,7 +72,7 @@ def scan_prefix(values: Column, first: Column | int, block: int = 256) -> Column
         blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(v, k * block + 1, F.lit(block)))
 
         def inside(b: Column) -> Column:
-            sums = F.transform(b, lambda x: F.aggregate(x, zero, lambda acc, y: acc + y))
+            sums = F.transform(b, lambda x: F.aggregate(x, zero, lambda acc, y: add(acc, y)))
             return let(scan(sums, F.lit(first).cast("long")), lambda starts: F.flatten(
                 F.transform(b, lambda x, k: let(scan(x, F.get(starts, k)), lambda s: F.slice(s, F.lit(1), F.size(x))))))
 

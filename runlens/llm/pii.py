@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.common import durable, let, pure
-from runlens.llm.spans import apart, count_of, find_spans, joined, ordered
+from runlens.llm.spans import apart, blocks, count_of, cut, find_spans, joined, ordered
 
 # The strict patterns are written so that a failed attempt costs time in proportion to its own length
 # and repetition needs no recursion: runs are entered at their start only.
@@ -90,13 +90,20 @@ def loose_spans(text: Column) -> Column:
     return F.concat(*[find_spans(text, k, p, hint=hints.get(k, numeric)) for k, p in LOOSE.items()])
 
 
-def _described(text: Column, span: Column, strict: bool) -> Column:
-    """A span with its votes (1 for, 0 against, -1 none) and the features of its shape."""
-    pick = lambda table, default: F.coalesce(*[F.when(span["kind"] == k, F.lit(v)) for k, v in table.items()], F.lit(default))
+def _described(pieces: Column, span: Column, strict: bool) -> Column:
+    """A span with its votes (1 for, 0 against, -1 none) and the features of its shape; `pieces` are the text's blocks."""
+    around = F.struct(
+        cut(pieces, F.greatest(span["start"] - 40, F.lit(0)), span["start"]).alias("before"),
+        cut(pieces, span["end"], span["end"] + 1).alias("following"))
+    return let(around, lambda a: let(F.struct(
+        span["start"].alias("start"), span["end"].alias("end"), span["kind"].alias("kind"), span["text"].alias("text"),
+        a["before"].alias("before"), F.right(a["before"], F.lit(1)).alias("previous"), a["following"].alias("following"),
+    ), lambda s: _voted(s, strict)))
+
+
+def _voted(span: Column, strict: bool) -> Column:
     cues = {k: f"(?i)(?:{CONTEXT[_CUES.get(k, k)]})[^\\n]{{0,20}}$" for k in KINDS}
-    before = F.substr(text, F.greatest(span["start"] - 39, F.lit(1)).cast("int"), F.least(span["start"], F.lit(40)).cast("int"))
-    previous = F.when(span["start"] == 0, "").otherwise(F.substr(text, span["start"].cast("int"), F.lit(1)))
-    following = F.substr(text, span["end"].cast("int") + 1, F.lit(1))
+    before, previous, following = span["before"], span["previous"], span["following"]
     n_digits = F.char_length(_digits(span["text"]))
     known = F.coalesce(*[F.when(span["kind"] == k, span["text"].rlike(p)) for k, p in GAZETTEER.items()], F.lit(False))
     cue = F.coalesce(*[F.when(span["kind"] == k, before.rlike(p)) for k, p in cues.items()], F.lit(False))
@@ -122,9 +129,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = pure(docs, id=id_col, text=text_col)
 
     def both(t: Column) -> Column:
-        return let(base_spans(t), lambda b: F.struct(
-            F.transform(b, lambda s: _described(t, s, True)).alias("base"),
-            F.transform(apart(loose_spans(t), b), lambda s: _described(t, s, False)).alias("loose")))
+        def described(b: Column, loose: Column) -> Column:
+            some = (F.size(b) > 0) | (F.size(loose) > 0)
+            return let(F.when(some, blocks(t)), lambda p: F.struct(
+                F.transform(b, lambda s: _described(p, s, True)).alias("base"),
+                F.transform(loose, lambda s: _described(p, s, False)).alias("loose")))
+
+        return let(base_spans(t), lambda b: let(apart(loose_spans(t), b, BASE), lambda loose: described(b, loose)))
 
     return own.select("id", let(F.coalesce("text", F.lit("")), both).alias("f")).select("id", "f.base", "f.loose")
 

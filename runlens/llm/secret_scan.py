@@ -12,8 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import durable, let, pure
-from runlens.llm.spans import apart, count_of, find_spans, joined, ordered
+from runlens.llm.common import durable, let, pure, scan_prefix
+from runlens.llm.spans import apart, blocks, count_of, cut, find_spans, joined, ordered
 
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS, ACCESS_LENGTH = "AKIA[A-Z0-9]{14,}", 18
@@ -58,7 +58,7 @@ def base_spans(text: Column) -> Column:
 def _found(text: Column) -> Column:
     """A struct of the spans of the fixed patterns, and of long tokens apart from them."""
     return let(F.coalesce(text, F.lit("")), lambda t: let(base_spans(t), lambda b: F.struct(
-        b.alias("base"), apart(find_spans(t, "random", TOKEN), b).alias("tokens"))))
+        b.alias("base"), apart(find_spans(t, "random", TOKEN), b, KINDS[:3]).alias("tokens"))))
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,13 +142,14 @@ def random_tokens(tokens: Column, model: Model, least: float = 0.1, min_length:
     return F.filter(tokens, test)
 
 
-def _all_spans(base: Column, tokens: Column, model: Model, least: float) -> Column:
+def all_spans(base: Column, tokens: Column, model: Model, least: float = 0.1) -> Column:
+    """The spans of `found` that count under a fitted model, sorted by start, then kind."""
     return ordered(F.concat(base, random_tokens(tokens, model, least)), KINDS, by_start=True)
 
 
 def secret_spans(text: Column, model: Model, least: float = 0.1) -> Column:
     """All secrets of a text under a fitted model, sorted by start, then kind; null and empty texts have none."""
-    return let(_found(text), lambda f: _all_spans(f["base"], f["tokens"], model, least))
+    return let(_found(text), lambda f: all_spans(f["base"], f["tokens"], model, least))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.1,
@@ -162,7 +163,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scan = durable(found(docs, id_col, text_col))
     model = fit(labelled_tokens(scan) if labelled is None else labelled)
     return scan.select(
-        F.col("id").alias(id_col), "base", _all_spans(F.col("base"), F.col("tokens"), model, least).alias("spans"))
+        F.col("id").alias(id_col), "base", all_spans(F.col("base"), F.col("tokens"), model, least).alias("spans"))
 
 
 def digest(scan: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -173,16 +174,14 @@ def digest(scan: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """`text` with every span replaced by `mark`; overlapping spans become one."""
-    def step(acc: Column, s: Column) -> Column:
-        start = F.greatest(s["start"], acc["at"])
-        fresh = s["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(F.substr(text, acc["at"].cast("int") + 1, (start - acc["at"]).cast("int")), F.lit(mark)))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["parts"], F.array(piece))).otherwise(acc["parts"]).alias("parts"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(
-        F.array_join(acc["parts"], ""), F.substr(text, acc["at"].cast("int") + 1, F.char_length(text))))
+    """`text` with every span replaced by `mark`; overlapping spans become one. `spans` are sorted by start."""
+    def clean(s: Column, pieces: Column, ends: Column) -> Column:
+        def kept(reached: Column) -> Column:
+            parts = F.transform(s, lambda x, k: F.when(
+                x["start"] >= F.get(reached, k), F.concat(cut(pieces, F.get(reached, k), x["start"]), F.lit(mark))).otherwise(""))
+            return F.concat(F.array_join(parts, ""), cut(pieces, F.array_max(ends), F.char_length(text).cast("long")))
+
+        return let(scan_prefix(ends, 0, add=F.greatest), kept)
+
+    whole = let(spans, lambda s: let(blocks(text), lambda p: let(F.transform(s, lambda x: x["end"]), lambda e: clean(s, p, e))))
     return F.when(F.coalesce(F.size(spans), F.lit(0)) == 0, text).otherwise(whole)

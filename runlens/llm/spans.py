@@ -54,9 +54,46 @@ def ordered(spans: Column, kinds: tuple[str, ...], by_start: bool) -> Column:
     return F.transform(F.sort_array(F.transform(spans, key)), lambda x: x["span"])
 
 
-def apart(spans: Column, others: Column) -> Column:
-    """Those of `spans` that overlap none of `others`."""
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+def _n_below(numbers: Column, bound: Column) -> Column:
+    """How many of the ascending `numbers` are below `bound`, by binary search."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda k: k <= F.size(numbers))
+    return F.aggregate(steps, F.lit(0), lambda at, k: F.when(
+        (at + k <= F.size(numbers)) & (F.get(numbers, at + k - 1) < bound), at + k).otherwise(at))
+
+
+def apart(spans: Column, others: Column, kinds: tuple[str, ...]) -> Column:
+    """Those of `spans` that overlap none of `others`, whose kinds are `kinds`.
+
+    `others` are sorted by start within a kind, and spans of one kind do not overlap each other. Of a kind only
+    the last span that starts before a span's end can reach it, so each span costs one binary search a kind.
+    """
+    def clear(left: Column, kind: str) -> Column:
+        def of_kind(own: Column) -> Column:
+            return let(F.transform(own, lambda o: o["start"]), lambda starts: F.filter(left, lambda s: let(
+                _n_below(starts, s["end"]), lambda n: (n == 0) | (F.get(own, n - 1)["end"] <= s["start"]))))
+
+        return let(F.filter(others, lambda o: o["kind"] == kind), lambda own: F.when(F.size(own) == 0, left).otherwise(of_kind(own)))
+
+    def every(rest: Column, left: tuple[str, ...]) -> Column:
+        return let(clear(rest, left[0]), lambda r: every(r, left[1:])) if left else rest
+
+    return let(spans, lambda s: F.when((F.size(s) == 0) | (F.size(others) == 0), s).otherwise(every(s, kinds)))
+
+
+#: Code points of a block of a text; see `blocks`.
+BLOCK = 64
+
+
+def blocks(text: Column) -> Column:
+    """A text in pieces of BLOCK code points, for `cut`."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points from `start` to `end` of the text of `blocks`, in time that depends on their number only."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    near = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+    return F.substr(near, (start % BLOCK).cast("int") + 1, (end - start).cast("int"))
 
 
 def joined(spans: Column) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -14,6 +15,7 @@ from runlens.llm import (
     compression_quality, decontaminate, language_crf, packing, pii, quality_rules, secret_scan, simhash, suffix_dedup, url_filter,
 )
 from runlens.llm.queries import ORACLES, QUERIES, TOKENIZER
+from runlens.llm.spans import SPAN, apart
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -223,6 +225,46 @@ def test_random_tokens_and_redaction(spark):
     assert {r.doc_id: r.t for r in clean.collect()} == {0: "see [SECRET] now", 1: texts[1], 2: "[SECRET] end"}
 
 
+def test_apart_and_redacted_against_plain_loops(spark):
+    """Spans of three kinds, of which only those of one kind are apart; many share places, some are next to each other."""
+    rng, rows = random.Random(5), []
+    for k in range(60):
+        text = "".join(rng.choices("ab\n é😀", k=rng.choice([0, 1, 63, 64, 65, 128, 300])))
+        def some(kind, n):
+            cuts = sorted(rng.sample(range(len(text) + 1), min(2 * n, (len(text) + 1) // 2 * 2)))
+            return [(a, b, kind, "", "") for a, b in zip(cuts[::2], cuts[1::2])]
+        others = sorted(some("x", rng.randint(0, 8)) + some("y", rng.randint(0, 3)))
+        rows.append((k, text, others, some("z", rng.randint(0, 20))))
+    df = spark.createDataFrame(rows, f"k int, text string, others {SPAN}, own {SPAN}")
+    found = df.select("k", apart(F.col("own"), F.col("others"), ("x", "y")).alias("own"),
+                      secret_scan.redacted(F.col("text"), F.col("others"), "#").alias("clean")).collect()
+    for r in found:
+        _, text, others, own = rows[r.k]
+        assert [tuple(s) for s in r.own] == [s for s in own if not any(o[0] < s[1] and s[0] < o[1] for o in others)]
+        at, clean = 0, ""
+        for start, end, *_ in others:
+            clean, at = clean + (text[at:start] + "#" if start >= at else ""), max(at, end)
+        assert r.clean == clean + text[at:]
+
+
+@pytest.mark.parametrize("op", ["private", "secrets", "redacted"])
+def test_long_text_of_many_spans(spark, op):
+    """A megabyte full of spans takes seconds, as work grows with the text and not with its square."""
+    unit, n = ("1.2.3.4 555-123-4567 ", 50_000) if op == "private" else ("0123456789abcdef q7Zk1Xv9Lw3Tb8Rn5Yd2Hs ", 25_000)
+    df = spark.createDataFrame([(1, unit * n)], "doc_id long, text string")
+    start = time.monotonic()
+    if op == "private":
+        row = pii.digest(pii.personal_data(df)).collect()[0]
+        assert (row.n_ip, row.n_phone) == (n, 0) and row.spans.count("ip:") == n
+    elif op == "secrets":
+        assert secret_scan.digest(secret_scan.secret_scan(df)).collect()[0].n_hex == n
+    else:
+        scan = secret_scan.secret_scan(df).join(df, "doc_id")
+        clean = scan.select(secret_scan.redacted(F.col("text"), F.col("spans")).alias("t")).collect()[0].t
+        assert clean == "[SECRET] [SECRET] " * n
+    assert time.monotonic() - start < 120
+
+
 @pytest.mark.parametrize("known", ["none", "hex"])
 def test_random_tokens_held_out(spark, known):
     """Random strings and identifiers that no model saw, also where all labelled secrets are hexadecimal."""
