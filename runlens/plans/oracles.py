@@ -362,6 +362,41 @@ oracle("shell_fragments", r"""SELECT event_id, unnest(generate_series(0, len(f)
       CASE event_id % 4 WHEN 0 THEN [] WHEN 1 THEN ['log'] WHEN 2 THEN ['z'] ELSE ['y'] END) AS f
     FROM (SELECT event_id, event_id || '.txt' || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' && tee > log' WHEN 2 THEN ''') --out z'
       ELSE ' -o' || chr(9) || 'y' END AS s FROM events)) WHERE len(f) > 0""")
+_EXT = "md|markdown|html?|docx?|pdf|xlsx?|csv|jsonl?|txt|log"
+_HINTS = "worklog|work_log|work-log"
+_AFTER = r"""(?:$|[\s"''<>`\]),，。；;:：])"""
+_MIDDLE = "substr(text, 1, length(text) // 2) || {} || substr(text, length(text) // 2 + 1)"
+_MENTIONS = "WITH d AS (SELECT doc_id, " + _MIDDLE.format("""[' ''./my out/', ' res/', ' ''my dir\\', ' ../up/', ' C:/x/',
+    ' notes/worklog/', ' saved /out/desk/sub/'][doc_id % 7 + 1] || doc_id || ['.docx'' ', '.CSV, ', '.md''; ', '.pdf; ', '.txt ', ' ',
+    '.html] and /out/desk/b.log '][doc_id % 7 + 1]""") + " AS text FROM documents)"
+# a bare path starts where a word does and ends at the word's last extension
+_RELATIVE = _MENTIONS + rf""", w AS (SELECT *, regexp_split_to_array(text, '[\s"''<>`|;&]+') AS words FROM d),
+    f AS (SELECT doc_id, list_concat(
+      regexp_extract_all(text, '(?i)["'']([^"'']+\.(?:{_EXT}))["'']', 1),
+      list_filter(list_transform(words, lambda x: regexp_extract(x, '(?i)^(.+\.(?:{_EXT})){_AFTER}', 1)), lambda x: x <> ''),
+      regexp_extract_all(text, '(?i)["'']([^"'']*(?:{_HINTS})[^"'']*)["'']', 1),
+      list_filter(words, lambda x: regexp_matches(x, '(?i){_HINTS}'))) AS f FROM w WHERE text IS NOT NULL) """
+oracle("text_relative_paths", _RELATIVE + """SELECT doc_id, unnest(generate_series(0, len(f) - 1)) AS pos, unnest(f) AS found FROM f WHERE len(f) > 0""")
+oracle("text_workspace_paths", _RELATIVE + rf""", m AS (SELECT doc_id, unnest(f) AS found FROM f),
+    c AS (SELECT *, regexp_replace(trim(replace(trim(trim(found), '`"'''), chr(92), '/')), '[.,;:!?，。；：！？\]}})、]+$', '') AS p FROM m),
+    r AS (SELECT *, list_filter(string_split(p, '/'), lambda x: x NOT IN ('', '.')) AS parts FROM c),
+    j AS (SELECT *, array_to_string(parts, '/') AS rel FROM r)
+    SELECT doc_id, found, CASE WHEN doc_id % 13 <> 0 AND NOT regexp_matches(p, '^/|^[A-Za-z]:|://') AND len(parts) > 0 AND NOT list_contains(parts, '..')
+      AND (regexp_matches(regexp_extract(rel, '[^/]*$'), '(?i)[^.]\.({_EXT})$') OR regexp_matches(lower(rel), '{_HINTS}|工作日志|工作记录'))
+      THEN '/workspace/s' || (doc_id % 9) || '/' || rel END AS remote_path FROM j""")
+oracle("text_root_paths", _MENTIONS + rf""", t AS (SELECT doc_id, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM d),
+    r AS (SELECT doc_id, list_concat(CASE WHEN starts_with(s, '/out/desk/sub/') THEN [s] ELSE [] END,
+      regexp_extract_all(text, '(?i)(/out/desk/sub[^\r\n"''<>`]*?\.(?:{_EXT})){_AFTER}', 1),
+      CASE WHEN starts_with(s, '/out/desk/') THEN [s] ELSE [] END,
+      regexp_extract_all(text, '(?i)(/out/desk[^\r\n"''<>`]*?\.(?:{_EXT})){_AFTER}', 1)) AS f FROM t)
+    SELECT doc_id, unnest(f) AS found FROM r""")
+_MARKER = r"""(?i)(?:>>?|--output(?:=|\s+)|--out(?:=|\s+)|-o\s+|save(?:_as)?\s*\(|write(?:_text|_bytes)?\s*\()\s*["'']?"""
+oracle("text_shell_fragments", "WITH c AS (SELECT conv_id, turn, " + _MIDDLE.format("""[' > ''', ' --output=', ' -o  ', ' f.save_as( "',
+      ' >>log; g.write ('''][(conv_id + turn) % 5 + 1] || conv_id || '-' || turn || '.txt '""") + f""" AS t FROM conversations),
+    p AS (SELECT *, regexp_split_to_array(t, '{_MARKER}') AS gaps, regexp_extract_all(t, '{_MARKER}') AS hits FROM c),
+    k AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM p)
+    SELECT conv_id, turn, i - 1 AS pos, substr(t, (list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+      + list_sum(list_transform(hits[1:i], lambda x: length(x))) + 1)::BIGINT) AS fragment FROM k""")
 oracle("logged_paths_found", """SELECT conv_id AS trace, remote_path, min(label) AS root_label, min(turn) AS first_seen FROM (
     SELECT conv_id, turn, '/desk/' || conv_id || '-' || turn || '.md' AS remote_path, 'Desk' AS label FROM conversations WHERE turn % 4 = 0
     UNION ALL SELECT conv_id, turn, '/workspace/s' || conv_id || '/out/' || conv_id || '.docx', '' FROM conversations WHERE turn % 4 = 1

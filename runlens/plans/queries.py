@@ -552,6 +552,53 @@ def shell_fragments(spark, sf):
         "event_id", F.col("pos").cast("bigint").alias("pos"), "fragment")
 
 
+def _with_mention(text: Column, mention: Column) -> Column:
+    """A real text with a mention in its middle."""
+    half = F.floor(F.char_length(text) / 2).cast("int")
+    return F.concat(F.substr(text, F.lit(1), half), mention, F.substr(text, half + 1, F.char_length(text)))
+
+
+def _documents_with_paths(spark, sf) -> DataFrame:
+    """documents; each whole text also mentions a file or a work log, written in one of seven ways."""
+    n = v.text_of("doc_id")
+    before = v.pick(v.mod("doc_id", 7), [" './my out/", " res/", " 'my dir\\", " ../up/", " C:/x/", " notes/worklog/", " saved /out/desk/sub/"])
+    after = v.pick(v.mod("doc_id", 7), [".docx' ", ".CSV, ", ".md'; ", ".pdf; ", ".txt ", " ", ".html] and /out/desk/b.log "])
+    return v.table(spark, sf, "documents").select("doc_id", _with_mention(F.col("text"), F.concat(before, n, after)).alias("text"))
+
+
+@query
+def text_relative_paths(spark, sf):
+    """Relative paths that whole documents mention, in the order of the patterns."""
+    found = exploded(_documents_with_paths(spark, sf), ["doc_id"], paths.relative_paths_in(F.col("text")), "found", "pos")
+    return found.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query
+def text_root_paths(spark, sf):
+    """Absolute paths below known roots that whole documents mention."""
+    return exploded(
+        _documents_with_paths(spark, sf), ["doc_id"], paths.absolute_paths_in(F.col("text"), ["/out/desk", "/out/desk/sub"]), "found")
+
+
+@query
+def text_workspace_paths(spark, sf):
+    """Where the relative paths that documents mention lie in the workspace of a session; refused ones are null."""
+    session = F.when(v.mod("doc_id", 13, 0), "").otherwise(F.concat(F.lit("s"), v.text_of(v.mod("doc_id", 9))))
+    found = exploded(_documents_with_paths(spark, sf), ["doc_id"], paths.relative_paths_in(F.col("text")), "found")
+    return found.select("doc_id", "found", paths.workspace_path(F.col("found"), session).alias("remote_path"))
+
+
+@query
+def text_shell_fragments(spark, sf):
+    """Output targets of commands that quote whole turns of conversations."""
+    n = F.concat(v.text_of("conv_id"), F.lit("-"), v.text_of("turn"))
+    kind = v.mod(F.col("conv_id") + F.col("turn"), 5)
+    mention = F.concat(v.pick(kind, [" > '", " --output=", " -o  ", " f.save_as( \"", " >>log; g.write ('"]), n, F.lit(".txt "))
+    found = paths.shell_output_fragments(_with_mention(F.col("text"), mention))
+    rows = exploded(v.table(spark, sf, "conversations"), ["conv_id", "turn"], found, "fragment", "pos")
+    return rows.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "fragment")
+
+
 @query
 def logged_paths_found(spark, sf):
     """Output paths of traces whose turns are replies, write calls, shell calls and tool results."""
