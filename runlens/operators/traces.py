@@ -45,18 +45,22 @@ def for_all_traces(found: DataFrame, rows: DataFrame, trace: str = "trace") -> D
         trace, "stop_reason", F.coalesce("has_stop", F.lit(False)).alias("has_stop"))
 
 
-def last_reply(
-    events: DataFrame, trace: str = "trace", order: Cols = "byte_offset", text: Column | None = None
-) -> DataFrame:
-    """Text of the last stopping model output that has text items; an empty text counts as none."""
-    stop = (
+def _is_reply() -> Column:
+    """Whether an event is a stopping model output of the main agent."""
+    return (
         (F.col("agent_role") == fv.MAIN_ROLE)
         & (F.col("event") == fv.MODEL_OUTPUT)
         & (F.col("stop_reason") == fv.TERMINAL_REASONS[0])
     )
+
+
+def last_reply(
+    events: DataFrame, trace: str = "trace", order: Cols = "byte_offset", text: Column | None = None
+) -> DataFrame:
+    """Text of the last stopping model output that has text items; an empty text counts as none."""
     body = reply_text(F.col("content")) if text is None else text
     # only stopping events reach the aggregate with a text; the rest carry nulls
-    rows = events.select(trace, *names(order), F.when(stop, body).alias("_text"))
+    rows = events.select(trace, *names(order), F.when(_is_reply(), body).alias("_text"))
     latest = F.max_by("_text", F.when(F.col("_text").isNotNull(), order_key(order)))
     return rows.groupBy(trace).agg(F.nullif(latest, F.lit("")).alias("reply"))
 
@@ -98,6 +102,21 @@ def trace_summary(
     )
 
 
+def trace_answers(
+    events: DataFrame, timeout_seconds: int = fv.TASK_TIMEOUT_SECONDS, trace: str = "trace",
+    order: Cols = "byte_offset", ts: str = "ts", is_text: str | None = None,
+) -> DataFrame:
+    """Outcome with timeout, main session and last reply in one pass and one shuffle."""
+    terminal = F.when(is_terminal(), order_key(order))
+    rows = events.withColumn("_text", F.when(_is_reply(), reply_text(F.col("content"))))
+    latest = F.max_by("_text", F.when(F.col("_text").isNotNull(), order_key(order)))
+    answers = rows.groupBy(trace).agg(
+        *_timeout_aggregates(terminal, ts), _main_session(order, is_text).alias("session_id"),
+        F.nullif(latest, F.lit("")).alias("reply"))
+    outcome, _ = _timeout_answer(timeout_seconds)
+    return answers.select(trace, outcome.alias("outcome"), "session_id", "reply")
+
+
 def last_n_per_trace(
     events: DataFrame, n: int, trace: str = "trace", order: Cols = "byte_offset", salts: int = 32
 ) -> DataFrame:

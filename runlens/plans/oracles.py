@@ -418,16 +418,7 @@ oracle("pull_counts", """SELECT case_id, count(*) FILTER (pulled AND source = 'r
     FROM art GROUP BY case_id""", "art")
 oracle("run_outcome", "SELECT case_id, outcome, failure_kind FROM flg", "flg")
 oracle("failure_distribution", "SELECT outcome, failure_kind, count(*) AS n_runs FROM flg GROUP BY 1, 2", "flg")
-oracle("run_result", f""", a AS (SELECT case_id, coalesce(string_agg(DISTINCT format, ',' ORDER BY format) FILTER (pulled AND source = 'report'), '') AS present,
-      count(*) FILTER (pulled AND source = 'report') AS o, count(*) FILTER (pulled AND source = 'worklog') AS w,
-      count(*) FILTER (pulled AND source = 'summary') AS s FROM art GROUP BY case_id),
-    e AS (SELECT trace AS case_id, CASE WHEN ended_at < started + INTERVAL 1 DAY THEN reason ELSE 'timeout' END AS ended, session FROM (
-      SELECT trace, min(ts) AS started, arg_min(reason, n) FILTER (role = 'main' AND reason <> 'tool_use') AS reason,
-      arg_min(ts, n) FILTER (role = 'main' AND reason <> 'tool_use') AS ended_at,
-      coalesce(arg_min(session, n) FILTER (role = 'main' AND session IS NOT NULL), arg_min(session, n) FILTER (session IS NOT NULL)) AS session
-      FROM tr GROUP BY trace)),
-    r AS (SELECT conv_id AS case_id, arg_max(text || '!', turn) FILTER (role = 'assistant' AND turn % 5 <> 4) AS reply FROM conversations GROUP BY 1),
-    j AS (SELECT tsk.k AS case_id, person, list_sort(CASE WHEN tsk.k % 67 = 0 THEN ['docx', 'html'] ELSE formats END) AS req, coalesce(present, '') AS present,
+_RESULTS = f"""j AS (SELECT tsk.k AS case_id, person, list_sort(CASE WHEN tsk.k % 67 = 0 THEN ['docx', 'html'] ELSE formats END) AS req, coalesce(present, '') AS present,
       coalesce(o, 0) AS o, coalesce(w, 0) AS w, coalesce(s, 0) AS s, reply, coalesce(o_orderstatus = 'P', false) AS broken,
       coalesce(o_orderstatus = 'F' AND o_orderpriority LIKE '1%', false) AS unprepared,
       CASE WHEN unprepared THEN 'not-run' ELSE coalesce(ended, 'timeout') END AS ended, CASE WHEN NOT unprepared THEN session END AS session
@@ -440,7 +431,44 @@ oracle("run_result", f""", a AS (SELECT case_id, coalesce(string_agg(DISTINCT fo
       CASE WHEN unprepared THEN 'failed' WHEN broken THEN 'interrupted'
         WHEN ended <> 'stop' OR len(miss) > 0 OR session IS NULL THEN 'failed' ELSE 'complete' END AS outcome,
       CASE WHEN unprepared THEN 'data-preparation' WHEN broken THEN NULL WHEN ended = 'timeout' THEN 'timeout' WHEN ended = 'error' THEN 'agent-error' WHEN len(miss) > 0 THEN 'missing-deliverables'
-        WHEN session IS NULL THEN 'execution-error' END AS failure_kind FROM q""", "art", "fmt", "tr", "tsk")
+        WHEN session IS NULL THEN 'execution-error' END AS failure_kind FROM q"""
+oracle("run_result", f""", a AS (SELECT case_id, coalesce(string_agg(DISTINCT format, ',' ORDER BY format) FILTER (pulled AND source = 'report'), '') AS present,
+      count(*) FILTER (pulled AND source = 'report') AS o, count(*) FILTER (pulled AND source = 'worklog') AS w,
+      count(*) FILTER (pulled AND source = 'summary') AS s FROM art GROUP BY case_id),
+    e AS (SELECT trace AS case_id, CASE WHEN ended_at < started + INTERVAL 1 DAY THEN reason ELSE 'timeout' END AS ended, session FROM (
+      SELECT trace, min(ts) AS started, arg_min(reason, n) FILTER (role = 'main' AND reason <> 'tool_use') AS reason,
+      arg_min(ts, n) FILTER (role = 'main' AND reason <> 'tool_use') AS ended_at,
+      coalesce(arg_min(session, n) FILTER (role = 'main' AND session IS NOT NULL), arg_min(session, n) FILTER (session IS NOT NULL)) AS session
+      FROM tr GROUP BY trace)),
+    r AS (SELECT conv_id AS case_id, arg_max(text || '!', turn) FILTER (role = 'assistant' AND turn % 5 <> 4) AS reply FROM conversations GROUP BY 1),
+    """ + _RESULTS, "art", "fmt", "tr", "tsk")
+_CHAIN = """, x AS (SELECT trace, n, ts, role, reason, session, NULL AS reply FROM tr WHERE NOT bad
+      UNION ALL SELECT conv_id, 1000000000000 + turn, NULL, CASE role WHEN 'system' THEN 'sub' ELSE 'main' END,
+        CASE role WHEN 'user' THEN 'tool_use' ELSE 'stop' END, 'c' || conv_id, CASE WHEN turn % 5 <> 4 THEN text || '!' END FROM conversations),
+    t AS (SELECT trace AS case_id, min(ts) AS started, arg_min(reason, n) FILTER (role = 'main' AND reason <> 'tool_use') AS reason,
+      min({'n': n, 'at': ts}) FILTER (role = 'main' AND reason <> 'tool_use') AS ended,
+      coalesce(arg_min(session, n) FILTER (role = 'main' AND session IS NOT NULL), arg_min(session, n) FILTER (session IS NOT NULL)) AS session,
+      arg_max(reply, n) FILTER (role = 'main' AND reason = 'stop' AND reply IS NOT NULL) AS reply FROM x GROUP BY trace),
+    e AS (SELECT case_id, session, CASE WHEN reason IS NULL OR ended['at'] >= started + INTERVAL 1 DAY THEN 'timeout' ELSE reason END AS ended FROM t),
+    r AS (SELECT case_id, reply FROM t),
+    a AS (SELECT case_id, coalesce(string_agg(DISTINCT format, ',' ORDER BY format) FILTER (pulled AND source = 'report'), '') AS present,
+      count(*) FILTER (pulled AND source = 'report') AS o, count(*) FILTER (pulled AND source = 'worklog') AS w,
+      count(*) FILTER (pulled AND source = 'summary') AS s FROM art JOIN e USING (case_id)
+      WHERE session IS NOT NULL AND (source <> 'report' OR session = 's' || (size % 11)) GROUP BY case_id),
+    """ + _RESULTS + " WHERE case_id % 4 <> 0"
+oracle("chain_results", _CHAIN, "art", "fmt", "tr", "tsk")
+oracle("chain_totals", ", found AS (" + "WITH " + _CHAIN.lstrip(", ") + """),
+    m AS (SELECT case_id, yr AS attempt, marker FROM led UNION ALL SELECT case_id, 9999, outcome FROM found),
+    st AS (SELECT c_custkey AS case_id, n_name AS person, c_custkey % 200 AS run_id, CASE WHEN bool_or(marker = 'interrupted') THEN 'interrupted'
+        WHEN bool_or(marker = 'failed') THEN 'failed' WHEN bool_or(marker = 'complete') THEN 'complete' ELSE 'not-run' END AS outcome
+      FROM customer JOIN nation ON n_nationkey = c_nationkey
+      LEFT JOIN (SELECT * FROM m WHERE attempt = (SELECT max(attempt) FROM m p WHERE p.case_id = m.case_id)) m ON m.case_id = c_custkey GROUP BY 1, 2, 3),
+    re AS (SELECT run_id, run_id % 9 <> 0 AND bool_and(st.outcome IN ('failed', 'interrupted')
+        OR st.outcome = 'complete' AND coalesce(outputs_pulled > 0 AND session_id IS NOT NULL, false)) AS runner_finished
+      FROM st LEFT JOIN found USING (case_id) GROUP BY run_id),
+    g AS (SELECT run_id, person, grouping(run_id, person) AS level, count(*) FILTER (outcome = 'complete') AS n_success,
+      count(*) FILTER (outcome <> 'complete') AS n_failed FROM st GROUP BY ROLLUP (run_id, person))
+    SELECT g.*, n_failed = 0 AS ok, runner_finished FROM g LEFT JOIN re USING (run_id)""", "art", "fmt", "tr", "tsk", "led")
 oracle("attempts", """, f AS (SELECT case_id, count(*) AS n, arg_min(marker, (started, run_key)) AS m1,
       first(kind ORDER BY started, run_key) AS k1, arg_max(marker, (started, run_key)) AS m2, last(kind ORDER BY started, run_key) AS k2 FROM led GROUP BY case_id),
     g AS (SELECT *, coalesce(m1 = 'failed' AND k1 IN ('timeout', 'agent-error'), false) AS eligible FROM f)

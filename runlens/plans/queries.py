@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from runlens.functions import ids, json_walk, paths, text
 from runlens.functions.text import ReplyRules
 from runlens.operators.common import exploded
-from runlens.operators import listings, logged_paths, prefixes, runs, tasks, traces
+from runlens.operators import chain, listings, logged_paths, prefixes, runs, tasks, traces
 from runlens.plans import views as v
 from runlens.session import checkpoint_folder
 from runlens.sources import listings as listing_source
@@ -680,14 +680,18 @@ def failure_distribution(spark, sf):
     return runs.failure_distribution(_flagged(spark, sf))
 
 
-@query
-def run_result(spark, sf):
-    return run_results(spark, sf).select(
+def _record(found: DataFrame) -> DataFrame:
+    return found.select(
         "case_id", "person", joined("required_formats").alias("required"), joined("present_formats").alias("present"),
         joined("missing_formats").alias("missing"), "outputs_pulled", "worklogs_pulled", "summaries_pulled",
         "dialog_verdict", "session_id", F.size("warnings").alias("n_warnings"), "outcome", "failure_kind")
 
 
+@query
+def run_result(spark, sf):
+    return _record(run_results(spark, sf))
+
+
 def run_results(spark, sf) -> DataFrame:
     """All traces to result records: a case per customer, its trace the events of user `case`, its
     reply the conversation of that number, its files the line items of that order. That order's status
@@ -698,11 +702,36 @@ def run_results(spark, sf) -> DataFrame:
     replies = traces.last_reply(trace_source.parse_events(v.reply_lines(spark, sf))).select(
         F.col("trace").alias("case_id"), "reply")
     answers = ends.join(replies, "case_id", "left")
+    return runs.run_results(_work(spark, sf), answers, v.artifacts(spark, sf), text.reply_verdict(F.col("reply"), WORD_RULES))
+
+
+def _work(spark, sf) -> DataFrame:
     states = v.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("case_id"), (F.col("o_orderstatus") == "P").alias("interrupted"),
         ((F.col("o_orderstatus") == "F") & F.col("o_orderpriority").startswith("1")).alias("preparation_failed"))
-    work = v.tasks(spark, sf).select(F.col("task_no").alias("case_id"), "person", "task").join(states, "case_id", "left")
-    return runs.run_results(work, answers, v.artifacts(spark, sf), text.reply_verdict(F.col("reply"), WORD_RULES))
+    return v.tasks(spark, sf).select(F.col("task_no").alias("case_id"), "person", "task").join(states, "case_id", "left")
+
+
+def _chain(spark, sf) -> DataFrame:
+    """Results of the tasks that this attempt ran, three of four, from raw lines and listings."""
+    return chain.results(
+        _work(spark, sf).where(~v.mod("case_id", 4, 0)), v.case_lines(spark, sf), v.case_files(spark, sf),
+        text.reply_verdict(F.col("reply"), WORD_RULES), timeout_seconds=86400)
+
+
+@query
+def chain_results(spark, sf):
+    """The whole chain: lines and listings to result records."""
+    return _record(_chain(spark, sf))
+
+
+@query
+def chain_totals(spark, sf):
+    """The chain's results with the ledger of earlier attempts, as totals and readiness of batches."""
+    earlier = v.ledger(spark, sf).withColumn("attempt", F.year("at"))
+    entries = chain.status(v.simple_tasks(spark, sf), earlier, _chain(spark, sf), attempt=9999).withColumn(
+        "run_id", v.mod("case_id", 200))
+    return chain.totals(_batches(spark, sf), entries).withColumn("level", F.col("level").cast("bigint"))
 
 
 @query

@@ -273,3 +273,20 @@ def artifacts(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "O", "pulled").otherwise("failed").alias("status"),
         F.col("l_quantity").cast("bigint").alias("size"),
     )
+
+
+# --- the whole chain ------------------------------------------------------------------------------
+
+def case_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw lines of a case: the events of the user of that number, then the turns of that conversation."""
+    later = F.col("byte_offset") + 1_000_000_000_000
+    return event_lines(spark, sf).unionByName(reply_lines(spark, sf).withColumn("byte_offset", later)).select(
+        F.col("trace").alias("case_id"), "byte_offset", "line")
+
+
+def case_files(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem as the files on the device of a case: reports below one of 11 sessions, shared logs and summaries."""
+    below = F.when(F.col("source") == "report", F.concat(F.lit("s"), text_of(mod("size", 11)))).when(
+        F.col("source") == "worklog", "memory/weekly-work-report/worklog").otherwise("memory/weekly-work-report/summary")
+    path = F.concat(F.lit("/workspace/"), below, F.substring("path", 3, 1000))
+    return artifacts(spark, sf).select("case_id", path.alias("path"), "size", "status")
