@@ -119,6 +119,51 @@ def test_decontaminate(spark, docs, empty):
     assert not got(decontaminate.digest(decontaminate.decontaminate(docs, bench.where("false"))))[4].contaminated
 
 
+def test_decontaminate_in_blocks_of_windows(spark):
+    """Items cut into pieces, and blocks of few windows, find what one block finds."""
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice(["a", "b", "c", "d" * 30]) for _ in range(n))
+    items = [(k, text(rng.choice([0, 1, 2, 3, 9, 60]))) for k in range(40)]
+    texts = [text(rng.choice([0, 2, 30, 300])) for _ in range(30)]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def want(words):
+        spans, owners = [], set()
+        for item, own in items:
+            own = decontaminate.words_of(own)
+            for w in [tuple(own[k:k + 3]) for k in range(max(1, len(own) - 2))] if own else []:
+                found = [(k, k + len(w)) for k in range(len(words)) if tuple(words[k:k + len(w)]) == w]
+                spans += found
+                owners |= {str(item)} if found else set()
+        return decontaminate.merged(spans), sorted(owners)
+
+    whole = {k: want(decontaminate.words_of(t)) for k, t in enumerate(texts)}
+    for windows, size in ((1 << 19, 32 << 20), (300, 32 << 20), (1 << 19, 8000)):
+        found = decontaminate.decontaminate(docs, bench, window=3, block_windows=windows, block_bytes=size)
+        assert {r.doc_id: ([tuple(x) for x in r.spans], r["items"]) for r in found.collect()} == whole
+    held = [b for _, b in decontaminate._blocks(decontaminate._pieces(bench.selectExpr("cast(item_id as string) item", "text"), 3, 300, 1 << 20), 300, 1 << 20)]
+    assert len(held) > 1
+
+
+def test_decontaminate_tables_are_bounded():
+    """A window of 10 words takes about 100 bytes of arrays, so that a block's bound in windows is one of memory."""
+    rng = random.Random(8)
+    pieces = [(str(k), [f"w{rng.randrange(30000)}" for _ in range(500)]) for k in range(60)]
+    _, _, groups = decontaminate.build(pieces, 10)
+    held = sum(part.nbytes for group in groups for part in group if hasattr(part, "nbytes"))
+    assert held <= 130 * sum(len(group[0]) for group in groups)
+
+
+def test_pieces_hold_every_window_once():
+    rng = random.Random(3)
+    for _ in range(500):
+        lengths = [rng.randint(1, 9) for _ in range(rng.randint(0, 40))]
+        size = rng.randint(1, 10)
+        cuts = decontaminate._cuts(lengths, size, rng.randint(1, 8), rng.randint(1, 60))
+        found = [k for a, b in cuts for k in range(a, max(a + 1, b - size + 1))]
+        assert found == list(range(max(1, len(lengths) - size + 1) if lengths else 0))
+
+
 def test_wu_manber_against_brute_force():
     rng = random.Random(2)
     for _ in range(200):
