@@ -64,23 +64,35 @@ def _lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def _with_rates(df: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Adds the smoothed share of blocked URLs under the host's last label and its last two labels."""
-    base = labelled.agg(F.coalesce(F.avg("label"), F.lit(0.5)).alias("share")).first()["share"]
+def _with_rates(df: DataFrame, labelled: DataFrame, others_only: bool = False) -> DataFrame:
+    """Adds the smoothed share of blocked URLs under the host's last label and its last two labels.
+
+    With `others_only`, `df` are the labelled rows themselves and a row's rates come from the other folds alone. Hosts are dealt
+    to folds whole, so that a rate says no more of a training row than of a host that was never seen.
+    """
+    base = float(labelled.agg(F.coalesce(F.avg("label"), F.lit(0.5)).alias("share")).first()["share"])
     for key, rate in (("suffix", "suffix_rate"), ("site", "site_rate")):
-        rates = labelled.groupBy(key).agg(((F.sum("label") + 5 * base) / (F.count("label") + 5)).alias(rate))
-        df = df.join(rates, key, "left").withColumn(rate, F.coalesce(rate, F.lit(float(base))))
+        counts = labelled.groupBy(key, "fold").agg(F.sum("label").alias("blocked"), F.count("label").alias("n"))
+        total, on = counts.groupBy(key).agg(F.sum("blocked").alias("blocked"), F.sum("n").alias("n")), [key]
+        if others_only:
+            own, on = counts.select(key, "fold", F.col("blocked").alias("own_blocked"), F.col("n").alias("own_n")), [key, "fold"]
+            total = own.join(total, key).select(
+                *on, (F.col("blocked") - F.col("own_blocked")).alias("blocked"), (F.col("n") - F.col("own_n")).alias("n"))
+        rates = total.select(*on, ((F.col("blocked") + 5 * base) / (F.col("n") + 5)).alias(rate))
+        df = df.join(rates, on, "left").withColumn(rate, F.coalesce(rate, F.lit(base)))
     return df
 
 
 def url_filter(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES,
     labels: DataFrame | None = None, max_labelled: int = 20_000, trees: int = 10, depth: int = 4, least: float = 0.5,
+    folds: int = 5,
 ) -> DataFrame:
     """(id, host, path, rule, score, verdict) per row: `allow` or `block`, by the longest rule or by the trees.
 
     `labels` (url, blocked) are the labelled URLs; null stands for the URLs of `pages` that a rule decides.
-    The trees are fitted to about `max_labelled` of them, chosen by hash, at most twice as many. `score` is the chance of
+    The trees are fitted to about `max_labelled` of them, chosen by hash, at most twice as many; the rates they learn from
+    leave out a host's own one of `folds` folds. `score` is the chance of
     being blocked. With labels of one kind only, that kind is the verdict; without any, `allow`. A null URL, or
     one without `://`, has an empty host and path and is scored like others. Repeated rows are kept.
     """
@@ -108,9 +120,10 @@ def url_filter(
         if sample.select("label").distinct().count() < 2:  # one kind is very rare: as many of each
             both = [known.where(F.col("label") == kind).limit(max_labelled // 2) for kind in counts]
             sample = durable(both[0].unionAll(both[1]))
+        sample = sample.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(folds)))
         assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, featuresCol="features", labelCol="label").fit(
-            assembler.transform(_with_rates(sample, sample)).select("features", "label"))
+            assembler.transform(_with_rates(sample, sample, others_only=True)).select("features", "label"))
         ready = assembler.transform(_with_rates(own, sample))
         scored = model.transform(ready).withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce(ruled, F.when(F.col("score") > least, "block").otherwise("allow"))

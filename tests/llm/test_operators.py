@@ -1,12 +1,14 @@
 """Training-data operators against brute force, on edge cases and on the provided small tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -350,6 +352,36 @@ def test_language(spark, docs, empty):
     assert lang == "en"
 
 
+def test_crf_marginals_against_enumeration():
+    """Forward-backward in blocks gives what the sum over all label sequences gives, also for sequences laid end to end."""
+    rng = np.random.default_rng(12)
+    for lengths, size in (([1], 2), ([4], 3), ([2, 1, 5], 2), ([3, 4, 1, 2], 3)):
+        n = sum(lengths)
+        model = language_crf.Crf(list("abc")[:size], np.zeros((1, size)), rng.normal(0, 2, (size, size)), rng.normal(0, 2, size))
+        scores, begins = rng.normal(0, 3, (n, size)), np.zeros(n, bool)
+        want, pairs, at = np.zeros((n, size)), np.zeros((size, size)), 0
+        for length in lengths:
+            begins[at] = True
+            ways = list(itertools.product(range(size), repeat=length))
+            weight = np.array([np.exp(
+                model.start[w[0]] + sum(scores[at + k, y] for k, y in enumerate(w))
+                + sum(model.transitions[a, b] for a, b in itertools.pairwise(w))) for w in ways])
+            for w, p in zip(ways, weight / weight.sum()):
+                for k, y in enumerate(w):
+                    want[at + k, y] += p
+                for a, b in itertools.pairwise(w):
+                    pairs[a, b] += p
+            at += length
+        found, found_pairs = model.marginals(scores, begins)
+        assert np.allclose(found, want) and np.allclose(found_pairs, pairs)
+
+
+def test_crf_ties_and_long_texts():
+    """Equal scores go to the first language by name; a text of many blocks is decoded like its repeated part."""
+    flat = language_crf.Crf(["aa", "bb"], np.zeros((language_crf.BUCKETS, 2)), np.zeros((2, 2)), np.zeros(2))
+    assert language_crf.predict(flat, [["x"], [], ["y"] * 300_000]) == [("aa", 0.5), ("und", 0.0), ("aa", 0.5)]
+
+
 def test_quality_classifier(spark, docs, empty):
     sf = "/root/testdata/sf0.01"
     rows = QUERIES["op10_quality_classifier"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
@@ -452,6 +484,42 @@ def test_suffix_dedup_edges(docs, empty):
 
 # --- 9
 
+def test_url_filter_on_suffixes_never_seen(spark):
+    """Trees judge URLs whose whole suffix was left out of the labels by their form, though each site there had one label."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+
+    def url(host, blocked):
+        if blocked:
+            return f"http://{host}/{rng.randrange(10 ** 9)}/{rng.randrange(10 ** 9)}?a={rng.randrange(10 ** 6)}&b={rng.randrange(99)}&c=1"
+        return f"http://{host}/{word(6)}/{word(rng.randint(4, 9))}"
+
+    def rows(suffixes):
+        for suffix in suffixes:
+            for _ in range(12):
+                host, blocked = f"www.{word(7)}.{suffix}", rng.random() < 0.5
+                yield from ((url(host, blocked), blocked) for _ in range(4))
+
+    labels = list(rows(["aa", "bb", "cc", "dd", "ee"])) + [(None, True), ("x://n.aa/", None)]
+    held_out = list(rows(["yy", "zz"]))
+    found = got(url_filter.url_filter(
+        spark.createDataFrame([(k, u) for k, (u, _) in enumerate(held_out)], "page_id long, url string"), rules=(),
+        labels=spark.createDataFrame(labels, "url string, blocked boolean")), "page_id")
+    right = sum((found[k].verdict == "block") == blocked for k, (_, blocked) in enumerate(held_out))
+    assert len(found) == len(held_out) and right >= 0.95 * len(held_out)
+    assert all((found[k].score > 0.5) == (found[k].verdict == "block") for k in found)
+
+
+def test_url_rates_leave_out_the_own_fold(spark):
+    rows = [(f"h{k % 6}.s{k % 3}.{'xy'[k % 2]}", f"s{k % 3}.{'xy'[k % 2]}", "xy"[k % 2], float(k % 4 == 0), k % 6 % 4) for k in range(60)]
+    df = spark.createDataFrame(rows, "host string, site string, suffix string, label double, fold long")
+    base = sum(r[3] for r in rows) / len(rows)
+    for r in url_filter._with_rates(df, df, others_only=True).collect():
+        for key, at, rate in (("site", 1, r.site_rate), ("suffix", 2, r.suffix_rate)):
+            others = [x[3] for x in rows if x[at] == r[key] and x[4] != r.fold]
+            assert abs(rate - (sum(others) + 5 * base) / (len(others) + 5)) < 1e-9
+
+
 def test_url_filter(spark):
     urls = ["http://a.Example.org/es/x?q=1", "https://example.org/en/12", "http://xexample.org/es/1", "x://b.com/fr/", "x://b.com/de/1#z", "x://b.com/en/1",
             "x://com", "x://org", "x://org/", None, "", "no scheme", "x://h.net/a?b://c", "x://é.ORG/ü", "x://b.com/fr"]
