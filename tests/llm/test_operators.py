@@ -484,13 +484,17 @@ def test_suffix_dedup_edges(docs, empty):
 
 # --- 9
 
-def test_url_filter_on_suffixes_never_seen(spark):
-    """Trees judge URLs whose whole suffix was left out of the labels by their form, though each site there had one label."""
+@pytest.mark.parametrize("noise, least", [(0.0, 0.95), (0.15, 0.75)])
+def test_url_filter_on_suffixes_never_seen(spark, noise, least):
+    """Trees judge URLs whose whole suffix was left out of the labels by their form, though each site there had one label.
+
+    With noise some URLs look like the other kind, so that the site's rate alone would explain the labels they are trained on.
+    """
     rng = random.Random(4)
     word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
 
     def url(host, blocked):
-        if blocked:
+        if blocked != (rng.random() < noise):
             return f"http://{host}/{rng.randrange(10 ** 9)}/{rng.randrange(10 ** 9)}?a={rng.randrange(10 ** 6)}&b={rng.randrange(99)}&c=1"
         return f"http://{host}/{word(6)}/{word(rng.randint(4, 9))}"
 
@@ -506,7 +510,7 @@ def test_url_filter_on_suffixes_never_seen(spark):
         spark.createDataFrame([(k, u) for k, (u, _) in enumerate(held_out)], "page_id long, url string"), rules=(),
         labels=spark.createDataFrame(labels, "url string, blocked boolean")), "page_id")
     right = sum((found[k].verdict == "block") == blocked for k, (_, blocked) in enumerate(held_out))
-    assert len(found) == len(held_out) and right >= 0.95 * len(held_out)
+    assert len(found) == len(held_out) and right >= least * len(held_out)
     assert all((found[k].score > 0.5) == (found[k].verdict == "block") for k in found)
 
 
