@@ -1,7 +1,9 @@
-"""Near copies by the Jaccard similarity of their word shingles: MinHash bands find pairs, the texts decide.
+"""Near copies by the Jaccard similarity of their word shingles: SimHash fingerprints find them, the texts decide.
 
-Texts with equal sets of shingles are one node. Two sets of similarity 0.8 share one of 30 keys, each made of 6 minima,
-with a probability of 0.9999; what shares a key is compared:
+Texts with equal sets of shingles are one node. Fingerprints of the sets are linked by the binary trie self-join of `simhash`,
+and a component of linked fingerprints is a key. Four bits are a similarity of about 0.96, so 30 keys of 6 minima each come
+beside it for pairs further apart: two sets of similarity 0.8 share one of those with a probability of 0.9999. What
+shares a key is compared:
 
 1. every member of a key with the member of the smallest id, which copies are often made from; links form components;
 2. in keys that still hold several components, each member outside of the largest one with its likeliest partners elsewhere;
@@ -25,10 +27,14 @@ from pyspark.sql import functions as F
 
 from runlens.llm.common import durable, durable_table, pure, rows, schema_with
 from runlens.llm.components import connected_components
-from runlens.llm.simhash import shingle_hashes
+from runlens.llm.simhash import fingerprint_of, shingle_hashes
+from runlens.llm.simhash import links as trie_links
 
 SHINGLE, LEAST, BANDS, DEPTH = 5, 0.8, 30, 6
 
+#: Differing bits at which two fingerprints are linked.
+BUDGET = 4
+
 #: A pair is ruled out when its sketches agree in a share this much below the similarity asked (5 standard deviations at 0.8).
 SLACK = 0.15
 
@@ -41,7 +47,7 @@ TRIES = 1
 #: Members on either side of a tile.
 BLOCK = 1000
 
-_SET = "set binary, n long, keys array<long>, sketch binary"
+_SET = "set binary, n long, fingerprint long, keys array<long>, sketch binary"
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -86,16 +92,27 @@ def _marked(own: DataFrame, shingle: int, bands: int, depth: int) -> DataFrame:
             for _, text, _ in rows(batch):
                 hashes = shingle_set(text, shingle)
                 least = minima(hashes, by)
-                out.append((name_of(hashes), len(hashes), band_keys(least, depth) if len(hashes) else [], sketch(least)))
-            types = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            columns = zip(*out) if out else [()] * 4
+                keys = band_keys(least, depth) if len(hashes) else []
+                out.append((name_of(hashes), len(hashes), fingerprint_of(hashes), keys, sketch(least)))
+            types = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            columns = zip(*out) if out else [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), *[pa.array(list(x), t) for x, t in zip(columns, types)]],
-                ["id", "code", "set", "n", "keys", "sketch"])
+                ["id", "code", "set", "n", "fingerprint", "keys", "sketch"])
 
     return own.mapInArrow(run, schema_with(own, "code long, " + _SET))
 
 
+def _keyed(marked: DataFrame, budget: int) -> DataFrame:
+    """One row per set, with the component of its fingerprint as the first of its keys; a set without words has none."""
+    sets = marked.drop("id").dropDuplicates(["set"])
+    groups = connected_components(durable_table(trie_links(marked.where("n > 0"), budget)))
+    of_code = groups.select(F.col("node").alias("fingerprint"), "component")
+    group = F.coalesce("component", "fingerprint")
+    keys = F.when(F.col("n") > 0, F.concat(F.array(group), "keys")).otherwise(F.col("keys"))
+    return sets.join(of_code, "fingerprint", "left").select("code", "set", "n", keys.alias("keys"), "sketch")
+
+
 def _members(sets: DataFrame) -> DataFrame:
     """(key, sid): members of the keys that several sets share. Rows stream through, a key is never held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,17 +296,18 @@ def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> D
 
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST,
-    bands: int = BANDS, depth: int = DEPTH, tries: int = TRIES, block: int = BLOCK,
+    bands: int = BANDS, depth: int = DEPTH, tries: int = TRIES, block: int = BLOCK, budget: int = BUDGET,
 ) -> DataFrame:
     """(id, component_id) per row of `docs`: the smallest id that a chain of near copies reaches.
 
     Two texts are near copies when the Jaccard similarity of their sets of `shingle` words is `least` or more. Texts
     without words are copies of each other. A row without an id keeps its row and its group's component, which is
-    null only if no member has an id. Other columns are ignored.
+    null only if no member has an id. Other columns are ignored. Of `bands` keys of `depth` minima and fingerprints of at most
+    `budget` differing bits, each finds pairs; what is linked was checked on the sets.
     """
     own = pure(docs, id=id_col, text=text_col).withColumn("code", F.xxhash64("text"))
     marked = durable_table(_marked(own, shingle, bands, depth))
-    sets = durable_table(marked.drop("id").dropDuplicates(["set"]).withColumn("sid", F.monotonically_increasing_id()))
+    sets = durable_table(_keyed(marked, budget).withColumn("sid", F.monotonically_increasing_id()))
     names = durable_table(marked.groupBy("set").agg(F.min("id").alias("least")).join(sets.select("set", "sid"), "set"))
     members = durable_table(_members(sets))
     texts = durable_table(_texts(members, sets, own, shingle))

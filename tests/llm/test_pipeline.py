@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from runlens.llm import jaccard
+from runlens.llm import jaccard, simhash
 from tests.llm.test_operators import PASSAGE
 
 
@@ -80,6 +80,19 @@ def test_near_copies_against_all_pairs(spark):
     assert jaccard.near_copies(none).count() == 0
 
 
+def test_near_copies_come_through_the_fingerprints(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(20):  # one changed word of 600 is a similarity of 0.98; of one key of 60 minima such a pair shares a third
+        words = ["w%d" % rng.randrange(10**6) for _ in range(600)]
+        rows += [(2 * k, changed(words, ())), (2 * k + 1, changed(words, {rng.randrange(600)}))]
+    codes = {i: simhash.fingerprint_of(jaccard.shingle_set(t)) for i, t in rows}
+    near = {i: i - 1 if i % 2 and ((codes[i] ^ codes[i - 1]) % (1 << 64)).bit_count() <= 4 else i for i in codes}
+    assert sum(i != j for i, j in near.items()) > 15
+    found = jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), bands=1, depth=60).collect()
+    assert all(r.component_id == near[r.doc_id] for r in found if near[r.doc_id] != r.doc_id)
+
+
 @pytest.mark.parametrize("block", [3, 1000])
 def test_near_copies_of_one_centre_need_no_pairs(spark, block):
     rng = random.Random(6)
