@@ -15,11 +15,17 @@ from runlens import session
 from runlens.functions.text import let
 from runlens.session import durable
 
-__all__ = ["checkpoint_folder", "durable", "durable_table", "let", "pure", "rows", "scan_prefix", "schema_with", "table"]
+__all__ = [
+    "checkpoint_folder", "durable", "durable_table", "fitted", "let", "pure", "rows", "scan_prefix", "schema_with", "table",
+    "tasks_for",
+]
 
 #: Rows that a Python worker holds as objects at a time.
 SLICE = 256
 
+#: Small rows, such as a link or the length of a piece, that are worth a task.
+TASK_ROWS = 1 << 17
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,6 +42,15 @@ def durable_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(n_rows: int) -> int:
+    return max(1, -(-n_rows // TASK_ROWS))
+
+
+def fitted(df: DataFrame, n_rows: int) -> DataFrame:
+    """`df` in no more partitions than so many small rows are worth, as each task of a shuffle writes files of its own."""
+    return df.coalesce(tasks_for(n_rows))
+
+
 def schema_with(df: DataFrame, ddl: str, column: str = "id") -> StructType:
     """`column` of `df` as it is, followed by the fields of `ddl`."""
     return StructType([StructField(column, df.schema[column].dataType), *StructType.fromDDL(ddl).fields])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import durable
+from runlens.llm.common import durable, fitted
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Alternating large-star and small-star rounds: every step links the neighbours of a node to its
     smallest neighbour, so long chains halve. A hub's neighbours are never gathered; a step is an aggregate
-    with map-side combine and an equi join that adaptive execution can split. Each round is checkpointed.
+    with map-side combine and an equi join that adaptive execution can split. Each round is checkpointed, and runs in as many
+    tasks as its links are worth.
     """
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     links = durable(links)
@@ -21,7 +22,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        links = durable(_small_star(_large_star(links)))
+        links = durable(_small_star(_large_star(fitted(links, seen[0]), seen[0]), seen[0]))
         state = _state(links)
         if state == seen:
             break
@@ -39,13 +40,14 @@ def _state(links: DataFrame) -> tuple:
     ).first())
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, n: int) -> DataFrame:
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    moved = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return fitted(fitted(moved, n).distinct(), n)
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, n: int) -> DataFrame:
     least = links.groupBy("u").agg(F.min("v").alias("m"))
     moved = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    return fitted(fitted(moved.union(least.select("u", F.col("m").alias("v"))), n).distinct(), n)

@@ -8,9 +8,11 @@ from collections import Counter
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from runlens.llm import alignment, token_files
+from runlens.llm import alignment, components, packing, token_files
+from runlens.llm.common import fitted
 from runlens.llm.packing import Encoder
 from runlens.llm.queries import PIECES, QUERIES, TOKENIZER
 from tests.llm.test_operators import SCHEMA, SF, TEXTS
@@ -206,3 +208,10 @@ def test_packing_needs_no_more_sequences_than_sequential_best_fit(spark):
             filled[r.sequence] += r.size
         assert sorted(r.pid for r in placed) == list(range(len(sizes))) and max(filled.values()) <= 1024
         assert len(filled) <= 1.02 * len(gaps) + 1
+
+def test_few_links_are_few_tasks(spark):
+    links = spark.range(1, 200).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v")).repartition(6)
+    assert spark.range(0, 100, 1, 6).transform(lambda df: fitted(df, 3)).rdd.getNumPartitions() == 1
+    assert components._small_star(components._large_star(links, 199), 199).rdd.getNumPartitions() == 1
+    found = {r.node: r.component for r in components.connected_components(links, "u", "v").collect()}
+    assert found == {k: 0 for k in range(200)}
