@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import durable, pure, rows, schema_with
+from runlens.llm.common import durable, fitted, pure, rows, schema_with, tasks_for
 
 CAPACITY, END = 1024, 2
 
@@ -55,8 +55,16 @@ class Encoder:
         self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(self, text: str) -> list[int]:
+        return self._or_slow(text, lambda: self.fast.encode(text, allowed_special="all") if self.specials else self.fast.encode_ordinary(text))
+
+    def array(self, text: str) -> np.ndarray:
+        """The same ids without a list in between."""
+        known = "all" if self.specials else set()
+        return np.asarray(self._or_slow(text, lambda: self.fast.encode_to_numpy(text, allowed_special=known, disallowed_special=())), np.int64)
+
+    def _or_slow(self, text: str, fast: Callable[[], Sequence[int]]) -> Sequence[int]:
         try:
-            return self.fast.encode(text, allowed_special="all") if self.specials else self.fast.encode_ordinary(text)
+            return fast()
         except BaseException as problem:
             if type(problem).__name__ != "PanicException":  # the pattern engine's, which is no Exception
                 raise
@@ -203,8 +211,10 @@ def _openings(counts: dict[int, int], capacity: int, next_sequence: int) -> tupl
     return out, next_sequence
 
 
-def _round(band: DataFrame, gaps: DataFrame, low: int, high: int, capacity: int, next_sequence: int) -> tuple[DataFrame, int]:
-    """(pid, sequence, size) of all pieces of the band, and the next free sequence number."""
+def _round(
+    band: DataFrame, gaps: DataFrame, low: int, high: int, capacity: int, next_sequence: int, n: int,
+) -> tuple[DataFrame, int]:
+    """(pid, sequence, size) of all pieces of the band, and the next free sequence number. `n`: pieces and sequences at most."""
     spark = band.sparkSession
     slots = F.greatest(F.floor(F.col("gap") / high), F.lit(1))
     first = F.struct((F.col("gap") - (slots - 1) * high).cast("long").alias("size"), F.lit(1).cast("long").alias("copies"))
@@ -213,10 +223,11 @@ def _round(band: DataFrame, gaps: DataFrame, low: int, high: int, capacity: int,
     both = band.select(F.lit(True).alias("piece"), F.col("pid").alias("key"), F.col("length").alias("size"), F.lit(1).cast("long").alias("copies")).unionAll(
         spread.select(F.lit(False).alias("piece"), F.col("sequence").alias("key"), "size", "copies"))
     order = [F.desc("size"), F.asc("piece"), F.asc("key")]
-    swept = durable(both.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep, _SWEPT))
+    ranged = both.repartitionByRange(tasks_for(2 * n), *order).sortWithinPartitions(*order)
+    swept = fitted(durable(ranged.mapInArrow(_sweep, _SWEPT)), n)
     left = swept.where("place is not null").groupBy("run").agg(
-        F.count_if("piece").alias("pieces"), F.sum(F.when(F.col("piece"), 0).otherwise(F.col("copies"))).alias("gaps")).collect()
-    joined, opened = _matches({r["run"]: (r["pieces"], r["gaps"]) for r in left})
+        F.count_if("piece").alias("pieces"), F.sum(F.when(F.col("piece"), 0).otherwise(F.col("copies"))).alias("gaps"))
+    joined, opened = _matches({r["run"]: (r["pieces"], r["gaps"]) for r in fitted(left, n).collect()})
     placed = swept.where("piece and sequence is not null").select("pid", "sequence", "size")
     waiting = swept.where("piece and sequence is null").select("pid", "size", "run", "place")
     if joined:  # at most two entries per partition
@@ -235,14 +246,14 @@ def _round(band: DataFrame, gaps: DataFrame, low: int, high: int, capacity: int,
         table = spark.createDataFrame(opened, "run int, low long, high long, shift long")
         alone = waiting.join(F.broadcast(table), "run").where("place >= low and place < high").select(
             "pid", "size", (F.col("place") + F.col("shift")).alias("rank"))
-        sizes = {r[0]: r[1] for r in alone.groupBy("size").agg(F.count(F.lit(1))).collect()}
+        sizes = dict(fitted(alone.groupBy("size").agg(F.count(F.lit(1))), n).collect())
         plan, next_sequence = _openings(sizes, capacity, next_sequence)  # an entry per size
         fill = spark.createDataFrame(plan, "size long, first long, joining long, before long, base long, k long")
         at = F.col("rank") - F.col("first")
         sequence = F.when(at < F.col("joining"), F.col("before")).otherwise(
             F.col("base") + F.floor((at - F.col("joining")) / F.col("k")))
         placed = placed.unionAll(alone.join(F.broadcast(fill), "size").select("pid", sequence.cast("long").alias("sequence"), "size"))
-    return durable(placed.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))), next_sequence
+    return durable(fitted(placed, n)), next_sequence
 
 
 def assign(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -250,7 +261,8 @@ def assign(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = sizes.sparkSession
     limits = bands(capacity)
     names = F.coalesce(*[F.when(F.col("length") > low, F.lit(b)) for b, (low, _) in enumerate(limits)])
-    counts = {r[0]: r[1] for r in sizes.groupBy(names.alias("b")).agg(F.count(F.lit(1))).collect()}
+    counts = dict(sizes.groupBy(names.alias("b")).agg(F.count(F.lit(1))).collect())
+    sizes = durable(fitted(sizes, sum(counts.values())))
     every = spark.createDataFrame([], "pid long, sequence long, size long")
     gaps, next_sequence = spark.createDataFrame([], "sequence long, gap long"), 0
     for b, (low, high) in enumerate(limits):
@@ -258,10 +270,11 @@ def assign(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             continue
         known = next_sequence
         band = sizes.where((F.col("length") > low) & (F.col("length") <= high))
-        placed, next_sequence = _round(band, gaps, low, high, capacity, known)
+        placed, next_sequence = _round(band, gaps, low, high, capacity, known, counts[b] + known)
         whole = F.when(F.col("sequence") >= known, F.lit(capacity)).otherwise(F.lit(0))
         taken = placed.select("sequence", (-F.col("size")).alias("gap"))
-        gaps = durable(gaps.unionAll(taken).groupBy("sequence").agg((F.sum("gap") + F.first(whole)).cast("long").alias("gap")).where("gap > 0"))
+        open_gaps = gaps.unionAll(taken).groupBy("sequence").agg((F.sum("gap") + F.first(whole)).cast("long").alias("gap"))
+        gaps = durable(fitted(open_gaps.where("gap > 0"), next_sequence))
         every = every.unionAll(placed)
     return every
 

@@ -209,6 +209,13 @@ def test_packing_needs_no_more_sequences_than_sequential_best_fit(spark):
         assert sorted(r.pid for r in placed) == list(range(len(sizes))) and max(filled.values()) <= 1024
         assert len(filled) <= 1.02 * len(gaps) + 1
 
+def test_few_pieces_are_few_tasks(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(1, 1024)) for k in range(300)]
+    placed = packing.assign(spark.createDataFrame(rows, "pid long, length long").repartition(6))
+    assert placed.count() == 300 and placed.rdd.getNumPartitions() < 2 * len(packing.bands(1024))
+
+
 def test_few_links_are_few_tasks(spark):
     links = spark.range(1, 200).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v")).repartition(6)
     assert spark.range(0, 100, 1, 6).transform(lambda df: fitted(df, 3)).rdd.getNumPartitions() == 1
