@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -52,50 +51,66 @@ class PieceEncoder:
         return self.model.encode(text, num_threads=1)
 
 
-def tokens(text: str | None, first: Encoder, second: PieceEncoder) -> tuple[list[int], list[int]]:
+class Vocabulary:
+    """The bytes of all ids end to end."""
+
+    def __init__(self, token_bytes: list[bytes]):
+        self.lengths = np.fromiter(map(len, token_bytes), np.int64, len(token_bytes))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(token_bytes), np.uint8)
+
+    def ends(self, ids: np.ndarray) -> np.ndarray:
+        return np.cumsum(self.lengths[ids])
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        sizes, ends = self.lengths[ids], self.ends(ids)
+        return self.bytes[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(sizes.sum())].tobytes()
+
+
+def tokens(
+    text: str | None, first: Encoder, second: PieceEncoder, a_known: Vocabulary, b_known: Vocabulary,
+) -> tuple[np.ndarray, np.ndarray]:
     """Both id lists; none if the text is empty or the bytes of either list are not those of space and text."""
+    none = np.zeros(0, np.int64)
     if not text:
-        return [], []
-    a, b = first.ids(" " + text), second.ids(text)
+        return none, none
+    a, b = first.array(" " + text), np.array(second.ids(text), np.int64)
     whole = b" " + text.encode()
-    if b"".join(map(first.token_bytes.__getitem__, a)) != whole or b"".join(map(second.token_bytes.__getitem__, b)) != whole:
-        return [], []
-    return a, b
+    return (a, b) if a_known.joined(a) == whole == b_known.joined(b) else (none, none)
 
 
-def cuts(a: list[int], b: list[int], a_lengths: list[int], b_lengths: list[int]) -> tuple[list[int], list[int]]:
+def cuts(a: np.ndarray, b: np.ndarray, a_known: Vocabulary, b_known: Vocabulary) -> tuple[list[int], list[int]]:
     """Where the groups end, as token counts of either list."""
-    a_ends = dict(zip(accumulate(map(a_lengths.__getitem__, a)), range(1, len(a) + 1)))
-    b_ends = dict(zip(accumulate(map(b_lengths.__getitem__, b)), range(1, len(b) + 1)))
-    common = sorted(a_ends.keys() & b_ends.keys())
+    a_ends = dict(zip(a_known.ends(a).tolist(), range(1, len(a) + 1)))
+    b_ends = dict(zip(b_known.ends(b).tolist(), range(1, len(b) + 1)))
+    common = [*filter(b_ends.__contains__, a_ends)]  # ends only grow, and so do a dictionary's keys
     return [*map(a_ends.__getitem__, common)], [*map(b_ends.__getitem__, common)]
 
 
 @cache
-def _names(n: int) -> list[str]:
-    return [*map(str, range(n))]
+def _names() -> np.ndarray:
+    """Every id as bytes, followed by each of the marks: by mark, then id. Shorter ones are filled up with zeros."""
+    return np.array([b"%d%c" % (i, mark) for mark in b",|;" for i in range(1 << IDS)], "S8").view(np.uint64)
 
 
-def digest(a: list[int], b: list[int], a_cuts: list[int], b_cuts: list[int]) -> str:
+def digest(a: np.ndarray, b: np.ndarray, a_cuts: list[int], b_cuts: list[int]) -> str:
     """SHA-256 of the groups as text, in order."""
-    if not a:
+    if not len(a):
         return ""
-    name = _names(1 << IDS).__getitem__
-    x, y = [*map(name, a)], [*map(name, b)]
-    i = k = 0
-    groups = []
-    for j, m in zip(a_cuts, b_cuts):
-        if j - i == 1 == m - k:  # most groups
-            groups.append(f"{x[i]}|{y[k]}")
-        else:
-            groups.append(f"{','.join(x[i:j])}|{','.join(y[k:m])}")
-        i, k = j, m
-    return hashlib.sha256(";".join(groups).encode()).hexdigest()
-
-
-def links(a: list[int], b: list[int], a_cuts: list[int], b_cuts: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
+    names = _names()
+    a_ends, b_ends = np.array(a_cuts), np.array(b_cuts)
+    of_a, of_b = np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0)
+    out = np.empty(len(a) + len(b), names.dtype)
+    for ids, ends, sizes, before, mark in ((a, a_ends, of_a, b_ends - of_b, 1), (b, b_ends, of_b, a_ends, 2)):
+        marked = ids.copy()
+        marked[ends - 1] += mark << IDS
+        out[np.arange(len(ids)) + np.repeat(before, sizes)] = names[marked]
+    return hashlib.sha256(out.tobytes().translate(None, b"\0")[:-1]).hexdigest()
+
+
+def links(a: np.ndarray, b: np.ndarray, a_cuts: list[int], b_cuts: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
     """The different pairs, how many links each has, and the number of all links."""
-    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
     ends_a, ends_b = np.array(a_cuts, np.int64), np.array(b_cuts, np.int64)
     m, n = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
     pairs, counts = [], []
@@ -133,13 +148,13 @@ def align(docs: DataFrame, first_path: str, second_path: str, id_col: str = "doc
         first, second = Encoder(first_path, specials=False), PieceEncoder(second_path)
         if max(len(first.token_bytes), len(second.token_bytes)) > 1 << IDS:
             raise ValueError("vocabularies of more ids than IDS allows")
-        lengths, second_lengths = ([*map(len, x.token_bytes)] for x in (first, second))
+        a_known, b_known = Vocabulary(first.token_bytes), Vocabulary(second.token_bytes)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             out, pairs, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, text in rows(batch):
-                a, b = tokens(text, first, second)
-                a_cuts, b_cuts = cuts(a, b, lengths, second_lengths)
+                a, b = tokens(text, first, second, a_known, b_known)
+                a_cuts, b_cuts = cuts(a, b, a_known, b_known)
                 pair, count, n = links(a, b, a_cuts, b_cuts)
                 out.append((row, len(a), len(b), len(a_cuts), n, digest(a, b, a_cuts, b_cuts)))
                 pairs.append(pair)

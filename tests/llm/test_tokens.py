@@ -209,6 +209,21 @@ def test_packing_needs_no_more_sequences_than_sequential_best_fit(spark):
         assert sorted(r.pid for r in placed) == list(range(len(sizes))) and max(filled.values()) <= 1024
         assert len(filled) <= 1.02 * len(gaps) + 1
 
+
+def test_arrays_of_ids_and_their_bytes():
+    first, second = Encoder(TOKENIZER, specials=False), alignment.PieceEncoder(PIECES)
+    a_known, b_known = alignment.Vocabulary(first.token_bytes), alignment.Vocabulary(second.token_bytes)
+    for text in (" Two  words", "日本語 \U0001F600 é", "<s></s> 1234", " " * 3000, "x", "\n\t a"):
+        assert first.array(text).tolist() == first.ids(text)
+        a, b = alignment.tokens(text, first, second, a_known, b_known)
+        if len(a):
+            assert a_known.joined(a) == b_known.joined(b) == b" " + text.encode()
+        a_cuts, b_cuts = alignment.cuts(a, b, a_known, b_known)
+        groups = [",".join(map(str, a[i:j])) + "|" + ",".join(map(str, b[k:m]))
+                  for i, j, k, m in zip([0, *a_cuts], a_cuts, [0, *b_cuts], b_cuts)]
+        assert alignment.digest(a, b, a_cuts, b_cuts) == (hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "")
+
+
 def test_few_pieces_are_few_tasks(spark):
     rng = random.Random(3)
     rows = [(k, rng.randrange(1, 1024)) for k in range(300)]
