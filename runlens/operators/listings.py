@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions import fixed_values as fv
-from runlens.functions.text import path_format
+from runlens.functions.text import let, path_format
 from runlens.operators.common import Cols, names
 
 
@@ -221,20 +221,22 @@ def session_artifacts(
     the data and add nothing.
     """
     root = workspace_root.rstrip("/") + "/"
-    below = F.substr(path, F.lit(len(root) + 1), F.length(path))
-    inside = listing.where(F.startswith(path, F.lit(root)))
-    shared_under = lambda rel: F.startswith(below, F.lit(rel + "/"))
-    source = F.when(shared_under(fv.WORKLOG_RELATIVE_ROOT), "worklog").when(
-        shared_under(fv.SUMMARY_RELATIVE_ROOT), "summary"
-    ).when(F.size(F.split(below, "/")) == 2, "report")
-    tagged = inside.withColumn("source", source).where(F.col("source").isNotNull())
+
+    def place(below: Column) -> Column:
+        shared_under = lambda rel: F.startswith(below, F.lit(rel + "/"))
+        return let(F.split(below, "/"), lambda parts: F.struct(
+            F.when(shared_under(fv.WORKLOG_RELATIVE_ROOT), "worklog").when(shared_under(fv.SUMMARY_RELATIVE_ROOT), "summary")
+            .when(F.size(parts) == 2, "report").alias("source"),
+            F.get(parts, F.lit(0)).alias("first")))
+
+    # in a generator, so that what is asked of the source later does not repeat the path and its tests
+    inside = F.when(F.startswith(path, F.lit(root)), F.substr(path, F.lit(len(root) + 1), F.length(path)))
+    placed = listing.select("*", F.explode_outer(F.array(let(inside, place))).alias("_place"))
+    tagged = placed.withColumn("source", F.col("_place.source")).where(F.col("source").isNotNull())
     wanted = sessions.select(session, owner).distinct()
-    reports = (
-        tagged.where(F.col("source") == "report")
-        .withColumn(session, F.get(F.split(below, "/"), F.lit(0)))
-    )
+    reports = tagged.where(F.col("source") == "report").withColumn(session, F.col("_place.first")).drop("_place")
     reports = reports.join(wanted, [owner, session], "left_semi")
-    shared = tagged.where(F.col("source") != "report").withColumn(session, F.lit(None).cast("string"))
+    shared = tagged.where(F.col("source") != "report").withColumn(session, F.lit(None).cast("string")).drop("_place")
     rows = reports.unionByName(shared)
 
     report_counts = reports.groupBy(owner, session).agg(

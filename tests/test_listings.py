@@ -155,3 +155,11 @@ def test_polls_without_a_place_keep_their_row(spark):
     assert sorted((r.session_id or "", r.poll_no or 0, r.present, r.run) for r in runs.collect()) == [
         ("", 1, True, 0), ("s", 0, False, 0), ("s", 1, True, 1), ("s", 2, True, 2), ("s", 3, True, 3), ("t", 0, True, 0)]
     assert {(r.session_id, r.poll_no, r.stable) for r in ops.first_stable_poll(runs, 3).collect()} == {("s", 3, True), ("t", None, False)}
+
+
+def test_files_are_placed_once_per_scan(spark):
+    made = spark.range(4).select(F.col("id").alias("case_id"), F.concat(F.lit("/workspace/s"), F.col("id"), F.lit("/a.pdf")).alias("path"))
+    sessions = spark.createDataFrame([(k, f"s{k}") for k in range(3)], "case_id long, session_id string")
+    rows, _ = ops.session_artifacts(made, sessions, "case_id")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("worklog/") <= 2
+    assert sorted((r.case_id, r.source, r.session_id) for r in rows.collect()) == [(k, "report", f"s{k}") for k in range(3)]
