@@ -13,8 +13,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Alternating large-star and small-star rounds: every step links the neighbours of a node to its
     smallest neighbour, so long chains halve. A hub's neighbours are never gathered; a step is an aggregate
-    with map-side combine and an equi join that adaptive execution can split. Each round is checkpointed, and runs in as many
-    tasks as its links are worth.
+    with map-side combine and an equi join that adaptive execution can split. Each step is checkpointed, so that a task holds
+    the buffers of one step only, and runs in as many tasks as its links are worth.
     """
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     links = durable(links)
@@ -22,7 +22,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        links = durable(_small_star(_large_star(fitted(links, seen[0]), seen[0]), seen[0]))
+        links = durable(_large_star(fitted(links, seen[0]), seen[0]))
+        links = durable(_small_star(fitted(links, seen[0]), seen[0]))
         state = _state(links)
         if state == seen:
             break
@@ -49,5 +50,6 @@ def _large_star(links: DataFrame, n: int) -> DataFrame:
 
 def _small_star(links: DataFrame, n: int) -> DataFrame:
     least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return fitted(fitted(moved.union(least.select("u", F.col("m").alias("v"))), n).distinct(), n)
+    to_least = F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u"))  # the least neighbour links its own node to it
+    moved = links.join(least, "u").select(to_least.alias("u"), F.col("m").alias("v"))
+    return fitted(fitted(moved, n).distinct(), n)

@@ -237,3 +237,19 @@ def test_few_links_are_few_tasks(spark):
     assert components._small_star(components._large_star(links, 199), 199).rdd.getNumPartitions() == 1
     found = {r.node: r.component for r in components.connected_components(links, "u", "v").collect()}
     assert found == {k: 0 for k in range(200)}
+
+
+def test_a_task_of_components_holds_one_step(spark, monkeypatch):
+    """What one task computes of a round reads its links four times at most: steps do not hold each other's buffers."""
+    reads, real = [], components.durable
+
+    def seen(df):
+        reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD"))
+        return real(df)
+
+    edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(139, 200), (300, 301), (301, 300), (7, 7)]
+    links = spark.createDataFrame(edges, "u long, v long")
+    monkeypatch.setattr(components, "durable", seen)
+    found = {r.node: r.component for r in components.connected_components(links, "u", "v").collect()}
+    assert found == {**{k: 0 for k in range(61)}, **{k: 100 for k in [*range(100, 140), 200]}, 300: 300, 301: 300}
+    assert len(reads) > 3 and max(reads) <= 4, reads
